@@ -12,6 +12,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: a word is a maximal run without ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,5 +82,10 @@ def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def plus(schema: StructType, ddl: str, drop: tuple = ()) -> StructType:
+    """A new schema: the fields without ``drop``, then those of ddl."""
+    return StructType([f for f in schema.fields if f.name not in drop] + StructType.fromDDL(ddl).fields)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

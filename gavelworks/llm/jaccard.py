@@ -16,10 +16,10 @@ left out as long as a document has fewer than m - d of them (then they can't be
 all that agrees).  Documents with more of them add keys over combinations.
 
 Work order: equal sets collapse to one representative first; tiles link every
-member to the tile's smallest member (linear, no pairs of a group); tiles that
-still hold more than one component are searched by a packed R-tree, tiles above
-``TILE`` members by rounds of pivots until nothing is left.  Every surviving
-pair is verified on the full sets.  No caps, no sampling.
+member to a leader in three orders (linear, no pairs of a group); in tiles that
+still hold more than one component the members outside the largest one are
+searched in packed R-trees over the tile.  Every surviving pair is verified on the
+full sets.  No caps, no sampling.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import Work, partitions, table
 from .components import components
 
-GROUPS = 64
-TILE = 48
+GROUPS = 256
+#: most members of a tile that one tree takes; larger tiles are searched in blocks
+TILE = 2048
 U = np.uint64
 
 
@@ -224,19 +225,23 @@ class RTree:
 
 
 def _tile_search(num: int, den: int):
-    """Rows (tile, docs, cvs) -> candidate pairs of each tile's tree."""
+    """Rows (own, doc, comp, cv) of a block of a tile -> candidate pairs of different
+    components, one of them an own row."""
 
     def run(batches):
         for rb in batches:
             a, b = [], []
-            for docs, cvs in zip(rb.column("docs").to_pylist(), rb.column("cvs").to_pylist()):
-                pts = np.frombuffer(b"".join(cvs), np.uint32).reshape(-1, GROUPS)
+            for z in rb.column("z").to_pylist():
+                pts = np.frombuffer(b"".join(r["cv"] for r in z), np.uint32).reshape(-1, GROUPS)
+                comp = np.array([r["comp"] for r in z])
                 tree = RTree(pts)
-                for i in range(len(docs)):
-                    for j in tree.search(pts[i], num, den):
-                        if docs[i] < docs[j]:
-                            a.append(docs[i])
-                            b.append(docs[j])
+                for i, r in enumerate(z):
+                    if r["own"]:
+                        for j in tree.search(pts[i], num, den):
+                            if comp[j] != comp[i]:
+                                x, y = r["doc"], z[j]["doc"]
+                                a.append(min(x, y))
+                                b.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -276,7 +281,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     keyed = points.join(cls.select("rep").distinct().withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     rows_k = keyed.select(F.explode("keys").alias("key"), "doc_id").repartition(partitions(spark), "key")
     tiles = rows_k.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-    multi = work.save(rows_k.join(tiles.hint("shuffle_hash"), "key").select("key", "doc_id", "lead", "n"), "tiles")
+    multi = work.save(rows_k.join(tiles.hint("shuffle_hash"), "key").select("key", "doc_id", "lead"), "tiles")
 
     need = multi.select("doc_id").distinct()
     sets = work.save(rows.join(need, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items binary, cv binary"), "sets")
@@ -286,48 +291,46 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         y = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
 
-    # every member against its smallest tile leader
-    star = multi.groupBy("doc_id").agg(F.min("lead").alias("lead")).where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
     # rows of one doc_id with unequal sets stay together through their representatives
     same = cls.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = work.save(verified(star), "links")
-    comp = components(work, links)
-
-    # tiles with more than one component left
-    def mixed(m: DataFrame, comp: DataFrame) -> DataFrame:
-        t = m.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "n")
-        odd = t.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return t.join(odd, "key")
-
-    left = work.save(mixed(multi.select("key", "doc_id", "n"), comp), "mixed")
-    cv = sets.select("doc_id", "cv")
-    small = left.where(F.col("n") <= TILE).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).select("docs").distinct()
-    small = small.withColumn("tile", F.xxhash64("docs")).select("tile", F.explode("docs").alias("doc_id")).distinct()
-    trees = small.join(cv, "doc_id").groupBy("tile").agg(F.collect_list(F.struct("doc_id", "cv")).alias("z")).select("tile", F.col("z.doc_id").alias("docs"), F.col("z.cv").alias("cvs"))
-    pairs = trees.mapInArrow(_tile_search(num, den), "a long, b long").distinct()
-    lookup = comp.select(F.col("node"), "comp")
 
     def apart(pairs: DataFrame, lookup: DataFrame) -> DataFrame:
         p = pairs.join(lookup.toDF("a", "ca"), "a", "left").join(lookup.toDF("b", "cb"), "b", "left")
         return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    more = work.save(verified(apart(pairs, lookup)), "links")
-    edges = links.union(more)
-    big = left.where(F.col("n") > TILE).select("key", "doc_id", "n")
-    seen = None
-    while big.limit(1).count():
-        comp = components(work, edges)
-        lookup = comp
-        left2 = work.save(mixed(big, comp), "mixed")
-        # one pivot per salt and tile, at most 16 a round; each meets the whole tile, then is done with
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-        pivots = work.save(left2.groupBy("key", salt.alias("salt")).agg(F.min("doc_id").alias("p")).select("key", "p"), "pivots")
-        met = left2.join(pivots, "key").where("p <> doc_id").select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
-        bound = apart(met, lookup).join(cv.toDF("a", "u"), "a").join(cv.toDF("b", "v"), "b").mapInArrow(_bound(num, den), "a long, b long")
-        new = work.save(verified(bound), "links")
-        edges = edges.union(new)
-        big = work.save(left2.join(pivots.withColumnRenamed("p", "doc_id"), ["key", "doc_id"], "left_anti").select("key", "doc_id", "n"), "left")
-        work.drop(left2, pivots)
+    # every member against its smallest tile leader, then against leaders in two other orders
+    star = multi.groupBy("doc_id").agg(F.min("lead").alias("lead")).where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    links = work.save(verified(star), "links")
+    comp = components(work, links)
+    other = None
+    for seed in (1, 2):
+        h = F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id").alias("lead"))
+        lead = multi.groupBy("key").agg(F.min(h).alias("m"))
+        pair = multi.select("key", "doc_id").join(lead, "key").groupBy("doc_id").agg(F.min("m").alias("m")).select(F.least("doc_id", "m.lead").alias("a"), F.greatest("doc_id", "m.lead").alias("b")).where("a <> b")
+        other = pair if other is None else other.union(pair)
+    edges = links.union(work.save(verified(apart(other.distinct(), comp)), "links"))
+    comp = components(work, edges)
+
+    # tiles with more than one component left: members outside of the tile's largest
+    # component are searched in R-trees of all its members, in blocks of bounded size
+    t = multi.select("key", "doc_id").join(comp.toDF("doc_id", "comp"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    size = t.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"))
+    sign = F.struct(F.sum("n").alias("n"), F.sum("s").alias("s")).alias("sign")
+    tile = size.groupBy("key").agg(sign, F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    # tiles with the same members are searched once
+    tile = tile.groupBy("sign").agg(F.min_by(F.struct("key", "main", "most"), "key").alias("k")).select("k.key", "k.main", (F.col("sign.n") - F.col("k.most")).alias("u"), F.col("sign.n").alias("n"))
+    left = work.save(t.join(tile, "key"), "mixed")
+    nb, nr = F.ceil(F.col("u") / (TILE / 4)).cast("int"), F.ceil(F.col("n") / TILE).cast("int")
+    cut = F.sequence(F.lit(0), nb - 1)
+    row = F.sequence(F.lit(0), nr - 1)
+    h = F.xxhash64("doc_id", F.lit(3))
+    keep = ["key", "doc_id", "comp"]
+    own = left.where("comp <> main").select(*keep, F.lit(True).alias("own"), F.pmod(h, nb).cast("int").alias("o"), F.explode(row).alias("r"))
+    rest = left.select(*keep, F.lit(False).alias("own"), F.explode(cut).alias("o"), F.pmod(h, nr).cast("int").alias("r"))
+    cv = sets.select("doc_id", "cv")
+    blocks = own.union(rest).join(cv, "doc_id").groupBy("key", "o", "r").agg(F.collect_list(F.struct("own", F.col("doc_id").alias("doc"), "comp", "cv")).alias("z")).select("z")
+    pairs = blocks.mapInArrow(_tile_search(num, den), "a long, b long").distinct()
+    edges = edges.union(work.save(verified(pairs), "links"))
     comp = components(work, edges.union(same))
     work.drop(multi, sets, left)
     ids = cls.groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -335,19 +338,6 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     return points.select("doc_id", "n_shingles").join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _bound(num: int, den: int):
-    def run(batches):
-        for rb in batches:
-            if not rb.num_rows:
-                continue
-            u = np.frombuffer(b"".join(rb.column("u").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
-            v = np.frombuffer(b"".join(rb.column("v").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
-            keep = np.minimum(u, v).sum(1) * (den + num) >= num * (u.sum(1) + v.sum(1))
-            yield pa.RecordBatch.from_arrays([rb.column("a"), rb.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 

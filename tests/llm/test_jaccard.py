@@ -44,7 +44,7 @@ def corpus(seed, n=260):
     return out
 
 
-@pytest.mark.parametrize("k,num,den,seed,tile", [(4, 85, 100, 1, 48), (5, 80, 100, 2, 4), (2, 60, 100, 3, 8)])
+@pytest.mark.parametrize("k,num,den,seed,tile", [(4, 85, 100, 1, 2048), (5, 80, 100, 2, 4), (2, 60, 100, 3, 8)])
 def test_same_as_brute_force(spark, monkeypatch, k, num, den, seed, tile):
     monkeypatch.setattr(J, "TILE", tile)
     rows = corpus(seed) + [(1000, None, "x"), (1001, "", "x"), (1002, " \n\t ", "x"), (1003, "ONE two", "x"), (1004, "one TWO", "x")]
