@@ -50,19 +50,16 @@ class DoubleArray:
             if not codes:
                 continue
             first, wide = codes[0], codes[-1] - codes[0]
-            at, full = max(start, first + 1), 0
-            begun = at
+            at = begun = max(start, first + 1)
             while True:
                 self._grow(at + wide + 1)
-                if self.check[at] != -1:
-                    full += 1
-                else:
+                if self.check[at] == -1:
                     b = at - first
                     if all(self.check[b + c] == -1 for c in codes):
                         break
                 at += 1
-            if begun == start and full >= 0.9 * (at - begun + 1):
-                start = at  # almost everything before is taken
+            if at - begun > 64:
+                start = max(start, at - 32)  # the few holes before are left
             self.base[s] = b
             for c in codes:
                 self.check[b + c] = s
