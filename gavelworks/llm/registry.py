@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, fertility, jaccard, langid, mixing, pii, sitetree, unigram
+from . import chat, fertility, jaccard, langid, license, media, mixing, pii, sitetree, unigram
 
 QUERIES = {
+    "op1_media_copies": media.op1,
     "op2_language_id": langid.op2,
     "op3_mixing": mixing.op3,
     "op4_ngram_jaccard_join": jaccard.op4,
     "op5_sentencepiece": unigram.op5,
     "op6_pii": pii.op6,
     "op7_quality_fertility": fertility.op7,
+    "op8_license_scan": license.op8,
     "op9_html_site_tree": sitetree.op9,
     "op10_chat_format": chat.op10,
 }

@@ -1,0 +1,100 @@
+"""Language ID (held-out accuracy) and fertility rules (brute force), with edge cases."""
+
+import random
+import zlib
+
+import pytest
+
+from gavelworks.llm import fertility as Fe
+from gavelworks.llm import langid as L
+
+SYL = {"en": "th er an ing tion ou sh".split(), "de": "sch ung keit ver ein ich tz".split(), "fr": "eau eux ou tion que ai oi".split(), "es": "cion ado os as ll rr ue".split()}
+
+
+def text(r, lang, n):
+    return " ".join("".join(r.choices(SYL[lang], k=r.randint(1, 4))) for _ in range(n)) + "."
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        lang = r.choice(list(SYL))
+        rows.append((i, text(r, lang, r.randint(25, 90)), lang, "x", 1))
+    rows += [(1000, None, "en", "x", 1), (1001, "", "en", "x", 1), (1002, "123 ... 456", None, "x", 1), (1003, text(r, "de", 4000), None, "x", 1), (None, text(r, "fr", 40), "fr", "x", 1), (7, rows[7][1], rows[7][2], "x", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred int").cache()
+
+
+def test_held_out_accuracy(spark, docs):
+    model = L.train(spark, docs)
+    assert model.langs == ["de", "en", "es", "fr"] and model.family == ["germanic", "romance"]
+    got = L.identify(spark, docs.select("doc_id", "text", "lang"), model).withColumn("held_out", L.held_out()).collect()
+    assert len(got) == docs.count()
+    test = [g for g in got if g.held_out and g.doc_id is not None and g.doc_id < 400]
+    assert all((zlib.crc32(str(g.doc_id).encode()) % 3 == 1) == g.held_out for g in got if g.doc_id is not None)
+    assert sum(g.lang == g.lang_pred for g in test) >= 0.97 * len(test)
+    by = {g.doc_id: g for g in got}
+    for i in (1000, 1001, 1002):
+        assert (by[i].lang_pred, by[i].score) == ("und", 0.0)
+    assert by[1003].lang_pred == "de" and all(0 <= g.score <= 1 for g in got)
+
+
+def test_only_learns_from_its_folds(spark, docs):
+    held = docs.where(L.held_out())
+    assert L.train(spark, held).langs == []
+
+
+def test_clashing_names_and_stage(spark, docs):
+    out = L.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = {r.doc_id for r in out.collect()}
+    assert not kept & {1000, 1001, 1002} and {0, 1, 2, 1003, None} <= kept
+    empty = docs.where("false")
+    assert L.stage(spark, empty, "").collect() == []
+
+
+def brute(t):
+    words = [w.decode() for w in (t or "").encode().split()]
+    wins = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    cover = {j for i, w in enumerate(wins) if wins.count(w) > 1 for j in range(i, i + 8)}
+    lines, dup = [], 0
+    for line in (t or "").split("\n"):
+        if line.encode().split():
+            dup += line in lines
+            lines.append(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(cover)
+
+
+def test_base_measures_equal_brute_force():
+    r = random.Random(9)
+    vocab = ["é", "aa", "b#", "<x>", "w1", "w2", "日本"]
+    for _ in range(150):
+        t = "".join(r.choice(vocab) + r.choice([" ", "\n", "\t", " ", "\n\n"]) for _ in range(r.randint(0, 60)))
+        t = t + t[: r.randint(0, len(t))]
+        assert Fe.measures(t)[:5] == brute(t)
+    assert Fe.measures(None)[:5] == (0, 0, 0, 0, 0) == Fe.measures(" \n")[:5]
+
+
+def test_verdicts(spark, docs):
+    r = random.Random(1)
+    odd = [(5000, " ".join("".join(r.choices("☃𝔘🙂🂡", k=7)) for _ in range(40)), "en"), (5001, "same words again and again here now ok " * 30, "en"), (5002, "few words", "en"), (5003, None, None), (5004, text(r, "en", 3000), "en")]
+    plain = docs.select("doc_id", "text", "lang")
+    all_docs = plain.union(spark.createDataFrame(odd, plain.schema)).withColumn("n_words", plain["doc_id"])
+    v = Fe.verdicts(spark, all_docs)
+    got = {x.doc_id: x for x in v.collect()}
+    assert v.count() == all_docs.count()
+    assert not got[5000].kept and not got[5000].base_failed and got[5000].bytes > 0.5
+    assert got[5001].base_failed and got[5002].base_failed and got[5003].base_failed and not got[5003].kept
+    good = [x for i, x in got.items() if i is not None and i < 400]
+    assert sum(x.kept for x in good) >= 0.99 * len(good)
+    assert Fe.verdicts(spark, all_docs.where("false")).collect() == []
+
+
+def test_token_counts_match_the_vocabulary():
+    sp, enc, is_byte, _ = Fe.tokenizers(Fe.VOCAB_DIR)
+    t = "Plain words, überall größer ☃ 12345"
+    n, chars, *_, tokens, cpt, share, _ = Fe.measures(t)
+    ids = [i for w in t.split(" ") for i in sp.encode(w)]
+    assert tokens == len(ids) and share == sum(is_byte[i] for i in ids) / len(ids)
+    assert cpt == chars / sum(len(enc.encode_ordinary(" " + w)) for w in t.split(" "))
