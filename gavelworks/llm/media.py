@@ -165,26 +165,34 @@ def describe(img: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(pts), np.concatenate(desc)) if pts else (np.zeros((0, 4)), np.zeros((0, 32), np.uint8))
 
 
-_PTS = "cls long, x float, y float, scale float, angle float, tables array<bigint>, more long"
+_PTS = "id long, h string, pts array<struct<p:bigint,more:bigint,keys:array<bigint>>>"
+
+
+def pack(p: np.ndarray) -> np.ndarray:
+    """Keypoints (x, y, scale, angle) as integers: quarter pixels up to 16383, scales in 1/256, angles in 1/4096 turns."""
+    q = np.stack([np.clip(np.rint(p[:, 0] * 4), 0, 65535), np.clip(np.rint(p[:, 1] * 4), 0, 65535), np.clip(np.rint(p[:, 2] * 256), 1, 65535), np.rint(p[:, 3] / (2 * np.pi) * 4096) % 4096], 1).astype(np.int64)
+    return q[:, 0] << 44 | q[:, 1] << 28 | q[:, 2] << 12 | q[:, 3]
+
+
+def unpack(v) -> np.ndarray:
+    v = np.asarray(v, np.int64)
+    return np.stack([(v >> 44) / 4, (v >> 28 & 65535) / 4, (v >> 12 & 65535) / 256, (v & 4095) * (2 * np.pi / 4096)], 1)
 
 
 def _describe(batches):
+    kind = pa.struct([("p", pa.int64()), ("more", pa.int64()), ("keys", pa.list_(pa.int64()))])
     for rb in batches:
-        cls, pts, tabs, more = [], [], [], []
-        for c, m in zip(rb.column("cls").to_pylist(), rb.column("media").to_pylist()):
+        off, pts, tabs, more = [0], [], [], []
+        for m in rb.column("media").to_pylist():
             p, d = describe(decode(m))
-            cls += [c] * len(p)
-            pts.append(p)
-            t = d[:, :16].copy().view(">u4").astype(np.int64) | (np.arange(4, dtype=np.int64) << 32) if len(d) else np.zeros((0, 4), np.int64)
-            tabs.append(t)
+            off.append(off[-1] + len(p))
+            pts.append(pack(p))
+            tabs.append((d[:, :16].copy().view(">u4").astype(np.int64) | (np.arange(4, dtype=np.int64) << 32)).ravel() if len(d) else np.zeros(0, np.int64))
             more.append(d[:, 16:24].copy().view(">i8").ravel().astype(np.int64) if len(d) else np.zeros(0, np.int64))
-        p = np.concatenate(pts) if pts else np.zeros((0, 4))
-        t = np.concatenate(tabs) if tabs else np.zeros((0, 4), np.int64)
-        off = pa.array(np.arange(len(t) + 1) * 4, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cls, pa.int64()), *[pa.array(p[:, i].astype(np.float32)) for i in range(4)], pa.ListArray.from_arrays(off, pa.array(t.ravel())), pa.array(np.concatenate(more) if more else np.zeros(0, np.int64))],
-            names=["cls", "x", "y", "scale", "angle", "tables", "more"],
-        )
+        cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(off[-1] + 1) * 4, pa.int32()), pa.array(cat(tabs)))
+        flat = pa.StructArray.from_arrays([pa.array(cat(pts)), pa.array(cat(more)), keys], fields=list(kind))
+        yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("h"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)], names=["id", "h", "pts"])
 
 
 def consensus(m: np.ndarray) -> int:
@@ -207,18 +215,22 @@ def consensus(m: np.ndarray) -> int:
 def _agree(least: int):
     def run(batches):
         for rb in batches:
-            n = [consensus(np.array([[r[c] for c in ("x", "y", "scale", "angle", "x2", "y2", "scale2", "angle2")] for r in z], float)) for z in rb.column("z").to_pylist()]
+            n = [consensus(np.hstack([unpack([r["p"] for r in z]), unpack([r["p2"] for r in z])])) for z in rb.column("z").to_pylist()]
             t = pa.RecordBatch.from_arrays([rb.column("query"), rb.column("match"), pa.array(n, pa.int64())], names=["query", "match", "inliers"])
             yield t.filter(pa.array([v >= least for v in n], pa.bool_()))
 
     return run
 
 
-def classes(media: DataFrame, work: Work, tag: str) -> DataFrame:
-    """(id, cls, media of the class's first row only): rows of equal bytes share cls, their smallest id."""
-    m = work.save(media.select(F.col("id").cast("long").alias("id"), "media", F.sha2("media", 256).alias("h")).where("id is not null"), tag)
-    first = m.groupBy("h").agg(F.min("id").alias("cls"))
-    return m.join(first, "h", "left").select("id", F.coalesce("cls", "id").alias("cls"), F.when(F.col("cls") == F.col("id"), F.col("media")).alias("media"))
+def described(media: DataFrame, work: Work, tag: str) -> tuple[DataFrame, DataFrame]:
+    """((id, cls), (cls, p, more, keys)): classes of equal bytes by their smallest id, and keypoints of each class."""
+    rows = media.select(F.col("id").cast("long").alias("id"), F.sha2("media", 256).alias("h"), "media").where("id is not null")
+    d = work.save(rows.mapInArrow(_describe, _PTS), tag)
+    first = work.save(d.where("h is not null").groupBy("h").agg(F.min("id").alias("cls")), f"{tag}-first")
+    ids = d.select("id", "h").join(first, "h", "left").select("id", F.coalesce("cls", "id").alias("cls"))
+    lead = first.select(F.col("cls").alias("id"))
+    pts = d.join(lead, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cls"), F.explode("pts").alias("k")).select("cls", "k.*")
+    return ids, pts
 
 
 def find_copies(spark: SparkSession, queries: DataFrame, media: DataFrame, least: int = INLIERS, work: Work | None = None) -> DataFrame:
@@ -226,19 +238,16 @@ def find_copies(spark: SparkSession, queries: DataFrame, media: DataFrame, least
     rows pairs of a query class a and a media class b that show the same picture.
 
     Both inputs have (id, media binary).  Null or unreadable media are classes of
-    their own without copies; null ids are left out."""
+    their own without copies; null ids are left out; ids are taken to be unique."""
     work = work or Work(spark, "media")
-    q = classes(queries, work, "queries")
-    m = work.save(classes(media, work, "media"), "classes")
-    dq = q.where("media is not null").select("cls", "media").dropDuplicates(["cls"]).mapInArrow(_describe, _PTS)
-    dm = m.where("media is not null").select("cls", "media").dropDuplicates(["cls"]).mapInArrow(_describe, _PTS)
-    a = dq.select(F.col("cls").alias("query"), "x", "y", "scale", "angle", "more", F.explode("tables").alias("key"))
-    b = dm.select(F.col("cls").alias("match"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("scale").alias("scale2"), F.col("angle").alias("angle2"), F.col("more").alias("more2"), F.explode("tables").alias("key"))
+    _, q = described(queries, work, "queries")
+    ids, m = described(media, work, "media")
+    a = q.select(F.col("cls").alias("query"), "p", "more", F.explode("keys").alias("key"))
+    b = m.select(F.col("cls").alias("match"), F.col("p").alias("p2"), F.col("more").alias("more2"), F.explode("keys").alias("key"))
     hit = a.join(b, "key").where(F.bit_count(F.col("more").bitwiseXOR(F.col("more2"))) <= NEAR)
-    point = ["x", "y", "scale", "angle", "x2", "y2", "scale2", "angle2"]
-    got = hit.groupBy("query", "match").agg(F.collect_set(F.struct(*point)).alias("z")).where(F.size("z") >= least)
+    got = hit.groupBy("query", "match").agg(F.collect_set(F.struct("p", "p2")).alias("z")).where(F.size("z") >= least)
     copies = got.mapInArrow(_agree(least), "query long, match long, inliers long")
-    members = m.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("cls").alias("b"), F.lit(None).cast("long").alias("inliers"))
+    members = ids.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("cls").alias("b"), F.lit(None).cast("long").alias("inliers"))
     return members.union(copies.select(F.lit("copy"), "query", "match", "inliers"))
 
 
