@@ -116,7 +116,7 @@ class Model:
         return self.langs[best], score * share[best] / (len(members) - 1)
 
 
-def train(spark: SparkSession, docs: DataFrame, per_lang: int = 1200, most: int = 4800, seed: int = 7) -> Model:
+def train(spark: SparkSession, docs: DataFrame, per_lang: int = 600, most: int = 2400, seed: int = 7) -> Model:
     """Fit on rows with text, lang and crc32(doc_id) mod 3 other than 1."""
     ship(spark)
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "text", "lang")
