@@ -1,12 +1,460 @@
-"""All registered queries of the ruling engine with their SQL twins."""
+"""All registered queries of the ruling engine with their SQL twins.
+
+A decision is played by ``orders`` (o_orderkey = no, o_custkey = chain, o_orderpriority = level,
+o_orderdate = date, o_orderstatus = outcome, o_totalprice = volume); operators that need Indonesian
+legal text take the inline corpora, as VALUES in their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import rulings as R
+from ..operators import graph, records, rules
+from ..sources import pages as P
+from . import corpora as K
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def decisions(spark, d) -> DataFrame:
+    o = t(spark, d, "orders").join(t(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.join(F.broadcast(t(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # nation has 25 rows by definition
+
+
+DEC = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+_STATS = "count(*) AS perkara, count(v) AS perkara_dengan_volume, coalesce(sum(v::DECIMAL(18,3)), 0)::DOUBLE AS total, quantile_cont(v, 0.5) AS median, sum(v::DECIMAL(18,3))::DOUBLE / count(v) AS rata2, quantile_cont(v, 0.9) AS p90, max(v) AS maks"
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Dedupe, one row per chain, volume statistics by province."""
+    return case_volume_by_province(spark, d)
+
+
+# -- case level, statistics --------------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders),
+c AS (SELECT o_custkey, arg_min(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END, {'p': o_orderpriority, 'k': o_orderkey}) FILTER (o_orderstatus <> 'P') AS v FROM k WHERE rn = 1 GROUP BY o_custkey)
+SELECT n_name AS provinsi, """ + _STATS + " FROM c JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def case_volume_by_province(spark, d):
+    kept, _ = records.dedupe(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus"), [F.col("o_custkey"), F.col("o_orderdate")], [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    cases = kept.groupBy("o_custkey").agg(records.first_by("o_totalprice", ["o_orderpriority", "o_orderkey"], F.col("o_orderstatus") != "P").alias("v"))
+    n = t(spark, d, "customer").select("c_custkey", "c_nationkey").join(t(spark, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return records.volume_stats(cases.join(n, F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("n_name", "provinsi"), ["provinsi"], "v")
+
+
+@query("""SELECT o_custkey, count(*) AS jumlah, array_to_string(list_sort(list_distinct(list(o_orderpriority))), '+') AS tingkat, arg_max(o_orderkey, {'t': o_orderdate, 'k': o_orderkey}) AS terakhir,
+arg_max(o_orderstatus, {'t': o_orderdate, 'k': o_orderkey}) AS hasil_akhir, (count(DISTINCT o_orderstatus) > 1)::INT AS berubah, min(year(o_orderdate)) AS awal, max(year(o_orderdate)) AS akhir,
+string_agg(o_orderkey::VARCHAR, '; ' ORDER BY o_orderdate, o_orderkey) AS semua FROM orders GROUP BY o_custkey""")
+def case_level(spark, d):
+    o = t(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    time = F.struct("day", "o_orderkey")
+    return o.groupBy("o_custkey").agg(
+        F.count("*").alias("jumlah"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "+").alias("tingkat"), F.max_by("o_orderkey", time).alias("terakhir"), F.max_by("o_orderstatus", time).alias("hasil_akhir"),
+        (F.count_distinct("o_orderstatus") > 1).cast("int").alias("berubah"), F.min(F.year("day")).alias("awal"), F.max(F.year("day")).alias("akhir"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(time)), lambda x: x["o_orderkey"].cast("string")), "; ").alias("semua"),
+    )
+
+
+def _vol(name: str, key_sql: str, key):
+    @query(f"SELECT {key_sql} AS k, {_STATS} FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM {DEC}) GROUP BY 1")
+    def q(spark, d):
+        x = decisions(spark, d).withColumn("k", key()).withColumn("v", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
+        return records.volume_stats(x, ["k"], "v")
+
+    QUERIES[name] = QUERIES.pop("q")
+    ORACLES[name] = ORACLES.pop("q")
+
+
+_vol("volume_stats_by_year", "year(o_orderdate)", lambda: F.year("o_orderdate"))
+_vol("volume_stats_by_status", "o_orderstatus", lambda: F.col("o_orderstatus"))
+_vol("volume_stats_by_province", "n_name", lambda: F.col("n_name"))
+
+
+@query("""SELECT coalesce(a, 'Total') AS a, coalesce(b, 'Total') AS b, count(*) AS n FROM (SELECT o_orderpriority AS a, coalesce(nullif(o_orderstatus, 'P'), 'NA') AS b FROM orders) GROUP BY CUBE (a, b)""")
+def crosstab_margins(spark, d):
+    return records.crosstab(t(spark, d, "orders").select(F.col("o_orderpriority").alias("a"), F.nullif("o_orderstatus", F.lit("P")).alias("b")), "a", "b")
+
+
+@query("""SELECT coalesce(a, 'Total') AS a, count(*) FILTER (b = 'F') AS "F", count(*) FILTER (b = 'O') AS "O", count(*) FILTER (b = 'P') AS "P", count(*) AS "Total" FROM (SELECT o_orderpriority AS a, o_orderstatus AS b FROM orders) GROUP BY ROLLUP (a)""")
+def crosstab_wide(spark, d):
+    return records.crosstab_wide(t(spark, d, "orders").select(F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b")), "a", "b", ["F", "O", "P"])
+
+
+@query("""WITH x AS (SELECT l_quantity AS v, p_name ILIKE '%a%' AS a, p_name ILIKE '%o%' AS o, p_name ILIKE '%u%' AS u FROM lineitem JOIN part ON l_partkey = p_partkey),
+k AS (SELECT unnest([{'k':'a','h':a},{'k':'o','h':o},{'k':'u','h':u}]) AS z, a::INT + o::INT + u::INT = 1 AS s, v FROM x)
+SELECT z.k AS jenis, sum(z.h::INT)::BIGINT AS menyebut, count(*) FILTER (z.h AND s) AS satu_jenis, coalesce(sum(v) FILTER (z.h AND s), 0)::DOUBLE AS total, quantile_cont(v, 0.5) FILTER (z.h AND s) AS median FROM k GROUP BY 1""")
+def per_kind_conditional(spark, d):
+    x = t(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").alias("v")).join(t(spark, d, "part").select("p_partkey", F.lower("p_name").alias("p")), F.col("l_partkey") == F.col("p_partkey"))
+    hits = [F.col("p").contains(k) for k in "aou"]
+    x = x.withColumn("s", sum((h.cast("int") for h in hits), F.lit(0)) == 1).select("s", "v", F.explode(F.array(*[F.struct(F.lit(k).alias("jenis"), h.alias("h")) for k, h in zip("aou", hits)])).alias("z")).select("s", "v", "z.*")
+    one = F.col("h") & F.col("s")
+    return x.groupBy("jenis").agg(F.sum(F.col("h").cast("int")).alias("menyebut"), F.count_if(one).alias("satu_jenis"), F.coalesce(F.sum(F.when(one, F.col("v"))), F.lit(0.0)).cast("double").alias("total"), F.percentile(F.when(one, F.col("v").cast("double")), F.lit(0.5)).alias("median"))
+
+
+_CODES = [(i, s) for i, s in enumerate(["55", "53b;55", "53;53b", None, "54", "53b", "53", None])]
+
+
+@query(f"""WITH e AS (SELECT coalesce(unnest(string_split(c, ';')), '-') AS pasal FROM {K.values(_CODES, 'i, c')} WHERE c IS NOT NULL UNION ALL SELECT '-' FROM {K.values(_CODES, 'i, c')} WHERE c IS NULL)
+SELECT a.pasal, count(e.pasal) AS perkara FROM (VALUES ('53a'), ('53b'), ('53c'), ('53d'), ('54'), ('55'), ('-')) a(pasal) LEFT JOIN e ON e.pasal = a.pasal GROUP BY 1""")
+def multivalue_codes(spark, d):
+    return records.per_article(K.frame(spark, _CODES, "i int, pasal_uu_migas string")).select("pasal", "perkara")
+
+
+@query("""SELECT o_orderpriority AS grup, string_agg(DISTINCT o_custkey::VARCHAR, ', ' ORDER BY o_custkey::VARCHAR) AS rantai, arg_min('K' || o_orderkey % 100, o_orderkey) AS pertama, max(o_totalprice) AS maks FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1""")
+def group_summary(spark, d):
+    o = t(spark, d, "orders").where("o_custkey % 50 = 0").withColumn("o_clerk", F.expr("concat('K', o_orderkey % 100)"))
+    return o.groupBy(F.col("o_orderpriority").alias("grup")).agg(F.array_join(F.array_sort(F.collect_set(F.col("o_custkey").cast("string"))), ", ").alias("rantai"), records.first_by("o_clerk", ["o_orderkey"]).alias("pertama"), F.max("o_totalprice").alias("maks"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type")
+def value_counts(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+
+
+@query("SELECT count(*) AS baris, count(DISTINCT user_id) AS rantai, count(value) AS dengan_nilai, count(*) FILTER (value IS NULL) AS na_nilai, count(*) FILTER (props IS NULL) AS na_props FROM events")
+def stats_row(spark, d):
+    return t(spark, d, "events").agg(F.count("*").alias("baris"), F.count_distinct("user_id").alias("rantai"), F.count("value").alias("dengan_nilai"), F.count_if(F.col("value").isNull()).alias("na_nilai"), F.count_if(F.col("props").isNull()).alias("na_props"))
+
+
+@query("""WITH n AS (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL),
+r AS (SELECT *, max(n) OVER w AS top, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, y) AS rn FROM n WINDOW w AS (PARTITION BY o_custkey)),
+a AS (SELECT *, n >= greatest(2, top // 3) AS ok FROM r), b AS (SELECT *, bool_or(ok) OVER (PARTITION BY o_custkey) AS ada FROM a)
+SELECT o_custkey, y, n FROM b WHERE ok OR (NOT ada AND rn = 1)""")
+def majority_threshold(spark, d):
+    return records.majority(t(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y")), "o_custkey", "y")
+
+
+@query("SELECT count(*) AS pairs, avg((abs(a - b) <= 0.1 * abs(b))::INT) AS agreement FROM (SELECT l_extendedprice AS a, o_totalprice AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+def agreement(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("a")).join(t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("b")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return records.agreement(x, "a", "b", 0.1)
+
+
+# -- scans, predicates, windows ----------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status, o_totalprice, NULL::VARCHAR AS catatan FROM orders")
+def scan_typed(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), "o_totalprice", F.lit(None).cast("string").alias("catatan"))
+
+
+_NA = [(i, a, b) for i, (a, b) in enumerate([("x", "y"), ("", "y"), (" NA ", "y"), (None, "z"), ("NA", None), ("na", "q")])]
+
+
+@query(f"SELECT i, a IS NULL OR trim(a) IN ('', 'NA') AS kosong, CASE WHEN a IS NULL OR trim(a) IN ('', 'NA') THEN CASE WHEN b IS NULL OR trim(b) IN ('', 'NA') THEN NULL ELSE b END ELSE a END AS isi FROM {K.values(_NA, 'i, a, b')}")
+def na_predicate(spark, d):
+    return K.frame(spark, _NA, "i int, a string, b string").select("i", C.is_na("a").alias("kosong"), C.first_value("a", "b").alias("isi"))
+
+
+@query("SELECT o_orderkey, coalesce(y BETWEEN 1994 AND 1996, true) AS lewat, coalesce(y BETWEEN 1994 AND 1996, false) AS dalam FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS y FROM orders)")
+def year_filter_and_flag(spark, d):
+    x = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("y"))
+    return x.select("o_orderkey", C.in_years("y", 1994, 1996).alias("lewat"), C.in_years("y", 1994, 1996, False).alias("dalam"))
+
+
+@query("""WITH r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS rn, count(*) OVER (PARTITION BY text) AS n FROM documents) SELECT doc_id, n > 1 AS ganda, rn = 1 AS disimpan FROM r""")
+def dedupe_and_duplicates(spark, d):
+    x = t(spark, d, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("k"))
+    w = Window.partitionBy("k")
+    return x.select("doc_id", (F.count("*").over(w) > 1).alias("ganda"), (F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")) == 1).alias("disimpan"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS no, c_custkey = row_number() OVER (ORDER BY c_custkey) AS urut, 'K' || lpad(dense_rank() OVER (ORDER BY c_nationkey)::VARCHAR, 2, '0') AS label FROM customer")
+def renumber_sequence_labels(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    no = F.row_number().over(Window.orderBy("c_custkey"))
+    label = F.broadcast(c.select("c_nationkey").distinct().withColumn("label", F.format_string("K%02d", F.row_number().over(Window.orderBy("c_nationkey")))))  # 25 nations at most
+    return c.withColumn("no", no).join(label, "c_nationkey").select("c_custkey", "no", (F.col("c_custkey") == F.col("no")).alias("urut"), "label")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN row_number() OVER w = 1 THEN max(l_quantity) OVER (PARTITION BY l_orderkey) END AS maks, count(*) OVER (PARTITION BY l_orderkey) AS anggota FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
+def group_max_first_row(spark, d):
+    w = Window.partitionBy("l_orderkey")
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return x.select("l_orderkey", "l_linenumber", F.when(F.row_number().over(w.orderBy("l_linenumber")) == 1, F.max("l_quantity").over(w)).alias("maks"), F.count("*").over(w).alias("anggota"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS pulau FROM g) SELECT user_id, pulau::BIGINT AS pulau, count(*) AS n, min(event_id) AS awal FROM s GROUP BY ALL""")
+def gap_islands(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    x = t(spark, d, "events").select("user_id", "ts", "event_id").withColumn("g", F.coalesce((F.col("ts") - F.lag("ts").over(w) > F.expr("interval 30 minutes")).cast("int"), F.lit(0)))
+    return x.withColumn("pulau", F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "pulau").agg(F.count("*").alias("n"), F.min("event_id").alias("awal"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def top_by_score(spark, d):
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_totalprice", -F.col("o_orderkey"))).alias("b")).select("b.*")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
+def sort_nulls_last_limit(spark, d):
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return t(spark, d, "orders").orderBy(rank, F.col("o_totalprice").desc_nulls_last(), "o_orderkey").select("o_orderkey", "o_orderpriority").limit(25)
+
+
+# -- joins, sets, graphs -----------------------------------------------------------------------
+
+
+@query(f"SELECT o_custkey, arg_min(n_name, o_orderkey) FILTER (o_orderstatus = 'F') AS pertama FROM {DEC} GROUP BY 1")
+def first_resolved_lookup(spark, d):
+    return decisions(spark, d).groupBy("o_custkey").agg(records.first_by("n_name", ["o_orderkey"], F.col("o_orderstatus") == "F").alias("pertama"))
+
+
+@query("SELECT o_orderkey, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey)::DOUBLE - o_totalprice AS saudara FROM orders")
+def sibling_sum(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", (F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(Window.partitionBy("o_custkey")).cast("double") - F.col("o_totalprice")).alias("saudara"))
+
+
+@query("SELECT b.o_orderkey AS no, a.o_orderkey AS sebelum FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority < b.o_orderpriority AND a.o_orderdate > b.o_orderdate WHERE a.o_orderstatus = 'P' AND b.o_orderstatus = 'P'")
+def chain_order_violation(spark, d):
+    o = t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    a, b = o.alias("a"), o.alias("b")
+    return a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderpriority") < F.col("b.o_orderpriority")) & (F.col("a.o_orderdate") > F.col("b.o_orderdate"))).select(F.col("b.o_orderkey").alias("no"), F.col("a.o_orderkey").alias("sebelum"))
+
+
+_INC = """i AS (SELECT o_orderkey AS chain, 'C' || o_custkey % 500 AS place, year(o_orderdate) AS y, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS e, CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice / 10000) END AS v, o_orderpriority AS nm FROM orders),
+p AS (SELECT a.chain AS a, b.chain AS b FROM i a JOIN i b ON a.place = b.place AND a.chain < b.chain AND abs(a.y - b.y) <= 2 AND (a.e IS NULL OR b.e IS NULL OR left(a.e, 4) = left(b.e, 4)) AND coalesce(a.v = b.v, false))"""
+
+
+def _incident_cases(spark, d):
+    o = t(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("chain"), F.expr("concat('C', o_custkey % 500)").alias("place"), F.year("o_orderdate").alias("year"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).alias("event"), F.when(F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice") / 10000)).alias("volume"), F.array().cast("array<string>").alias("names"))
+
+
+@query(f"WITH {_INC} SELECT a, b FROM p")
+def incident_pairs(spark, d):
+    return graph.incident_pairs(_incident_cases(spark, d)).select("a", "b")
+
+
+@query(f"""WITH RECURSIVE {_INC}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS n, a AS c FROM e UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.n),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n), s AS (SELECT c, count(*) AS k FROM m GROUP BY c), l AS (SELECT c, k, 'K' || CASE WHEN row_number() OVER (ORDER BY c) < 100 THEN lpad(row_number() OVER (ORDER BY c)::VARCHAR, 2, '0') ELSE (row_number() OVER (ORDER BY c))::VARCHAR END AS g FROM s)
+SELECT i.chain, coalesce(l.g, i.chain::VARCHAR) AS kelompok, coalesce(l.k, 1) AS anggota FROM i LEFT JOIN m ON m.n = i.chain LEFT JOIN l ON l.c = m.c""")
+def incident_groups(spark, d):
+    return graph.incidents(_incident_cases(spark, d))
+
+
+@query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS tercantum FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
+def semi_and_anti(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
+    c = t(spark, d, "customer").select("c_custkey").join(o.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    hit = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("h", F.lit(True))
+    return c.join(hit, "c_custkey", "left").select("c_custkey", F.coalesce("h", F.lit(False)).alias("tercantum"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 0.0 FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT -c_custkey, 1.0 FROM customer WHERE c_custkey <= 10")
+def upsert_by_id(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    new = c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(0.0)).union(c.where("c_custkey <= 10").select(-F.col("c_custkey"), F.lit(1.0)))
+    return records.upsert(c, new, "c_custkey")
+
+
+@query("""WITH orders AS (SELECT *, 'K' || o_orderkey % 100 AS o_clerk FROM orders), s AS (SELECT o_custkey, arg_min(o_clerk, {'p': o_orderpriority, 'k': o_orderkey}) FILTER (o_orderstatus = 'F') AS clerk FROM orders GROUP BY 1)
+SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_clerk WHEN o_orderstatus = 'O' THEN s.clerk ELSE coalesce(nullif(o_clerk, ''), s.clerk) END AS clerk FROM orders JOIN s USING (o_custkey)""")
+def chain_fill(spark, d):
+    o = t(spark, d, "orders").withColumn("o_clerk", F.expr("concat('K', o_orderkey % 100)")).select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_clerk")
+    src = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(records.first_by("o_clerk", ["o_orderpriority", "o_orderkey"]).alias("s"))
+    own = F.when(F.col("o_orderstatus") != "O", F.col("o_clerk"))
+    return o.join(src, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.col("o_clerk")).otherwise(F.coalesce(C.value(own), "s")).alias("clerk"))
+
+
+@query("SELECT n_name AS kata, y AS tahun, h AS halaman FROM nation, (SELECT unnest(range(2020, 2023)) AS y), (SELECT unnest(range(1, 3)) AS h)")
+def keyword_year_pages(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_name").alias("kata"))
+    return n.select("kata", F.explode(F.sequence(F.lit(2020), F.lit(2022))).alias("tahun")).select("kata", "tahun", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("halaman"))
+
+
+@query("""WITH RECURSIVE ed AS (SELECT DISTINCT l_partkey % 997 AS a, 997 + l_suppkey % 211 AS b FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1), e AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), r AS (SELECT a AS n, a AS c FROM e UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.n) SELECT n AS node, min(c) AS comp FROM r GROUP BY n""")
+def chain_components(spark, d):
+    e = t(spark, d, "lineitem").where("l_orderkey % 7 = 0 and l_linenumber = 1").select((F.col("l_partkey") % 997).alias("a"), (997 + F.col("l_suppkey") % 211).alias("b")).distinct()
+    return graph.components(e.select(F.col("a").alias("node")).union(e.select("b")), e)
+
+
+_E = [(i, (i * 7 + 3) % 40) for i in range(40)] + [(i, i // 2) for i in range(40, 80)]
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {K.values(_E, 'a, b')}), r AS (SELECT 79 AS node, 0 AS level UNION SELECT e.b, r.level + 1 FROM r JOIN e ON e.a = r.node WHERE r.level < 45) SELECT node, min(level) AS level FROM r GROUP BY node")
+def frontier_levels(spark, d):
+    return graph.frontier(spark, K.frame(spark, [(79,)], "node int"), K.frame(spark, _E, "a int, b int"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+def set_operations(spark, d):
+    c, s, n = t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").select("s_nationkey"), t(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey")
+    return c.union(s).distinct().subtract(n)
+
+
+# -- text --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH x AS (SELECT i, regexp_replace(trim(s), '^[.,]+|[.,]+$', '', 'g') AS s FROM {K.values(K.NUMBERS, 'i, s')})
+SELECT i, CASE WHEN s = '' THEN NULL WHEN contains(s, ',') THEN try_cast(coalesce(nullif(replace(regexp_extract(s, '^(.*),([^,]*)$', 1), '.', ''), ''), '0') || '.' || regexp_extract(s, '^(.*),([^,]*)$', 2) AS DOUBLE)
+WHEN regexp_full_match(s, '\\d{{1,3}}(\\.\\d{{3}})+') THEN replace(s, '.', '')::DOUBLE ELSE try_cast(s AS DOUBLE) END AS v FROM x""")
+def number_parse(spark, d):
+    return K.frame(spark, K.NUMBERS, "i int, s string").select("i", C.parse_number("s").alias("v"))
+
+
+@query(f"SELECT * FROM {K.values([(0, '2020-02-05', '5 Februari 2020'), (1, '2021-08-17', '17 Agustus 2021'), (2, None, None), (3, '2019-12-01', '1 Desember 2019'), (4, '2022-11-12', '12 November 2022'), (5, None, None), (6, None, None), (7, None, None), (8, '2024-02-29', '29 Februari 2024')], 'i, tanggal, teks')}")
+def date_parse_and_format(spark, d):
+    x = K.frame(spark, K.DATES, "i int, s string").withColumn("d", C.parse_date("s"))
+    return x.select("i", F.col("d").cast("string").alias("tanggal"), C.format_date("d").alias("teks"))
+
+
+@query(f"""SELECT i, CASE WHEN regexp_matches(n, '\\d+PK/') THEN 'MA (PK)' WHEN regexp_matches(n, '\\d+K/') THEN 'MA (Kasasi)' WHEN regexp_matches(n, '/PT\\.?[A-Z]') THEN 'PT' WHEN regexp_matches(n, '/PN\\.?[A-Z]') THEN 'PN' WHEN regexp_matches(n, '/PM|DILMIL|/AD/|/AL/|/AU/') THEN 'Pengadilan Militer' END AS tingkat,
+CASE WHEN s IS NULL OR trim(s) IN ('', 'NA') THEN '' ELSE regexp_replace(upper(s), '[^A-Z0-9/]', '', 'g') END AS kunci FROM (SELECT *, replace(upper(s), ' ', '') AS n FROM {K.values(K.CASES, 'i, s')})""")
+def level_from_number(spark, d):
+    return K.frame(spark, K.CASES, "i int, s string").select("i", C.level_of_number("s").alias("tingkat"), C.case_number_key("s").alias("kunci"))
+
+
+@query(f"""WITH p AS (SELECT i, list_filter(list_transform(string_split(s, '/'), lambda x: trim(x)), lambda x: x <> '') AS p FROM {K.values(K.CASES, 'i, s')})
+SELECT i, coalesce(regexp_extract(p[1], '^(\\d*)', 1), '') AS urut, coalesce(list_filter(p, lambda x: regexp_full_match(x, '\\d{{4}}'))[1], '') AS tahun, CASE WHEN len(p) > 1 THEN regexp_replace(upper(p[-1]), '[^A-Z]', '', 'g') ELSE '' END AS kode FROM p""")
+def number_core(spark, d):
+    return K.frame(spark, K.CASES, "i int, s string").withColumn("c", C.case_number_core("s")).select("i", F.coalesce("c.first", F.lit("")).alias("urut"), F.coalesce("c.year", F.lit("")).alias("tahun"), F.coalesce("c.court", F.lit("")).alias("kode"))
+
+
+@query(f"SELECT * FROM {K.values([(0, 'MEDAN', 'Sumatera Utara'), (1, 'BANDAACEH', 'Aceh'), (2, 'SEMARANG', 'Jawa Tengah'), (3, 'JAKARTAPUSAT', 'DKI Jakarta'), (4, 'MAHKAMAHAGUNG', None), (5, 'MEDAN', 'Sumatera Utara'), (6, 'KOTOBARU', None), (7, '', None), (8, None, None)], 'i, kunci, provinsi')}")
+def court_key_and_province(spark, d):
+    x = records.with_province(K.frame(spark, K.COURTS, "i int, s string"), "s", records.gazetteer(spark))
+    return x.select("i", C.court_key("s").alias("kunci"), "provinsi")
+
+
+_EXTRACT = [
+    ("pdf/a.pdf", "12/Pid.Sus/2020/PN Pli", "PN", "6 Mei 2020", "2019", "Bersalah", "Ya", "1500;2000", 2000.0, None, "5000000", "55;53b", "55", None),
+    ("pdf/b.pdf", "99/PID/2021/PT MDN", "PT", "1 Maret 2021", None, None, "NA", None, None, None, None, None, None, "PN MEDAN"),
+    ("pdf/c.pdf", "10 K/Pid.Sus/2022", "MA (Kasasi)", "7 Juli 2022", None, "Tidak bersalah", "Ya", None, None, 1200000.0, None, None, None, None),
+    ("pdf/d.pdf", None, None, None, None, None, "Tidak", None, 3000.0, None, None, None, None, None),
+    ("pdf/e.pdf", None, None, None, None, None, "NA", None, None, None, None, None, None, None),
+    ("pdf/f.pdf", None, None, None, None, None, "NA", None, None, None, None, None, None, None),
+]
+_ECOLS = "file_pdf, nomor_teks, tingkat_teks, tanggal_putusan_teks, tahun_kejadian_kandidat, hasil_kandidat, relevan_bbm_kandidat, volume_liter_di_amar, volume_liter_maks_teks, rp_kerugian_negara, rp_denda_di_amar, pasal_uu_migas, modus_dari_amar, pengadilan_asal_teks"
+
+
+@query(f"SELECT * FROM {K.values(_EXTRACT, _ECOLS)}")
+def extract_candidates(spark, d):
+    return R.candidates(K.frame(spark, K.RULINGS, "file_pdf string, text string")).select(*_ECOLS.split(", "))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '(?i)the'))::BIGINT AS kata, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS baris, array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) AS kepala, length(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')))::BIGINT AS rapi FROM documents""")
+def text_lines_and_hits(spark, d):
+    x = t(spark, d, "documents").select("doc_id", "text")
+    return x.select("doc_id", F.regexp_count("text", F.lit("(?i)the")).cast("long").alias("kata"), F.size(F.filter(F.split("text", "\n"), lambda v: F.trim(v) != "")).cast("long").alias("baris"), C.head_lines("text", 2).alias("kepala"), F.length(F.trim(F.regexp_replace("text", r"\s+", " "))).cast("long").alias("rapi"))
+
+
+_SUB = [(i, s) for i, s in enumerate(["solar subsidi", "solar non-subsidi", "pertalite", "pertalite dan solar industri", "solar subsidi dan non subsidi", "minyak tanah", "status subsidi tidak disebut", "", None])]
+
+
+@query(f"""SELECT i, CASE WHEN s IS NULL OR trim(s) IN ('', 'NA') THEN 'tidak disebut' WHEN (sub OR pen) AND non THEN 'campuran' WHEN sub THEN 'subsidi' WHEN pen THEN 'penugasan (JBKP)' WHEN non THEN 'non-subsidi' ELSE 'tidak disebut' END AS status FROM (
+SELECT *, regexp_matches(s, 'non-subsidi|non subsidi|industri') AS non, regexp_matches(regexp_replace(replace(replace(s, 'non-subsidi', ''), 'non subsidi', ''), 'subsidi\\s+tidak', '', 'g'), 'subsidi') AS sub, regexp_matches(s, 'pertalite|premium') AS pen FROM {K.values(_SUB, 'i, s')})""")
+def category_cascade(spark, d):
+    return K.frame(spark, _SUB, "i int, s string").select("i", R.subsidy("s").alias("status"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[surel]', 'g') AS teks FROM documents")
+def redact_addresses(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[surel]").alias("teks"))
+
+
+_NAMES = [(0, "Menyatakan Terdakwa Budi Santoso bin Ali terbukti"), (1, "saksi Andi Wijaya, menerangkan"), (2, "Terdakwa Pengadilan Negeri"), (3, "Penuntut Umum hadir"), (4, None)]
+
+
+@query(f"SELECT * FROM {K.values([(0, 'Menyatakan Terdakwa [nama] terbukti'), (1, 'saksi [nama], menerangkan'), (2, 'Terdakwa Pengadilan Negeri'), (3, 'Penuntut Umum hadir'), (4, None)], 'i, teks')}")
+def redact_names(spark, d):
+    return K.frame(spark, _NAMES, "i int, s string").select("i", C.redact_names("s").alias("teks"))
+
+
+# -- records on the inline corpus --------------------------------------------------------------
+
+
+def _records(spark):
+    from ..sources.readers import RECORD_SCHEMA
+
+    return K.frame(spark, K.RECORDS, RECORD_SCHEMA)
+
+
+@query(f"""WITH r AS (SELECT * FROM {K.values(K.RECORDS, K.RECORD_NAMES)}), k AS (SELECT *, CASE WHEN nomor_putusan IS NULL OR nomor_putusan = 'NA' THEN '' ELSE regexp_replace(upper(nomor_putusan), '[^A-Z0-9/]', '', 'g') END AS key FROM r)
+SELECT kolom, tingkat, count(*) AS n FROM (
+SELECT 'tingkat_persidangan' AS kolom, 'galat' AS tingkat FROM r WHERE tingkat_persidangan NOT IN ('PN', 'PT', 'MA', 'Pengadilan Militer')
+UNION ALL SELECT 'hasil_putusan', 'peringatan' FROM r WHERE hasil_putusan IS NULL UNION ALL SELECT 'hasil_putusan', 'galat' FROM r WHERE hasil_putusan NOT IN ('Bersalah', 'Tidak bersalah')
+UNION ALL SELECT 'nilai_kerugian_volume', 'galat' FROM r WHERE nilai_kerugian_volume <= 0 UNION ALL SELECT 'satuan_volume', 'peringatan' FROM r WHERE satuan_volume NOT IN ('liter', 'ton', 'kiloliter')
+UNION ALL SELECT 'nilai_kerugian_uang', 'galat' FROM r WHERE nilai_kerugian_uang < 0 UNION ALL SELECT 'relevan_bbm', 'peringatan' FROM r WHERE relevan_bbm <> 'Ya'
+UNION ALL SELECT 'url_putusan', 'info' FROM r WHERE url_putusan IS NULL UNION ALL SELECT 'url_putusan', 'peringatan' FROM r WHERE NOT regexp_matches(url_putusan, '^https://putusan3[.]')
+UNION ALL SELECT 'nomor_putusan', 'info' FROM k JOIN (SELECT key FROM k GROUP BY key HAVING count(*) > 1 AND bool_or(contains(lower(coalesce(catatan, '')), 'duplikat'))) USING (key)
+UNION ALL SELECT 'mata_uang', 'peringatan' FROM r WHERE nilai_kerugian_uang IS NULL AND mata_uang IS NOT NULL
+UNION ALL SELECT 'no', 'peringatan' WHERE EXISTS (SELECT 1 FROM (SELECT no, row_number() OVER () AS k FROM r) WHERE no <> k)
+) WHERE kolom IN ('tingkat_persidangan', 'hasil_putusan', 'nilai_kerugian_volume', 'satuan_volume', 'nilai_kerugian_uang', 'relevan_bbm', 'url_putusan', 'mata_uang', 'no') OR tingkat = 'info' GROUP BY ALL""")
+def validate_counts(spark, d):
+    v = rules.validate(_records(spark).coalesce(1)).groupBy("kolom", "tingkat").agg(F.count("*").alias("n"))
+    return v.where("kolom in ('tingkat_persidangan', 'hasil_putusan', 'nilai_kerugian_volume', 'satuan_volume', 'nilai_kerugian_uang', 'relevan_bbm', 'url_putusan', 'mata_uang', 'no') or (kolom = 'nomor_putusan' and tingkat = 'info')")
+
+
+@query()
+def validate_issues(spark, d):
+    r = _records(spark).coalesce(1)
+    files = K.frame(spark, [("pdf/a.pdf",), ("pdf/c.pdf",), ("pdf/z.pdf",)], "file_pdf string")
+    ex = K.frame(spark, [("3/Pid.Sus/2021/PN.Pdg",)], "nomor_putusan string")
+    return rules.ordered(rules.validate(r, ex, files, R.candidates(K.frame(spark, K.RULINGS, "file_pdf string, text string"))))
+
+
+@query(f"""SELECT * FROM {K.values([("R01", 2, "PN+PT", "Sumatera Utara", 100.0, "55", "K01", 2), ("R02", 1, "PN", "Sumatera Barat", None, "55", "R02", 1), ("R04", 1, "PN", "Sumatera Utara", 100.0, "55", "K01", 2), ("R05", 1, "MA", None, 100.0, "55", "R05", 1)], 'rantai_perkara, jumlah_putusan, tingkat_tercakup, provinsi, volume_liter, pasal_uu_migas, kelompok_kejadian, jumlah_rantai_sekelompok')}""")
+def analyze_cases(spark, d):
+    gaz = records.gazetteer(spark)
+    kept, _ = records.dedupe_decisions(_records(spark).withColumn("nilai_kerugian_volume", F.when(F.col("nilai_kerugian_volume") > 0, F.col("nilai_kerugian_volume"))))
+    cases = records.with_incidents(records.case_level(records.prepare(kept, gaz)))
+    return cases.select("rantai_perkara", "jumlah_putusan", "tingkat_tercakup", "provinsi", "volume_liter", "pasal_uu_migas", "kelompok_kejadian", "jumlah_rantai_sekelompok")
+
+
+@query(f"SELECT * FROM {K.values([(1, 'teks PDF putusan', 'bahan bakar minyak, solar, pertalite', False), (2, 'kutipan verbatim (bukti_kutipan)', 'BBM, solar', True), (3, 'kutipan verbatim (bukti_kutipan)', 'BBM, solar', True), (4, 'kutipan verbatim (bukti_kutipan)', 'BBM, solar', True), (5, 'teks PDF putusan', 'bahan bakar minyak, solar, pertalite', False), (7, 'teks PDF putusan', None, False)], 'no, dasar_bukti_kata_kunci, kata_kunci_ditemukan, token_BBM_literal')}")
+def keyword_evidence(spark, d):
+    return records.evidence(_records(spark), K.frame(spark, K.RULINGS, "file_pdf string, text string")).select("no", "dasar_bukti_kata_kunci", "kata_kunci_ditemukan", "token_BBM_literal")
+
+
+_REVIEW = [("rekap", 3, "no", "bukan BBM"), ("rekap", 4, "uncertain", "ragu"), ("dikeluarkan", 1, "no", "lain")]
+
+
+@query(f"SELECT row_number() OVER (ORDER BY no)::INT AS no, nomor_putusan FROM {K.values(K.RECORDS, K.RECORD_NAMES)} WHERE no NOT IN (SELECT no FROM {K.values(_REVIEW, 'dataset, no, final, alasan')} WHERE dataset = 'rekap' AND final = 'no')")
+def apply_review(spark, d):
+    ex = K.frame(spark, [], "nomor_putusan string")
+    return records.apply_review(_records(spark), ex, K.frame(spark, _REVIEW, "dataset string, no int, final string, alasan string"))[0].select("no", "nomor_putusan")
+
+
+# -- pages -------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS judul, len(regexp_extract_all(html, '<a href='))::BIGINT AS tautan, contains(lower(html), 'captcha') AS captcha FROM pages")
+def page_fields(spark, d):
+    p = t(spark, d, "pages")
+    return p.select("page_id", C.page_host("url").alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("judul"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("tautan"), C.captcha("html").alias("captcha"))
+
+
+@query("SELECT regexp_extract(url, '//([^/?#:]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def host_counts(spark, d):
+    return t(spark, d, "pages").groupBy(F.regexp_extract("url", "//([^/?#:]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT * FROM {K.values([('aa11', 'Putusan PN Medan Nomor 1/Pid/2020', '05-05-2020'), ('bb22', 'Putusan 2', '06-06-2021')], 'id, judul, tanggal_putus')}")
+def listing_entries(spark, d):
+    return P.listings(K.frame(spark, [("https://x/direktori/index/kategori/m-1.html", K.LISTING)], "url string, html string")).select("id", "judul", "tanggal_putus")
+
+
+@query(f"SELECT * FROM {K.values([('aa11', '1/Pid/2020/PN Mdn', 'Pertama', 'Ada', 'bb22')], 'id, nomor, proses, lampiran, terkait')}")
+def overview_fields(spark, d):
+    o = P.overviews(K.frame(spark, [("https://x/direktori/putusan/aa11.html", K.OVERVIEW)], "url string, html string"))
+    return o.select("id", F.col("meta")["nomor"].alias("nomor"), F.col("meta")["tingkat_proses"].alias("proses"), "lampiran", F.array_join(F.transform("terkait", lambda x: x["id"]), ",").alias("terkait"))
