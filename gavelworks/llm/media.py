@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Work, table
 
+#: query keys up to this count are sent to every executor; more are joined by shuffle
+BROADCAST_KEYS = 500_000
 CELL, SCALES, RADIUS, NEAR, INLIERS = 14, (1.0, 0.7071, 0.5), 9, 16, 6
 _RNG = np.random.default_rng(20)
 #: the test pattern: 256 pairs of points within RADIUS
@@ -183,8 +185,8 @@ def _describe(batches):
     kind = pa.struct([("p", pa.int64()), ("more", pa.int64()), ("keys", pa.list_(pa.int64()))])
     for rb in batches:
         off, pts, tabs, more = [0], [], [], []
-        for m in rb.column("media").to_pylist():
-            p, d = describe(decode(m))
+        for m in rb.column("media"):
+            p, d = describe(decode(m.as_py()))
             off.append(off[-1] + len(p))
             pts.append(pack(p))
             tabs.append((d[:, :16].copy().view(">u4").astype(np.int64) | (np.arange(4, dtype=np.int64) << 32)).ravel() if len(d) else np.zeros(0, np.int64))
@@ -229,7 +231,7 @@ def described(media: DataFrame, work: Work, tag: str) -> tuple[DataFrame, DataFr
     first = work.save(d.where("h is not null").groupBy("h").agg(F.min("id").alias("cls")), f"{tag}-first")
     ids = d.select("id", "h").join(first, "h", "left").select("id", F.coalesce("cls", "id").alias("cls"))
     lead = first.select(F.col("cls").alias("id"))
-    pts = d.join(lead, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cls"), F.explode("pts").alias("k")).select("cls", "k.*")
+    pts = d.join(lead, "id", "left_semi").select(F.col("id").alias("cls"), F.explode("pts").alias("k")).select("cls", "k.*")
     return ids, pts
 
 
@@ -242,7 +244,9 @@ def find_copies(spark: SparkSession, queries: DataFrame, media: DataFrame, least
     work = work or Work(spark, "media")
     _, q = described(queries, work, "queries")
     ids, m = described(media, work, "media")
-    a = q.select(F.col("cls").alias("query"), "p", "more", F.explode("keys").alias("key"))
+    a = work.save(q.select(F.col("cls").alias("query"), "p", "more", F.explode("keys").alias("key")), "query-keys")
+    if a.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        a = F.broadcast(a)  # counted to be small: the tables of all media stay where they are
     b = m.select(F.col("cls").alias("match"), F.col("p").alias("p2"), F.col("more").alias("more2"), F.explode("keys").alias("key"))
     hit = a.join(b, "key").where(F.bit_count(F.col("more").bitwiseXOR(F.col("more2"))) <= NEAR)
     got = hit.groupBy("query", "match").agg(F.collect_set(F.struct("p", "p2")).alias("z")).where(F.size("z") >= least)
@@ -272,11 +276,12 @@ def edited(img: np.ndarray) -> np.ndarray:
 def _paint(change: bool):
     def run(batches):
         for rb in batches:
-            out = []
-            for v in rb.column("embedding").to_pylist():
-                img = None if v is None else paint([x or 0.0 for x in v])
-                out.append(None if img is None else encode(edited(img) if change else img))
-            yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array(out, pa.binary())], names=["id", "media"])
+            for at in range(0, rb.num_rows, 200):
+                part, out = rb.slice(at, 200), []
+                for v in part.column("embedding").to_pylist():
+                    img = None if v is None else paint([x or 0.0 for x in v])
+                    out.append(None if img is None else encode(edited(img) if change else img))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], names=["id", "media"])
 
     return run
 
