@@ -81,6 +81,10 @@ def court_key(c) -> Column:
     return F.regexp_replace(n, "[^A-Z]", "")
 
 
+def strip(c) -> Column:
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def safe_name(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"[^\w.-]+", "_"), "^_+|_+$", "")
 
@@ -89,8 +93,9 @@ def clean_lines(c, drop: list[str] = ()) -> Column:
     """Lines with odd spaces and soft hyphens mended, boilerplate lines dropped, runs of blank lines folded."""
     lines = F.transform(F.split(col(c), "\n"), lambda x: F.rtrim(F.regexp_replace(F.regexp_replace(x, " ", " "), "¬", "")))
     lines = F.transform(lines, lambda x: F.regexp_replace(x, r"\b([A-Z]) (?=[a-z]{3,})", "$1"))
-    for p in drop:
-        lines = F.filter(lines, lambda x, p=p: ~x.rlike(p))
+    if drop:
+        boilerplate = "|".join(f"(?:{p})" for p in drop)
+        lines = F.filter(lines, lambda x: ~x.rlike(boilerplate))
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 

@@ -32,7 +32,7 @@ def verdict(text) -> Column:
     t = col(text)
     has = t.rlike(f"(?m){HEADING}")
     tail = F.regexp_extract(t, rf"(?m)\A[\s\S]*({HEADING}[\s\S]*)\z", 1)
-    return F.when(has, F.trim(F.regexp_replace(tail, r"(?im)^\s*Demikian[\s\S]*\z", "")))
+    return F.when(has, C.strip(F.regexp_replace(tail, r"(?im)^\s*Demikian[\s\S]*\z", "")))
 
 
 def before_verdict(text) -> Column:

@@ -42,11 +42,11 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Saved pages of a folder: (url = file, html)."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(path).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
+    return spark.read.option("pathGlobFilter", "*.html").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(F.concat(F.lit("pdf/"), F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.txt$", ".pdf")).alias("file_pdf"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.concat(F.lit("pdf/"), F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.txt$", ".pdf")).alias("file_pdf"), F.col("value").alias("text"))
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
