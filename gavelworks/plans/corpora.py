@@ -10,7 +10,7 @@ def sql_value(v) -> str:
         return "NULL"
     if isinstance(v, str):
         return "'" + v.replace("'", "''") + "'"
-    return repr(v)
+    return f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
 
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
