@@ -40,6 +40,8 @@ from .components import components
 GROUPS = 256
 #: most members of a tile that one tree takes; larger tiles are searched in blocks
 TILE = 2048
+#: ids (16 bytes each) up to this count may be sent to every executor
+FEW = 1_000_000
 U = np.uint64
 
 
@@ -83,7 +85,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 class Scheme:
     """Size classes and their numbers of blocks for a threshold num/den."""
 
-    def __init__(self, num: int, den: int, ratio: float = 1.6):
+    def __init__(self, num: int, den: int, ratio: float = 2.0):
         self.num, self.den, self.ratio = num, den, ratio
         self.cuts = [1]
 
@@ -247,6 +249,11 @@ def _tile_search(num: int, den: int):
     return run
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids to send around if a count shows them to be few; else they are joined by shuffle."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
 def _verify(num: int, den: int):
     def run(batches):
         for rb in batches:
@@ -273,17 +280,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     """
     work = work or Work(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    points = work.save(rows.mapInArrow(_points(k, num, den), "doc_id long, n_shingles long, fp string, keys array<bigint>"), "points")
+    keyed = work.save(rows.mapInArrow(_points(k, num, den), "doc_id long, n_shingles long, fp string, keys array<bigint>"), "keys")
+    points = work.save(keyed.select("doc_id", "n_shingles", "fp"), "points")
 
     # equal sets: one representative each
-    reps = points.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = work.save(points.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     cls = work.save(points.where("doc_id is not null").select("doc_id", "fp").join(reps, "fp").select("doc_id", "rep").distinct(), "classes")
-    keyed = points.join(cls.select("rep").distinct().withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    rows_k = keyed.select(F.explode("keys").alias("key"), "doc_id").repartition(partitions(spark), "key")
+    lead = _few(reps.select(F.col("rep").alias("doc_id")).distinct())
+    rows_k = keyed.join(lead, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id").repartition(partitions(spark), "key")
     tiles = rows_k.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
     multi = work.save(rows_k.join(tiles.hint("shuffle_hash"), "key").select("key", "doc_id", "lead"), "tiles")
 
-    need = multi.select("doc_id").distinct()
+    work.drop(keyed)
+    need = _few(work.save(multi.select("doc_id").distinct(), "need"))
     sets = work.save(rows.join(need, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items binary, cv binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
