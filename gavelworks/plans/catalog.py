@@ -458,3 +458,32 @@ def listing_entries(spark, d):
 def overview_fields(spark, d):
     o = P.overviews(K.frame(spark, [("https://x/direktori/putusan/aa11.html", K.OVERVIEW)], "url string, html string"))
     return o.select("id", F.col("meta")["nomor"].alias("nomor"), F.col("meta")["tingkat_proses"].alias("proses"), "lampiran", F.array_join(F.transform("terkait", lambda x: x["id"]), ",").alias("terkait"))
+
+
+_EXT = [
+    (0, "dalam bulan Maret 2019 bertempat di Kota Medan, atau setidak-tidaknya\nMENGADILI:\nTerdakwa terbukti bersalah;\n- 10 jerigen masing-masing berisi 30 liter solar;\nDemikian diputuskan 5 Mei 2020"),
+    (1, "kerugian negara sebesar Rp2.000.000,00 atas solar subsidi, solar subsidi dan solar subsidi; disita total 500 liter solar subsidi"),
+    (2, "membeli pertalite 100 liter seharga Rp10.000,00 per liter"),
+    (3, None),
+]
+_EXT_WANT = [(0, "Bersalah", "Ya", "Solar", 300.0, "liter", None, "2019", "Kota Medan"), (1, None, "Ya", "Solar (subsidi)", 500.0, "liter", 2000000.0, None, None), (2, None, "Perlu dicek (sebutan BBM sedikit)", "Pertalite", 100.0, "liter", 1000000.0, None, None), (3, None, "Tidak", None, None, None, None, None, None)]
+_EXT_COLS = "i, hasil_putusan, relevan_bbm, barang_bbm, nilai_kerugian_volume, satuan_volume, nilai_kerugian_uang, tahun_kejadian, kab_kota"
+
+
+@query(f"SELECT * FROM {K.values(_EXT_WANT, _EXT_COLS)}")
+def extended_fields(spark, d):
+    from ..functions import extended as X
+
+    return X.ruling_record(K.frame(spark, _EXT, "i int, text string")).select(*_EXT_COLS.split(", "))
+
+
+@query("SELECT date_trunc('hour', ts) AS jam, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, d):
+    e = t(spark, d, "events").select("ts", "event_type")
+    return e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("jam"), "event_type", "n")
+
+
+@query("SELECT l_orderkey, count(*) AS n, o_orderstatus FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def lookup_join(spark, d):
+    n = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return n.join(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "n", "o_orderstatus")
