@@ -1,8 +1,8 @@
 """Copy detection on media columns with local image descriptors.
 
 Corners (Harris, the strongest of each cell, on three scales) get an orientation
-from their intensity centroid and 256 binary tests turned by it.  Four tables of 32
-tests each are joined on equality; a match must also be near in 64 further tests
+from their intensity centroid and 256 binary tests turned by it.  Four tables of 56
+tests each are joined on equality; a match must also be near in the other 32 tests
 (Hamming distance).  Matches of two images vote for a similarity transform, and the
 images are copies if enough of them agree on one.  Crops, brightness and contrast
 changes keep tests, scale keeps the pyramid, so edited copies are found.
@@ -24,7 +24,7 @@ from .common import Work, table
 
 #: query keys up to this count are sent to every executor; more are joined by shuffle
 BROADCAST_KEYS = 500_000
-CELL, SCALES, RADIUS, NEAR, INLIERS = 14, (1.0, 0.7071, 0.5), 9, 16, 6
+CELL, SCALES, RADIUS, NEAR, INLIERS = 14, (1.0, 0.7071, 0.5), 9, 8, 6
 _RNG = np.random.default_rng(20)
 #: the test pattern: 256 pairs of points within RADIUS
 PATTERN = np.clip(_RNG.normal(0, RADIUS / 2.2, (256, 4)), -RADIUS + 1, RADIUS - 1)
@@ -181,6 +181,19 @@ def unpack(v) -> np.ndarray:
     return np.stack([(v >> 44) / 4, (v >> 28 & 65535) / 4, (v >> 12 & 65535) / 256, (v & 4095) * (2 * np.pi / 4096)], 1)
 
 
+def table_keys(d: np.ndarray) -> np.ndarray:
+    """Keys of the four tables: 56 tests each, with the table's number in front."""
+    k = np.zeros((len(d), 4), np.int64)
+    for b in range(7):
+        k = k << 8 | d[:, b:28:7].astype(np.int64)
+    return k | (np.arange(4, dtype=np.int64) << 56)
+
+
+def rest_bits(d: np.ndarray) -> np.ndarray:
+    """The 32 tests that are in no table."""
+    return d[:, 28:32].copy().view(">u4").ravel().astype(np.int64) if len(d) else np.zeros(0, np.int64)
+
+
 def _describe(batches):
     kind = pa.struct([("p", pa.int64()), ("more", pa.int64()), ("keys", pa.list_(pa.int64()))])
     for rb in batches:
@@ -189,8 +202,8 @@ def _describe(batches):
             p, d = describe(decode(m.as_py()))
             off.append(off[-1] + len(p))
             pts.append(pack(p))
-            tabs.append((d[:, :16].copy().view(">u4").astype(np.int64) | (np.arange(4, dtype=np.int64) << 32)).ravel() if len(d) else np.zeros(0, np.int64))
-            more.append(d[:, 16:24].copy().view(">i8").ravel().astype(np.int64) if len(d) else np.zeros(0, np.int64))
+            tabs.append(table_keys(d).ravel())
+            more.append(rest_bits(d))
         cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
         keys = pa.ListArray.from_arrays(pa.array(np.arange(off[-1] + 1) * 4, pa.int32()), pa.array(cat(tabs)))
         flat = pa.StructArray.from_arrays([pa.array(cat(pts)), pa.array(cat(more)), keys], fields=list(kind))

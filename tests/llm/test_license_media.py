@@ -87,8 +87,8 @@ def test_recall_of_the_query_media_against_brute_force():
     for _ in range(40):
         v = r.normal(0, 0.12, 64)
         (p, d), (q, e) = Me.describe(Me.decode(Me.encode(Me.paint(v)))), Me.describe(Me.decode(Me.encode(Me.edited(Me.paint(v)))))
-        same = (d[:, None, :16].copy().view(">u4") == e[None, :, :16].copy().view(">u4")).any(2)
-        near = np.unpackbits(d[:, None, 16:24] ^ e[None, :, 16:24], axis=2).sum(2) <= Me.NEAR
+        same = (Me.table_keys(d)[:, None] == Me.table_keys(e)[None]).any(2)
+        near = np.unpackbits(d[:, None, 28:32] ^ e[None, :, 28:32], axis=2).sum(2) <= Me.NEAR
         i, j = np.nonzero(same & near)
         hit += len(i) > 0 and Me.consensus(np.hstack([q[j], p[i]])) >= Me.INLIERS
     assert hit >= 36
