@@ -174,16 +174,6 @@ def in_years(y, lo: int = 2020, hi: int = 2026, unknown: bool = True) -> Column:
     return F.coalesce(col(y).between(lo, hi), F.lit(unknown))
 
 
-def captcha(c) -> Column:
-    """Whether a page is a block page."""
-    t = F.lower(F.substring(col(c), 1, 200000))
-    marks = ["g-recaptcha", "recaptcha/api", "h-captcha", "hcaptcha.com", "cf-challenge", "cf-turnstile", "just a moment...", "verify you are human", "captcha"]
-    out = F.lit(False)
-    for m in marks:
-        out = out | t.contains(m)
-    return F.coalesce(out, F.lit(False))
-
-
 def page_host(c) -> Column:
     return F.lower(F.regexp_extract(col(c), r"^[A-Za-z]+://([^/?#:]+)", 1))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rulings as R
+from ..functions import web as W
 from ..operators import graph, records, rules
 from ..sources import pages as P
 from . import corpora as K
@@ -438,10 +439,10 @@ def apply_review(spark, d):
 # -- pages -------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS judul, len(regexp_extract_all(html, '<a href='))::BIGINT AS tautan, contains(lower(html), 'captcha') AS captcha FROM pages")
+@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS judul, len(regexp_extract_all(html, '<a href='))::BIGINT AS tautan, regexp_matches(lower(html), 'g-recaptcha|recaptcha/api|h-captcha|hcaptcha[.]com|saya bukan robot|not a robot|cf-chl-|challenge-platform|just a moment[.]{3}') AS captcha FROM pages")
 def page_fields(spark, d):
     p = t(spark, d, "pages")
-    return p.select("page_id", C.page_host("url").alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("judul"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("tautan"), C.captcha("html").alias("captcha"))
+    return p.select("page_id", C.page_host("url").alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("judul"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("tautan"), W.blocked("html").alias("captcha"))
 
 
 @query("SELECT regexp_extract(url, '//([^/?#:]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
@@ -487,3 +488,12 @@ def windowed_counts(spark, d):
 def lookup_join(spark, d):
     n = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return n.join(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "n", "o_orderstatus")
+
+
+_URLS = [(i, u, n) for i, (u, n) in enumerate([("https://x/kategori/migas-1.html", 2), ("https://x/kategori/migas-1/page/7.html", 1), ("https://x/kategori/migas-1/tahunjenis/putus/tahun/2020.html", 3), ("/direktori/putusan/AB12.html", 1), (None, 2)])]
+
+
+@query(f"""SELECT i, CASE WHEN n <= 1 THEN b ELSE regexp_replace(b, '\\.html$', '') || '/page/' || n || '.html' END AS halaman, regexp_replace(regexp_replace(b, '/tahunjenis/[^/]+/tahun/\\d{{4}}\\.html$', '.html'), '\\.html$', '') || '/tahunjenis/putus/tahun/2021.html' AS tahun,
+nullif(lower(regexp_extract(coalesce(u, ''), '(?i)/putusan/([0-9a-z]+)\\.html', 1)), '') AS id FROM (SELECT *, regexp_replace(u, '/page/\\d+\\.html', '.html') AS b FROM {K.values(_URLS, 'i, u, n')})""")
+def addresses(spark, d):
+    return K.frame(spark, _URLS, "i int, u string, n int").select("i", W.page("u", "n").alias("halaman"), W.by_year("u", F.lit(2021)).alias("tahun"), W.ruling_id("u").alias("id"))

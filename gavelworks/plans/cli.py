@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rulings as R
+from ..functions import web as W
 from ..operators import graph, records, rules
 from ..sources import pages, readers
 
@@ -35,7 +36,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
         o = pages.overviews(some(readers.read_pages(spark, a.pages)))
         o.select(*[F.count_if(F.col("meta")[v].isNull()).alias(v) for v in pages.LABELS.values()]).show()
     elif a.command == "crawl":
-        src = readers.read_pages(spark, a.pages).where(~C.captcha("html"))
+        src = readers.read_pages(spark, a.pages).where(~W.blocked("html"))
         o = graph.cut(pages.overviews(some(src)).withColumn("id", F.coalesce("id", F.regexp_extract("url", r"([0-9a-z]+)\.html$", 1))).dropDuplicates(["id"]))
         e = pages.edges(o)
         year = C.record_year(F.col("meta")["tanggal_dibacakan"], F.col("meta")["tanggal_musyawarah"], F.col("meta")["tahun"])

@@ -123,3 +123,24 @@ def test_commands(spark, recs, tmp_path, capsys):
     assert run("curate", "--records", str(tmp_path / "r"), "--texts", str(tmp_path / "texts"), "--out", str(tmp_path / "c")) == 0
     assert spark.read.parquet(str(tmp_path / "a" / "rekap_perkara_unik")).count() == 4
     assert "Laporan validasi" in capsys.readouterr().out
+
+
+def test_addresses_and_page_checks(spark):
+    from gavelworks.functions import web as W
+
+    rows = [("/direktori/putusan/Ab1.html", "<td>Nomor :</td>", 'attachment; filename="a b.pdf"'), ("https://y/z", "A Database Error Occurred <td>Nomor</td>", None), (None, "G-reCAPTCHA", "inline")]
+    d = K.frame(spark, rows, "u string, h string, c string")
+    got = d.select(W.canonical("u"), W.recognisable("h", "overview"), W.blocked("h"), W.attachment_name("c"), W.search("https://s/?q={q}&y={tahun}&p={page}", F.lit("bahan bakar"), F.lit(2020), F.lit(3))).collect()
+    assert [r[0] for r in got] == ["https://putusan3.mahkamahagung.go.id/direktori/putusan/ab1.html", "https://y/z", "https://putusan3.mahkamahagung.go.id/"]
+    assert [r[1] for r in got] == [True, False, False] and [r[2] for r in got] == [False, False, True] and [r[3] for r in got] == ["a b.pdf", None, None]
+    assert got[0][4] == "https://s/?q=bahan%20bakar&y=2020&p=3"
+    b = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xe9"),)], "b binary").select(W.repaired("b").alias("t")).collect()
+    assert [x.t for x in b] == ["é", "é"]
+
+
+def test_site_evidence(spark, recs):
+    from gavelworks.functions import web as W
+
+    o = spark.createDataFrame([("abc1", {"kata_kunci": "BBM solar", "abstrak": "x"})], "id string, meta map<string,string>")
+    got = {r.no: r for r in W.site_evidence(recs, o).collect()}
+    assert got[1].kata_kunci_overview_situs == "BBM (1); solar (1)" and got[2].galat_situs == "tanpa url_putusan" and got[4].galat_situs == "halaman tidak ada"
