@@ -113,6 +113,7 @@ def test_article_pages_and_edges(spark):
     for i in range(5):
         assert got[i] == f"Title é {i} First par one. Second par a<b. x y"
     assert got[90] == "" and got[91] == "" and got[92] == "a b < c de &amp; <"
+    assert run(spark, [(1, "http://f.example.com", "<div class='content has-sidebar'>kept<div class='sideBar'>gone</div></div>", "x")]) == {1: "kept"}
     assert got[93] == " ".join(["long paragraph"] * 20000) and got[94] == "one"
     assert S.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
