@@ -24,7 +24,7 @@ from .common import Work, table
 
 #: query keys up to this count are sent to every executor; more are joined by shuffle
 BROADCAST_KEYS = 500_000
-CELL, SCALES, RADIUS, NEAR, INLIERS = 14, (1.0, 0.7071, 0.5), 9, 8, 6
+CELL, SCALES, RADIUS, NEAR, INLIERS = 7, (1.0, 0.7071, 0.5), 13, 8, 6
 _RNG = np.random.default_rng(20)
 #: the test pattern: 256 pairs of points within RADIUS
 PATTERN = np.clip(_RNG.normal(0, RADIUS / 2.2, (256, 4)), -RADIUS + 1, RADIUS - 1)
