@@ -55,15 +55,21 @@ def incident_pairs(cases: DataFrame) -> DataFrame:
     """Pairs of chains that may stem from one incident: same place, ruling years at most two apart, event years
     equal or unknown, and the same volume or a shared ship or company.
 
-    cases: (chain, place, year, event, volume, names array). Joined on the place (an equi key) with the other conditions as residuals."""
-    a = cases.select(*[F.col(c).alias(f"a_{c}") for c in ("chain", "place", "year", "event", "volume", "names")])
-    b = cases.select(*[F.col(c).alias(f"b_{c}") for c in ("chain", "place", "year", "event", "volume", "names")])
-    near = (F.col("a_place") == F.col("b_place")) & (F.col("a_chain") < F.col("b_chain")) & (F.abs(F.col("a_year") - F.col("b_year")) <= 2)
-    event = F.col("a_event").isNull() | F.col("b_event").isNull() | (F.substring("a_event", 1, 4) == F.substring("b_event", 1, 4))
-    same = F.coalesce(F.col("a_volume") == F.col("b_volume"), F.lit(False))
-    shared = F.coalesce(F.arrays_overlap("a_names", "b_names"), F.lit(False))
-    p = a.join(b, near & event & (same | shared))
-    return p.select(F.col("a_chain").alias("a"), F.col("b_chain").alias("b"), same.alias("same_volume"), F.array_sort(F.array_intersect("a_names", "b_names")).alias("shared"), F.col("a_volume").alias("volume"))
+    cases: (chain, place, year, event, volume, names array).  Two equi joins, on place and volume and on place and
+    name, so that a busy court costs no square of its cases; the other conditions are residuals."""
+    keep = cases.select("chain", "place", "year", "event", "volume", "names")
+
+    def joined(key: str, rows: DataFrame) -> DataFrame:
+        a = rows.select(F.col("chain").alias("a"), "place", key, F.col("year").alias("ya"), F.col("event").alias("ea"))
+        b = rows.select(F.col("chain").alias("b"), "place", key, F.col("year").alias("yb"), F.col("event").alias("eb"))
+        event = F.col("ea").isNull() | F.col("eb").isNull() | (F.substring("ea", 1, 4) == F.substring("eb", 1, 4))
+        return a.join(b, ["place", key]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ya") - F.col("yb")) <= 2) & event)
+
+    text, kind = F.lit(None).cast("string"), keep.schema["volume"].dataType
+    same = joined("volume", keep).select("a", "b", F.col("volume"), text.alias("name"))
+    named = joined("name", keep.withColumn("name", F.explode("names"))).select("a", "b", F.lit(None).cast(kind).alias("volume"), "name")
+    g = same.union(named).groupBy("a", "b").agg(F.max("volume").alias("volume"), F.array_sort(F.collect_set("name")).alias("shared"))
+    return g.select("a", "b", F.col("volume").isNotNull().alias("same_volume"), "shared", "volume")
 
 
 def incidents(cases: DataFrame) -> DataFrame:
