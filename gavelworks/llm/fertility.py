@@ -4,9 +4,10 @@ Two public vocabularies measure every whole text: characters per token of a
 multilingual byte-level vocabulary, and the share of byte-fallback tokens and the
 entropy of the token ids of a piece vocabulary.  A text is rejected when a
 measure leaves the band of its language and length (its script where the language
-is null or rare).  Bands are quartile fences over all documents: Q1 - width * IQR to
-Q3 + width * IQR, never narrower than ``FLOOR`` around the median, so that a
-band only cuts what is far outside of its language.
+is null or rare).  Bands lie around the median over all documents: ``WIDTH`` robust deviations
+(0.7413 * the quartile distance) to either side, and ``FLOOR`` at least, so that a band of
+near-equal texts doesn't cut ordinary ones.  The floor widens with the error of a mean over fewer
+than ``SHORT`` tokens.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from .common import Work, table
 from .jaccard import U, _mix, _R
 
 VOCAB_DIR = "/opt/tokenizers"
-WIDTH = 6.0
-#: least half width of a band: characters per token, byte share, entropy excess (bits)
-FLOOR = {"cpt": 0.6, "bytes": 0.08, "excess": 1.2}
+WIDTH = 5.0
+#: least half width of a band: characters per token (0.33 is the spread of clean texts of one language), byte share
+#: (one emoji in fifty tokens), entropy excess (bits)
+FLOOR = {"cpt": 0.35, "bytes": 0.08, "excess": 1.2}
+SHORT = 128
 #: a language needs so many documents for a band of its own
 LEAST_DOCS = 30
 #: words a process keeps
@@ -174,8 +177,9 @@ def verdicts(spark: SparkSession, docs: DataFrame, carry: list[str] = ("doc_id",
 
     def outside(c: str):
         q = F.col(f"_gw_{c}")
-        half = F.greatest(WIDTH * (q[2] - q[0]), F.lit(FLOOR[c]))
-        return F.coalesce((F.col(c) < q[0] - half) | (F.col(c) > q[2] + half), F.lit(False))
+        short = F.lit(1.0) if c == "excess" else F.sqrt(F.greatest(SHORT / F.greatest(F.col("n_tokens"), F.lit(1)), F.lit(1.0)))
+        half = F.greatest(WIDTH * 0.7413 * (q[2] - q[0]), FLOOR[c] * short)
+        return F.coalesce(F.abs(F.col(c) - q[1]) > half, F.lit(False))
 
     m = m.withColumn("_gw_size", size)
     # texts of a rare length go by their whole language, rare languages by their script; entropy is only held against texts of its length

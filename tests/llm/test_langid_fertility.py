@@ -91,6 +91,16 @@ def test_verdicts(spark, docs):
     assert Fe.verdicts(spark, all_docs.where("false")).collect() == []
 
 
+def test_symbol_junk_leaves_the_band(spark):
+    r = random.Random(5)
+    rows = [(i, text(r, lang, r.randint(25, 400)), lang) for i, lang in enumerate(sorted(SYL) * 150)]
+    rows += [(10_000 + i, " ".join(w + r.choice(["%%%", "$$$", "&&&", "***", "###"]) for w in text(r, lang, r.randint(60, 400)).split()), lang) for i, lang in enumerate(sorted(SYL) * 12)]
+    got = Fe.verdicts(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("not base_failed").collect()
+    clean, junk = [x for x in got if x.doc_id < 10_000], [x for x in got if x.doc_id >= 10_000]
+    assert len(junk) == 48 and not any(x.kept for x in junk)
+    assert sum(x.kept for x in clean) >= 0.99 * len(clean) > 500
+
+
 def test_token_counts_match_the_vocabulary():
     sp, enc, is_byte, _ = Fe.tokenizers(Fe.VOCAB_DIR)
     t = "Plain words, überall größer ☃ 12345"
