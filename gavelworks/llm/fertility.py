@@ -3,8 +3,8 @@
 Two public vocabularies measure every whole text: characters per token of a
 multilingual byte-level vocabulary, and the share of byte-fallback tokens and the
 entropy of the token ids of a piece vocabulary.  A text is rejected when a
-measure leaves the band of its language and length (its script where the language
-is null or rare).  Bands lie around the median over all documents: ``WIDTH`` robust deviations
+measure leaves the band of its language and length (of its script where the
+language is null or rare).  Bands lie around the median over all documents: ``WIDTH`` robust deviations
 (0.7413 * the quartile distance) to either side, and ``FLOOR`` at least, so that a band of
 near-equal texts doesn't cut ordinary ones.  The floor widens with the error of a mean over fewer
 than ``SHORT`` tokens.
@@ -16,6 +16,7 @@ import base64
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,16 +58,22 @@ def tokenizers(folder: str):
     return _TOKENIZERS[folder]
 
 
+@lru_cache(1 << 16)
+def _script_of(code: int) -> str | None:
+    """Script of a letter, None for what is no letter."""
+    c = chr(code)
+    return unicodedata.name(c, "OTHER").split(" ")[0].lower() if _LETTERS.match(c) else None
+
+
 def script(text: str) -> str:
-    """Commonest script of letters spread over the whole text."""
-    letters = _LETTERS.findall(text[:: max(1, len(text) // 512)]) or _LETTERS.findall(text)
-    if not letters:
-        return "none"
+    """Commonest script over all letters of the text."""
+    n = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
     names: dict[str, int] = {}
-    for c in letters[:: max(1, len(letters) // 64)]:
-        n = unicodedata.name(c, "OTHER").split(" ")[0].lower()
-        names[n] = names.get(n, 0) + 1
-    return max(names, key=lambda n: (names[n], n))
+    for code in np.flatnonzero(n).tolist():
+        name = _script_of(code)
+        if name:
+            names[name] = names.get(name, 0) + int(n[code])
+    return max(names, key=lambda k: (names[k], k)) if names else "none"
 
 
 def repeated_words(words: list[bytes], width: int = 8) -> int:
@@ -182,16 +189,17 @@ def verdicts(spark: SparkSession, docs: DataFrame, carry: list[str] = ("doc_id",
         return F.coalesce(F.abs(F.col(c) - q[1]) > half, F.lit(False))
 
     m = m.withColumn("_gw_size", size)
-    # texts of a rare length go by their whole language, rare languages by their script; entropy is only held against texts of its length
-    whole = [F.when(F.lit(c != "excess"), F.col(f"_gw_{c}")).alias(f"_gw_{c}") for c in FLOOR]
-    a = bands("_gw_lang", "_gw_size").select("_gw_lang", "_gw_size", F.struct(*[f"_gw_{c}" for c in FLOOR]).alias("_gw_a"))
-    b = bands("_gw_lang").select("_gw_lang", F.struct(*whole).alias("_gw_b"))
-    c = bands("script").select("script", F.struct(*whole).alias("_gw_c"))
-    j = m.join(a, ["_gw_lang", "_gw_size"], "left").join(b, ["_gw_lang"], "left").join(c, ["script"], "left").withColumn("_gw_band", F.coalesce("_gw_a", "_gw_b", "_gw_c"))
-    j = j.select("*", *[F.col(f"_gw_band.{f'_gw_{c}'}").alias(f"_gw_{c}") for c in FLOOR])
+    # texts of a rare length go by their whole language, rare languages by their script and length, then their script;
+    # entropy is only held against texts of its length: of the language, or else of the script
+    scopes = [("_gw_lang", "_gw_size"), ("_gw_lang",), ("script", "_gw_size"), ("script",)]
+    j = m
+    for i, keys in enumerate(scopes):
+        j = j.join(bands(*keys).select(*keys, *[F.col(f"_gw_{c}").alias(f"_gw_{c}{i}") for c in FLOOR]), list(keys), "left")
+    for c in FLOOR:
+        j = j.withColumn(f"_gw_{c}", F.coalesce(*[F.col(f"_gw_{c}{i}") for i, keys in enumerate(scopes) if c != "excess" or "_gw_size" in keys]))
     bad = outside("cpt") | outside("bytes") | outside("excess")
     j = j.withColumn("out_of_band", bad).withColumn("kept", ~F.col("base_failed") & ~bad)
-    return j.drop("_gw_lang", "_gw_size", "_gw_a", "_gw_b", "_gw_c", "_gw_band", *[f"_gw_{c}" for c in FLOOR], "excess")
+    return j.drop("_gw_lang", "_gw_size", *[f"_gw_{c}{i}" for c in FLOOR for i in ["", *range(len(scopes))]], "excess")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

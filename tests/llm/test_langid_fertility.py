@@ -101,6 +101,26 @@ def test_symbol_junk_leaves_the_band(spark):
     assert sum(x.kept for x in clean) >= 0.99 * len(clean) > 500
 
 
+def test_script_counts_every_letter():
+    # a stride of 512 or 64 would meet Latin letters only
+    t = "".join("a" + "яж" * 2 + "b" * 1 if i % 2 else "z   " for i in range(5000))
+    assert Fe.script(t) == "cyrillic" and Fe.script("12 ... 5") == "none" == Fe.script("")
+    step = ["ж"] * 640 * 512
+    step[::640] = ["a"] * 512
+    assert Fe.script("".join(step)) == "cyrillic"
+
+
+def test_entropy_counts_without_a_language(spark):
+    r = random.Random(8)
+    rows = [(i, text(r, "en", 20 + i % 60), None) for i in range(400)]
+    # few words over and over, never eight in the same order twice: characters per token as usual, low entropy
+    few = text(r, "en", 3).rstrip(".").split()
+    odd = " ".join(" ".join([few[0]] * a + [few[1]] * b + [few[2]] * (7 - a - b)) for a, b in [(1, 1), (5, 1), (1, 5), (2, 3), (3, 2), (4, 2), (2, 4), (3, 3), (1, 3)])
+    got = {x.doc_id: x for x in Fe.verdicts(spark, spark.createDataFrame([*rows, (900, odd, None)], "doc_id long, text string, lang string")).collect()}
+    assert not got[900].base_failed and got[900].entropy < 4 and not got[900].kept
+    assert sum(got[i].kept for i in range(400)) >= 0.98 * sum(not got[i].base_failed for i in range(400))
+
+
 def test_token_counts_match_the_vocabulary():
     sp, enc, is_byte, _ = Fe.tokenizers(Fe.VOCAB_DIR)
     t = "Plain words, überall größer ☃ 12345"
