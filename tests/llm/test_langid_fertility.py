@@ -54,6 +54,18 @@ def test_clashing_names_and_stage(spark, docs):
     assert L.stage(spark, empty, "").collect() == []
 
 
+def test_stage_rejects_what_no_language_holds(spark, docs):
+    r = random.Random(6)
+    gibberish = lambda: " ".join("".join(r.choices("bcdfghjkpqvwxyz", k=r.randint(2, 9))) for _ in range(60))
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心", *[gibberish() for _ in range(5)]]
+    pairs = [(a, b) for a in sorted(SYL) for b in sorted(SYL) if a < b]
+    mixed = [text(r, a, 40) + " " + text(r, b, 40) for a, b in pairs] + [text(r, "en", 60) + " Все люди"]
+    rows = [(2000 + i, t, None, "x", 1) for i, t in enumerate(foreign)] + [(3000 + i, t, None, "x", 1) for i, t in enumerate(mixed)]
+    kept = {x.doc_id for x in L.stage(spark, docs.union(spark.createDataFrame(rows, docs.schema)), "").collect()}
+    assert not kept & set(range(2000, 3000))
+    assert set(range(3000, 3000 + len(mixed))) <= kept and set(range(400)) <= kept
+
+
 def brute(t):
     words = [w.decode() for w in (t or "").encode().split()]
     wins = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
