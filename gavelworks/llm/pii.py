@@ -5,9 +5,10 @@ token of the corpus (a seed, or a word with digits that no base pattern covers)
 yields lexical patterns from its left and right neighbours together with its
 shape.  Spark scores the pattern-instance graph for ``ROUNDS`` rounds: a pattern
 is as good as the share of its instances believed to be personal data, an unseen
-instance as good as the mean of its patterns.  Unseen tokens in a context of a
-pattern at ``ACCEPT`` or better, with ``SUPPORT`` distinct seeds behind it, are
-added as kind ``id``; base spans always stay.
+instance as good as the mean of its patterns with ``SUPPORT`` distinct seeds (patterns
+without say nothing); an instance at ``ACCEPT`` or better is a seed of the next round.
+Unseen tokens in a context of a pattern at ``ACCEPT`` or better, with ``SUPPORT`` distinct
+seeds behind it, are added as kind ``id``; base spans always stay.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = re.compile(r"[0-9]+")
 _LETTER = re.compile(r"[^\W\d_]")
+#: tokens of punctuation only are looked past
+_WORDLIKE = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -80,12 +83,11 @@ def shape(token: str) -> str:
 
 
 def _words_before(text: str, at: int) -> list[str]:
-    return [w.lower()[:32] for w in text[max(0, at - 96) : at].split()][-2:]
+    return [w.lower()[:32] for w in text[max(0, at - 96) : at].split() if _WORDLIKE.search(w)][-2:]
 
 
 def _word_after(text: str, at: int) -> str:
-    w = text[at : at + 64].split()
-    return w[0].lower()[:32] if w else ""
+    return next((w.lower()[:32] for w in text[at : at + 64].split() if _WORDLIKE.search(w)), "")
 
 
 def patterns(text: str, start: int, end: int, token_shape: str) -> list[str]:
@@ -104,7 +106,7 @@ def patterns(text: str, start: int, end: int, token_shape: str) -> list[str]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
     """(start, end, instance, seed, patterns): base spans, and words of 6 or more
     characters with 4 or more digits that touch no base span."""
-    out = [(s, e, text[s:e].lower()[:80], True, patterns(text, s, e, KINDS[k])) for s, k, e in base]
+    out = [(s, e, text[s:e].lower()[:80], True, patterns(text, s, e, shape(text[s:e]))) for s, k, e in base]
     covered, at, i = sorted((s, e) for s, _, e in base), 0, 0
     m = _DIGITS.search(text)
     while m:
@@ -166,13 +168,12 @@ def find_pii(spark: SparkSession, docs: DataFrame, carry: list[str], work: Work
     )
     believed = None
     for _ in range(ROUNDS):
-        g = graph.withColumn("belief", F.when(F.col("seed"), F.lit(1.0)).otherwise(0.0)) if believed is None else graph.join(believed, "inst", "left").withColumn(
-            "belief", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("b", F.lit(0.0)))
-        )
-        pats = g.groupBy("pat").agg((F.sum("belief") / F.count("*")).alias("conf"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        pats = work.save(pats.where((F.col("seeds") >= SUPPORT) & (F.col("conf") >= ACCEPT / 4)).select("pat", "conf"), "patterns")
-        new = graph.where("not seed").join(pats, "pat", "left").groupBy("inst").agg((F.sum(F.coalesce("conf", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("b"))
-        believed = work.save(new.where("b > 0"), "beliefs")
+        g = graph.withColumn("b", F.lit(0.0)) if believed is None else graph.join(believed, "inst", "left")
+        g = g.withColumn("sure", F.col("seed") | (F.coalesce("b", F.lit(0.0)) >= ACCEPT))
+        pats = g.groupBy("pat").agg(F.avg(F.when(F.col("sure"), 1.0).otherwise(F.coalesce("b", F.lit(0.0)))).alias("conf"), F.sum(F.col("sure").cast("int")).alias("seeds"))
+        pats = work.save(pats.where(F.col("seeds") >= SUPPORT).select("pat", "conf"), "patterns")
+        new = graph.where("not seed").join(pats, "pat").groupBy("inst").agg((F.sum(F.col("conf") * F.col("n")) / F.sum("n")).alias("b"))
+        believed = work.save(new, "beliefs")
     good = pats.where(F.col("conf") >= ACCEPT).select("pat")
     found = occ.where("not seed").select("_gw_uid", "start", "end", F.explode("pats").alias("pat")).join(good, "pat", "left_semi")
     found = found.groupBy("_gw_uid").agg(F.collect_set(F.struct("start", "end", F.lit("id").alias("kind"))).alias("more"))

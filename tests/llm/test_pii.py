@@ -74,6 +74,40 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
         assert set(map(tuple, g._gw_base)) <= set(map(tuple, g._gw_spans))
 
 
+def contexts(spark, rows):
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = P.find_pii(spark, docs, ["doc_id", "text"]).collect()
+    return {g.text[s.start : s.end] for g in got for s in g._gw_spans if s.kind == "id"}
+
+
+def test_more_unseen_identifiers_than_seeds(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    rows = [f"{word()} account number {r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{i} {word()}" for i in range(20)]
+    unseen = [f"{r.randrange(10**8):08d}X" for _ in range(25)]
+    rows += [f"{word()} account number {u} {word()}" for u in unseen]
+    rows += [f"{word()} part {r.randrange(10**8):08d}Y {word()}" for _ in range(40)]
+    assert contexts(spark, rows) == set(unseen)
+
+
+def test_finds_of_one_round_are_seeds_of_the_next(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    # punctuation between the context and the identifier is looked past
+    rows = [f"{word()} account number : {r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{i} {word()}" for i in range(30)]
+    unseen = [f"{r.randrange(10**8):08d}X" for _ in range(5)]
+    rows += [f"{word()} account number - {u} {word()}" for u in unseen] + [f"{word()} member code {u} {word()}" for u in unseen]
+    rows += [f"{word()} member code 77665544Z {word()}", f"{word()} part 11223344Z {word()}"]
+    assert contexts(spark, rows) == {*unseen, "77665544Z"}
+
+
+def test_seeds_and_unseen_tokens_share_shapes(spark):
+    seed, other = (P.patterns(f"call {x} now", 5, 5 + len(x), P.shape(x)) for x in ("4111111111111111", "4111111111111112"))
+    assert seed == other
+    (c,) = [c for c in P.candidates("call 4111111111111111 now", P.base_spans("call 4111111111111111 now"))]
+    assert c[3] and c[4] == seed
+
+
 def test_query_digest(spark, tmp_path):
     docs = corpus(spark).drop("_gw_base")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
