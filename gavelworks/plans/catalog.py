@@ -125,6 +125,13 @@ def group_summary(spark, d):
     return o.groupBy(F.col("o_orderpriority").alias("grup")).agg(F.array_join(F.array_sort(F.collect_set(F.col("o_custkey").cast("string"))), ", ").alias("rantai"), records.first_by("o_clerk", ["o_orderkey"]).alias("pertama"), F.max("o_totalprice").alias("maks"))
 
 
+@query()
+def group_summary_whole(spark, d):
+    """group_summary over the orders of all customers."""
+    o = t(spark, d, "orders").withColumn("o_clerk", F.expr("concat('K', o_orderkey % 100)"))
+    return o.groupBy(F.col("o_orderpriority").alias("grup")).agg(F.array_join(F.array_sort(F.collect_set(F.col("o_custkey").cast("string"))), ", ").alias("rantai"), records.first_by("o_clerk", ["o_orderkey"]).alias("pertama"), F.max("o_totalprice").alias("maks"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type")
 def value_counts(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
@@ -232,6 +239,14 @@ def chain_order_violation(spark, d):
     return a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderpriority") < F.col("b.o_orderpriority")) & (F.col("a.o_orderdate") > F.col("b.o_orderdate"))).select(F.col("b.o_orderkey").alias("no"), F.col("a.o_orderkey").alias("sebelum"))
 
 
+@query()
+def chain_order_violation_whole(spark, d):
+    """chain_order_violation over orders of every status."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    a, b = o.alias("a"), o.alias("b")
+    return a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderpriority") < F.col("b.o_orderpriority")) & (F.col("a.o_orderdate") > F.col("b.o_orderdate"))).select(F.col("b.o_orderkey").alias("no"), F.col("a.o_orderkey").alias("sebelum"))
+
+
 _INC = """i AS (SELECT o_orderkey AS chain, 'C' || o_custkey % 500 AS place, year(o_orderdate) AS y, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS e, CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice / 10000) END AS v, o_orderpriority AS nm FROM orders),
 p AS (SELECT a.chain AS a, b.chain AS b FROM i a JOIN i b ON a.place = b.place AND a.chain < b.chain AND abs(a.y - b.y) <= 2 AND (a.e IS NULL OR b.e IS NULL OR left(a.e, 4) = left(b.e, 4)) AND coalesce(a.v = b.v, false))"""
 
@@ -289,6 +304,13 @@ def chain_components(spark, d):
     return graph.components(e.select(F.col("a").alias("node")).union(e.select("b")), e)
 
 
+@query()
+def chain_components_whole(spark, d):
+    """Components of all parts (even nodes) and suppliers (odd nodes) of lineitem."""
+    e = t(spark, d, "lineitem").select((F.col("l_partkey").cast("long") * 2).alias("a"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("b")).distinct()
+    return graph.components(e.select(F.col("a").alias("node")).union(e.select("b")), e)
+
+
 _E = [(i, (i * 7 + 3) % 40) for i in range(40)] + [(i, i // 2) for i in range(40, 80)]
 
 
