@@ -6,7 +6,7 @@ yields lexical patterns from its left and right neighbours together with its
 shape.  Spark scores the pattern-instance graph for ``ROUNDS`` rounds: a pattern
 is as good as the share of its instances believed to be personal data, an unseen
 instance as good as the mean of its patterns with ``SUPPORT`` distinct seeds (patterns
-without say nothing); an instance at ``ACCEPT`` or better is a seed of the next round.
+without say nothing; a pattern's weight is the number of its occurrences); an instance at ``ACCEPT`` or better is a seed of the next round.
 Unseen tokens in a context of a pattern at ``ACCEPT`` or better, with ``SUPPORT`` distinct
 seeds behind it, are added as kind ``id``; base spans always stay.
 """
@@ -36,6 +36,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: tokens of punctuation only are looked past
 _WORDLIKE = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD_ANY = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -76,18 +77,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def key(s: str) -> str:
+    """The string itself, or, beyond 64 characters, its beginning and a digest of the whole: long strings stay apart."""
+    return s if len(s) <= 64 else s[:32] + "~" + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def shape(token: str) -> str:
     """Character classes with runs folded, and the length class."""
     s = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", token)))
-    return re.sub(r"(.)\1+", r"\1", s)[:24] + str(min(len(token), 64).bit_length())
+    return key(re.sub(r"(.)\1+", r"\1", s) + str(len(token).bit_length()))
 
 
 def _words_before(text: str, at: int) -> list[str]:
-    return [w.lower()[:32] for w in text[max(0, at - 96) : at].split() if _WORDLIKE.search(w)][-2:]
+    """The last two tokens with a letter or digit before a place; the stretch read grows until it holds them."""
+    width = 96
+    while True:
+        lo = max(0, at - width)
+        words = text[lo:at].split()
+        if lo and words and not text[lo - 1].isspace() and not text[lo].isspace():
+            del words[0]  # begins outside of the stretch
+        words = [w for w in words if _WORDLIKE.search(w)][-2:]
+        if len(words) == 2 or not lo:
+            return [key(w.lower()) for w in words]
+        width *= 4
 
 
 def _word_after(text: str, at: int) -> str:
-    return next((w.lower()[:32] for w in text[at : at + 64].split() if _WORDLIKE.search(w)), "")
+    """The first token with a letter or digit after a place."""
+    for m in _WORD_ANY.finditer(text, at):
+        if _WORDLIKE.search(m[0]):
+            return key(m[0].lower())
+    return ""
 
 
 def patterns(text: str, start: int, end: int, token_shape: str) -> list[str]:
@@ -106,7 +126,7 @@ def patterns(text: str, start: int, end: int, token_shape: str) -> list[str]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
     """(start, end, instance, seed, patterns): base spans, and words of 6 or more
     characters with 4 or more digits that touch no base span."""
-    out = [(s, e, text[s:e].lower()[:80], True, patterns(text, s, e, shape(text[s:e]))) for s, k, e in base]
+    out = [(s, e, key(text[s:e].lower()), True, patterns(text, s, e, shape(text[s:e]))) for s, k, e in base]
     covered, at, i = sorted((s, e) for s, _, e in base), 0, 0
     m = _DIGITS.search(text)
     while m:
@@ -125,7 +145,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             i += 1
         free = all(covered[j][0] >= e or covered[j][1] <= s for j in range(i, len(covered)) if covered[j][0] < e)
         if e - s >= 6 and free and sum("0" <= c <= "9" for c in text[s:e]) >= 4:
-            out.append((s, e, text[s:e].lower()[:80], False, patterns(text, s, e, shape(text[s:e]))))
+            out.append((s, e, key(text[s:e].lower()), False, patterns(text, s, e, shape(text[s:e]))))
         at = end
         m = _DIGITS.search(text, end)
     return out
@@ -151,8 +171,11 @@ def find_pii(spark: SparkSession, docs: DataFrame, carry: list[str], work: Work
     """The carried columns plus ``_gw_base`` and ``_gw_spans``: arrays of (start, end, kind)
     in code points, end exclusive, by start and then kind; one row per input row.
 
-    Null and empty texts have no spans.  ``docs`` needs a ``text`` column; carried
-    columns may have any names that don't begin with _gw_."""
+    Null and empty texts have no spans; very long texts and tokens are read whole (contexts are
+    found by growing the stretch read, tokens beyond 64 characters are told apart by a digest).
+    Repeated rows are scanned each, but an instance counts once for a pattern.  Equal beliefs need
+    no tie rule: everything at ``ACCEPT`` or better is taken.  An empty table gives an empty one.
+    ``docs`` needs a ``text`` column; carried columns may have any names that don't begin with _gw_."""
     work = work or Work(spark, "pii")
     carry = [c for c in carry if not c.startswith("_gw_")]
     src = docs.select(F.col("text").alias("text"), *[F.col(f"`{c}`") for c in carry if c != "text"])
@@ -216,9 +239,13 @@ def _redact(batches):
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every span replaced by its kind; n_chars (if there) follows the new text."""
-    found = find_pii(spark, docs, docs.columns)
+    """Documents with every span replaced by its kind; n_chars (if there) follows the new text.
+
+    One row per input row: null and empty texts stay as they are, repeated rows are redacted alike,
+    columns may have any names (they are numbered on the way)."""
+    cols = docs.columns
+    inner = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols) if c != "text"])
+    found = find_pii(spark, inner, inner.columns)
     out = found.mapInArrow(_redact, T.StructType([f for f in found.schema.fields if f.name not in ("_gw_base", "_gw_spans")]))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    n_chars = F.length("text")
+    return out.select(*[F.col("text") if c == "text" else (n_chars.cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)])

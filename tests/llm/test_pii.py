@@ -126,3 +126,49 @@ def test_stage_redacts(spark):
     assert rows[None].text == "call <PHONE> now" and rows[None].n_chars == 16
     assert "<ID>" in rows[60].text and rows[200].text is None and rows[66].text == next(r.text for r in docs.collect() if r.doc_id == 66)
     assert P.stage(spark, docs.where("false"), "").collect() == []
+
+
+def test_scores_against_brute_force(spark):
+    """The kept patterns and added spans are those of a plain-Python pattern-instance graph."""
+    r = random.Random(31)
+    heads = ["account number", "member code", "part no", "case file", "order ref"]
+    make = [lambda: f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}", lambda: f"{r.randrange(10**7):07d}{r.choice('XYZ')}", lambda: f"u{r.randrange(40)}@mail.example.com"]
+    rows = [f"{r.choice('abc') * 3} {r.choice(heads)} {r.choice(make)()} {r.choice(['was', 'is', 'x' * 90])} seen" for _ in range(400)]
+    occ = [(i, c) for i, t in enumerate(rows) for c in P.candidates(t, P.base_spans(t))]
+    edges, seed = {}, {}
+    for _, (_, _, inst, is_seed, pats) in occ:
+        for p in pats:
+            edges[p, inst] = edges.get((p, inst), 0) + 1
+            seed[p, inst] = seed.get((p, inst), False) or is_seed
+    belief = {}
+    for _ in range(P.ROUNDS):
+        conf = {}
+        for pat in {p for p, _ in edges}:
+            insts = [i for p, i in edges if p == pat]
+            sure = [seed[pat, i] or belief.get(i, 0.0) >= P.ACCEPT for i in insts]
+            if sum(sure) >= P.SUPPORT:
+                conf[pat] = sum(1.0 if s else belief.get(i, 0.0) for s, i in zip(sure, insts)) / len(insts)
+        belief = {}
+        for inst in {i for (p, i) in edges if not seed[p, i] and p in conf}:
+            w = [(conf[p], n) for (p, i), n in edges.items() if i == inst and p in conf and not seed[p, i]]
+            belief[inst] = sum(c * n for c, n in w) / sum(n for _, n in w)
+    want = {(i, s, e) for i, (s, e, _, is_seed, pats) in occ if not is_seed and any(conf.get(p, 0) >= P.ACCEPT for p in pats)}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(g.doc_id, s.start, s.end) for g in P.find_pii(spark, docs, ["doc_id"]).collect() for s in g._gw_spans if s.kind == "id"}
+    assert got == want
+
+
+def test_contexts_and_instances_are_whole():
+    far = "account number" + " -" * 500 + " 12345678X then" + " ." * 400 + " end"
+    (c,) = P.candidates(far, [])
+    assert "2|account number" in c[4] and "b|number|then" in c[4]
+    a, b = "1234" + "z" * 200 + "1", "1234" + "z" * 200 + "2"
+    assert P.key(a) != P.key(b) and P.shape("A-" * 60) != P.shape("A-" * 60 + "b")
+    assert P._words_before("first second" + " ," * 3000 + " ", 12 + 6001) == ["first", "second"]
+
+
+def test_stage_takes_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.example.com", 7, "k"), (1, "mail a@b.example.com", 7, "k"), (2, None, None, None)], "doc_id long, text string, _gw_base int, c0 string")
+    out = P.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "mail <EMAIL>", 7, "k"), (1, "mail <EMAIL>", 7, "k"), (2, None, None, None)]
