@@ -13,10 +13,9 @@ than ``SHORT`` tokens.
 from __future__ import annotations
 
 import base64
-import re
 import unicodedata
-from array import array
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +34,77 @@ FLOOR = {"cpt": 0.35, "bytes": 0.08, "excess": 1.2}
 SHORT = 128
 #: a language needs so many documents for a band of its own
 LEAST_DOCS = 30
-#: words a process keeps
-CACHE = 500_000
-_LETTERS = re.compile(r"[^\W\d_]")
+#: words a process keeps, texts whose words are tokenised in one call
+CACHE, PART = 500_000, 200
+#: bands (a few hundred bytes each) are sent to every executor up to this counted number, else joined by shuffle
+FEW_BANDS = 20_000
 _SYMBOLS = "#*$%&|<>"
 _TOKENIZERS: dict = {}
 
 
-def tokenizers(folder: str):
-    """(piece processor, byte-level encoding, word cache) of this process."""
-    if folder not in _TOKENIZERS:
+class Vocabularies:
+    """Both vocabularies and the words seen by this process: word -> number, and per number its
+    pieces (a slice of one flat array), its byte-level tokens and how often it was met."""
+
+    def __init__(self, folder: str):
         import sentencepiece
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{folder}/byte_bpe_multi_50k.tiktoken", "rb"))}
+        with open(f"{folder}/byte_bpe_multi_50k.tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         # words come one by one, so the split pattern only parts letters, digits and the rest
         pat = r" ?[\p{L}\p{M}]+| ?\p{N}{1,3}| ?[^\s\p{L}\p{M}\p{N}]+|\s+"
-        enc = tiktoken.Encoding("multi", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
-        sp = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
-        is_byte = np.array([sp.is_byte(i) for i in range(sp.vocab_size())])
-        _TOKENIZERS[folder] = (sp, enc, is_byte, {})
+        self.enc = tiktoken.Encoding("multi", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
+        self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.vocab_size())])
+        self.ids: dict[bytes, int] = {}
+        self.flat = np.empty(0, np.uint16)
+        self.start, self.size, self.multi, self.met = (np.empty(0, np.int64) for _ in range(4))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Tokenise the words that are not known yet."""
+        fresh = [w for w in words if w not in self.ids]
+        if not fresh:
+            return
+        if self.ids and len(self.ids) + len(fresh) > CACHE:
+            self.forget(words)
+            fresh = [w for w in words if w not in self.ids]
+        plain = [w.decode("utf-8", "replace") for w in fresh]
+        pieces = self.sp.encode(plain, num_threads=1)
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = np.fromiter(chain.from_iterable(pieces), np.uint16, int(n.sum()))
+        ordinary = self.enc.encode_ordinary
+        multi = np.fromiter((len(ordinary(" " + p)) for p in plain), np.int64, len(plain))
+        at = len(self.ids)
+        self.ids.update(zip(fresh, range(at, at + len(fresh))))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(n) - n))
+        self.flat = np.concatenate((self.flat, flat))
+        self.size, self.multi = np.concatenate((self.size, n)), np.concatenate((self.multi, multi))
+        self.met = np.concatenate((self.met, np.zeros(len(fresh), np.int64)))
+
+    def forget(self, needed: set[bytes]) -> None:
+        """Keep the needed words and, of the others, the half met most often."""
+        order = np.argsort(-self.met, kind="stable")[: CACHE // 2]
+        stays = np.zeros(len(self.met), bool)
+        stays[order] = self.met[order] > 1
+        self.ids = {w: i for w, i in self.ids.items() if stays[i] or w in needed}
+        old = np.fromiter(self.ids.values(), np.int64, len(self.ids))
+        self.flat = self.flat[_slices(self.start[old], self.size[old])]
+        self.size, self.multi, self.met = self.size[old], self.multi[old], self.met[old] // 2
+        self.start = np.cumsum(self.size) - self.size
+        self.ids = dict(zip(self.ids, range(len(old))))
+
+
+def _slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of the slices (start, size), one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def tokenizers(folder: str) -> tuple:
+    """(piece processor, byte-level encoding, which pieces are bytes, word table) of this process."""
+    if folder not in _TOKENIZERS:
+        v = Vocabularies(folder)
+        _TOKENIZERS[folder] = (v.sp, v.enc, v.is_byte, v)
     return _TOKENIZERS[folder]
 
 
@@ -62,7 +112,7 @@ def tokenizers(folder: str):
 def _script_of(code: int) -> str | None:
     """Script of a letter, None for what is no letter."""
     c = chr(code)
-    return unicodedata.name(c, "OTHER").split(" ")[0].lower() if _LETTERS.match(c) else None
+    return unicodedata.name(c, "OTHER").split(" ")[0].lower() if c.isalpha() else None
 
 
 def script(text: str) -> str:
@@ -76,16 +126,12 @@ def script(text: str) -> str:
     return max(names, key=lambda k: (names[k], k)) if names else "none"
 
 
-def repeated_words(words: list[bytes], width: int = 8) -> int:
-    """Words inside windows of ``width`` words that occur twice or more, the first included."""
-    n = len(words) - width + 1
+def repeated_words(ids: np.ndarray, width: int = 8) -> int:
+    """Words, given by numbers, inside windows of ``width`` words that occur twice or more, the first included."""
+    n = len(ids) - width + 1
     if n < 2:
         return 0
-    ids: dict[bytes, int] = {}
-    h = np.array([ids.setdefault(w, len(ids)) for w in words], np.uint64) + U(1)
-    if len(ids) == len(words):
-        return 0
-    h = _mix(h)
+    h = _mix(ids.astype(np.uint64) + U(1))
     acc = np.zeros(n, np.uint64)
     for i in range(width):
         acc += h[i : n + i] * _R[i]
@@ -98,47 +144,42 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     at = order[same]
     if not len(at):
         return 0
-    step = np.zeros(len(words) + 1, np.int32)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + width, -1)
+    step = np.bincount(at, minlength=len(ids) + 1) - np.bincount(at + width, minlength=len(ids) + 1)
     return int((np.cumsum(step)[:-1] > 0).sum())
 
 
 def measures(text: str | None, folder: str = VOCAB_DIR) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, tokens, cpt, byte share, entropy)."""
-    if not text:
-        return 0, 0, 0, 0, 0, 0, 0.0, 0.0, 0.0
-    words = text.encode("utf-8", "surrogatepass").split()
-    if not words:
-        return 0, 0, sum(text.count(c) for c in _SYMBOLS), 0, 0, 0, 0.0, 0.0, 0.0
-    chars = len(b"".join(words).decode("utf-8", "surrogatepass"))
-    seen, dup = set(), 0
-    for line in text.split("\n"):
-        if line.strip("\x20\t\n\v\f\r"):
-            dup += line in seen
-            seen.add(line)
-    sp, enc, is_byte, cache = tokenizers(folder)
-    fresh = [w for w in set(words) if w not in cache]
-    if fresh:
-        if len(cache) + len(fresh) > CACHE:
-            cache.clear()
-            fresh = list(set(words))
-        plain = [w.decode("utf-8", "replace") for w in fresh]
-        for w, p, pieces in zip(fresh, plain, sp.encode(plain, num_threads=1)):
-            cache[w] = (array("H", pieces), len(enc.encode_ordinary(" " + p)))
-    ids = array("H")
-    multi = 0
-    for w in words:
-        pieces, m = cache[w]
-        ids += pieces
-        multi += m
-    if len(cache) > CACHE:
-        cache.clear()
-    a = np.frombuffer(ids, np.uint16)
-    c = np.bincount(a, minlength=len(is_byte))
-    p = c[c > 0] / len(a)
-    # length sets what entropy a text can reach: log2 of the tokens, less the usual repetition
-    return len(words), chars, sum(text.count(x) for x in _SYMBOLS), dup, repeated_words(words), len(a), chars / max(1, multi), float(c[is_byte].sum() / len(a)), float(-(p * np.log2(p)).sum())
+    return next(batch_measures([text], folder))
+
+
+def batch_measures(texts: list[str | None], folder: str = VOCAB_DIR):
+    """``measures`` of each text; the unknown words of all texts are tokenised in one call."""
+    v = tokenizers(folder)[3]
+    split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+    v.learn(set(chain.from_iterable(split)))
+    for text, words in zip(texts, split):
+        symbols = sum(map(text.count, _SYMBOLS)) if text else 0
+        if not words:
+            yield 0, 0, symbols, 0, 0, 0, 0.0, 0.0, 0.0
+            continue
+        chars = len(b"".join(words).decode("utf-8", "surrogatepass"))
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if line.strip("\x20\t\n\v\f\r"):
+                dup += line in seen
+                seen.add(line)
+        ids = np.fromiter(map(v.ids.__getitem__, words), np.int64, len(words))
+        once, n = np.unique(ids, return_counts=True)
+        v.met[once] += n
+        repeat = repeated_words(ids) if len(once) < len(ids) else 0
+        size = v.size[once]
+        pieces, each = v.flat[_slices(v.start[once], size)], np.repeat(n, size)
+        c = np.bincount(pieces, each)
+        total = int(size @ n)
+        p = c[np.flatnonzero(c)] / max(1, total)
+        multi = int(v.multi[once] @ n)
+        yield len(words), chars, symbols, dup, repeat, total, chars / max(1, multi), float(each[v.is_byte[pieces]].sum() / max(1, total)), float(-(p * np.log2(p)).sum())
 
 
 _FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, cpt double, bytes double, entropy double, script string"
@@ -153,9 +194,9 @@ def measure(spark: SparkSession, docs: DataFrame, carry: list[str], folder: str
     def run(batches):
         for rb in batches:
             got = []
-            for t in rb.column("text"):
-                t = t.as_py()
-                got.append((*measures(t, folder), script(t or "")))
+            for at in range(0, rb.num_rows, PART):
+                texts = rb.column("text").slice(at, PART).to_pylist()
+                got += [(*m, script(t or "")) for m, t in zip(batch_measures(texts, folder), texts)]
             cols = [pa.array(list(x), ty) for x, ty in zip(zip(*got), [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()])] if got else [pa.array([], ty) for ty in [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]]
             yield pa.RecordBatch.from_arrays([*rb.columns[1:], *cols], names=[*rb.schema.names[1:], *schema.fieldNames()])
 
@@ -176,11 +217,20 @@ def verdicts(spark: SparkSession, docs: DataFrame, carry: list[str] = ("doc_id",
     good = m.where(~F.col("base_failed"))
     size = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double"))).cast("int")
 
-    def bands(*keys: str) -> DataFrame:
-        out = [F.count("*").alias("_gw_n")]
-        for c in FLOOR:
-            out.append(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"_gw_{c}"))
-        return good.withColumn("_gw_size", size).groupBy(*keys).agg(*out).where(F.col("_gw_n") >= LEAST_DOCS)
+    scopes = [("_gw_lang", "_gw_size"), ("_gw_lang",), ("script", "_gw_size"), ("script",)]
+    sized = good.withColumn("_gw_size", size)
+    quart = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"_gw_{c}") for c in FLOOR]
+    all_keys = {"_gw_lang": "string", "script": "string", "_gw_size": "int"}
+    parts = []
+    for i, keys in enumerate(scopes):
+        b = sized.groupBy(*keys).agg(F.count("*").alias("_gw_n"), *quart).where(F.col("_gw_n") >= LEAST_DOCS)
+        parts.append(b.select(F.lit(i).alias("_gw_scope"), *[F.col(k) if k in keys else F.lit(None).cast(t).alias(k) for k, t in all_keys.items()], *[f"_gw_{c}" for c in FLOOR]))
+    found = work.save(reduce(DataFrame.unionByName, parts), "bands")
+    few = found.limit(FEW_BANDS + 1).count() <= FEW_BANDS
+
+    def bands(i: int) -> DataFrame:
+        b = found.where(F.col("_gw_scope") == i).select(*scopes[i], *[F.col(f"_gw_{c}").alias(f"_gw_{c}{i}") for c in FLOOR])
+        return F.broadcast(b) if few else b
 
     def outside(c: str):
         q = F.col(f"_gw_{c}")
@@ -191,10 +241,9 @@ def verdicts(spark: SparkSession, docs: DataFrame, carry: list[str] = ("doc_id",
     m = m.withColumn("_gw_size", size)
     # texts of a rare length go by their whole language, rare languages by their script and length, then their script;
     # entropy is only held against texts of its length: of the language, or else of the script
-    scopes = [("_gw_lang", "_gw_size"), ("_gw_lang",), ("script", "_gw_size"), ("script",)]
     j = m
     for i, keys in enumerate(scopes):
-        j = j.join(bands(*keys).select(*keys, *[F.col(f"_gw_{c}").alias(f"_gw_{c}{i}") for c in FLOOR]), list(keys), "left")
+        j = j.join(bands(i), list(keys), "left")
     for c in FLOOR:
         j = j.withColumn(f"_gw_{c}", F.coalesce(*[F.col(f"_gw_{c}{i}") for i, keys in enumerate(scopes) if c != "excess" or "_gw_size" in keys]))
     bad = outside("cpt") | outside("bytes") | outside("excess")

@@ -66,6 +66,28 @@ def test_stage_rejects_what_no_language_holds(spark, docs):
     assert set(range(3000, 3000 + len(mixed))) <= kept and set(range(400)) <= kept
 
 
+def test_letters_are_unicode_letters(spark, docs):
+    model = L.train(spark, docs)
+    for t in ("½ ² 12", "Ⅷ ① _", "12_34", "№"):
+        assert model.predict(t) == ("und", 0.0) and not L.has_letter(t)
+    assert all(L.has_letter(t) for t in ("½ a", "ж", "人", "12x"))
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark, docs):
+    one = docs.where("doc_id = 3")
+    many = docs.crossJoin(spark.range(1)).select(docs.columns).union(one.crossJoin(spark.range(3000)).select(docs.columns))
+    a, b = L.train(spark, docs), L.train(spark, many)
+    assert a.langs == b.langs and abs(a.w - b.w).max() < 0.05
+    few = L.train(spark, docs, per_lang=10, most=40, least=2, langs=3)
+    assert len(few.langs) == 3
+
+
+def test_stage_fills_missing_languages_only(spark, docs):
+    was = {r.doc_id: r.lang for r in docs.collect()}
+    for r in L.stage(spark, docs, "").collect():
+        assert r.lang == (was[r.doc_id] or ("de" if r.doc_id == 1003 else None))
+
+
 def brute(t):
     words = [w.decode() for w in (t or "").encode().split()]
     wins = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
@@ -140,3 +162,51 @@ def test_token_counts_match_the_vocabulary():
     ids = [i for w in t.split(" ") for i in sp.encode(w)]
     assert tokens == len(ids) and share == sum(is_byte[i] for i in ids) / len(ids)
     assert cpt == chars / sum(len(enc.encode_ordinary(" " + w)) for w in t.split(" "))
+
+
+def test_words_forgotten_change_no_measure(monkeypatch):
+    texts = [" ".join(f"w{i}x{j % 7} the" for j in range(60)) for i in range(40)] * 2
+    full = [Fe.measures(t) for t in texts]
+    Fe._TOKENIZERS.clear()
+    monkeypatch.setattr(Fe, "CACHE", 30)
+    assert [m for i in range(0, 80, 3) for m in Fe.batch_measures(texts[i : i + 3])] == full
+    Fe._TOKENIZERS.clear()
+
+
+def test_bands_against_brute_force(spark):
+    """Every verdict is that of quartile fences computed in plain Python over the same scopes."""
+    import math
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("aeioutnrsl", k=r.randint(2, 7)))
+    rows = [(i, " ".join(word() + ("%%%" if i % 40 == 0 else "") for _ in range(r.randint(25, 300))), "en" if i % 3 else None) for i in range(240)]
+    got = {x["doc_id"]: x["kept"] for x in Fe.verdicts(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    m = {}
+    for i, text, lang in rows:
+        n, _, _, _, rep, tokens, cpt, share, ent = Fe.measures(text)
+        if n >= 20 and 100 * rep <= 30 * n:
+            m[i] = dict(lang=lang, script=Fe.script(text), size=int(math.log2(max(tokens, 2))), tokens=tokens, cpt=cpt, bytes=share, excess=ent - math.log2(max(tokens, 2)))
+    scopes = [("lang", "size"), ("lang",), ("script", "size"), ("script",)]
+
+    def quart(values, p):
+        v = sorted(values)
+        return v[max(0, math.ceil(p * len(v)) - 1)]
+
+    want = {}
+    for i, text, lang in rows:
+        ok = i in m
+        for c, floor in Fe.FLOOR.items() if ok else ():
+            x = m[i]
+            for keys in scopes:
+                if c == "excess" and "size" not in keys:
+                    continue
+                peers = [y[c] for y in m.values() if all(y[k] == x[k] and x[k] is not None for k in keys)]
+                if len(peers) >= Fe.LEAST_DOCS:
+                    lo, mid, hi = (quart(peers, p) for p in (0.25, 0.5, 0.75))
+                    short = 1.0 if c == "excess" else math.sqrt(max(Fe.SHORT / max(x["tokens"], 1), 1.0))
+                    ok &= abs(x[c] - mid) <= max(Fe.WIDTH * 0.7413 * (hi - lo), floor * short)
+                    break
+        want[i] = ok
+    assert got == want
+    assert not any(got[i] for i in range(0, 240, 40)) and sum(got.values()) > 200
