@@ -9,9 +9,13 @@ is nearest, not that it is one of them: texts in mixed languages score as low as
 Whether a text is in learned languages at all is told by the share of its trigrams
 that no training row holds.
 
-Training takes at most ``per_lang`` documents a language and ``most`` in all
-(bounds of the sample that is fitted; statistics of nothing else depend on it),
-chosen by a hash of doc_id.  Everything is predicted, training rows included.
+Training takes about ``per_lang`` documents a language and ``most`` in all, but ``least`` a
+language (bounds of the sample that is fitted; statistics of nothing else depend on it), chosen by
+a hash of doc_id and text; rows repeated in both count once, so that none fills the sample.  The
+``langs`` commonest languages are learned (more than ISO 639-1 has).  Everything is predicted,
+training rows included.
+
+A letter is a character of Unicode category L: digits, number signs and symbols are none.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import plus, ship, table
 
 DIM = 8192
-LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
 #: fixed values: families of ISO 639-1 codes; a code not listed is a family of its own
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb",
@@ -45,9 +49,14 @@ _FAMILY = {code: fam for fam, codes in FAMILIES.items() for code in codes.split(
 _SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of category L is there; the pattern alone would take number signs such as \u00bd for letters."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Counts of hashed byte trigrams; None if the text has no letter."""
-    if not text or not LETTER.search(text):
+    if not text or not has_letter(text):
         return None
     raw = b" " + text.lower().encode("utf-8", "surrogatepass").translate(_SPACE) + b" "
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
@@ -126,25 +135,32 @@ class Model:
         return self.langs[best], score * share[best] / (len(members) - 1)
 
 
-def train(spark: SparkSession, docs: DataFrame, per_lang: int = 600, most: int = 2400, seed: int = 7) -> Model:
-    """Fit on rows with text, lang and crc32(doc_id) mod 3 other than 1."""
+def train(spark: SparkSession, docs: DataFrame, per_lang: int = 600, most: int = 2400, seed: int = 7, least: int = 8, langs: int = 400) -> Model:
+    """Fit on rows with text, lang and crc32(doc_id) mod 3 other than 1.
+
+    The sample holds at most twice max(most, least * langs) rows, whatever the input holds."""
     ship(spark)
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "text", "lang")
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(seed)))
+    n = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    n = {r["lang"]: r["n"] for r in n.collect()}
     if not n:
         return Model([], np.zeros((0, DIM), np.float32), np.zeros(0, int))
-    each = max(20, min(per_lang, most // len(n)))
-    share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, each / c))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
-    got = rows.where(draw < share[F.col("lang")]).mapInArrow(_sample, "lang string, at binary, val binary").collect()
-    langs = sorted({r["lang"] for r in got})
-    got = sorted(got, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["val"])))[: 2 * most]
+    each = max(least, min(per_lang, most // len(n)))
+    share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, 1.1 * each / max(1, c)))])
+    draw = F.pmod("h", F.lit(1_000_000)) / F.lit(1e6)
+    got = rows.where(draw < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("h")
+    got = got.withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * each).select("lang", "text")
+    got = got.mapInArrow(_sample, "lang string, at binary, val binary").collect()
+    names = sorted({r["lang"] for r in got})
+    got = sorted(got, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["val"])))
     x = np.zeros((len(got), DIM), np.float32)
-    y = np.array([langs.index(r["lang"]) for r in got], int)
+    y = np.array([names.index(r["lang"]) for r in got], int)
     for i, r in enumerate(got):
         at = np.frombuffer(r["at"], np.uint16)
         x[i, at] = np.frombuffer(r["val"], np.float32)
-    return Model(langs, x, y)
+    return Model(names, x, y)
 
 
 def _sample(batches):
@@ -168,8 +184,9 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, names: tuple[st
     """All columns of docs plus lang_pred and score (0 to 1); one row per input row.
 
     Null texts and texts without a letter are ``und`` with score 0, as is
-    everything if no language was learned.  Columns of docs already named so are
-    replaced."""
+    everything if no language was learned.  Very long texts are read whole.  Repeated rows
+    get the same answer each; of equal scores the family or language first in the alphabet
+    wins; an empty table gives an empty one.  Columns of docs already named so are replaced."""
     ship(spark)
     keep = [c for c in docs.columns if c.lower() not in names]
     df = docs.select(*[F.col(f"`{c}`") for c in keep])
@@ -209,19 +226,26 @@ def allowance(spark: SparkSession, docs: DataFrame, model: Model, most: int = 24
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in learned languages, one or several; texts without letters, in unlearned languages and gibberish go."""
+    """Documents in learned languages, one or several; texts without letters, in unlearned languages and gibberish go.
+
+    Kept rows whose lang is null get the predicted one, so that later stages can budget them by language;
+    a lang that is there stays.  Repeated rows are judged alike; an empty table gives an empty one."""
     model = train(spark, docs)
     if not model.langs:
         return docs.where("false")
     most = allowance(spark, docs, model)
-
-    def passes(h):
-        return model.told(h)[0] != "und" and model.unseen(h) <= most
+    at, to = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
         for rb in batches:
-            # one text's counts at a time: those of a whole batch would take half a gigabyte
-            yield rb.filter(pa.array([passes(features(t.as_py())) for t in rb.column(at)], pa.bool_()))
+            keep, lang = [], rb.column(to).to_pylist()
+            for i, t in enumerate(rb.column(at)):
+                # one text's counts at a time: those of a whole batch would take half a gigabyte
+                h = features(t.as_py())
+                said = model.told(h)[0]
+                keep.append(said != "und" and model.unseen(h) <= most)
+                lang[i] = said if lang[i] is None else lang[i]
+            cols = [pa.array(lang, c.type) if i == to else c for i, c in enumerate(rb.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=rb.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)
