@@ -2,18 +2,27 @@
 
 Every page becomes a tree of elements named by tag, class and id.  The trees of a
 host are merged: a style node is a path of names, with the pages that have it, the
-sequences of children it shows (presentation) and the hashed text below it
+sequences of children it shows (presentation) and the hashed texts directly in it
 (content).  Following the published definition,
 
     presentation importance = entropy of the child sequences, base m (its pages)
     content importance      = 1 - mean entropy of its texts over the pages, base m
     importance = (1 - g^l) * presentation + g^l * content,   l kinds of children
 
-and branches whose importance is under ``LEAST`` are removed from the page.  Pages
-mark much of their layout themselves, and where they vary their menus from page to
-page entropy alone cannot see noise; elements declared as navigation, header,
-footer, aside, form, advert, notice or comment therefore start at importance 0 and
-``article``/``main`` at 1.
+and a single text that comes back on the pages of its node has the importance
+1 - log(c) / log(m).  A block's importance is the smaller one of its node and of its
+text; 1 while the host has too few pages to tell.
+
+What a page declares is a prior that scales this importance, since menus that vary
+from page to page have a high entropy and would stay:
+
+* navigation, footer, aside, form, advert, notice and comment elements: 0;
+* elements whose names only hint at such (``side-effects``, ``legal``), buttons: WEAK;
+* text outside of ``article``/``main`` on a page that has them: (1 - s)^2, s being their
+  share of the page's text (a teaser in ``main`` leaves the story beside it);
+* text in ``article``/``main``: 1, and it takes more pages and a lower importance to go.
+
+Blocks under ``LEAST`` (``LEAST_IN`` in ``article``/``main``) are removed.
 """
 
 from __future__ import annotations
@@ -28,13 +37,19 @@ from pyspark.sql import functions as F
 
 from .common import Work, plus, table
 
-GAMMA, LEAST, LEAST_PAGES = 0.9, 0.2, 3
+GAMMA, LEAST, LEAST_PAGES, WEAK = 0.9, 0.2, 3, 0.5
+#: in article and main: removed under this importance, told from so many pages
+LEAST_IN, LEAST_PAGES_IN = 0.05, 8
+#: paths longer than this go on as a digest of the path and the rest
+LONG = 240
+#: hosts with removals (some hundred bytes each) are sent to every executor up to this counted number, else joined by shuffle
+FEW_HOSTS = 50_000
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 #: fixed values: HTML element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg title head select option button object canvas audio video math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea iframe svg title head select option object canvas audio video annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 STOP = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr")), "tbody": frozenset(("table",)), "thead": frozenset(("table",)), "tfoot": frozenset(("table",))}
@@ -45,6 +60,17 @@ NOISE_WORDS = frozenset(
     "footer foot header masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "recommendations comment comments commentlist reply replies respond disqus discussion form search searchbox pagination pager widget copyright legal skip".split()
 )
+#: of these, those that say enough inside of an article
+NOISE_IN = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promotion promoted nav navbar navigation submenu breadcrumb breadcrumbs sidebar cookie cookies "
+    "gdpr popup newsletter subscribe signup share sharing related recommended recommendations comment comments commentlist reply replies respond disqus pagination pager".split()
+)
+#: fixed values: words that say where or how, not what
+LAYOUT = frozenset(
+    "inner outer wrapper wrap container box block bar list item items link links section area region panel slot unit top bottom left right primary secondary global site page web mobile desktop sticky fixed "
+    "head body text title col column row grid group widget widgets module component btn button buttons icon icons js ui wp large small medium responsive placeholder label zone holder tabs toggle close open "
+    "fluid full width mini lower upper sub post posts article articles story stories user reader readers google facebook twitter email content main first last one two three a b c".split()
+)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _NUM = re.compile(r"\d+")
@@ -57,33 +83,45 @@ def _h(s: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "rank", "kids")
+    __slots__ = ("tag", "path", "rank", "weak", "kids")
 
-    def __init__(self, tag, path, rank):
-        self.tag, self.path, self.rank, self.kids = tag, path, rank, []
+    def __init__(self, tag, path, rank, weak):
+        self.tag, self.path, self.rank, self.weak, self.kids = tag, path, rank, weak, []
 
 
-def _name(tag: str, attrs: str) -> tuple[str, bool]:
-    """(node name, declared noise)"""
-    name, words, role = tag, set(), ""
-    if attrs:
-        for k, v in _ATTR.findall(attrs):
-            v = v.strip("\"'")
-            if k.lower() == "role":
-                role = v.lower()
-                continue
-            name += ("." if k.lower() == "class" else "#") + _NUM.sub("", v)[:64]
-            words.update(_WORDS.findall(_NOT_OWN.sub(" ", _CAMEL.sub(r"\1-\2", v).lower())))
-    return name.replace(">", ""), role in NOISE_ROLES or not words.isdisjoint(NOISE_WORDS)
-
-
-def parse(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[str, int, int, int]]]:
-    """(blocks, nodes) of a page in document order: a block is (path, rank, text), rank
-    0 noise, 1 unknown, 2 landmark; a node is (path, hash of its children, kinds of
-    children, 1 if it has text), for unknown ones only.  Null: empty."""
+def _name(tag: str, attrs: str) -> tuple[str, set[str], bool]:
+    """(node name, noise words of names that say nothing else, whether other names hold noise words)"""
+    name, strong, weak = tag, set(), False
+    for k, v in _ATTR.findall(attrs) if attrs else ():
+        v = v.strip("\"'")
+        if k.lower() == "role":
+            if v.lower() in NOISE_ROLES:
+                strong.add("role")
+            continue
+        name += ("." if k.lower() == "class" else "#") + _NUM.sub("", v)
+        for token in _NOT_OWN.sub(" ", _CAMEL.sub(r"\1-\2", v).lower()).split():
+            words = set(_WORDS.findall(token))
+            noise = words & NOISE_WORDS
+            if noise and words <= NOISE_WORDS | LAYOUT:
+                strong |= noise
+            elif noise:
+                weak = True
+    return name.replace(">", ""), strong, weak
+
+
+def _under(path: str, name: str) -> str:
+    """Path of a child; long ones become a digest, so that nodes stay apart at any depth."""
+    path = f"{path}>{name}"
+    return path if len(path) <= LONG else "~" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def parse(page: str | None) -> tuple[list[tuple[str, int, bool, str]], list[tuple[str, int, int]]]:
+    """(blocks, nodes) of a page in document order: a block is (path, rank, weak, text), rank
+    0 noise, 1 unknown, 2 in article or main; a node is (path, hash of its children, kinds of
+    children), for all but noise.  Null: empty."""
     page = page or ""
     blocks: list[list] = []
-    root = _Node("", "", 1)
+    root = _Node("", "", 1, False)
     stack, nodes, fresh = [root], [], True
     at, end = 0, len(page)
 
@@ -92,20 +130,20 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[str,
         if not text:
             return
         top = stack[-1]
-        if fresh or not blocks or blocks[-1][1] != top.rank:
+        if fresh or not blocks or blocks[-1][1] != top.rank or blocks[-1][2] != top.weak:
             if not text.strip():
                 return
             own = next(n for n in reversed(stack) if n.tag not in INLINE)
-            blocks.append([own.path, top.rank, [text]])
+            blocks.append([own.path, top.rank, top.weak, [text]])
             fresh = False
         else:
-            blocks[-1][2].append(text)
+            blocks[-1][3].append(text)
 
     def pop(upto: int) -> None:
         while len(stack) > upto:
             n = stack.pop()
-            if n.rank == 1:
-                nodes.append((n.path, _h("|".join(n.kids)), len(set(n.kids)), 0))
+            if n.rank and n.tag not in INLINE:
+                nodes.append((n.path, _h("|".join(n.kids)), len(set(n.kids))))
 
     pos = 0
     while pos < end:
@@ -151,7 +189,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[str,
             elif tag == "head":
                 body = re.compile(r"<body\b", re.I).search(page, pos)
                 pos = body.start() if body else pos
-            if tag not in ("svg", "math", "button"):
+            if tag not in ("svg", "annotation", "annotation-xml"):
                 fresh = True
             continue
         if tag in ("html", "body"):
@@ -172,104 +210,136 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[str,
                 if stack[i].tag in STOP[tag]:
                     break
         top = stack[-1]
+        name, strong, weak = _name(tag, m[3])
+        inside = top.rank == 2
+        noise = bool(strong & NOISE_IN or "role" in strong) if inside or tag in ("article", "main") else bool(strong)
+        weak = top.weak or weak or bool(strong) and not noise or tag == "button"
         if tag in INLINE:
-            _, noise = _name(tag, m[3])
-            stack.append(_Node(tag, top.path, 0 if noise else top.rank))
+            stack.append(_Node(tag, top.path, 0 if noise else top.rank, weak))
             continue
         fresh = True
-        name, noise = _name(tag, m[3])
         rank = top.rank
-        inside = rank == 2 or any(n.tag in ("article", "main") for n in stack)
-        if noise or tag in NOISE_TAGS or tag == "header" and not inside:
-            # an article or main element named after a word like "news side" stays what it says
-            rank = 0 if not (tag in ("article", "main") and top.rank != 0 and not re.search(r"comment|reply|respond|ad\b|promo|related", name)) else 2
+        if noise or tag in NOISE_TAGS or tag == "header" and not inside and not any(n.tag in ("article", "main") for n in stack):
+            rank = 0
         elif tag in ("article", "main") and rank == 1:
-            rank = 2
+            rank, weak = 2, False
         top.kids.append(name)
-        stack.append(_Node(tag, f"{top.path}>{name}" if len(stack) < 40 else top.path, rank))
+        stack.append(_Node(tag, _under(top.path, name), rank, weak))
     pop(1)
-    nodes.append(("", _h("|".join(root.kids)), len(set(root.kids)), 0))
+    nodes.append(("", _h("|".join(root.kids)), len(set(root.kids))))
     out = []
-    for path, rank, parts in blocks:
+    for path, rank, weak, parts in blocks:
         text = " ".join(htmllib.unescape("".join(parts)).split())
         if text:
-            out.append((path, rank, text))
+            out.append((path, rank, weak, text))
     return out, nodes
 
 
+def page_nodes(page: str | None) -> list[tuple[str, int, int, int]]:
+    """Distinct (path, kind, hash, kinds of children) of a page: kind 0 a child sequence, 1 a text, 2 the node itself."""
+    blocks, nodes = parse(page)
+    rows = {(p, 0, h, k) for p, h, k in nodes} | {(p, 2, 0, 0) for p, _, _ in nodes}
+    return sorted(rows | {(p, 1, _h(t), 0) for p, r, _, t in blocks if r})
+
+
 def _scan(batches):
-    bt = pa.list_(pa.struct([("path", pa.string()), ("rank", pa.int32()), ("text", pa.string())]))
     nt = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("h", pa.int64()), ("kids", pa.int32())]))
     for rb in batches:
-        blocks, nodes = [], []
-        for page in rb.column("html"):
-            b, n = parse(page.as_py())
-            blocks.append([{"path": p, "rank": r, "text": t} for p, r, t in b if r])
-            rows = {(p, 0, h, k) for p, h, k, _ in n}
-            for p, r, t in b:
-                if r == 1:
-                    h, parts = _h(t), p.split(">")
-                    rows.update((">".join(parts[:i]), 1, h, 0) for i in range(1, len(parts) + 1))
-            nodes.append([dict(zip(("path", "kind", "h", "kids"), x)) for x in sorted(rows)])
+        nodes = [[dict(zip(("path", "kind", "h", "kids"), x)) for x in page_nodes(page.as_py())] for page in rb.column("html")]
         keep = [i for i, n in enumerate(rb.schema.names) if n != "html"]
-        yield pa.RecordBatch.from_arrays([*[rb.column(i) for i in keep], pa.array(blocks, bt), pa.array(nodes, nt)], names=[*[rb.schema.names[i] for i in keep], "blocks", "nodes"])
+        yield pa.RecordBatch.from_arrays([*[rb.column(i) for i in keep], pa.array(nodes, nt)], names=[*[rb.schema.names[i] for i in keep], "nodes"])
 
 
-def main_text(blocks: list[dict], removed: set[str]) -> str:
-    """Text of the blocks that stay: landmarks if they hold text, else unknown branches that were not removed."""
+def main_text(page: str | None, low: dict) -> str:
+    """Text of the blocks that stay.  low: (path, hash of a text, or None for the node) -> (importance, pages).
 
-    def gone(path: str) -> bool:
-        parts = path.split(">")
-        return any(">".join(parts[:i]) in removed for i in range(2, len(parts) + 1)) if removed else False
+    Where the tree would take more than half of a page's article, the page is one of many copies and
+    nothing in its article can be told from noise: the article stays."""
+    blocks = [b for b in parse(page)[0] if b[1]]
+    size = [sum(len(t) for _, r, _, t in blocks if r == k) for k in (0, 1, 2)]
+    outside = (1 - size[2] / max(1, size[1] + size[2])) ** 2
 
-    best = [b["text"] for b in blocks if b["rank"] == 2]
-    if not best:
-        best = [b["text"] for b in blocks if b["rank"] == 1 and not gone(b["path"])]
-    return " ".join(best)
+    def importance(path: str, text: str, pages: int) -> float:
+        found = [low.get((path, None)), low.get((path, _h(text)))] if low else []
+        return min([x[0] for x in found if x and x[1] >= pages], default=1.0)
+
+    keep = []
+    for path, rank, weak, text in blocks:
+        if rank == 2:
+            v = importance(path, text, LEAST_PAGES_IN)
+            keep.append(v >= LEAST_IN if not weak else WEAK * importance(path, text, LEAST_PAGES) >= LEAST)
+        else:
+            keep.append(importance(path, text, LEAST_PAGES) * outside * (WEAK if weak else 1.0) >= LEAST)
+    if 2 * sum(len(b[3]) for b, k in zip(blocks, keep) if k and b[1] == 2) < size[2]:
+        keep = [k or b[1] == 2 for b, k in zip(blocks, keep)]
+    return " ".join(b[3] for b, k in zip(blocks, keep) if k)
 
 
 def _extract(batches):
     for rb in batches:
-        got = [main_text(b or [], set(r or ())) for b, r in zip(rb.column("blocks").to_pylist(), rb.column("removed").to_pylist())]
+        got = []
+        for page, low in zip(rb.column("html"), rb.column("low")):
+            got.append(main_text(page.as_py(), {(x["path"], x["h"]): (x["importance"], x["pages"]) for x in low.as_py() or ()}))
         yield pa.RecordBatch.from_arrays([rb.column("page_id"), rb.column("url"), pa.array(got, pa.string())], names=["page_id", "url", "text"])
 
 
-def site_tree(rows: DataFrame) -> DataFrame:
-    """Importance of every unknown style node of a host: (host, path, pages, importance)."""
-    n = rows.select("host", "_uid", F.explode("nodes").alias("n")).select("host", "_uid", "n.*")
-    each = n.groupBy("host", "path", "kind", "h").agg(F.count("*").alias("c"), F.max("kids").alias("kids"))
-    pages = rows.where("size(nodes) > 0").select("host", "_uid", F.explode(F.array_distinct("nodes.path")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("pages"))
-    each = each.groupBy("host", "path").agg(
+def _counts(rows: DataFrame) -> DataFrame:
+    n = rows.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
+    return n.groupBy("host", "path", "kind", "h").agg(F.count("*").alias("c"), F.max("kids").alias("kids"))
+
+
+def _tree(each: DataFrame) -> DataFrame:
+    n = each.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 1, F.log(F.col("c").cast("double")))).alias("spread"),
         F.sum((F.col("kind") == 1).cast("long")).alias("texts"),
         F.sum(F.when(F.col("kind") == 0, F.col("c") * F.log(F.col("c").cast("double")))).alias("clogc"),
         F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("shown"),
+        F.sum(F.when(F.col("kind") == 2, F.col("c"))).alias("pages"),
         F.max("kids").alias("kids"),
     )
     m = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
     show = F.greatest((F.log(F.col("shown").cast("double")) - F.col("clogc") / F.col("shown")) / m, F.lit(0.0))
     say = F.when(F.col("texts") > 0, 1 - F.col("spread") / F.col("texts") / m).otherwise(1.0)
     w = F.pow(F.lit(GAMMA), F.coalesce("kids", F.lit(0)).cast("double"))
-    return each.join(pages, ["host", "path"]).select("host", "path", "pages", "texts", ((1 - w) * F.coalesce(show, F.lit(0.0)) + w * say).alias("importance"))
+    return n.select("host", "path", "pages", "texts", ((1 - w) * F.coalesce(show, F.lit(0.0)) + w * say).alias("importance"))
+
+
+def site_tree(rows: DataFrame) -> DataFrame:
+    """Importance of every style node of a host that isn't declared noise: (host, path, pages, texts, importance).
+
+    rows: (host, nodes) of each page."""
+    return _tree(_counts(rows))
+
+
+def low_importance(rows: DataFrame, work: Work) -> DataFrame:
+    """(host, low): what may be removed of a host, nodes (h null) and single texts, with importance and pages."""
+    each = work.save(_counts(rows), "nodes")
+    tree = work.save(_tree(each).where((F.col("pages") >= LEAST_PAGES) & (F.col("texts") > 0)), "tree")
+    nodes = tree.where(F.col("importance") < LEAST / WEAK).select("host", "path", F.lit(None).cast("bigint").alias("h"), "importance", "pages")
+    often = each.where((F.col("kind") == 1) & (F.col("c") >= LEAST_PAGES)).select("host", "path", "h", "c")
+    said = 1 - F.log(F.col("c").cast("double")) / F.log(F.col("pages").cast("double"))
+    texts = often.join(tree.select("host", "path", "pages"), ["host", "path"]).select("host", "path", "h", said.alias("importance"), "pages").where(F.col("importance") < LEAST)
+    return nodes.union(texts).groupBy("host").agg(F.collect_list(F.struct("path", "h", "importance", "pages")).alias("low"))
 
 
 def extract(spark: SparkSession, pages: DataFrame, work: Work | None = None) -> DataFrame:
     """page_id, url, text (the main text, "" if none), one row per input row.
 
-    Null html is empty; a null url counts as host ""; repeated pages count once each."""
+    Null and empty html is empty; a null url counts as host ""; repeated pages count once each in the
+    tree; very long or deep pages are read whole; a page whose article the tree can't tell from noise keeps
+    it (see ``main_text``); equal importances need no tie rule; an empty table gives an empty one; other
+    columns of ``pages`` are ignored."""
     work = work or Work(spark, "sitetree")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     src = pages.select("page_id", "url", "html", host.alias("host"))
-    schema = plus(src.schema, "blocks array<struct<path:string,rank:int,text:string>>, nodes array<struct<path:string,kind:int,h:bigint,kids:int>>", ("html",))
-    rows = work.save(src.mapInArrow(_scan, schema).withColumn("_uid", F.monotonically_increasing_id()), "blocks")
-    low = site_tree(rows).where((F.col("importance") < LEAST) & (F.col("pages") >= LEAST_PAGES) & (F.col("texts") > 0) & (F.col("path") != ""))
-    low = low.groupBy("host").agg(F.collect_set("path").alias("removed"))
-    has = F.exists("blocks", lambda b: b["rank"] == 2)
-    plain = rows.where(has).withColumn("removed", F.lit(None).cast("array<string>"))
-    other = rows.where(~has).join(low, "host", "left")
-    cols = ["page_id", "url", "blocks", "removed"]
-    both = plain.select(*cols).union(other.select(*cols))
-    return both.mapInArrow(_extract, plus(pages.select("page_id", "url").schema, "text string"))
+    nodes = src.select("host", "html").mapInArrow(_scan, "host string, nodes array<struct<path:string,kind:int,h:bigint,kids:int>>")
+    low = work.save(low_importance(nodes, work), "low")
+    if low.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
+        both = src.join(F.broadcast(low), "host", "left")
+    else:  # pages of one host are dealt over several tasks
+        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        both = src.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(16)).cast("int")).join(salted, ["host", "salt"], "left")
+    return both.select("page_id", "url", "html", "low").mapInArrow(_extract, plus(pages.select("page_id", "url").schema, "text string"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

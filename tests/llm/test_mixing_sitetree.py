@@ -142,3 +142,96 @@ def test_parser_never_fails():
         S.parse("".join(r.choices(bits, k=r.randint(0, 20))))
     S.parse("<div>" * 20000 + "x")
     S.parse("<a '" * 3000)
+
+
+def test_tree_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefg", k=5))
+    pages = []
+    for i in range(40):
+        host = f"h{i % 3}"
+        body = "".join(f"<div class='{r.choice(['x', 'y', 'z'])}'><p>{r.choice(['same', word(), word()])}</p>{r.choice(['', '<ul><li>k</li></ul>'])}</div>" for _ in range(r.randint(1, 5)))
+        pages.append((host, f"<body><article>{body}</article><div>{r.choice(['one', 'two'])}</div></body>"))
+    rows = spark.createDataFrame([(h, S.page_nodes(p)) for h, p in pages], "host string, nodes array<struct<path:string,kind:int,h:bigint,kids:int>>")
+    got = {(x.host, x.path): x for x in S.site_tree(rows).collect()}
+    want = {}
+    for host in {h for h, _ in pages}:
+        seen = Counter(n[:3] for h, p in pages if h == host for n in {x[:3]: x for x in S.page_nodes(p)}.values())
+        kids = {}
+        for h, p in pages:
+            if h == host:
+                for path, _, _, k in S.page_nodes(p):
+                    kids[path] = max(kids.get(path, 0), k)
+        for path in kids:
+            m = math.log(max(2, seen[path, 2, 0]))
+            shown = [c for (q, kind, _), c in seen.items() if q == path and kind == 0]
+            said = [c for (q, kind, _), c in seen.items() if q == path and kind == 1]
+            show = -sum(c / sum(shown) * math.log(c / sum(shown)) for c in shown) / m if shown else 0.0
+            say = 1 - sum(math.log(c) for c in said) / len(said) / m if said else 1.0
+            w = S.GAMMA ** kids[path]
+            want[host, path] = (1 - w) * max(show, 0.0) + w * say
+    assert set(got) == set(want) and all(abs(got[k].importance - v) < 1e-9 for k, v in want.items())
+
+
+def site(n, page, host="s.example.com"):
+    r = random.Random(n)
+    words = lambda k: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(k))
+    return [(i, f"http://{host}/{i}", page(i, words), "") for i in range(n)]
+
+
+def test_importance_decides_inside_articles(spark):
+    said = {}
+
+    def page(i, words):
+        said[i] = [words(3), words(30), words(25), words(12)]
+        a, b, c, d = said[i]
+        menu = "".join(f"<li><a href='/{i}'>{words(1)}</a></li>" for _ in range(i % 5 + 1))
+        return f"<nav><ul>{menu}</ul></nav><main><article><h1>{a}</h1><p>{b}</p><div class='box'>Read this on paper as well</div><p>{c}</p><p>Written by our staff for you</p><section class='side-effects'><p>{d}</p></section></article></main><div class='notice-period'>Closed on Sundays</div>"
+
+    got = run(spark, site(12, page))
+    assert got == {i: " ".join(x) for i, x in said.items()}
+    # the same pages without a site tell nothing about repetition
+    alone = run(spark, [(0, "http://one.example.com", page(0, lambda k: "x y z"), "")])
+    assert "Read this on paper" in alone[0] and "Sundays" not in alone[0]
+
+
+def test_names_inside_articles(spark):
+    for name in ("class='legal'", "class='side-effects'", "class='social-history'", "class='notice-period'", "class='menu-engineering'", "id='discussion'"):
+        assert run(spark, [(1, "http://f.example.com", f"<article><h1>T</h1><section {name}><p>kept text</p></section></article>", "")]) == {1: "T kept text"}, name
+    for name in ("class='share-buttons'", "class='ad-slot'", "id='comments'", "class='related-posts'", "role='navigation'"):
+        assert run(spark, [(1, "http://f.example.com", f"<article><h1>T</h1><section {name}><p>gone</p></section></article>", "")]) == {1: "T"}, name
+    html = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> and press <button>Go</button> now</p></article>"
+    assert run(spark, [(1, "http://f.example.com", html, "")]) == {1: "Let x=2 and press Go now"}
+
+
+def test_a_teaser_does_not_hide_the_story(spark):
+    story = "word " * 80
+    assert run(spark, [(1, "http://f.example.com", f"<main><p>Short teaser</p></main><div class='story'><p>{story}</p></div>", "")])[1] == f"Short teaser {story.strip()}"
+    assert run(spark, [(1, "http://f.example.com", f"<main><p>{story}</p></main><div class='x'><p>Short extra</p></div>", "")])[1] == story.strip()
+
+
+def test_copies_of_a_page_keep_their_article(spark):
+    got = run(spark, [(i, f"http://c.example.com/{i}", "<nav>n</nav><article><h1>Same</h1><p>The same words</p></article><footer>f</footer>", "") for i in range(20)])
+    assert set(got.values()) == {"Same The same words"}
+
+
+def test_deep_paths_and_long_names_stay_apart(spark):
+    def page(i, words):
+        deep = "<div>" * 120
+        long = "n" * 400
+        return f"<body>{deep}<div class='{long}a'>Repeated everywhere</div><div class='{long}b'><p>{words(20)}</p></div></body>"
+
+    rows = site(9, page)
+    got = run(spark, rows)
+    assert all("Repeated" not in v and len(v) > 100 for v in got.values())
+    assert all(len(n[0]) <= S.LONG + 30 for n in S.page_nodes(rows[0][2]))
+
+
+def test_many_hosts_are_joined_by_shuffle(spark, monkeypatch):
+    rows = [(100 * k + i, f"http://h{k}.example.com/{i}", f"<div class='lead'>Same for all</div><div class='story'><p>{k} {i} words of this page</p></div>", "") for k in range(4) for i in range(8)]
+    a = run(spark, rows)
+    monkeypatch.setattr(S, "FEW_HOSTS", 1)
+    assert run(spark, rows) == a and not any("Same" in v for v in a.values())
