@@ -25,7 +25,9 @@ from .common import Work, table
 
 #: query keys (about 100 bytes each) up to this count are sent to every executor; more are joined by shuffle
 BROADCAST_KEYS = 1_500_000
-CELL, RADIUS, DISC, NEAR, INLIERS = 10, 13, 10, 45, 6
+#: classes (hash and id, about 130 bytes each) up to this count are sent to every executor
+FEW_CLASSES = 300_000
+CELL, RADIUS, DISC, NEAR, INLIERS = 8, 16, 10, 24, 6
 SCALES = tuple(2 ** (-k / 6) for k in range(7))
 #: matches of a pair up to this count are all tried as hypotheses; of more, those of the fullest bins
 ALL_VOTES, BEST_BINS = 600, 40
@@ -298,9 +300,16 @@ def described(media: DataFrame, work: Work, tag: str) -> tuple[DataFrame, DataFr
     first = work.save(n.groupBy("h").agg(F.min(F.struct("id", "n")).alias("m")).select("h", F.col("m.id").alias("cls"), "m.n"), f"{tag}-first")
     ids = d.select("id", "h").join(first.select("h", "cls"), "h", "left").select("id", F.coalesce("cls", "id").alias("cls"))
     lead = first.select("h", F.col("cls").alias("id"), "n")
-    one = d.join(lead.where("n = 1"), ["h", "id"], "left_semi")
-    more = d.join(lead.where("n > 1"), ["h", "id"], "left_semi").dropDuplicates(["h", "id"])  # rows that come back as a whole
-    return ids, one.union(more).select(F.col("id").alias("cls"), F.explode("pts").alias("k")).select("cls", "k.*")
+    few = first.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES
+
+    def of(some: str) -> DataFrame:
+        k = lead.where(some).select("h", "id")
+        return d.join(F.broadcast(k) if few else k, ["h", "id"], "left_semi")
+
+    pts = of("n = 1")
+    if lead.where("n > 1").limit(1).count():
+        pts = pts.union(of("n > 1").dropDuplicates(["h", "id"]))  # rows that come back as a whole
+    return ids, pts.select(F.col("id").alias("cls"), F.explode("pts").alias("k")).select("cls", "k.*")
 
 
 def find_copies(spark: SparkSession, queries: DataFrame, media: DataFrame, least: int = INLIERS, work: Work | None = None) -> DataFrame:
