@@ -15,11 +15,12 @@ Blocks with at most one shingle say little and would make large tiles; they are
 left out as long as a document has fewer than m - d of them (then they can't be
 all that agrees).  Documents with more of them add keys over combinations.
 
-Work order: equal sets collapse to one representative first; tiles link every
-member to a leader in three orders (linear, no pairs of a group); in tiles that
-still hold more than one component the members outside the largest one are
-searched in packed R-trees over the tile.  Every surviving pair is verified on the
-full sets.  No caps, no sampling.
+Tiles with the same members are one tree.  Work order: equal sets collapse to one
+representative first; in the tree of every tile (in blocks of bounded size) each
+member descends to the nearest of the members before it, by the bound, which gives at
+most one pair a member; in tiles that still hold more than one component the members
+outside the largest one are searched for all partners in trees over the whole tile.
+Every surviving pair is verified on the full sets.  No caps, no sampling.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def _sets(k: int):
     def run(batches):
         for rb in batches:
             sets = [shingle_set(t.as_py(), k) for t in rb.column("text")]
-            cv = [counts(s).tobytes() for s in sets]
+            cv = [_packed(counts(s)) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [rb.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cv, pa.binary())], names=["doc_id", "items", "cv"]
             )
@@ -186,6 +187,15 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
+def _packed(c: np.ndarray) -> bytes:
+    """Counts as 16-bit numbers, as 32-bit ones if one needs them."""
+    return (c if c.max(initial=0) > 65535 else c.astype(np.uint16)).tobytes()
+
+
+def _unpacked(cvs: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(c, np.uint16 if len(c) == 2 * GROUPS else np.uint32).astype(np.uint32) for c in cvs])
+
+
 class RTree:
     """Packed R-tree over count vectors: rows sorted by size, ``FAN`` per node,
     each node with the upper corner of its box and its range of sizes."""
@@ -225,6 +235,48 @@ class RTree:
         at = at[at < len(self.points)]
         return self.order[at[may(self.points[at], self.size[at], self.size[at])]]
 
+    def nearest(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (i, j): for each member the one before it (by size) to which the best bounds lead down
+        the tree, where that one's bound reaches num/den.  At most one pair a member."""
+        if len(self.points) < 2:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        left, right = [], []
+        for lo in range(1, len(self.points), 256):
+            me = np.arange(lo, min(lo + 256, len(self.points)))
+            q, n = self.points[me], self.size[me]
+            at = np.zeros(len(me), np.int64)
+            for level in range(len(self.levels) - 2, -2, -1):
+                # the children of the chosen nodes that begin before the member; -1: the points
+                hi, low = (self.levels[level][0], self.levels[level][1]) if level >= 0 else (self.points, self.size)
+                kid = at[:, None] * self.FAN + np.arange(self.FAN)
+                before = kid * self.FAN ** (level + 1) < me[:, None]
+                kid = np.minimum(kid, len(hi) - 1)
+                near = np.minimum(hi[kid], q[:, None]).sum(2)
+                share = np.where(before, near / np.maximum(n[:, None] + low[kid] - near, 1), -1.0)
+                best = np.argmax(share, 1)
+                at, near = kid[np.arange(len(me)), best], near[np.arange(len(me)), best]
+            ok = (near * (den + num) >= num * (n + self.size[at])) & (self.size[at] * den >= num * n)
+            left.append(me[ok])
+            right.append(at[ok])
+        return self.order[np.concatenate(left)], self.order[np.concatenate(right)]
+
+
+def _tile_nearest(num: int, den: int):
+    """Members (doc, cv) of a block of a tile -> each one's nearest candidate pair."""
+
+    def run(batches):
+        for rb in batches:
+            a, b = [], []
+            for z in rb.column("z"):
+                docs = z.values.field("doc").to_numpy()
+                i, j = RTree(_unpacked(z.values.field("cv").to_pylist())).nearest(num, den)
+                a.append(np.minimum(docs[i], docs[j]))
+                b.append(np.maximum(docs[i], docs[j]))
+            cat = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cat(a), pa.int64()), pa.array(cat(b), pa.int64())], names=["a", "b"])
+
+    return run
+
 
 def _tile_search(num: int, den: int):
     """Rows (own, doc, comp, cv) of a block of a tile -> candidate pairs of different
@@ -234,7 +286,7 @@ def _tile_search(num: int, den: int):
         for rb in batches:
             a, b = [], []
             for z in rb.column("z").to_pylist():
-                pts = np.frombuffer(b"".join(r["cv"] for r in z), np.uint32).reshape(-1, GROUPS)
+                pts = _unpacked([r["cv"] for r in z])
                 comp = np.array([r["comp"] for r in z])
                 tree = RTree(pts)
                 for i, r in enumerate(z):
@@ -269,14 +321,17 @@ def _verify(num: int, den: int):
     return run
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, work: Work | None = None) -> DataFrame:
+def jaccard_components(
+    spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, work: Work | None = None, steps: dict | None = None
+) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Links: 100 * |A & B| >= num/den * |A | B| over the distinct k-word shingles.
     Null, empty or white-space texts have no shingle and link with nothing; rows
     that repeat a doc_id count as versions of one document and stay together; a
     null doc_id links with nothing and has a null component.  Other columns of
-    ``docs`` are ignored.  One row per input row.
+    ``docs`` are ignored.  One row per input row; an empty table gives an empty one; very
+    long texts are read whole.  ``steps``, if given, gets the verified links of each step.
     """
     work = work or Work(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -288,8 +343,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     cls = work.save(points.where("doc_id is not null").select("doc_id", "fp").join(reps, "fp").select("doc_id", "rep").distinct(), "classes")
     lead = _few(reps.select(F.col("rep").alias("doc_id")).distinct())
     rows_k = keyed.join(lead, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id").repartition(partitions(spark), "key")
-    tiles = rows_k.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-    multi = work.save(rows_k.join(tiles.hint("shuffle_hash"), "key").select("key", "doc_id", "lead"), "tiles")
+    mark = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    tiles = rows_k.groupBy("key").agg(F.count("*").alias("n"), *mark).where("n > 1")
+    # tiles with the same members are searched once
+    tiles = tiles.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key", "n")
+    multi = work.save(rows_k.join(tiles.hint("shuffle_hash"), "key").select("key", "doc_id", "n"), "tiles")
 
     work.drop(keyed)
     need = _few(work.save(multi.select("doc_id").distinct(), "need"))
@@ -303,31 +361,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     # rows of one doc_id with unequal sets stay together through their representatives
     same = cls.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    def apart(pairs: DataFrame, lookup: DataFrame) -> DataFrame:
-        p = pairs.join(lookup.toDF("a", "ca"), "a", "left").join(lookup.toDF("b", "cb"), "b", "left")
-        return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    # every member against its smallest tile leader, then against leaders in two other orders
-    star = multi.groupBy("doc_id").agg(F.min("lead").alias("lead")).where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-    links = work.save(verified(star), "links")
-    comp = components(work, links)
-    other = None
-    for seed in (1, 2):
-        h = F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id").alias("lead"))
-        lead = multi.groupBy("key").agg(F.min(h).alias("m"))
-        pair = multi.select("key", "doc_id").join(lead, "key").groupBy("doc_id").agg(F.min("m").alias("m")).select(F.least("doc_id", "m.lead").alias("a"), F.greatest("doc_id", "m.lead").alias("b")).where("a <> b")
-        other = pair if other is None else other.union(pair)
-    edges = links.union(work.save(verified(apart(other.distinct(), comp)), "links"))
+    def linked(pairs: DataFrame, step: str) -> DataFrame:
+        out = work.save(verified(pairs.distinct()), "links")
+        if steps is not None:
+            steps[step] = out.count()
+        return out
+
+    cv = sets.select("doc_id", "cv")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / TILE)).cast("int")
+    blocks = multi.select("key", "doc_id", part.alias("o")).join(cv, "doc_id").groupBy("key", "o").agg(F.collect_list(F.struct(F.col("doc_id").alias("doc"), "cv")).alias("z")).select("z")
+    edges = linked(blocks.where(F.size("z") > 1).mapInArrow(_tile_nearest(num, den), "a long, b long"), "nearest")
     comp = components(work, edges)
 
     # tiles with more than one component left: members outside of the tile's largest
     # component are searched in R-trees of all its members, in blocks of bounded size
     t = multi.select("key", "doc_id").join(comp.toDF("doc_id", "comp"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    size = t.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"))
-    sign = F.struct(F.sum("n").alias("n"), F.sum("s").alias("s")).alias("sign")
-    tile = size.groupBy("key").agg(sign, F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    # tiles with the same members are searched once
-    tile = tile.groupBy("sign").agg(F.min_by(F.struct("key", "main", "most"), "key").alias("k")).select("k.key", "k.main", (F.col("sign.n") - F.col("k.most")).alias("u"), F.col("sign.n").alias("n"))
+    size = t.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    tile = size.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    tile = tile.select("key", "main", (F.col("n") - F.col("most")).alias("u"), "n")
     left = work.save(t.join(tile, "key"), "mixed")
     nb, nr = F.ceil(F.col("u") / (TILE / 4)).cast("int"), F.ceil(F.col("n") / TILE).cast("int")
     cut = F.sequence(F.lit(0), nb - 1)
@@ -336,10 +387,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     keep = ["key", "doc_id", "comp"]
     own = left.where("comp <> main").select(*keep, F.lit(True).alias("own"), F.pmod(h, nb).cast("int").alias("o"), F.explode(row).alias("r"))
     rest = left.select(*keep, F.lit(False).alias("own"), F.explode(cut).alias("o"), F.pmod(h, nr).cast("int").alias("r"))
-    cv = sets.select("doc_id", "cv")
     blocks = own.union(rest).join(cv, "doc_id").groupBy("key", "o", "r").agg(F.collect_list(F.struct("own", F.col("doc_id").alias("doc"), "comp", "cv")).alias("z")).select("z")
-    pairs = blocks.mapInArrow(_tile_search(num, den), "a long, b long").distinct()
-    edges = edges.union(work.save(verified(pairs), "links"))
+    edges = edges.union(linked(blocks.mapInArrow(_tile_search(num, den), "a long, b long"), "all partners"))
     comp = components(work, edges.union(same))
     work.drop(multi, sets, left)
     ids = cls.groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -354,11 +403,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group (five words, 0.8).
 
-    Repeated rows of the kept id collapse to one row; rows with a null doc_id stay."""
-    comp = jaccard_components(spark, docs, k=5, num=80, den=100)
-    keep = comp.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    Repeated rows of the kept id collapse to one row; rows with a null doc_id and texts without words
+    stay; an empty table gives an empty one.  Only ids are joined: texts move for repeated ids alone, or
+    where the ids are too many to be sent around."""
+    work = Work(spark, "duplicates")
+    comp = work.save(jaccard_components(spark, docs, k=5, num=80, den=100).select("doc_id", "component_id"), "components")
+    gone = comp.where("doc_id <> component_id").select("doc_id").distinct()
+    again = comp.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = docs.join(_few(gone), "doc_id", "left_anti")
+    if again.limit(1).count():
+        again = _few(again)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

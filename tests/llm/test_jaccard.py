@@ -100,3 +100,35 @@ def test_edge_tables(spark):
     kept = J.stage(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert kept.columns == ["doc_id", "text", "comp"]
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 3]
+
+
+def test_the_trees_find_the_links(spark):
+    rows = corpus(7)
+    steps = {}
+    df = J.jaccard_components(spark, spark.createDataFrame(rows, SCHEMA), steps=steps)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()} == brute(rows, 5, 80, 100)
+    # all links come from descents and searches in the trees
+    assert set(steps) == {"nearest", "all partners"} and steps["nearest"] > 20
+
+
+def test_nearest_pairs_reach_their_bound():
+    r = np.random.default_rng(3)
+    base = [np.unique(r.integers(0, 2**63, 80).astype(np.uint64)) for _ in range(30)]
+    sets = [np.unique(np.concatenate((b[: len(b) - k], r.integers(0, 2**63, k).astype(np.uint64)))) for b in base for k in (0, 1, 2, 3)]
+    for group in (sets, sets[:2], sets[:1], sets[:17] * 40):
+        pts = np.stack([J.counts(s) for s in group])
+        i, j = J.RTree(pts).nearest(80, 100)
+        assert len(set(i.tolist())) == len(i) and not (i == j).any()
+        for a, b in zip(i, j):
+            near = np.minimum(pts[a], pts[b]).sum()
+            assert near * 180 >= 80 * (len(group[a]) + len(group[b]))
+    i, j = J.RTree(np.stack([J.counts(s) for s in sets])).nearest(80, 100)
+    assert len(i) >= 85 and sum(a // 4 == b // 4 for a, b in zip(i, j)) >= 0.95 * len(i)
+
+
+def test_counts_of_any_size():
+    for top in (3, 70_000):
+        c = np.zeros(J.GROUPS, np.uint32)
+        c[5] = top
+        assert (J._unpacked([J._packed(c)])[0] == c).all()
+    assert (J._unpacked([J._packed(c), J._packed(c // 70_000)]) == np.stack([c, c // 70_000])).all()
