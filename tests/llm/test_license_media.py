@@ -47,6 +47,101 @@ def test_scan_table(spark):
     assert Li.scan(spark, df.where("false")).collect() == []
 
 
+WORDINGS = [  # none of these is a training text
+    ("mit", "The code is MIT licensed; it is released under the terms of the MIT license."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files, to deal in the\n// Software without restriction, including without limitation the rights\n// to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n// copies of the Software"),
+    ("apache", "Copyright 2021 The Authors. Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."),
+    ("apache", "This library is licensed under the Apache 2.0 License, released under the Apache 2.0 license."),
+    ("gpl", "foo is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, version 3 of the License."),
+    ("gpl", "Licensed under the GNU General Public License v2 or later"),
+    ("lgpl", "foo is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version."),
+    ("bsd", "Redistribution and use in source and binary forms of the code, with or without\nmodification, are permitted provided that these conditions\nare met:"),
+    ("bsd", "This code is licensed under the BSD license found in the root"),
+    ("mpl", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If no copy of the MPL came with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("zlib", "This code is provided 'as-is', without any express or implied\nwarranty. In no event will the author be held liable for any damages\narising from the use of this software."),
+    ("boost", "//  Distributed under the Boost Software License, Version 1.0. (See\n//  accompanying file or copy at boost.org)"),
+    ("epl", "All rights to this program and the accompanying materials\nare made available under the terms of the Eclipse Public License v2.0"),
+    ("eupl", "Licensed under the EUPL, Version 1.1 or - as soon they will be approved by\nthe European Commission - later versions of the EUPL"),
+    ("cc-by", "This article is licensed under a Creative Commons Attribution 4.0 International License, which permits use."),
+    ("cc-by-sa", "Its text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "The pictures are licensed under CC BY-NC 4.0 by their makers"),
+    ("public-domain", "This is free and unencumbered software which was released into\nthe public domain."),
+    ("proprietary", "(c) 2019 Example Corp. All rights reserved worldwide."),
+]
+WITHHELD = [  # families of which no text was trained
+    "Licensed under the Elastic License 2.0 only",
+    "This source code is licensed under the Server Side Public License, version 1",
+    "this work is licensed under the Open Gaming License version 1.0a",
+    "The database is made available under the Open Database License",
+    "This source file is subject to version 3.01 of the PHP license, that is bundled with this package",
+    "Licensed under the Universal Permissive License v 1.0",
+    "Licensed under the Solderpad Hardware License version 0.51",
+    "Vim is Charityware. You can use and copy it as much as you like under the Vim license terms",
+    "licensed under the Mulan Permissive Software License v2",
+    "This hardware is licensed under the CERN Open Hardware Licence version 2",
+]
+
+
+def test_unseen_wordings_and_withheld_families():
+    m = Li.classifier()
+    trained = {" ".join(Li.tokens(t)) for ts in Li.TEMPLATES.values() for t in ts} | {" ".join(Li.tokens(t)) for t in Li.OTHER}
+    # a notice is found whatever prose stands around it: on its own, after a blank line, inside of one long line
+    wide = "lorem dolor thatness " * 150
+    for before, after in (("", ""), ("Some prose here.\n\n", "\n\nMore prose."), (wide, " " + wide)):
+        right = 0
+        for fam, text in WORDINGS:
+            assert " ".join(Li.tokens(text)) not in trained
+            got = Li.scan_text(before + (text.replace("\n", " ") if before == wide else text) + after, m)
+            right += any(x[2] == fam and x[4] for x in got)
+            assert not any(x[4] and x[2] not in (fam, "proprietary") for x in got), (fam, got)
+        assert right >= 0.9 * len(WORDINGS), (right, len(WORDINGS))
+    unknown = [Li.scan_text(before + t, m) for t in WITHHELD for before in ("", "Prose that says nothing.\n")]
+    assert not any(x[4] for got in unknown for x in got)
+    assert sum(any(x[2] == "unknown" for x in got) for got in unknown) >= 0.8 * len(unknown)
+
+
+def test_the_gate_loses_nothing():
+    m = Li.classifier()
+    units = [t for _, t in WORDINGS] + [t for ts in Li.TEMPLATES.values() for t in ts]
+    r = random.Random(5)
+    for t in units:
+        toks = Li.tokens(t)
+        for _ in range(20):
+            a = r.randrange(max(1, len(toks) - 20))
+            u = toks[a : a + r.randint(12, Li.WINDOW)]
+            if m.told(u)[2]:
+                assert not m.gate.isdisjoint(u), u
+
+
+def test_probabilities_are_calibrated():
+    """Expected calibration error over renderings of unseen wordings, withheld families and counter-examples."""
+    m, r = Li.classifier(), random.Random(12)
+    words = sorted({w for t in Li.COUNTER for w in t.split()})
+    conf, right = [], []
+    for fam, text in [*WORDINGS, *(("unknown", t) for t in WITHHELD), *(("none", t) for t in ["he saw the license of the hunter on the wall", "the general public was not admitted", "all of the software people were there", "the work of the day is done and free time begins"] * 5)]:
+        for _ in range(10):
+            toks = [w for w in Li.tokens(text) if r.random() > 0.05][: Li.WINDOW]
+            p = m.probabilities(toks + r.choices(words, k=r.randint(0, 4)))
+            conf.append(p.max())
+            right.append(m.classes[int(np.argmax(p))] == fam)
+    conf, right = np.array(conf), np.array(right)
+    bins = np.minimum((conf * 10).astype(int), 9)
+    error = sum(abs(conf[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+    # measured: 0.16, on the cautious side (texts unlike the training are left to unknown)
+    assert error < 0.2 and right.mean() > conf.mean() and right[conf > 0.9].mean() > 0.95, (error, right.mean())
+
+
+def test_units_cross_lines_but_not_blank_ones():
+    m = Li.classifier()
+    assert [x[2:] [0] for x in Li.scan_text("Licensed under the MIT\n\nlicense plates are blue", m) if x[4]] == []
+    long = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    whole = "First words.\n" + "\n".join(long[i : i + 60] for i in range(0, len(long), 60)) + "\nLast words."
+    (x,) = [x for x in Li.scan_text(whole, m) if x[4]]
+    assert x[2] == "mit" and whole[x[0] :].startswith("Permission") and x[1] - x[0] > 200
+
+
 def png(img):
     h, w = img.shape
 
