@@ -1,6 +1,7 @@
 """Licence classifier (held-out renderings) and media copies (recall against brute force)."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -135,9 +136,9 @@ def test_probabilities_are_calibrated():
 
 def test_units_cross_lines_but_not_blank_ones():
     m = Li.classifier()
-    assert [x[2:] [0] for x in Li.scan_text("Licensed under the MIT\n\nlicense plates are blue", m) if x[4]] == []
+    assert [x[2] for x in Li.scan_text("Licensed under the MIT\n\nlicense plates are blue", m) if x[4]] == []
     long = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
-    whole = "First words.\n" + "\n".join(long[i : i + 60] for i in range(0, len(long), 60)) + "\nLast words."
+    whole = "First words.\n" + "\n".join(textwrap.wrap(long, 60)) + "\nLast words."
     (x,) = [x for x in Li.scan_text(whole, m) if x[4]]
     assert x[2] == "mit" and whole[x[0] :].startswith("Permission") and x[1] - x[0] > 200
 
