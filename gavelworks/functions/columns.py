@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import MONTH_NAMES, MONTHS
+from .lexicon import BOILERPLATE, MONTH_NAMES, MONTHS
 
 MONTH_ALT = "|".join(sorted(MONTHS, key=len, reverse=True))
+# fixed value: the form of a date
 DATE = rf"(?i)\b(\d{{1,2}})\s*(?:-|\s)\s*({MONTH_ALT})\.?\s*(?:-|\s)\s*(\d{{4}})\b"
 
 
@@ -74,6 +75,7 @@ def level_of_number(c) -> Column:
 
 def court_key(c) -> Column:
     """Letters that name the place of a court."""
+    # fixed values: prefixes of courts, classes, numbers of military courts
     n = F.trim(F.regexp_replace(F.upper(col(c)), r"\.", " "))
     n = F.regexp_replace(n, r"^(PN|PT|PENGADILAN\s+NEGERI|PENGADILAN\s+TINGGI|DILMIL|PENGADILAN\s+MILITER(\s+TINGGI)?)\b", "")
     n = F.regexp_replace(n, r"\bKELAS\s+[I1]+\s*[AB]?\b", " ")
@@ -89,14 +91,34 @@ def safe_name(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"[^\w.-]+", "_"), "^_+|_+$", "")
 
 
-def clean_lines(c, drop: list[str] = ()) -> Column:
-    """Lines with odd spaces and soft hyphens mended, boilerplate lines dropped, runs of blank lines folded."""
-    lines = F.transform(F.split(col(c), "\n"), lambda x: F.rtrim(F.regexp_replace(F.regexp_replace(x, " ", " "), "¬", "")))
-    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"\b([A-Z]) (?=[a-z]{3,})", "$1"))
-    if drop:
-        boilerplate = "|".join(f"(?:{p})" for p in drop)
+_LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+#: kerning of some files parts an initial capital: "T erdakwa"
+_KERNED = r"\b([TWYPF]) (?=[a-z]{2,})"
+
+
+def clean_lines(c, drop: list[str] | None = None) -> Column:
+    """Lines with spaces and soft hyphens mended and kerned capitals joined; boilerplate lines (default: those of the
+    published files) dropped, runs of blank lines folded."""
+    boilerplate = "(?i)" + "|".join(f"(?:{p})" for p in (BOILERPLATE if drop is None else drop))
+    lines = F.transform(F.split(col(c), _LINE_END), lambda x: F.trim(F.regexp_replace(F.translate(x, "\u00a0\u00ac", " "), r"[ \t]+", " ")))
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, _KERNED, "$1"))
+    if drop is None or drop:
         lines = F.filter(lines, lambda x: ~x.rlike(boilerplate))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    text = F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def clean_text(c) -> Column:
+    """A ruling's text without the lines of its files, ended by a line feed."""
+    return F.concat(clean_lines(c), F.lit("\n"))
+
+
+def bullet_lines(c) -> Column:
+    """One line per item: a private-use glyph that opens a line becomes "- " unless a lower-case word follows, others go."""
+    glyph = "[\ue000-\uf8ff]"
+    x = F.regexp_replace(col(c), rf"^\s*{glyph}\s*(?=[^a-z\s])", "- ")
+    x = normalise_space(F.regexp_replace(x, "[\u00a0\u00ac\ue000-\uf8ff]", " "))
+    return F.regexp_replace(x, _KERNED, "$1")
 
 
 def head_lines(c, n: int = 40) -> Column:
@@ -169,6 +191,15 @@ def record_year(read, deliberated, raw) -> Column:
     return F.coalesce(F.year(parse_date(read)), F.year(parse_date(deliberated)), F.substring(col(raw), 1, 4).try_cast("int"))
 
 
+def listing_year(c) -> Column:
+    """Year at the end of a listing's date; null if there is none."""
+    return F.nullif(F.regexp_extract(col(c), r"(\d{4})$", 1), F.lit("")).cast("int")
+
+
+def redact_addresses(c) -> Column:
+    return F.regexp_replace(col(c), "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[surel]")
+
+
 def in_years(y, lo: int = 2020, hi: int = 2026, unknown: bool = True) -> Column:
     """Year filter; an unknown year passes a filter but is not in range."""
     return F.coalesce(col(y).between(lo, hi), F.lit(unknown))

@@ -75,19 +75,68 @@ FUEL_CHECK = {
     "minyak tanah": r"minyak\s*tanah|kerosin", "minyak mentah": r"minyak\s*mentah|crude|kondensat",
 }
 # fixed values: columns of a decision record
-RECORD = (
-    "no nomor_putusan pengadilan tingkat_persidangan tingkat_proses tanggal_putusan tahun_putusan tahun_kejadian hasil_putusan rincian_amar barang_bbm relevan_bbm "
-    "nilai_kerugian_uang mata_uang dasar_nilai_uang nilai_kerugian_volume satuan_volume keterangan_volume sumber_data lampiran_pdf file_pdf rantai_perkara klasifikasi "
-    "sumber_daftar url_putusan bukti_kutipan catatan"
-).split()
+RECORD = [
+    "no", "nomor_putusan", "pengadilan", "tingkat_persidangan", "tingkat_proses", "tanggal_putusan", "tahun_putusan", "tahun_kejadian", "hasil_putusan",
+    "rincian_amar", "barang_bbm", "relevan_bbm", "nilai_kerugian_uang", "mata_uang", "dasar_nilai_uang", "nilai_kerugian_volume", "satuan_volume",
+    "keterangan_volume", "sumber_data", "lampiran_pdf", "file_pdf", "rantai_perkara", "klasifikasi", "sumber_daftar", "url_putusan", "bukti_kutipan", "catatan",
+]
 RECORD_TYPES = {"no": "int", "tahun_putusan": "int", "nilai_kerugian_uang": "double", "nilai_kerugian_volume": "double"}
-#: province -> seat of its court, the default gazetteer; a fuller one is a parameter (province, place)
-SEATS = {
-    "Aceh": "Banda Aceh", "Sumatera Utara": "Medan", "Sumatera Barat": "Padang", "Riau": "Pekanbaru", "Kepulauan Riau": "Tanjung Pinang", "Jambi": "Jambi",
-    "Bengkulu": "Bengkulu", "Sumatera Selatan": "Palembang", "Kepulauan Bangka Belitung": "Pangkal Pinang", "Lampung": "Tanjung Karang", "Banten": "Serang",
-    "DKI Jakarta": "Jakarta Pusat", "Jawa Barat": "Bandung", "Jawa Tengah": "Semarang", "DI Yogyakarta": "Yogyakarta", "Jawa Timur": "Surabaya", "Bali": "Denpasar",
-    "Nusa Tenggara Barat": "Mataram", "Nusa Tenggara Timur": "Kupang", "Kalimantan Barat": "Pontianak", "Kalimantan Tengah": "Palangkaraya",
-    "Kalimantan Selatan": "Banjarmasin", "Kalimantan Timur": "Samarinda", "Kalimantan Utara": "Tanjung Selor", "Sulawesi Utara": "Manado", "Gorontalo": "Gorontalo",
-    "Sulawesi Tengah": "Palu", "Sulawesi Barat": "Mamuju", "Sulawesi Selatan": "Makassar", "Sulawesi Tenggara": "Kendari", "Maluku": "Ambon", "Maluku Utara": "Ternate",
-    "Papua": "Jayapura", "Papua Barat": "Manokwari", "Papua Barat Daya": "Sorong", "Papua Selatan": "Merauke", "Papua Tengah": "Nabire", "Papua Pegunungan": "Wamena",
-}
+#: province -> places with a court, the default gazetteer: the seats and the courts named most often.
+#: Further places come as a table (provinsi, tempat), see ``records.gazetteer``
+PLACES = {
+    "Aceh": ["Banda Aceh", "Lhokseumawe", "Langsa", "Meulaboh", "Sigli"],
+    "Sumatera Utara": ["Medan", "Binjai", "Stabat", "Kisaran", "Lubuk Pakam", "Rantau Prapat", "Sibolga", "Tanjung Balai", "Simalungun"],
+    "Sumatera Barat": ["Padang", "Koto Baru", "Bukittinggi", "Payakumbuh", "Pariaman", "Solok", "Painan"],
+    "Riau": ["Pekanbaru", "Bengkalis", "Dumai", "Pelalawan", "Rengat", "Tembilahan", "Bangkinang", "Rokan Hilir"],
+    "Kepulauan Riau": ["Tanjung Pinang", "Batam", "Tanjung Balai Karimun", "Natuna"],
+    "Jambi": ["Jambi", "Muara Bungo", "Sarolangun", "Bangko", "Kuala Tungkal", "Sengeti"],
+    "Bengkulu": ["Bengkulu", "Curup", "Manna"],
+    "Sumatera Selatan": ["Palembang", "Lubuk Linggau", "Sekayu", "Kayu Agung", "Muara Enim", "Baturaja"],
+    "Kepulauan Bangka Belitung": ["Pangkal Pinang", "Sungailiat", "Tanjung Pandan"],
+    "Lampung": ["Tanjung Karang", "Metro", "Kalianda", "Kotabumi", "Menggala"],
+    "Banten": ["Serang", "Tangerang", "Pandeglang", "Rangkasbitung"],
+    "DKI Jakarta": ["Jakarta Pusat", "Jakarta Selatan", "Jakarta Timur", "Jakarta Barat", "Jakarta Utara"],
+    "Jawa Barat": ["Bandung", "Bekasi", "Bogor", "Cibinong", "Cirebon", "Indramayu", "Karawang", "Subang", "Tasikmalaya"],
+    "Jawa Tengah": ["Semarang", "Cilacap", "Purwokerto", "Tegal", "Pekalongan", "Pati", "Rembang", "Surakarta", "Magelang"],
+    "DI Yogyakarta": ["Yogyakarta", "Sleman", "Bantul"],
+    "Jawa Timur": ["Surabaya", "Sidoarjo", "Gresik", "Malang", "Tuban", "Lamongan", "Bojonegoro", "Probolinggo", "Jember", "Banyuwangi", "Situbondo", "Bangkalan"],
+    "Bali": ["Denpasar", "Singaraja", "Negara"],
+    "Nusa Tenggara Barat": ["Mataram", "Sumbawa Besar", "Raba Bima", "Selong"],
+    "Nusa Tenggara Timur": ["Kupang", "Atambua", "Ende", "Maumere", "Labuan Bajo"],
+    "Kalimantan Barat": ["Pontianak", "Singkawang", "Sambas", "Sintang", "Ketapang"],
+    "Kalimantan Tengah": ["Palangkaraya", "Sampit", "Pangkalan Bun", "Muara Teweh", "Nanga Bulik", "Kuala Kapuas"],
+    "Kalimantan Selatan": ["Banjarmasin", "Banjarbaru", "Martapura", "Pelaihari", "Kotabaru", "Batulicin", "Rantau", "Marabahan"],
+    "Kalimantan Timur": ["Samarinda", "Balikpapan", "Tenggarong", "Bontang", "Tanah Grogot", "Tanjung Redeb"],
+    "Kalimantan Utara": ["Tanjung Selor", "Tarakan", "Nunukan"],
+    "Sulawesi Utara": ["Manado", "Bitung", "Kotamobagu"],
+    "Gorontalo": ["Gorontalo", "Limboto"],
+    "Sulawesi Tengah": ["Palu", "Luwuk", "Poso"],
+    "Sulawesi Barat": ["Mamuju", "Polewali"],
+    "Sulawesi Selatan": ["Makassar", "Maros", "Pangkajene", "Pare Pare", "Palopo", "Bulukumba"],
+    "Sulawesi Tenggara": ["Kendari", "Kolaka", "Unaaha"],
+    "Maluku": ["Ambon", "Masohi", "Tual"],
+    "Maluku Utara": ["Ternate", "Tobelo"],
+    "Papua": ["Jayapura", "Biak", "Serui", "Nabire"],
+    "Papua Barat": ["Manokwari", "Fak Fak"],
+    "Papua Barat Daya": ["Sorong"],
+    "Papua Selatan": ["Merauke"],
+    "Papua Tengah": ["Timika"],
+    "Papua Pegunungan": ["Wamena"],
+}
+# fixed values: lines of every page of a ruling's file that are not its text
+BOILERPLATE = [
+    r"^Mahkamah Agung Republik Indonesia$",
+    r"^Direktori Putusan Mahkamah Agung Republik Indonesia$",
+    r"^putusan\.mahkamahagung\.go\.id$",
+    r"^Disclaimer$",
+    r"^Kepaniteraan Mahkamah Agung Republik Indonesia berusaha untuk selalu mencantumkan",
+    r"^pelaksanaan fungsi peradilan\. Namun dalam hal-hal tertentu",
+    r"^Dalam hal Anda menemukan inakurasi informasi",
+    r"^Email\s*:\s*kepaniteraan@mahkamahagung\.go\.id",
+    r"^Hal(aman|\.)?\s*\d+\s*(dari|dr\.?)\s*\d+",
+    r"^Halaman\s*\d+\s*$",
+]
+#: part of the key of cached texts: raise it when the cleaning changes
+CLEAN_VERSION = 2
+# fixed values: relevance labels of the final record
+FINAL_RELEVANCE = ["Ya", "Perlu dicek (tanpa PDF)", "Perlu dicek (putusan terkait BBM)"]

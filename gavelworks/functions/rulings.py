@@ -194,7 +194,10 @@ def event_years(text, ruling_year) -> Column:
     return F.struct(F.when(F.size(ys) > 0, F.when(lo == hi, lo).otherwise(F.concat_ws("-", lo, hi))).alias("label"), F.transform(freq, lambda f: f["y"]).alias("years"))
 
 
-STOP_WORDS = "NOMOR NO TANGGAL REGISTER KELAS YANG KARENA DALAM PADA SEJAK DI DIBAWAH TERSEBUT DENGAN UNTUK ATAS TELAH".split()
+# fixed values: words that end the name of a court
+STOP_WORDS = [
+    "NOMOR", "NO", "TANGGAL", "REGISTER", "KELAS", "YANG", "KARENA", "DALAM", "PADA", "SEJAK", "DI", "DIBAWAH", "TERSEBUT", "DENGAN", "UNTUK", "ATAS", "TELAH",
+]
 
 
 def origin_court(text) -> Column:
@@ -210,6 +213,7 @@ def origin_court(text) -> Column:
     return F.when(first.isNotNull(), F.concat(F.lit("PN "), first))
 
 
+# fixed values: patterns of ships and companies
 SHIP = r"\b(?:KM|KMP|KLM|MT|TB|LCT)\.?\s+([A-Z][A-Za-z0-9]*(?:\s+[A-Z0-9][A-Za-z0-9]*){0,3})"
 COMPANY = r"\b(?:PT|CV)\.?\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3})"
 

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative table: written once to the shared folder and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset a temporary one, which only local mode can share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
+    if base:
+        return base.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not getattr(sc, "_gavelworks_cut", None):
+        sc._gavelworks_cut = "file://" + tempfile.mkdtemp(prefix="gavelworks-")
+    return sc._gavelworks_cut
+
 
-        base = getattr(spark.sparkContext, "_gavelworks_cut", None) or "file://" + tempfile.mkdtemp(prefix="gavelworks-")
-        spark.sparkContext._gavelworks_cut = base
-    path = f"{base.rstrip('/')}/gavelworks-graph/{uuid.uuid4().hex}"
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative table: written once to the shared folder and read again; the folder goes with
+    the application."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gavelworks-graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,7 +74,9 @@ def incident_pairs(cases: DataFrame) -> DataFrame:
         a = rows.select(F.col("chain").alias("a"), "place", key, F.col("year").alias("ya"), F.col("event").alias("ea"))
         b = rows.select(F.col("chain").alias("b"), "place", key, F.col("year").alias("yb"), F.col("event").alias("eb"))
         event = F.col("ea").isNull() | F.col("eb").isNull() | (F.substring("ea", 1, 4) == F.substring("eb", 1, 4))
-        return a.join(b, ["place", key]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ya") - F.col("yb")) <= 2) & event)
+        # an unknown year is no reason against a pair
+        years = ~F.coalesce(F.abs(F.col("ya") - F.col("yb")) > 2, F.lit(False))
+        return a.join(b, ["place", key]).where((F.col("a") < F.col("b")) & years & event)
 
     text, kind = F.lit(None).cast("string"), keep.schema["volume"].dataType
     same = joined("volume", keep).select("a", "b", F.col("volume"), text.alias("name"))
@@ -80,14 +93,13 @@ def incidents(cases: DataFrame) -> DataFrame:
     return comp.join(size, "comp").join(label.select("comp", "kelompok"), "comp", "left").select(F.col("node").alias("chain"), F.coalesce("kelompok", F.col("node").cast("string")).alias("kelompok"), "anggota")
 
 
-def frontier(spark: SparkSession, seeds: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, level) reached from seeds (node) over (a, b), level by level with anti-joins."""
+def frontier(spark: SparkSession, seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level) reached from seeds (node) over (a, b), level by level with anti-joins until nothing new is reached."""
     seen = cut(seeds.select("node").distinct().withColumn("level", F.lit(0)))
-    now = seen
-    for level in range(1, most + 1):
-        new = now.join(edges, now.node == edges.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level))
-        now = cut(new)
-        if not now.limit(1).count():
-            break
-        seen = cut(seen.union(now))
+    now, level = seen, 0
+    while now.limit(1).count():
+        level += 1
+        new = now.join(edges, now.node == edges.a).select(F.col("b").alias("node")).where("node is not null").distinct()
+        now = cut(new.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
+        seen = cut(seen.union(now)) if level % 8 == 0 else seen.union(now)
     return seen

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rulings as R
-from ..functions.lexicon import ARTICLES, DUMMIES, FACT_ORDER, RECORD, SEATS, STAGE_ORDER
+from ..functions.lexicon import ARTICLES, DUMMIES, FACT_ORDER, FINAL_RELEVANCE, PLACES, RECORD, STAGE_ORDER
 from . import graph
 
 
@@ -22,11 +25,19 @@ def dedupe_decisions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dedupe(df, [C.case_number_key("nomor_putusan"), F.coalesce("tanggal_putusan", F.lit("nan"))], [F.col("file_pdf").isNotNull().desc(), F.col("no").asc()])
 
 
-def gazetteer(spark, seats: dict | None = None) -> DataFrame:
-    """(key, provinsi) for court_key joins; the default knows the seat of each province."""
-    rows = [(place, prov) for prov, place in (seats or SEATS).items()]
+def gazetteer(spark, places: dict | None = None, more: DataFrame | None = None) -> DataFrame:
+    """(key, provinsi) for court_key joins: the places of ``places`` (province -> names; default PLACES) and the rows
+    of ``more`` (provinsi, tempat); of places named twice the province first in the alphabet."""
+    rows = [(place, prov) for prov, names in (places or PLACES).items() for place in ([names] if isinstance(names, str) else names)]
     g = spark.createDataFrame(rows, "place string, provinsi string")
-    return g.select(C.court_key("place").alias("key"), "provinsi").dropDuplicates(["key"])
+    if more is not None:
+        g = g.union(more.select("tempat", "provinsi"))
+    return g.groupBy(C.court_key("place").alias("key")).agg(F.min("provinsi").alias("provinsi")).where("key <> ''")
+
+
+def court_places(places: dict | None = None) -> list[str]:
+    """Keys of the gazetteer's places, for names that must not be taken for companies."""
+    return sorted({re.sub("[^A-Z]", "", p.upper()) for names in (places or PLACES).values() for p in names})
 
 
 def with_province(df: DataFrame, court: str, gaz: DataFrame, out: str = "provinsi") -> DataFrame:
@@ -103,9 +114,11 @@ def case_level(d: DataFrame, candidates: DataFrame | None = None, gaz: DataFrame
     return g.withColumn("volume_liter", F.when(F.col("satuan_volume") == "liter", F.col("volume")))
 
 
-def with_incidents(cases: DataFrame, places: list[str] = ()) -> DataFrame:
-    """Adds the incident group, its size, the reasons, and the group's largest volume on its first chain."""
-    known = F.array(*[F.lit(p) for p in places]) if places else F.array().cast("array<string>")
+def with_incidents(cases: DataFrame, places: list[str] | None = None) -> DataFrame:
+    """Adds the incident group, its size, the reasons, and the group's largest volume on its first chain.
+
+    places: keys of places with a court (default: the gazetteer's); "PT Semarang" is a court, no company."""
+    known = F.array(*[F.lit(p) for p in (court_places() if places is None else places)]).cast("array<string>")
     place = F.coalesce("pengadilan_pertama", F.concat_ws("|", F.coalesce("provinsi", F.lit("?")), "tingkat_tercakup"))
     c = graph.cut(cases.select(F.col("rantai_perkara").alias("chain"), place.alias("place"), F.col("tahun_putusan_awal").alias("year"), C.value("tahun_kejadian").alias("event"), F.col("volume_liter").alias("volume"), R.entities(F.col("_text"), known).alias("names")))
     pairs = graph.incident_pairs(c)
@@ -114,20 +127,92 @@ def with_incidents(cases: DataFrame, places: list[str] = ()) -> DataFrame:
     reasons = both.groupBy("rantai_perkara").agg(F.array_join(F.array_sort(F.collect_set("w")), "; ").alias("dasar_kelompok"))
     grp = graph.incidents(c).select(F.col("chain").alias("rantai_perkara"), F.col("kelompok").alias("kelompok_kejadian"), F.col("anggota").alias("jumlah_rantai_sekelompok"))
     out = cases.drop("_text").join(grp, "rantai_perkara").join(reasons, "rantai_perkara", "left")
-    w = Window.partitionBy("kelompok_kejadian")
-    return out.withColumn("volume_liter_kelompok", F.when(F.row_number().over(w.orderBy("rantai_perkara")) == 1, F.max("volume_liter").over(w)))
+    return group_max_first(out, "kelompok_kejadian", "rantai_perkara", "volume_liter", "volume_liter_kelompok")
+
+
+def group_max_first(df: DataFrame, group: str, order: str, v: str, out: str) -> DataFrame:
+    """The largest value of each group on its first row, null on the others."""
+    w = Window.partitionBy(group)
+    return df.withColumn(out, F.when(F.row_number().over(w.orderBy(order)) == 1, F.max(v).over(w)))
+
+
+def duplicate_flags(df: DataFrame, key: list, best: list, group: str = "ganda", keep: str = "disimpan") -> DataFrame:
+    """Whether another row has the same key, and whether this row is the best one."""
+    w = Window.partitionBy(*key)
+    return df.withColumn(group, F.count("*").over(w) > 1).withColumn(keep, F.row_number().over(w.orderBy(*best)) == 1)
+
+
+def top_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The row of each key that comes last in order (a struct comparison, aggregated without a sort)."""
+    cols = F.struct(*df.columns)
+    return df.groupBy(*keys).agg(F.max_by(cols, F.struct(*order)).alias("_b")).select("_b.*")
+
+
+def sibling_sum(df: DataFrame, group: str, v: str, out: str) -> DataFrame:
+    """Sum of the other rows of the group, in exact decimals."""
+    return df.withColumn(out, F.sum(F.col(v).cast("decimal(18,2)")).over(Window.partitionBy(group)).cast("double") - F.col(v))
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], at: str, gap, out: str) -> DataFrame:
+    """Number of the stretch a row lies in: a step of more than ``gap`` in ``at`` opens a new one."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    step = (F.col(at) - F.lag(at).over(w) > (F.expr(gap) if isinstance(gap, str) else F.lit(gap))).cast("int")
+    d = df.withColumn("_gap", F.coalesce(step, F.lit(0)))
+    return d.withColumn(out, F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+
+
+def renumber(df: DataFrame, order: list, out: str = "no") -> DataFrame:
+    """1..n in order: rows are dealt by range, numbered within their range, and moved by the counts of earlier ranges.
+
+    Rows of one value of the first columns lie in one range, so ties need a last column that tells rows apart."""
+    d = graph.cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    n = d.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    n = n.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(F.broadcast(n.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
+    no = (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")).cast("int")
+    return d.withColumn(out, no).drop("_part", "_before")
 
 
 # -- statistics --------------------------------------------------------------------------------
 
 
+def quantiles(df: DataFrame, keys: list[str], v: str, shares: dict[str, float], cells: int = 1024) -> DataFrame:
+    """Exact linear quantiles by keys: values are counted in cells of equal width between each key's smallest and
+    largest one, and only the cells that hold a wanted rank are looked at value by value, so that no task holds a
+    whole group.  Null keys are a group; keys without a value are left out."""
+    spark_keys = [F.col(k) for k in keys]
+    x = df.select(*spark_keys, F.col(v).cast("double").alias("_x")).where("_x is not null")
+    span = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    every = lambda conds: reduce(lambda p, q: p & q, conds)
+    counted = x.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
+    c = counted.alias("c").join(span.alias("s"), every(same("c", "s"))).select("c.*", "s._n", "s._lo", "s._hi")
+    cell = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))
+    c = graph.cut(c.withColumn("_cell", F.when(F.col("_hi") > F.col("_lo"), cell).otherwise(0)))
+    w = Window.partitionBy(*keys).orderBy("_cell")
+    hist = c.groupBy(*keys, "_cell", "_n").agg(F.sum("_c").alias("_m")).withColumn("_to", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hist = hist.withColumn("_from", F.col("_to") - F.col("_m"))
+    ranks = {n: F.lit(p) * (F.col("_n") - 1) for n, p in shares.items()}  # places from 0
+    inside = lambda r: (F.floor(r) < F.col("_to")) & (F.ceil(r) >= F.col("_from"))
+    wanted = hist.where(reduce(lambda p, q: p | q, [inside(r) for r in ranks.values()])).select(*keys, "_cell", "_from")
+    near = c.alias("c").join(wanted.alias("w"), every([*same("c", "w"), F.col("c._cell") == F.col("w._cell")])).select("c.*", "w._from")
+    u = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_to", F.col("_from") + F.sum("_c").over(u)).withColumn("_at", F.col("_to") - F.col("_c"))
+    value = lambda r: F.max(F.when((F.col("_at") <= r) & (r < F.col("_to")), F.col("_x")))
+    out = near.groupBy(*keys).agg(*[c for n, r in ranks.items() for c in (value(F.floor(r)).alias(f"_{n}_lo"), value(F.ceil(r)).alias(f"_{n}_hi"), F.max(r - F.floor(r)).alias(f"_{n}_w"))])
+    return out.select(*keys, *[(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")).alias(n) for n in ranks])
+
+
 def volume_stats(df: DataFrame, keys: list[str], v: str) -> DataFrame:
     """Rows, rows with a volume, sum (0 if none), median, mean, linear 90 % quantile, maximum by keys."""
     x = F.col(v).cast("double")
-    return df.groupBy(*keys).agg(
+    one = df.groupBy(*keys).agg(
         F.count("*").alias("perkara"), F.count(v).alias("perkara_dengan_volume"), F.coalesce(F.sum(F.col(v).cast("decimal(18,3)")), F.lit(0)).cast("double").alias("total"),
-        F.percentile(x, F.lit(0.5)).alias("median"), (F.sum(F.col(v).cast("decimal(18,3)")).cast("double") / F.count(v)).alias("rata2"), F.percentile(x, F.lit(0.9)).alias("p90"), F.max(x).alias("maks"),
+        (F.sum(F.col(v).cast("decimal(18,3)")).cast("double") / F.count(v)).alias("rata2"), F.max(x).alias("maks"),
     )
+    q = quantiles(df, keys, v, {"median": 0.5, "p90": 0.9})
+    on = reduce(lambda p, r: p & r, [F.col(f"o.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys])
+    return one.alias("o").join(q.alias("q"), on, "left").select(*[f"o.{k}" for k in keys], "perkara", "perkara_dengan_volume", "total", "median", "rata2", "p90", "maks")
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -142,12 +227,20 @@ def crosstab_wide(df: DataFrame, a: str, b: str, cats: list[str]) -> DataFrame:
     return t.groupBy(a).pivot(b, [*cats, "Total"]).agg(F.first("n")).na.fill(0)
 
 
+def per_kind(df: DataFrame, hits: dict[str, Column], v: str, names: tuple = ("jenis", "menyebut", "satu_jenis", "total", "median")) -> DataFrame:
+    """Rows that name a kind, rows that name it alone, and sum and median of the values of the latter."""
+    kind, said, alone, total, middle = names
+    single = sum((c.cast("int") for c in hits.values()), F.lit(0)) == 1
+    kinds = F.array(*[F.struct(F.lit(k).alias(kind), c.cast("boolean").alias("_hit")) for k, c in hits.items()])
+    x = df.select(single.alias("_s"), F.col(v).cast("double").alias("_v"), F.explode(kinds).alias("_k")).select("_s", "_v", "_k.*")
+    one = F.col("_hit") & F.col("_s")
+    g = x.groupBy(kind).agg(F.sum(F.col("_hit").cast("int")).alias(said), F.count_if(one).alias(alone), F.coalesce(F.sum(F.when(one, F.col("_v"))), F.lit(0.0)).alias(total))
+    return g.join(quantiles(x.where(one), [kind], "_v", {middle: 0.5}), kind, "left")
+
+
 def per_fuel(cases: DataFrame) -> DataFrame:
-    single = sum((F.col(k) for k in DUMMIES), F.lit(0)) == 1
-    kinds = F.array(*[F.struct(F.lit(k.removeprefix("bbm_")).alias("jenis_bbm"), F.col(k).alias("hit")) for k in DUMMIES])
-    x = cases.withColumn("_s", single).select("_s", "volume_liter", F.explode(kinds).alias("k")).select("_s", "volume_liter", "k.*")
-    one = (F.col("hit") == 1) & F.col("_s")
-    return x.groupBy("jenis_bbm").agg(F.sum("hit").alias("perkara_menyebut"), F.count_if(one).alias("perkara_satu_jenis"), F.coalesce(F.sum(F.when(one, F.col("volume_liter"))), F.lit(0.0)).alias("total_liter_satu_jenis"), F.percentile(F.when(one, F.col("volume_liter")), F.lit(0.5)).alias("median_liter_satu_jenis"))
+    hits = {k.removeprefix("bbm_"): F.col(k) == 1 for k in DUMMIES}
+    return per_kind(cases, hits, "volume_liter", ("jenis_bbm", "perkara_menyebut", "perkara_satu_jenis", "total_liter_satu_jenis", "median_liter_satu_jenis"))
 
 
 def per_article(cases: DataFrame) -> DataFrame:
@@ -158,9 +251,25 @@ def per_article(cases: DataFrame) -> DataFrame:
     return dim.join(n, "pasal", "left").select("pasal", "uraian", F.coalesce("n", F.lit(0)).alias("perkara"))
 
 
+def group_summary(df: DataFrame, group: str, member, first: str, order: list[str], v: str, names: tuple) -> DataFrame:
+    """Members of each group joined in order, the first one's field, the largest value.
+
+    Members are made distinct by an aggregation over (group, member) first, so that a group's list holds each once."""
+    m, f, top = names
+    each = df.groupBy(group, C.col(member).cast("string").alias("_m")).agg(F.min(F.struct(*order, first)).alias("_f"), F.max(v).alias("_v"))
+    some = F.min_by(F.col(f"_f.{first}"), F.when(~C.is_na(f"_f.{first}"), F.struct(*[F.col(f"_f.{o}") for o in order])))
+    return each.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list("_m")), ", ").alias(m), some.alias(f), F.max("_v").alias(top))
+
+
 def incident_summary(cases: DataFrame) -> DataFrame:
-    g = cases.where("jumlah_rantai_sekelompok > 1").groupBy("kelompok_kejadian")
-    return g.agg(F.array_join(F.array_sort(F.collect_list("rantai_perkara")), ", ").alias("rantai"), first_by("pengadilan_pertama", ["rantai_perkara"]).alias("pengadilan"), F.max("volume_liter").alias("volume_liter_maks"), first_by("dasar_kelompok", ["rantai_perkara"]).alias("dasar"))
+    c = cases.where("jumlah_rantai_sekelompok > 1")
+    g = group_summary(c, "kelompok_kejadian", "rantai_perkara", "pengadilan_pertama", ["rantai_perkara"], "volume_liter", ("rantai", "pengadilan", "volume_liter_maks"))
+    return g.join(c.groupBy("kelompok_kejadian").agg(first_by("dasar_kelompok", ["rantai_perkara"]).alias("dasar")), "kelompok_kejadian")
+
+
+def value_counts(df: DataFrame, by: str, out: str = "n") -> DataFrame:
+    """Rows of each value, the commonest first, then by value."""
+    return df.groupBy(by).agg(F.count("*").alias(out)).orderBy(F.desc(out), by)
 
 
 def summaries(decisions: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
@@ -174,15 +283,17 @@ def summaries(decisions: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
         "perkara_per_provinsi": stats(["provinsi"], cases.withColumn("provinsi", F.coalesce("provinsi", F.lit("Tidak diketahui")))).orderBy(F.desc("perkara"), "provinsi"),
         "perkara_per_pasal_uu_migas": per_article(cases),
         "kelompok_kejadian_kemungkinan_sama": incident_summary(cases),
-        "perkara_per_sumber_daftar": cases.groupBy("sumber_daftar").agg(F.count("*").alias("perkara")).orderBy(F.desc("perkara"), "sumber_daftar"),
+        "perkara_per_sumber_daftar": value_counts(cases, "sumber_daftar", "perkara"),
     }
 
 
-def stats_row(df: DataFrame) -> DataFrame:
-    """One row of counts for the method note: rows, chains, frequency maps, files, missing values."""
-    freq = ["tahun_putusan", "tingkat_persidangan", "sumber_daftar", "sumber_data", "relevan_bbm"]
-    missing = ["barang_bbm", "hasil_putusan", "nilai_kerugian_uang", "nilai_kerugian_volume", "tahun_kejadian"]
-    one = df.agg(F.count("*").alias("baris"), F.count_distinct("rantai_perkara").alias("rantai_perkara"), F.count("file_pdf").alias("dengan_pdf"), *[F.count_if(F.col(c).isNull()).alias(f"na_{c}") for c in missing])
+#: what the method note counts: the chain, the file, frequency maps, missing values
+NOTE = ("rantai_perkara", "file_pdf", ["tahun_putusan", "tingkat_persidangan", "sumber_daftar", "sumber_data", "relevan_bbm"], ["barang_bbm", "hasil_putusan", "nilai_kerugian_uang", "nilai_kerugian_volume", "tahun_kejadian"])
+
+
+def stats_row(df: DataFrame, chain: str = NOTE[0], file: str = NOTE[1], freq: list = NOTE[2], missing: list = NOTE[3]) -> DataFrame:
+    """One row of counts for the method note: rows, chains, files, missing values, frequency maps."""
+    one = df.agg(F.count("*").alias("baris"), F.count_distinct(chain).alias("rantai_perkara"), F.count(file).alias("dengan_pdf"), *[F.count_if(F.col(c).isNull()).alias(f"na_{c}") for c in missing])
     for c in freq:
         m = df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(f"per_{c}"))
         one = one.crossJoin(m)  # one row by one row
@@ -234,7 +345,7 @@ def evidence(records: DataFrame, texts: DataFrame) -> DataFrame:
 def apply_review(records: DataFrame, excluded: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept records renumbered 1..n, excluded list with the removed ones and their reason); 'uncertain' stays."""
     no = review.where("dataset = 'rekap' and final = 'no'").select("no", "alasan").dropDuplicates(["no"])
-    kept = records.join(no, "no", "left_anti").withColumn("no", F.row_number().over(Window.orderBy("no")))
+    kept = renumber(records.join(no, "no", "left_anti"), ["no", "nomor_putusan"])
     gone = records.join(no, "no").select("nomor_putusan", "pengadilan", "tingkat_persidangan", "tahun_putusan", "barang_bbm", "klasifikasi", "url_putusan", F.col("alasan").alias("alasan_dikeluarkan"))
     return kept.select(*records.columns), excluded.unionByName(gone, allowMissingColumns=True)
 
@@ -243,15 +354,78 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def fill_from_chain(rows: DataFrame, links: DataFrame, fields: list[str]) -> DataFrame:
+def not_done(todo: DataFrame, done: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """Rows without a partner in ``done``; on: (column of todo, column of done)."""
+    d = done.select(*[F.col(b).alias(f"_d{i}") for i, (_, b) in enumerate(on)])
+    return todo.join(d, reduce(lambda p, q: p & q, [F.col(a) == F.col(f"_d{i}") for i, (a, _) in enumerate(on)]), "left_anti")
+
+
+def flag_listed(df: DataFrame, listed: DataFrame, on: tuple[str, str], out: str) -> DataFrame:
+    """Whether a row's key is in a list."""
+    hit = listed.select(F.col(on[1]).alias("_k")).distinct().withColumn("_hit", F.lit(True))
+    return df.join(hit, F.col(on[0]) == F.col("_k"), "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")
+
+
+def with_online(evidence: DataFrame, online: DataFrame) -> DataFrame:
+    """Evidence with what a check of the site found for the same record."""
+    return evidence.join(online, ["no", "nomor_putusan"], "left")
+
+
+def crawl_relevance(over: DataFrame, texts: DataFrame) -> DataFrame:
+    """Overviews (file_pdf, and texts of their own) with fuel mentions and relevance, from the file's text where it
+    could be read, else from the overview: adds jenis_bbm_disebut, relevan_bbm_kandidat, dasar_relevansi."""
+    own = F.concat_ws(" ", *[F.col(c) if c in over.columns else F.lit(None) for c in ("kata_kunci", "catatan_amar", "amar_lainnya", "abstrak", "judul")])
+    t = texts.select("file_pdf", F.col("text").alias("_pdf")).where("_pdf is not null").dropDuplicates(["file_pdf"])
+    d = over.join(t, "file_pdf", "left").withColumn("_t", F.coalesce("_pdf", own)).withColumn("_f", R.fuel_counts("_t"))
+    basis = F.when(F.col("_pdf").isNotNull(), "teks PDF").otherwise("overview")
+    d = d.select("*", F.nullif(R.listed(F.col("_f")), F.lit("")).alias("jenis_bbm_disebut"), R.relevance(F.col("_f"), "_t").alias("relevan_bbm_kandidat"), basis.alias("dasar_relevansi"))
+    return d.drop("_pdf", "_t", "_f")
+
+
+def final_record(checked: DataFrame, years: list[int]) -> DataFrame:
+    """Relevant rulings of the years, by year, level and number, numbered 1..n."""
+    r = checked.where(F.col("relevan_bbm").isin(*FINAL_RELEVANCE) & F.col("tahun_putusan").cast("int").isin(*years))
+    r = r.withColumn("tahun_putusan", F.col("tahun_putusan").cast("int"))
+    for c in ("nilai_kerugian_uang", "nilai_kerugian_volume"):
+        if c in r.columns:
+            r = r.withColumn(c, F.col(c).try_cast("double"))
+    rest = [c for c in ("url_putusan",) if c in r.columns]
+    out = renumber(r.drop("no"), ["tahun_putusan", "tingkat_persidangan", "nomor_putusan", *rest])
+    return out.select("no", *[c for c in out.columns if c != "no"])
+
+
+def fill_from_chain(rows: DataFrame, links: DataFrame, fields: list[str], audit: dict[str, str] | None = None) -> DataFrame:
     """Rows without a text borrow missing fields from linked rows that have one, lower courts first; links count both ways.
 
-    rows: (id, has_text, prioritas, fields..); links: (dari_id, ke_id)."""
+    rows: (id, has_text, prioritas, fields..); links: (dari_id, ke_id).  audit: field -> column that names where a
+    borrowed value comes from (rows then need ``nomor_putusan``)."""
+    both = links.select(F.col("dari_id").alias("id"), F.col("ke_id").alias("src")).union(links.select("ke_id", "dari_id")).where("id <> src").distinct()
+    audit = audit or {}
+    number = ["nomor_putusan"] if audit else []
+    src = rows.where("has_text").select(F.col("id").alias("src"), F.col("prioritas").alias("_p"), *[F.col(c).alias(f"_{c}") for c in dict.fromkeys([*fields, *audit.values(), *number])])
+    pick = {f: F.struct(*[f"_{c}" for c in dict.fromkeys([f, *([audit[f]] if f in audit else []), *number])]) for f in fields}
+    got = both.join(src, "src").groupBy("id").agg(*[first_by(c, ["_p", "src"], ~C.is_na(f"_{f}")).alias(f"_g_{f}") for f, c in pick.items()])
+    out = rows.join(got, "id", "left")
+    own = {f: F.col("has_text") | ~C.is_na(f) for f in fields}
+    filled = {f: F.when(F.col("has_text"), F.col(f)).otherwise(F.coalesce(C.value(f), F.col(f"_g_{f}._{f}"))) for f in fields}
+    for f, a in audit.items():
+        note = F.concat(F.coalesce(F.col(f"_g_{f}._{a}"), F.lit("")), F.lit(" (dari putusan terkait "), F.col(f"_g_{f}._nomor_putusan"), F.lit(")"))
+        filled[a] = F.when(own[f] | F.col(f"_g_{f}").isNull(), F.col(a)).otherwise(note)
+    return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in rows.columns])
+
+
+def outcome_from_below(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rulings that follow an earlier one without quoting it take the outcome of the nearest lower court they are
+    linked with.  rows: (id, nomor_putusan, prioritas, has_text, hasil_putusan, dasar_hasil)."""
     both = links.select(F.col("dari_id").alias("id"), F.col("ke_id").alias("src")).union(links.select("ke_id", "dari_id")).where("id <> src").distinct()
-    src = rows.where("has_text").select(F.col("id").alias("src"), F.col("prioritas").alias("_p"), *[F.col(f).alias(f"_{f}") for f in fields])
-    got = both.join(src, "src").groupBy("id").agg(*[first_by(f"_{f}", ["_p", "src"]).alias(f"_{f}") for f in fields])
+    src = rows.where("has_text and hasil_putusan is not null").select(F.col("id").alias("src"), F.col("prioritas").alias("_p"), F.struct("hasil_putusan", "nomor_putusan").alias("_v"))
+    below = both.join(src, "src").join(rows.select("id", F.col("prioritas").alias("_own")), "id").where("_p < _own")
+    got = below.groupBy("id").agg(F.min_by("_v", F.struct(-F.col("_p"), F.col("src"))).alias("_g"))
     out = rows.join(got, "id", "left")
-    return out.select(*[F.when(F.col("has_text"), F.col(c)).otherwise(F.coalesce(C.value(c), F.col(f"_{c}"))).alias(c) if c in fields else F.col(c) for c in rows.columns])
+    take = F.coalesce(F.col("hasil_putusan").isNull() & F.col("dasar_hasil").contains("ikut putusan sebelumnya") & F.col("_g").isNotNull(), F.lit(False))
+    note = F.concat("dasar_hasil", F.lit("; hasil putusan sebelumnya (dari putusan terkait "), F.col("_g.nomor_putusan"), F.lit(")"))
+    value = {"hasil_putusan": F.when(take, F.col("_g.hasil_putusan")).otherwise(F.col("hasil_putusan")), "dasar_hasil": F.when(take, note).otherwise(F.col("dasar_hasil"))}
+    return out.select(*[value[c].alias(c) if c in value else F.col(c) for c in rows.columns])
 
 
 def draft(df: DataFrame) -> DataFrame:

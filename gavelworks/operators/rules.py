@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.lexicon import FUEL_CHECK, RECORD, STAGE_ORDER, STAGES_OF
 
+# fixed values: columns, severities and texts of the issues below
 ISSUE = "array<struct<kolom:string,tingkat:string,pesan:string>>"
 # fixed value: the form of a ruling's address
 URL = r"^https://putusan3\.mahkamahagung\.go\.id/direktori/putusan/[0-9a-z]+\.html$"
@@ -60,6 +61,12 @@ def row_rules(files=None) -> list:
     ]
 
 
+def late_pairs(t: DataFrame, chain: str, level: str, day: str) -> DataFrame:
+    """Pairs (a, b) of a chain in which the lower court's ruling a is later than the higher court's ruling b."""
+    a, b = t.alias("a"), t.alias("b")
+    return a.join(b, (F.col(f"a.{chain}") == F.col(f"b.{chain}")) & (F.col(f"a.{level}") < F.col(f"b.{level}")) & (F.col(f"a.{day}") > F.col(f"b.{day}")))
+
+
 def _issues(df: DataFrame, rules: list) -> DataFrame:
     found = F.filter(F.array(*rules), lambda x: x.isNotNull())
     return df.select("no", "nomor_putusan", F.explode(found).alias("i")).select("no", "nomor_putusan", "i.*")
@@ -80,7 +87,11 @@ def validate(df: DataFrame, excluded: DataFrame | None = None, files: DataFrame
     out = _issues(d, row_rules(F.coalesce("_exists", F.lit(False)) if files is not None else None))
 
     # set rules: sequence, duplicates, chains, exclusion, orphan files
-    seq = df.select("no", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("k")).agg(F.max((F.col("k") != F.coalesce("no", F.lit(-1))).cast("int")).alias("bad")).where("bad = 1")
+    # 1..n in the order of the file: within a part of it the number runs with the row, from the rows of earlier parts on
+    at = df.select("no", F.monotonically_increasing_id().alias("_i")).withColumn("_part", F.shiftright("_i", 33))
+    each = at.groupBy("_part").agg(F.count("*").alias("n"), F.count("no").alias("full"), F.min(F.col("no") - F.col("_i") % (1 << 33)).alias("a"), F.max(F.col("no") - F.col("_i") % (1 << 33)).alias("z"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a part
+    seq = each.withColumn("before", before).agg(F.max(((F.col("full") < F.col("n")) | (F.col("a") != F.col("before") + 1) | (F.col("z") != F.col("before") + 1)).cast("int")).alias("bad")).where("bad = 1")
     out = out.union(seq.select(none.cast("int"), none.cast("string"), F.lit("no"), F.lit("peringatan"), F.lit("kolom no tidak berurutan 1..n")))
     dup = df.where("url_putusan is not null").withColumn("_n", F.count("*").over(Window.partitionBy("url_putusan"))).where("_n > 1")
     out = out.union(dup.select("no", "nomor_putusan", F.lit("url_putusan"), F.lit("galat"), F.lit("url_putusan sama dengan baris lain")))
@@ -89,8 +100,7 @@ def validate(df: DataFrame, excluded: DataFrame | None = None, files: DataFrame
     same = k.join(grp, "_k")
     out = out.union(same.select("no", "nomor_putusan", F.lit("nomor_putusan"), F.when(F.col("_noted"), "info").otherwise("peringatan"), F.concat(F.lit("nomor sama dengan baris "), "_nos", F.when(F.col("_noted"), " (sudah ditandai duplikat di catatan)").otherwise(""))))
     t = df.where("rantai_perkara is not null").select("rantai_perkara", "no", "nomor_putusan", "tingkat_proses", F.coalesce(C.literal_map(STAGE_ORDER)[F.col("tingkat_proses")], F.lit(0)).alias("lv"), C.parse_date("tanggal_putusan").alias("d")).where("d is not null")
-    a, b = t.alias("a"), t.alias("b")
-    late = a.join(b, (F.col("a.rantai_perkara") == F.col("b.rantai_perkara")) & (F.col("a.lv") < F.col("b.lv")) & (F.col("a.d") > F.col("b.d")))
+    late = late_pairs(t, "rantai_perkara", "lv", "d")
     msg = F.concat(F.lit("rantai "), "a.rantai_perkara", F.lit(": putusan "), "b.tingkat_proses", F.lit(" ("), F.col("b.d").cast("string"), F.lit(") lebih awal dari "), "a.tingkat_proses", F.lit(" "), "a.nomor_putusan", F.lit(" ("), F.col("a.d").cast("string"), F.lit(")"))
     out = out.union(late.select("b.no", "b.nomor_putusan", F.lit("tanggal_putusan"), F.lit("peringatan"), msg))
     ev = df.where("rantai_perkara is not null").groupBy("rantai_perkara").agg(F.array_sort(F.collect_set(C.value("tahun_kejadian").cast("string"))).alias("ys"), F.min_by(F.struct("no", "nomor_putusan"), "no").alias("f")).where("size(ys) > 1")

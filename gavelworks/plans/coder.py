@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 # fixed values: fields of a coded record
-FIELDS = (
-    "nomor_putusan pengadilan tingkat_persidangan tingkat_proses tanggal_putusan tahun_kejadian hasil_putusan rincian_amar barang_bbm relevan_bbm nilai_kerugian_uang "
-    "mata_uang dasar_nilai_uang nilai_kerugian_volume satuan_volume keterangan_volume klasifikasi kutipan_bukti catatan keyakinan"
-).split()
+FIELDS = [
+    "nomor_putusan", "pengadilan", "tingkat_persidangan", "tingkat_proses", "tanggal_putusan", "tahun_kejadian", "hasil_putusan", "rincian_amar", "barang_bbm",
+    "relevan_bbm", "nilai_kerugian_uang", "mata_uang", "dasar_nilai_uang", "nilai_kerugian_volume", "satuan_volume", "keterangan_volume", "klasifikasi",
+    "kutipan_bukti", "catatan", "keyakinan",
+]
 SCHEMA = ", ".join(f"{f} {'array<string>' if f == 'kutipan_bukti' else 'double' if f.startswith('nilai') else 'string'}" for f in FIELDS)
 ENUMS = {"hasil_putusan": ["Bersalah", "Tidak bersalah"], "relevan_bbm": ["Ya", "Sebagian", "Tidak"], "tingkat_persidangan": ["PN", "PT", "MA", "Pengadilan Militer"]}
 
@@ -66,6 +67,33 @@ def flat(coded: DataFrame) -> DataFrame:
     return coded.where("_error is null").select("file_pdf", *[F.array_join(f, " | ").alias(f) if f == "kutipan_bukti" else F.col(f) for f in FIELDS], F.array_join("kutipan_tidak_ditemukan", " | ").alias("kutipan_tidak_ditemukan"))
 
 
+def to_records(coded: DataFrame) -> DataFrame:
+    """Coded records in the columns of a decision record: failures as notes, the basis of amounts with its code in
+    front, articles, corrections and lost quotes in the note.
+
+    Columns that are there are used: dasar_kode, pasal_uu_migas, koreksi_verifikator (arrays), model, verifikasi."""
+    has = lambda c: c in coded.columns
+    arr = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if has(c) else F.array().cast("array<string>")
+    bad = F.col("_error").isNotNull()
+    joined = lambda c, sep, head: F.when(F.size(arr(c)) > 0, F.concat(F.lit(head), F.array_join(arr(c), sep)))
+    lost = F.when(F.size(arr("kutipan_tidak_ditemukan")) > 0, F.concat(F.size(arr("kutipan_tidak_ditemukan")).cast("string"), F.lit(" kutipan tidak ditemukan di teks")))
+    note = F.nullif(F.concat_ws(" ", F.nullif("catatan", F.lit("")), joined("pasal_uu_migas", ", ", "Pasal UU 22/2001: "), joined("koreksi_verifikator", "; ", "Koreksi verifikator: "), lost), F.lit(""))
+    code = F.coalesce(F.col("dasar_kode").cast("string"), F.lit("None")) if has("dasar_kode") else F.lit("None")
+    basis = F.when(~C.is_na("dasar_nilai_uang"), F.concat(F.lit("("), code, F.lit(") "), F.col("dasar_nilai_uang")))
+    checked = F.when(F.col("verifikasi"), ", diverifikasi)").otherwise(")") if has("verifikasi") else F.lit(")")
+    special = {
+        "mata_uang": F.when(F.col("nilai_kerugian_uang").isNotNull(), "IDR"),
+        "dasar_nilai_uang": basis,
+        "bukti_kutipan": F.array_join(arr("kutipan_bukti"), " | "),
+        "sumber_data": F.concat(F.lit("PDF putusan (koding "), F.col("model") if has("model") else F.lit("model"), checked),
+    }
+    keep = [f for f in FIELDS if f not in ("kutipan_bukti", "catatan", "keyakinan", *special)]
+    return coded.select(
+        "file_pdf", *[F.when(~bad, F.col(f)).alias(f) for f in keep], *[F.when(~bad, c).alias(n) for n, c in special.items()],
+        F.when(bad, F.concat(F.lit("GAGAL dikodekan: "), F.col("_error"))).otherwise(note).alias("catatan"),
+    )
+
+
 def year_range(arg: str) -> list[int]:
     """'2020:2026', '2020-2026' or '2020,2022' as years within 1990-2100."""
     m = re.fullmatch(r"\s*(\d{4})\s*[:-]\s*(\d{4})\s*", arg)

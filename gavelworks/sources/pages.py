@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -144,25 +147,72 @@ def edges(over: DataFrame) -> DataFrame:
 
 def allowed(robots: str, path: str) -> bool:
     """robots.txt rule for every agent: the longest match wins, allow on ties."""
-    active, rules = False, []
+    active, naming, rules = False, False, []
     for line in robots.splitlines():
         k, _, v = line.partition("#")[0].partition(":")
         k, v = k.strip().lower(), v.strip()
         if k == "user-agent":
-            active = v == "*"
-        elif active and k in ("allow", "disallow") and v:
+            # lines of agents that follow each other open one group
+            active, naming = (active and naming) or v == "*", True
+            continue
+        naming = naming and not k
+        if active and k in ("allow", "disallow") and v:
             pat = re.escape(v).replace(r"\*", ".*").replace(r"\$", "$")
             if re.match(pat, path):
                 rules.append((len(v), k == "allow"))
     return max(rules)[1] if rules else True
 
 
-def fetch(url: str, open_url, sleep, attempts: int = 5, delay: float = 3.0) -> bytes:
+def save_file(body: bytes, target: str, content_type: str = "", kind: bytes = b"%PDF-") -> str:
+    """Write a download so that it is there whole or not at all; one that doesn't begin as its kind, or is a
+    blocking page, raises ValueError.  A file that is there already stays."""
+    if os.path.exists(target) and os.path.getsize(target) > 0:
+        return target
+    if not body.startswith(kind):
+        blocked = "html" in content_type.lower() or b"captcha" in body[:200_000].lower()
+        raise ValueError(f"{'blocked' if blocked else 'not ' + kind.decode()}: {target}")
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    part = target + ".part"
+    with open(part, "wb") as f:
+        f.write(body)
+    os.replace(part, target)
+    return target
+
+
+def cached(url: str, folder: str, get, is_listing: bool = False, hours: float = 24.0, now: float | None = None) -> str:
+    """Page of the disk cache, or fetched by ``get`` and kept; listings expire after some hours, blocked or
+    unrecognised pages raise ValueError and are not kept."""
+    name = re.sub("[^A-Za-z0-9]+", "_", re.sub(r"^https?://[^/]+/", "", url))
+    name = (name if len(name) <= 180 else f"{name[:100]}__{name[-80:]}") + ".html"
+    path = os.path.join(folder, name)
+    if os.path.exists(path) and (not is_listing or (now or time.time()) - os.path.getmtime(path) < hours * 3600):
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    html = get(url)
+    low = html.lower()
+    if "captcha" in low or "database error" in low or "a php error" in low:
+        raise ValueError(f"not kept: {url}")
+    os.makedirs(folder, exist_ok=True)
+    with open(path + ".part", "w", encoding="utf-8") as f:
+        f.write(html)
+    os.replace(path + ".part", path)
+    return html
+
+
+def all_listings(*parts: DataFrame) -> DataFrame:
+    """Entries of searches and categories under one another, by name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def fetch(url: str, open_url, sleep, attempts: int = 5, delay: float = 3.0, jitter: float = 1.5) -> bytes:
     """Polite request through injected ``open_url`` -> (status, headers, body): 429, 5xx and network errors are
     retried with growing delays (Retry-After up to 300 s), other errors stop at once."""
     last = None
     for k in range(attempts):
-        sleep(delay)
+        sleep(delay + random.uniform(0, jitter))
         try:
             status, headers, body = open_url(url)
         except OSError as e:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import columns as C
-from ..functions.lexicon import RECORD, RECORD_TYPES
+from ..functions import web as W
+from ..functions.lexicon import CLEAN_VERSION, RECORD, RECORD_TYPES
 
 RECORD_SCHEMA = ", ".join(f"{c} {RECORD_TYPES.get(c, 'string')}" for c in RECORD)
 _SENTINEL = "\u0001none\u0001"
@@ -49,11 +51,40 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.concat(F.lit("pdf/"), F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.txt$", ".pdf")).alias("file_pdf"), F.col("value").alias("text"))
 
 
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """PDFs of a folder: (path, key of stem and content hash, content)."""
-    b = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+def read_pdfs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """PDFs of a folder or a list of files, by path: (path, key of stem, content hash and cleaning version, content)."""
+    r = spark.read.format("binaryFile")
+    b = r.option("pathGlobFilter", "*.pdf").load(path) if isinstance(path, str) else r.load(path)
     stem = F.regexp_extract("path", r"([^/]+)\.pdf$", 1)
-    return b.select("path", F.concat_ws("-", stem, F.substring(F.sha1("content"), 1, 12)).alias("key"), "content")
+    key = F.concat_ws(".", stem, F.substring(F.sha1("content"), 1, 12), F.lit(f"v{CLEAN_VERSION}"))
+    return b.select("path", key.alias("key"), "content").orderBy("path")
+
+
+def candidate_view(spark: SparkSession, build, path: str, rebuild: bool = False) -> DataFrame:
+    """The table at ``path``, built by ``build()`` where it isn't there yet or ``rebuild`` asks for it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    if rebuild or not there:
+        swap(build(), path)
+    return spark.read.parquet(path)
+
+
+def swap(df: DataFrame, path: str, write=None) -> None:
+    """Rewrite a table that may be read by df itself: written aside (default: Parquet), then put in its place."""
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.part"
+    (write or (lambda d, to: d.write.parquet(to)))(df, aside)
+    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (aside, path))
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"could not put {aside} in place of {path}")
+    spark.catalog.refreshByPath(path)
+
+
+def write_raw(df: DataFrame, path: str) -> None:
+    """Rewrite a raw CSV in place, cells as they are."""
+    swap(df, path, lambda d, to: d.write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(to))
 
 
 def pdf_texts(pdfs: DataFrame, extract=None, done: DataFrame | None = None) -> DataFrame:
@@ -86,15 +117,18 @@ def _pypdf(content: bytes) -> list[str]:
 
 def lines_of_words(words: DataFrame) -> DataFrame:
     """(page, line, text) from words with coordinates (page, x, y, height, word): odd heights dropped, a gap over 3 starts a line."""
-    w = Window.partitionBy("page").orderBy("y", "x")
-    d = words.where("height >= 5 and height < 17").withColumn("gap", (F.col("y") - F.lag("y").over(w) > 3).cast("int"))
-    d = d.withColumn("line", F.sum(F.coalesce("gap", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    from ..operators.records import islands
+
+    d = islands(words.where("height >= 5 and height < 17"), ["page"], ["y", "x"], "y", 3, "line")
     return d.groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word"))), lambda x: x["word"]), " ").alias("text"))
 
 
-def read_jsonl_latest(spark: SparkSession, path: str, schema: str, key: str = "_key") -> DataFrame:
-    """Last record of each key of a JSON lines file."""
-    d = spark.read.schema(schema).json(path).withColumn("_at", F.monotonically_increasing_id())
+def read_jsonl_latest(spark: SparkSession, path: str, schema: str, key: str = "_key", order: str | None = None) -> DataFrame:
+    """Last record of each key of appended JSON lines: by ``order`` if given, else by the files' times and the lines in them."""
+    d = spark.read.schema(schema).json(path)
+    m = "_metadata."
+    at = [order] if order else [f"{m}file_modification_time", f"{m}file_path", f"{m}file_block_start"]
+    d = d.select("*", F.struct(*at, F.monotonically_increasing_id().alias("_i")).alias("_at"))
     return d.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at")))).where("_rn = 1").drop("_rn", "_at")
 
 
@@ -102,11 +136,29 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def search_pages(spark: SparkSession, keywords: list[str], years: list[int], pages: int) -> DataFrame:
-    """Keyword x year x page requests."""
-    k = spark.createDataFrame([(x,) for x in keywords], "kata string")
-    y = spark.createDataFrame([(x,) for x in years], "tahun int")
-    return k.crossJoin(y).select("kata", "tahun", F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("halaman"))
+def search_pages(spark: SparkSession, keywords: list[str] | DataFrame, years: list[int], pages: int) -> DataFrame:
+    """Keyword (a list, or a table with ``kata``) x year x page requests."""
+    k = keywords if isinstance(keywords, DataFrame) else spark.createDataFrame([(x,) for x in keywords], "kata string")
+    y = k.select("kata", F.explode(F.array(*[F.lit(x) for x in years])).alias("tahun"))
+    return y.select("kata", "tahun", F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("halaman"))
+
+
+def category_pages(categories: DataFrame, years: list[int], pages: int) -> DataFrame:
+    """(url of the category, tahun, halaman, alamat): category x year x page requests."""
+    y = categories.select("url", F.explode(F.array(*[F.lit(x) for x in years])).alias("tahun"))
+    p = y.select("url", "tahun", F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("halaman"))
+    return p.withColumn("alamat", W.page(W.by_year("url", F.col("tahun")), "halaman"))
+
+
+def final_outputs(checked: DataFrame, failures: DataFrame, years: list[int], out: str) -> None:
+    """All checked rulings, the final record, the list of addresses and the log of failures."""
+    from ..operators import records
+
+    for name, df in {
+        "semua_diperiksa": checked, "rekap": records.final_record(checked, years), "daftar_url": checked.select("url_putusan").where("url_putusan is not null").distinct(),
+        "log_gagal": failures.select("url", "galat"),
+    }.items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
 def url_id(c):
