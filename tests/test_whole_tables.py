@@ -14,12 +14,12 @@ def test_groups_violations_and_components(spark, tmp_path):
     for p in sorted({o[2] for o in orders}):
         g = [o for o in orders if o[2] == p]
         want.append((p, ", ".join(sorted({str(o[1]) for o in g})), f"K{min(o[0] for o in g) % 100}", max(o[5] for o in g)))
-    assert sorted(rows("group_summary_whole")) == want
+    assert sorted(rows("group_summary")) == want
     pairs = sorted((b[0], a[0]) for a in orders for b in orders if a[1] == b[1] and a[2] < b[2] and a[3] > b[3])
-    assert sorted(rows("chain_order_violation_whole")) == pairs and len(pairs) > 50
+    assert sorted(rows("chain_order_violation")) == pairs and len(pairs) > 50
     edges = [(2 * x[2], 2 * x[3] + 1) for x in lines]
     comp = {n: n for e in edges for n in e}
     for _ in comp:
         for a, b in edges:
             comp[a] = comp[b] = min(comp[a], comp[b])
-    assert dict(rows("chain_components_whole")) == comp and len(set(comp.values())) > 1
+    assert dict(rows("chain_components")) == comp and len(set(comp.values())) > 1
