@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.graph import shared_folder
+
 #: a word is a maximal run without ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,20 +40,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_gavelworks_tmp", None)
-        if not base:
-            folder = tempfile.mkdtemp(prefix="gavelworks-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            base = spark.sparkContext._gavelworks_tmp = "file://" + folder
-    return base.rstrip("/") + "/gavelworks"
+    """The cluster's shared folder; a temporary one only where none is set and the master is local (tests)."""
+    return shared_folder(spark) + "/gavelworks"
 
 
 class Work:
     """Intermediate tables in the shared folder.  They cut lineage like a
-    checkpoint but are computed once; ``drop`` frees those no longer needed."""
+    checkpoint but are computed once; ``drop`` frees those no longer needed,
+    the rest goes with the application (results are read from them until then)."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
@@ -61,6 +57,9 @@ class Work:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{tag}"
         df.write.mode("overwrite").parquet(path)
+        if self.n == 1:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
         return out
