@@ -7,7 +7,7 @@ languages of a family.  The score is the family's logistic share times the
 language's share of its pairwise duels.  The score says which of the learned languages
 is nearest, not that it is one of them: texts in mixed languages score as low as gibberish.
 Whether a text is in learned languages at all is told by the share of its trigrams
-that no training row holds.
+that no training row holds (its lower confidence bound, for the sake of short texts).
 
 Training takes about ``per_lang`` documents a language and ``most`` in all, but ``least`` a
 language (bounds of the sample that is fitted; statistics of nothing else depend on it), chosen by
@@ -110,6 +110,12 @@ class Model:
         """Share of the trigrams that no training row holds; 1 without a letter."""
         return 1.0 if h is None else float(h[~self.seen].sum() / max(1, h.sum()))
 
+    def strange(self, h: np.ndarray | None, most: float) -> bool:
+        """Whether more than ``most`` of the trigrams are unseen for sure: the lower 99 % bound of their share is
+        above it, so that one odd word doesn't speak for a short text."""
+        u = self.unseen(h)
+        return h is None or u - 2.33 * float(np.sqrt(u * (1 - u) / max(1, h.sum()))) > most
+
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.told(features(text))
 
@@ -243,7 +249,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 # one text's counts at a time: those of a whole batch would take half a gigabyte
                 h = features(t.as_py())
                 said = model.told(h)[0]
-                keep.append(said != "und" and model.unseen(h) <= most)
+                keep.append(said != "und" and not model.strange(h, most))
                 lang[i] = said if lang[i] is None else lang[i]
             cols = [pa.array(lang, c.type) if i == to else c for i, c in enumerate(rb.columns)]
             yield pa.RecordBatch.from_arrays(cols, names=rb.schema.names).filter(pa.array(keep, pa.bool_()))
