@@ -145,7 +145,7 @@ def parse_number(c) -> Column:
 
 
 def general_number(c) -> Column:
-    """Like %g: six significant digits without trailing zeros."""
+    """Like %g: six significant digits without trailing zeros; a tie of the shortest decimal form goes up."""
     x = col(c).cast("double")
     digits = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(x))).cast("int"))
     fixed = F.format_string("%.6f", F.round(x * F.pow(F.lit(10.0), 5 - digits), 0) / F.pow(F.lit(10.0), 5 - digits))

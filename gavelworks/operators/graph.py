@@ -51,6 +51,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         lab = new
 
 
+def renumber(df: DataFrame, order: list, out: str = "no") -> DataFrame:
+    """1..n in order: rows are dealt by range, numbered within their range, and moved by the counts of earlier ranges.
+
+    Rows of one value of the first columns lie in one range, so ties need a last column that tells rows apart."""
+    d = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    n = d.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    n = n.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(F.broadcast(n.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
+    no = (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")).cast("int")
+    return d.withColumn(out, no).drop("_part", "_before")
+
+
 def chains(rulings: DataFrame, links: DataFrame) -> DataFrame:
     """(id, chain): linked rulings share a chain R0001.., numbered by earliest year (9999 if unknown) and smallest id.
 
@@ -58,7 +70,7 @@ def chains(rulings: DataFrame, links: DataFrame) -> DataFrame:
     comp = components(rulings.select(F.col("id").alias("node")), links.select(F.col("dari_id").alias("a"), F.col("ke_id").alias("b")))
     x = comp.join(rulings.select(F.col("id").alias("node"), "year"), "node")
     first = x.groupBy("comp").agg(F.min(F.coalesce("year", F.lit(9999))).alias("y"), F.min("node").alias("i"))
-    first = first.withColumn("n", F.row_number().over(Window.orderBy("y", "i"))).select("comp", F.format_string("R%04d", "n").alias("chain"))
+    first = renumber(first, ["y", "i"], "n").select("comp", F.format_string("R%04d", "n").alias("chain"))
     return comp.join(first, "comp").select(F.col("node").alias("id"), "chain")
 
 
@@ -89,7 +101,7 @@ def incidents(cases: DataFrame) -> DataFrame:
     """(chain, kelompok, anggota): components over the pairs; groups of more than one are K01.. by smallest chain."""
     comp = components(cases.select(F.col("chain").alias("node")), incident_pairs(cases))
     size = comp.groupBy("comp").agg(F.count("*").alias("anggota"))
-    label = size.where("anggota > 1").withColumn("kelompok", F.format_string("K%02d", F.row_number().over(Window.orderBy("comp"))))
+    label = renumber(size.where("anggota > 1"), ["comp"], "n").withColumn("kelompok", F.format_string("K%02d", "n"))
     return comp.join(size, "comp").join(label.select("comp", "kelompok"), "comp", "left").select(F.col("node").alias("chain"), F.coalesce("kelompok", F.col("node").cast("string")).alias("kelompok"), "anggota")
 
 

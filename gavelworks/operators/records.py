@@ -161,16 +161,7 @@ def islands(df: DataFrame, keys: list[str], order: list[str], at: str, gap, out:
     return d.withColumn(out, F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
 
 
-def renumber(df: DataFrame, order: list, out: str = "no") -> DataFrame:
-    """1..n in order: rows are dealt by range, numbered within their range, and moved by the counts of earlier ranges.
-
-    Rows of one value of the first columns lie in one range, so ties need a last column that tells rows apart."""
-    d = graph.cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    n = d.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
-    n = n.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.join(F.broadcast(n.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part")
-    no = (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")).cast("int")
-    return d.withColumn(out, no).drop("_part", "_before")
+renumber = graph.renumber
 
 
 # -- statistics --------------------------------------------------------------------------------

@@ -543,3 +543,6 @@ _URLS = [(i, u, n) for i, (u, n) in enumerate([("https://x/kategori/migas-1.html
 nullif(lower(regexp_extract(coalesce(u, ''), '(?i)/putusan/([0-9a-z]+)\\.html', 1)), '') AS id FROM (SELECT *, regexp_replace(u, '/page/\\d+\\.html', '.html') AS b FROM {K.values(_URLS, 'i, u, n')})""")
 def addresses(spark, d):
     return K.frame(spark, _URLS, "i int, u string, n int").select("i", W.page("u", "n").alias("halaman"), W.by_year("u", F.lit(2021)).alias("tahun"), W.ruling_id("u").alias("id"))
+
+
+from . import more as _more  # noqa: E402, F401  registers further queries

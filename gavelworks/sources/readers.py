@@ -35,7 +35,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_csv_file(df: DataFrame, path: str) -> None:
     """One CSV file with a byte order mark, for summary tables that people open."""
-    df.toPandas().to_csv(path, index=False, encoding="utf-8-sig", na_rep="NA")
+    _small(df).toPandas().to_csv(path, index=False, encoding="utf-8-sig", na_rep="NA")
+
+
+def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table itself if a count shows it to be fit for people; else ValueError, nothing is cut off."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: write a table instead")
+    return df
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
@@ -168,7 +175,7 @@ def url_id(c):
 def markdown(df: DataFrame) -> str:
     """A small table as Markdown, numbers with dots between thousands."""
     floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    rows = df.select(*[C.thousands(c).alias(c) if c in floats else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).collect()
+    rows = _small(df).select(*[C.thousands(c).alias(c) if c in floats else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).collect()
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(r) + " |" for r in rows)])
 
 
