@@ -39,16 +39,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Edges to unknown nodes are ignored; nodes without edges are their own component."""
     known = nodes.select("node").where("node is not null").distinct()
     e = edges.select("a", "b").join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    return contracted(known, e)
+
+
+def contracted(known: DataFrame, e: DataFrame) -> DataFrame:
+    """``components`` of known nodes (distinct) and edges between them.
+
+    Each round every node moves to the smallest of its neighbours (and on to that one's), and the edges are drawn
+    again between what is left: the graph shrinks by half or more a round, and the smallest node of a component is
+    never moved."""
     e = cut(e.union(e.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    lab = cut(known.withColumn("comp", F.col("node")))
-    while True:
-        near = e.join(lab, e.b == lab.node).groupBy("a").agg(F.min("comp").alias("m"))
-        new = lab.join(near, lab.node == near.a, "left").select("node", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        far = new.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = cut(new.join(far, "comp").select("node", F.col("root").alias("comp")))
-        if not new.join(lab.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count():
-            return new
-        lab = new
+    moves = []
+    while e.limit(1).count():
+        to = e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+        far = to.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        move = cut(to.join(far, "to").select("node", F.col("far").alias("to")))
+        moves.append(move)
+        e = e.join(move.toDF("a", "ta"), "a").join(move.toDF("b", "tb"), "b").where("ta <> tb")
+        e = cut(e.select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
+    lab = known.withColumn("comp", F.col("node"))
+    for move in moves:
+        lab = lab.join(move.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return cut(lab) if moves else lab
 
 
 def renumber(df: DataFrame, order: list, out: str = "no") -> DataFrame:
