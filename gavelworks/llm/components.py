@@ -1,11 +1,11 @@
-"""Connected components of an undirected edge table by min-label propagation
-with pointer jumping; every round is written to the shared folder."""
+"""Connected components of an undirected edge table, by contraction; every round is written to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import contracted
 from .common import Work
 
 
@@ -16,20 +16,5 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     an empty result.  Hubs are harmless: labels are aggregated map-side and the
     label join may be split by adaptive execution.
     """
-    e = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    e = work.save(e.select("a", "b").union(e.select(F.col("b"), F.col("a"))), "edges")
-    lab = work.save(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    while True:
-        msg = e.join(lab, e.b == lab.node).select(F.col("a").alias("node"), "comp")
-        new = lab.union(msg).groupBy("node").agg(F.min("comp").alias("comp"))
-        new = work.save(new, "spread")
-        far = new.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        jumped = new.join(far, "comp").select("node", F.col("root").alias("comp"))
-        jumped = work.save(jumped, "labels")
-        old = lab.select("node", F.col("comp").alias("was"))
-        moved = jumped.join(old, "node").where("comp <> was").limit(1).count()
-        work.drop(lab, new)
-        lab = jumped
-        if not moved:
-            work.drop(e)
-            return lab
+    e = work.save(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
+    return contracted(e.select(F.col("a").alias("node")).union(e.select("b")).distinct(), e)
