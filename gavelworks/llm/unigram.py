@@ -86,11 +86,13 @@ class Unigram:
             if usable[i] and p:
                 words.setdefault(p, i)
         self.trie = DoubleArray(words)
+        self.longest = max(map(len, words), default=1)
         self.unk_score = min((self.score[i] for i in words.values()), default=0.0) - 10.0
         # words part at markers if no piece goes on behind one, and at line ends if no piece has one
         apart = all("\n" not in w and MARK not in w.lstrip(MARK) for w in words)
         self.split = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n") if apart else re.compile(r"(?s).+")
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.byte_of = byte_of
         # what a piece alone decodes to; None for bytes that need their neighbours
@@ -100,27 +102,27 @@ class Unigram:
         """Best segmentation (ids with ``-1 - ord`` for an unknown character) and its score;
         of equal ones the longer last piece wins."""
         base, check, value, code, score = self.trie.base, self.trie.check, self.trie.value, self.trie.code, self.score
-        n = len(word)
+        n, reach = len(word), self.longest
         codes = [code.get(c, 0) for c in word]
         best, back, ids = [-math.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            node, here, single = 0, best[i], False
-            for j in range(i, n):
-                c = codes[j]
+            node, here, single, j = 0, best[i], False, i
+            for c in codes[i : i + reach]:
                 if not c:
                     break
                 t = base[node] + c
                 if check[t] != node:
                     break
                 node = t
+                j += 1
                 v = value[t]
                 if v >= 0:
-                    if j == i:
-                        single = True
                     s = here + score[v]
-                    if s > best[j + 1]:
-                        best[j + 1], back[j + 1], ids[j + 1] = s, i, v
+                    if s > best[j]:
+                        best[j], back[j], ids[j] = s, i, v
+                    if j == i + 1:
+                        single = True
             if not single and here + self.unk_score > best[i + 1]:
                 best[i + 1], back[i + 1], ids[i + 1] = here + self.unk_score, i, -1 - ord(word[i])
         out, at = [], n
@@ -133,18 +135,22 @@ class Unigram:
         return [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unk]
 
     def chunk(self, word: str) -> tuple[int, ...]:
+        """Ids of a word.  Known words are kept in two generations: a full one becomes the old one, and what is met
+        again moves on, so that common words are never worked out anew."""
         got = self.cache.get(word)
         if got is None:
-            out: list[int] = []
-            for i in self.viterbi(word)[0]:
-                if i >= 0:
-                    out.append(i)
-                else:
-                    out += self._bytes(chr(-1 - i))
-            got = tuple(out)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
+            got = self.old.get(word)
+            if got is None:
+                out: list[int] = []
+                for i in self.viterbi(word)[0]:
+                    if i >= 0:
+                        out.append(i)
+                    else:
+                        out += self._bytes(chr(-1 - i))
+                got = tuple(out)
             if len(word) < 64:
+                if len(self.cache) >= CACHE:
+                    self.old, self.cache = self.cache, {}
                 self.cache[word] = got
         return got
 
@@ -153,14 +159,18 @@ class Unigram:
         if not text:
             return []
         out: list[int] = []
+        known = self.cache
         for k, part in enumerate(text.split(MARK)):
             if k:
                 out += self._bytes(MARK)
             else:
                 part = MARK + part
-            chunk = self.chunk
             for w in self.split.findall(part.replace(" ", MARK)):
-                out += chunk(w)
+                got = known.get(w)
+                if got is None:
+                    got = self.chunk(w)
+                    known = self.cache
+                out += got
         return out
 
     def decode(self, ids) -> str:
