@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fertility, jaccard, langid, license, media, mixing, pii, sitetree, unigram
+from . import chat, fertility, jaccard, langid, license, media, merkle, mixing, pii, sitetree, unigram
 
 QUERIES = {
     "op1_media_copies": media.op1,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_license_scan": license.op8,
     "op9_html_site_tree": sitetree.op9,
     "op10_chat_format": chat.op10,
+    "op11_merkle_manifest": merkle.op11,
 }
 ORACLES = {
     "op3_mixing": mixing.oracle(),
     "op4_ngram_jaccard_join": jaccard.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
