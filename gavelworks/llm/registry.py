@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fertility, jaccard, langid, license, media, merkle, mixing, pii, sitetree, unigram
+from . import bytebpe, chat, fertility, jaccard, langid, license, media, merkle, mixing, pii, sitetree, unigram
 
 QUERIES = {
     "op1_media_copies": media.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_site_tree": sitetree.op9,
     "op10_chat_format": chat.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_byte_bpe": bytebpe.op12,
 }
 ORACLES = {
     "op3_mixing": mixing.oracle(),
