@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, chat, fertility, jaccard, langid, license, media, merkle, mixing, pii, sitetree, unigram
+from . import align, bytebpe, chat, fertility, jaccard, langid, license, media, merkle, mixing, pii, sitetree, unigram
 
 QUERIES = {
     "op1_media_copies": media.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": chat.op10,
     "op11_merkle_manifest": merkle.op11,
     "op12_byte_bpe": bytebpe.op12,
+    "op13_token_alignment": align.op13,
 }
 ORACLES = {
     "op3_mixing": mixing.oracle(),
