@@ -203,10 +203,10 @@ class Forest:
         self.work = work
         leaves = work.save(leaves, "leaves")
         n = leaves.count()
-        self.parts = max(1, min(partitions(work.spark), math.ceil(n / LEAST)), math.ceil(n / MOST))
+        asked = max(1, min(partitions(work.spark), math.ceil(n / LEAST)), math.ceil(n / MOST))
         # equal rows are told apart by their place, so that a range can't hold them all
         at = F.monotonically_increasing_id()
-        cut = leaves.withColumn("_at", at).repartitionByRange(self.parts, "tree", *order, "leaf", "_at").sortWithinPartitions("tree", *order, "leaf", "_at")
+        cut = leaves.withColumn("_at", at).repartitionByRange(asked, "tree", *order, "leaf", "_at").sortWithinPartitions("tree", *order, "leaf", "_at")
         mid = F.monotonically_increasing_id()
         cut = cut.withColumn("_at", mid).select("tree", "leaf", *order, *carry, F.shiftright("_at", 33).alias("part"), F.expr("_at & 8589934591").alias("row"))
         self.leaves = work.save(cut, "cut")
@@ -214,6 +214,8 @@ class Forest:
         spans = self.leaves.groupBy("part", "tree").agg(F.min("row").alias("first"), F.count("*").alias("cnt"))
         spans = spans.withColumn("start", F.coalesce(F.sum("cnt").over(by_tree.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         self.spans = work.save(spans.withColumn("n", F.sum("cnt").over(by_tree)), "spans")
+        #: as many as there came to be, which need not be as many as asked for
+        self.parts = 1 + (self.spans.agg(F.max("part")).first()[0] or 0)
         self._merge()
 
     def _spans(self, more: DataFrame | None = None) -> DataFrame:
