@@ -27,7 +27,11 @@ def dedupe_decisions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def gazetteer(spark, places: dict | None = None, more: DataFrame | None = None) -> DataFrame:
     """(key, provinsi) for court_key joins: the places of ``places`` (province -> names; default PLACES) and the rows
-    of ``more`` (provinsi, tempat); of places named twice the province first in the alphabet."""
+    of ``more`` (provinsi, tempat; default: the CSV file that the session's spark.gavelworks.places names, if any);
+    of places named twice the province first in the alphabet."""
+    path = spark.conf.get("spark.gavelworks.places", None)
+    if more is None and path:
+        more = spark.read.option("header", True).csv(path)
     rows = [(place, prov) for prov, names in (places or PLACES).items() for place in ([names] if isinstance(names, str) else names)]
     g = spark.createDataFrame(rows, "place string, provinsi string")
     if more is not None:
