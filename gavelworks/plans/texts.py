@@ -3,11 +3,14 @@ the columns, never from the texts."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.lexicon import PLACES
-from ..operators import places, quotes, records
+from ..operators import graph, places, quotes, records
+from ..sources import listing
 from .catalog import query, t
 
 #: (number, place, province) of the default gazetteer
@@ -83,3 +86,14 @@ def quote_sources(spark, d):
     b = t(spark, d, "benchmark")
     b = b.select("item_id", F.concat_ws(" ... ", F.substring("text", 1, 30), F.substring("text", 61, 40)).alias("q"))
     return quotes.sources(b, t(spark, d, "documents"), "item_id", "q", "doc_id", "text").select("item_id", "n_texts", "first_text")
+
+
+@query("SELECT (2019 + page_id % 5)::INT AS tahun, (page_id // 5 + 1)::INT AS halaman, md5(html) AS sidik, length(html) AS panjang FROM pages")
+def listing_scan(spark, d):
+    """All pages, packed as the listings of five years into a shared store and read again by the data source."""
+    at = "https://putusan3.mahkamahagung.go.id/direktori/index/kategori/minyak.html"
+    store = f"{graph.shared_folder(spark)}/gavelworks-listing/{uuid.uuid4().hex}"
+    p = t(spark, d, "pages").select((F.col("page_id") % 5 + 2019).cast("int").alias("tahun"), (F.floor(F.col("page_id") / 5) + 1).cast("int").alias("halaman"), F.col("url").alias("alamat"), "html", F.lit(0.0).alias("diambil"))
+    listing.pack(p, store, at).agg(F.sum("n")).first()
+    graph.forget(spark, store)
+    return listing.read(spark, store, at).select("tahun", "halaman", F.md5("html").alias("sidik"), F.length("html").cast("long").alias("panjang"))
