@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..functions.lexicon import PLACES
 from ..operators import graph, places, quotes, records
 from ..sources import listing
+from ..streaming import crawl
 from .catalog import query, t
 
 #: (number, place, province) of the default gazetteer
@@ -97,3 +98,18 @@ def listing_scan(spark, d):
     listing.pack(p, store, at).agg(F.sum("n")).first()
     graph.forget(spark, store)
     return listing.read(spark, store, at).select("tahun", "halaman", F.md5("html").alias("sidik"), F.length("html").cast("long").alias("panjang"))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[A-Za-z]+://', ''), '[?#].*$|/$|/[?#].*$', '') AS id FROM pages),
+l AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) || regexp_replace(h, '/$', '') AS id FROM pages, LATERAL (SELECT unnest(regexp_extract_all(html, '<a\s[^>]*href="(/[^"#?]*)', 1)) AS h) WHERE h <> '/')
+SELECT id, 'dibaca' AS status FROM p UNION ALL SELECT id, 'antre' FROM l WHERE id NOT IN (SELECT id FROM p)""")
+def crawl_frontier(spark, d):
+    """The crawl state of all pages: a stream is run, stopped, and run again to its end."""
+    at = f"{graph.shared_folder(spark)}/gavelworks-crawl/{uuid.uuid4().hex}"
+    graph.forget(spark, at)
+    schema = t(spark, d, "pages").schema
+    s = spark.readStream.schema(schema).parquet(f"{d}/page[s].parquet")  # a pattern, as a single file is no folder
+    p = s.select(crawl.page_id("url").alias("id"), crawl.linked_ids(F.col("url"), F.col("html")).alias("links"), F.lit(False).alias("expires"), F.lit(None).cast("timestamp").alias("at"))
+    for _ in range(2):
+        crawl.run(p, f"{at}/log", f"{at}/state")
+    return crawl.status(spark, f"{at}/log").select("id", "status")
