@@ -6,6 +6,11 @@ last token, always and only that one, which makes a link.  It uses up part of th
 empty and a group closes), or more than that (the lead changes).  Transitions are memoised by state and token, so that
 bytes are compared once per combination met.
 
+Texts are cut into stretches where both tokenizers must have a boundary: before a space or a line feed that follows
+anything but white space.  (A pre-token of the byte-level pattern holds no white space but a leading one, and no piece
+goes on behind a space or holds a line feed; models with other pieces are not cut.)  Stretches are the words of a text
+for the most part, so each is tokenised and aligned once while it is remembered.
+
 Links are counted per id pair over the whole corpus.  Texts are taken in blocks of ``BLOCK`` characters, whose links
 are stored as places in the block's own list of pairs; only those lists are aggregated, joined with the corpus counts
 and sent back to the blocks, so a pair found everywhere is one row a block and no task holds more than a block and its
@@ -18,10 +23,14 @@ id's highest count are all best; other columns are not returned; an empty table
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
+from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,8 +41,14 @@ from .common import Work, partitions, ship, table
 BLOCK = 1 << 20
 #: states and transitions of a process are dropped beyond this many and learned again
 MEMO = 4_000_000
+#: stretches remembered in each of two generations
+CACHE = 300_000
+#: white space as Python knows it covers that of the tokenizers, so a cut is never inside a run of theirs
+WORD = re.compile(r" \S+")
+STRETCH = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 UNSEEN = b"\xff\xff"  # bytes of tokens that stand for no text; no text in UTF-8 has them
 _LOADED: dict = {}
+_NEW = object()
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,7 +60,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Ids and token bytes of a byte-level tokenizer file; encodes a space and the text."""
+    """Ids and token bytes of a byte-level tokenizer file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,13 +73,24 @@ class ByteLevel:
         for token, i in self.t.get_vocab().items():
             if i not in special and all(c in alphabet for c in token):
                 self.bytes[i] = bytes(alphabet[c] for c in token) or UNSEEN
+        line = self.t.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.t.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        """Ids of each text.  Those of a space and one word are encoded as the lines of one text: a line feed before a
+        space is a token of its own and ends a pre-token as the end of a text does."""
+        one = [self.line is not None and WORD.fullmatch(t) is not None for t in texts]
+        words, others = [t for t, w in zip(texts, one) if w], [t for t, w in zip(texts, one) if not w]
+        got = iter([e.ids for e in self.t.encode_batch_fast(others, add_special_tokens=False)])
+        ids = self.t.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids
+        ends = [*np.flatnonzero(np.array(ids, np.int64) == self.line).tolist(), len(ids)]
+        parts = iter([ids[i:j] for i, j in zip([0, *(e + 1 for e in ends)], ends)])
+        return [next(parts) if w else next(got) for w in one]
 
 
 class Pieces:
-    """Ids and token bytes of a piece model, which puts the space in front itself."""
+    """Ids and token bytes of a piece model.  The model puts a space in front of a text; ``encode`` takes texts with
+    theirs, and what doesn't begin with one is encoded behind a line feed, whose ids are taken off again."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -75,24 +101,29 @@ class Pieces:
             p = sp.id_to_piece(i)
             none = sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)
             self.bytes.append(UNSEEN if none else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() or UNSEEN)
+        #: whether texts may be cut before spaces and line feeds
+        self.apart = all("\n" not in p and "▁" not in p.lstrip("▁") for p in map(sp.id_to_piece, range(sp.vocab_size())))
+        self.before = len(sp.encode("\n"))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.t.encode(texts, num_threads=1)
+        bare = [t[0] != " " or len(t) == 1 for t in texts]
+        got = self.t.encode(["\n" + t if b else t[1:] for t, b in zip(texts, bare)], num_threads=1)
+        return [ids[self.before :] if b else ids for ids, b in zip(got, bare)]
 
 
 class Transducer:
     """States are numbered: 0 is empty, above it A leads, below it B leads; ``rest`` has the unmatched bytes by number."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
-        self.a, self.b = a, b
+        self.a, self.b, self.names = a, b, [str(i) for i in range(max(len(a), len(b)))]
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[tuple[bool, bytes], int] = {}
         self.rest: dict[int, bytes] = {}
-        self.moves: dict[tuple[int, int], int] = {}
+        self.moves: dict[int, dict[int, int]] = {}
+        self.learnt = 0
         self.begin: dict[int, int] = {}
-        self.names: dict[int, str] = {}
 
     def state(self, a_leads: bool, rest: bytes) -> int:
         if not rest:
@@ -101,7 +132,7 @@ class Transducer:
         if got is None:
             got = len(self.number) + 1
             got = self.number[a_leads, rest] = got if a_leads else -got
-            self.rest[got] = rest
+            self.rest[got], self.moves[got] = rest, {}
         return got
 
     def move(self, state: int, token: int) -> int:
@@ -114,13 +145,14 @@ class Transducer:
             got = self.state(not a_leads, new[len(rest) :])
         else:
             raise ValueError(f"tokens differ at {rest!r} and {new!r}")
-        self.moves[state, token] = got
+        self.moves[state][token] = got
+        self.learnt += 1
         return got
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
         """Links as (A id << 32) + B id in order, and where each group ends in a and in b.  Both sides must spell the
         same bytes."""
-        if len(self.moves) > MEMO:
+        if self.learnt > MEMO:
             self.clear()
         moves, begin = self.moves, self.begin
         links, ends_a, ends_b = [], [], []
@@ -140,54 +172,79 @@ class Transducer:
                     t = x = a[i]
                     i += 1
                 links.append(x << 32 | y)
-                got = moves.get((s, t))
+                got = moves[s].get(t)
                 s = self.move(s, t) if got is None else got
             ends_a.append(i)
             ends_b.append(j)
         return links, ends_a, ends_b
 
     def text(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
-        """Groups as ``a1,a2|b1;a3|b2,b3``; those of one token a side are remembered."""
-        names, out, i, j = self.names, [], 0, 0
+        """Groups as ``a1,a2|b1;a3|b2,b3``."""
+        name, out, i, j = self.names, [], 0, 0
         for p, q in zip(ends_a, ends_b):
-            if p - i == 1 and q - j == 1:
-                code = a[i] << 32 | b[j]
-                name = names.get(code)
-                if name is None:
-                    name = names[code] = f"{a[i]}|{b[j]}"
-                out.append(name)
-            else:
-                out.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
+            left = name[a[i]] if p - i == 1 else ",".join([name[x] for x in a[i:p]])
+            right = name[b[j]] if q - j == 1 else ",".join([name[x] for x in b[j:q]])
+            out.append(left + "|" + right)
             i, j = p, q
         return ";".join(out)
 
 
-def load(a: str | None = None, b: str | None = None) -> tuple[ByteLevel, Pieces, Transducer]:
-    """Both tokenizers and their transducer (read once a process)."""
+class Aligner:
+    """Both tokenizers, their transducer, and what is known of stretches: (links packed, n_a, n_b, groups, groups as
+    text), None where the tokens don't spell the stretch."""
+
+    def __init__(self, left: ByteLevel, right: Pieces):
+        self.left, self.right, self.transducer = left, right, Transducer(left.bytes, right.bytes)
+        self.known: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+
+    def cut(self, text: str) -> list[str]:
+        return STRETCH.findall(text) if self.right.apart else [text]
+
+    def tokens(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both sides, None where the bytes of either differ from the stretch."""
+        of_a, of_b, out = self.left.bytes.__getitem__, self.right.bytes.__getitem__, []
+        for s, a, b in zip(stretches, self.left.encode(stretches), self.right.encode(stretches)):
+            out.append((a, b) if b"".join(map(of_a, a)) == s.encode() == b"".join(map(of_b, b)) else None)
+        return out
+
+    def learn(self, stretches: list[str]) -> list[tuple | None]:
+        """What is known of each stretch (all different), tokenised and aligned now if it is new."""
+        known, old = self.known, self.old
+        out = [known.get(s, _NEW) for s in stretches]
+        new = []
+        for k, got in enumerate(out):
+            if got is _NEW:
+                s = stretches[k]
+                if s in old:
+                    out[k] = known[s] = old[s]
+                else:
+                    new.append(k)
+        if new:
+            align, spell = self.transducer.align, self.transducer.text
+            for k, pair in zip(new, self.tokens([stretches[k] for k in new])):
+                if pair is not None:
+                    a, b = pair
+                    links, ends_a, ends_b = align(a, b)
+                    pair = (array("q", links).tobytes(), len(a), len(b), len(ends_a), spell(a, b, ends_a, ends_b))
+                out[k] = pair
+                if len(stretches[k]) < 64:
+                    known[stretches[k]] = pair
+        if len(known) > CACHE:
+            self.old, self.known = known, {}
+        return out
+
+
+def load(a: str | None = None, b: str | None = None) -> Aligner:
+    """The aligner of this process (read once)."""
     import public_tokenizers
 
     a, b = a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model")
     if (a, b) not in _LOADED:
-        left, right = ByteLevel(a), Pieces(b)
-        _LOADED[a, b] = left, right, Transducer(left.bytes, right.bytes)
+        _LOADED[a, b] = Aligner(ByteLevel(a), Pieces(b))
     return _LOADED[a, b]
 
 
-def tokens(left: ByteLevel, right: Pieces, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-    """Ids of both sides, none where the bytes of either differ from a space and the text."""
-    some = [t for t in texts if t]
-    pairs = iter(zip(some, left.encode(some), right.encode(some))) if some else iter(())
-    of_a, of_b, out = left.bytes.__getitem__, right.bytes.__getitem__, []
-    for t in texts:
-        if not t:
-            out.append(([], []))
-            continue
-        t, a, b = next(pairs)
-        want = b" " + t.encode()
-        out.append((a, b) if b"".join(map(of_a, a)) == want == b"".join(map(of_b, b)) else ([], []))
-    return out
-
-
 def _blocks(texts: list[str | None]):
     """Ranges of rows of at most ``BLOCK`` characters, or of one row."""
     start = size = 0
@@ -201,6 +258,43 @@ def _blocks(texts: list[str | None]):
         yield start, len(texts)
 
 
+def _aligned(aligner: Aligner, texts: list[str | None]):
+    """A block: its id pairs, how many links each has, and per text the places of its links in that list (of two bytes
+    each where they suffice, else four) and (n_a, n_b, n_groups, sha256 of the groups, the groups)."""
+    number: dict[str, int] = {}
+    at: list[list[int]] = []
+    for t in texts:
+        at.append([number.setdefault(s, len(number)) for s in aligner.cut(" " + t)] if t else [])
+    known = aligner.learn(list(number))
+    packed = [e[0] if e else b"" for e in known]
+    place, met = pd.factorize(np.frombuffer(b"".join(packed), np.int64))
+    size = np.array([len(p) // 8 for p in packed], np.int64)
+    start = np.cumsum(size) - size
+    numbers = np.array([e[1:4] if e else (0, 0, 0) for e in known], np.int64).reshape(-1, 3)
+    bad = np.array([e is None for e in known], bool)
+    links, rows, used = [], [], np.zeros(len(known), np.int64)
+    for idx in at:
+        i = np.array(idx, np.int64)
+        if not idx or bad[i].any():
+            links.append(place[:0])
+            rows.append((0, 0, 0, "", ""))
+            continue
+        n = size[i]
+        mine = place[np.repeat(start[i] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        np.add.at(used, i, 1)
+        links.append(mine)
+        spelt = ";".join([known[k][4] for k in idx])
+        rows.append((*map(int, numbers[i].sum(0)), hashlib.sha256(spelt.encode()).hexdigest(), spelt))
+    count = np.bincount(place, np.repeat(used, size), len(met)).astype(np.int64)
+    keep = count > 0
+    if not keep.all():  # pairs of texts that have no tokens after all
+        new = np.cumsum(keep) - 1
+        links = [new[x] for x in links]
+        met, count = met[keep], count[keep]
+    kind = np.uint16 if len(met) <= 1 << 16 else np.uint32
+    return met, count, [x.astype(kind).tobytes() for x in links], rows
+
+
 _ALIGNED = "block long, kind int, pos int, code long, cnt long, n_a long, n_b long, n_groups long, links binary, groups_sha256 string, groups string"
 _RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 
@@ -213,22 +307,17 @@ def align_table(spark: SparkSession, docs: DataFrame, a: str | None = None, b: s
     id_ddl = src.schema["doc_id"].dataType.simpleString()
 
     def read(batches):
-        left, right, trans = load(a, b)
         base, n = TaskContext.get().partitionId() << 32, 0
         for rb in batches:
             ids, texts = rb.column("doc_id"), rb.column("text").to_pylist()
             for lo, hi in _blocks(texts):
-                pairs, codes, rows = tokens(left, right, texts[lo:hi]), [], []
-                for x, y in pairs:
-                    links, ends_a, ends_b = trans.align(x, y)
-                    spelt = trans.text(x, y, ends_a, ends_b) if x else ""
-                    codes.append(np.array(links, np.int64))
-                    rows.append((len(x), len(y), len(ends_a), hashlib.sha256(spelt.encode()).hexdigest() if x else "", spelt))
-                met, place, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-                ends = np.cumsum([len(c) for c in codes])
+                gc.disable()  # a million remembered tuples would be looked through again and again
+                try:
+                    met, count, links, rows = _aligned(load(a, b), texts[lo:hi])
+                finally:
+                    gc.enable()
                 k, m = len(met), hi - lo
                 yield _rows([base + n] * k, [0] * k, np.arange(k), met, count, *[pa.nulls(k)] * 6, pa.nulls(k, ids.type))
-                links = [p.astype(np.uint32).tobytes() for p in np.split(place, ends[:-1])]
                 na, nb, ng, sha, spelt = zip(*rows)
                 yield _rows([base + n] * m, [1] * m, np.arange(m), pa.nulls(m), pa.nulls(m), na, nb, ng, links, sha, spelt if groups else pa.nulls(m), ids.slice(lo, m))
                 n += 1
@@ -272,7 +361,8 @@ def _count(batches):
                 continue
             if total is None:
                 total, best = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, bool))
-            links = [np.frombuffer(x, np.uint32) for x in part.column("links").to_pylist()]
+            place = np.uint16 if len(total) <= 1 << 16 else np.uint32
+            links = [np.frombuffer(x, place) for x in part.column("links").to_pylist()]
             numbers = [[len(x) for x in links], [int(best[x].sum()) for x in links], [int(total[x].sum()) for x in links]]
             arrays = [part.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")] + [pa.array(x, pa.int64()) for x in numbers] + [part.column("groups_sha256"), part.column("groups")]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(f.split(" ")[0] for f in _RESULT.split(", "))])

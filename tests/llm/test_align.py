@@ -13,10 +13,11 @@ pytest.importorskip("public_tokenizers")
 
 def brute(texts):
     """Rows without ids of a list of texts, by byte offsets only."""
-    left, right, _ = A.load()
+    left, right = A.load().left, A.load().right
     docs = []
     for t in texts:
-        a, b = (left.encode([t])[0], right.encode([t])[0]) if t else ([], [])
+        # whole texts, as the libraries encode them
+        a, b = (left.t.encode(" " + t, add_special_tokens=False).ids, right.t.encode(t)) if t else ([], [])
         ba, bb = [left.bytes[i] for i in a], [right.bytes[i] for i in b]
         if not t or b"".join(ba) != b" " + t.encode() or b"".join(bb) != b" " + t.encode():
             docs.append(([], [], [], []))
@@ -54,8 +55,8 @@ SCHEMA = "doc_id long, text string, block int, kind string, n_a int"
 def test_alphabet_is_a_bijection():
     alphabet = A.byte_alphabet()
     assert len(alphabet) == 256 == len(set(alphabet.values()))
-    left, right, _ = A.load()
-    assert sum(1 for b in left.bytes if len(b) == 1) == 256 and left.bytes[left.t.token_to_id("Ġthe")] == b" the"
+    left, right = A.load().left, A.load().right
+    assert right.apart and sum(1 for b in left.bytes if len(b) == 1) == 256 and left.bytes[left.t.token_to_id("Ġthe")] == b" the"
     assert right.bytes[right.t.piece_to_id("▁the")] == b" the" and right.bytes[right.t.piece_to_id("<0xC3>")] == b"\xc3"
 
 
@@ -109,8 +110,23 @@ def test_query_and_empty_table(spark, tmp_path):
 
 
 def test_forgetting_changes_nothing(monkeypatch):
-    left, right, trans = A.load()
-    (a, b), = A.tokens(left, right, ["some words, über 12 of them"])
-    want = trans.align(a, b)
+    texts = ["some words, über 12 of them, some", "some words", "and others\n\n of them"]
+    want = A._aligned(A.load(), texts)
     monkeypatch.setattr(A, "MEMO", 0)
-    assert trans.align(a, b) == want == trans.align(a, b)
+    monkeypatch.setattr(A, "CACHE", 0)
+    for _ in range(3):
+        got = A._aligned(A.load(), texts)
+        assert all((x == y).all() for x, y in zip(got[:2], want[:2])) and got[2:] == want[2:]
+
+
+def test_stretches_put_together_are_the_whole_text():
+    """Cutting changes no id, whatever the text."""
+    aligner, r = A.load(), random.Random(9)
+    bits = [*BITS, " \t", "\x1c", "\x85", "\u3000", "\u2028 ", " \n ", "a\tb", "\r\n"]
+    for _ in range(3000):
+        t = " " + "".join(r.choices(bits, k=r.randint(1, 20)))
+        parts = aligner.cut(t)
+        assert "".join(parts) == t
+        assert sum(aligner.left.encode(parts), []) == aligner.left.encode([t])[0], repr(t)
+        if "▁" not in t:
+            assert sum(aligner.right.encode(parts), []) == aligner.right.t.encode(t[1:]), repr(t)
