@@ -403,7 +403,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group (five words, 0.8).
 
-    Repeated rows of the kept id collapse to one row; rows with a null doc_id and texts without words
+    Repeated rows of the kept id collapse to one row, that of the least text, then of the least other columns (written
+    as JSON), so that the choice is the same on every run; rows with a null doc_id and texts without words
     stay; an empty table gives an empty one.  Only ids are joined: texts move for repeated ids alone, or
     where the ids are too many to be sent around."""
     work = Work(spark, "duplicates")
@@ -413,7 +414,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(_few(gone), "doc_id", "left_anti")
     if again.limit(1).count():
         again = _few(again)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        cols = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(cols, F.struct("text", F.to_json(cols))).alias("_row"))
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(one.select("_row.*"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -11,9 +11,8 @@ that no training row holds (its lower confidence bound, for the sake of short te
 
 Training takes about ``per_lang`` documents a language and ``most`` in all, but ``least`` a
 language (bounds of the sample that is fitted; statistics of nothing else depend on it), chosen by
-a hash of doc_id and text; rows repeated in both count once, so that none fills the sample.  The
-``langs`` commonest languages are learned (more than ISO 639-1 has).  Everything is predicted,
-training rows included.
+a hash of doc_id and text; rows repeated in both count once, so that none fills the sample.  All
+languages are learned.  Everything is predicted, training rows included.
 
 A letter is a character of Unicode category L: digits, number signs and symbols are none.
 """
@@ -141,14 +140,16 @@ class Model:
         return self.langs[best], score * share[best] / (len(members) - 1)
 
 
-def train(spark: SparkSession, docs: DataFrame, per_lang: int = 600, most: int = 2400, seed: int = 7, least: int = 8, langs: int = 400) -> Model:
+def train(spark: SparkSession, docs: DataFrame, per_lang: int = 600, most: int = 2400, seed: int = 7, least: int = 8, langs: int | None = None) -> Model:
     """Fit on rows with text, lang and crc32(doc_id) mod 3 other than 1.
 
-    The sample holds at most twice max(most, least * langs) rows, whatever the input holds."""
+    Every language is learned (``langs``: the commonest so many).  The sample holds at most twice max(most, least * languages) rows, whatever the input
+    holds: it grows with the languages, not with the rows."""
     ship(spark)
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "text", "lang")
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(seed)))
-    n = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    n = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    n = n if langs is None else n.orderBy(F.desc("n"), "lang").limit(langs)
     n = {r["lang"]: r["n"] for r in n.collect()}
     if not n:
         return Model([], np.zeros((0, DIM), np.float32), np.zeros(0, int))
@@ -219,15 +220,17 @@ MOST_UNSEEN = 0.2
 
 def allowance(spark: SparkSession, docs: DataFrame, model: Model, most: int = 2400, seed: int = 7) -> float:
     """MOST_UNSEEN, or three times the 95 % quantile of held-out rows where the training rows were too few to know their trigrams."""
-    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(held_out()).select("doc_id", "text")
-    n = rows.count()
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(held_out()).select("text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
+    n = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
 
     def run(batches):
         for rb in batches:
             yield pa.RecordBatch.from_arrays([pa.array([model.unseen(features(t.as_py())) for t in rb.column("text")], pa.float64())], names=["u"])
 
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
-    got = [r["u"] for r in rows.where(draw < min(1.0, most / max(1, n))).select("text").mapInArrow(run, "u double").collect()]
+    # repeated rows count once, so that the sample is bounded whatever repeats
+    draw = F.pmod("h", F.lit(1_000_000)) / F.lit(1e6)
+    some = rows.where(draw < min(1.0, 1.1 * most / max(1, n))).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(2 * most)
+    got = [r["u"] for r in some.select("text").mapInArrow(run, "u double").collect()]
     return max(MOST_UNSEEN, 3 * float(np.quantile(got, 0.95))) if got else MOST_UNSEEN
 
 

@@ -61,3 +61,24 @@ def test_empty_null_and_repeated_rows(spark, tmp_path):
                 assert ids.count(5) == 1 and ids.count(7) == 1 and ids.count(None) == 1 and 91 in ids
         last = corpus_pipeline.STAGES[-1][1](spark, docs, str(folder))
         assert (last.count() == 0) == (name == "empty")
+
+
+def test_every_language_is_learned_and_repeats_dont_fill_the_sample(spark):
+    from gavelworks.llm import langid
+
+    rows = [(10 * k + j, f"{'abcdefghijklmnopqrst'[k]}{'uvwxyz'[k % 6]}q " * 8, f"l{k:02d}") for k in range(20) for j in range(10)]
+    df = spark.createDataFrame(rows + [(10, rows[10][1], "l01")] * 3000, "doc_id long, text string, lang string")
+    model = langid.train(spark, df, most=40, least=2)
+    assert model.langs == sorted({r[2] for r in rows})
+    assert langid.allowance(spark, df, model, most=20) >= langid.MOST_UNSEEN
+
+
+def test_of_unequal_rows_under_one_id_the_same_stays(spark):
+    from gavelworks.llm import jaccard
+
+    rows = [(1, t, x) for t in ("b text of some words here", "a text of some words here") for x in ("z", "y")] + [(2, None, "q"), (None, "n", "q"), (None, "n", "r")]
+    seen = set()
+    for k in range(3):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, source string").repartition(3)
+        seen.add(tuple(sorted(map(tuple, jaccard.stage(spark, df, "").collect()), key=str)))
+    assert seen == {((1, "a text of some words here", "y"), (2, None, "q"), (None, "n", "q"), (None, "n", "r"))}
