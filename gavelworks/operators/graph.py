@@ -114,9 +114,29 @@ def incident_pairs(cases: DataFrame) -> DataFrame:
     return g.select("a", "b", F.col("volume").isNotNull().alias("same_volume"), "shared", "volume")
 
 
+def incident_links(cases: DataFrame) -> DataFrame:
+    """(a, b): edges that join what ``incident_pairs`` joins, without its squares.
+
+    Cases of one place and volume (or name), ruling year and event year are all pairs of each other, so each is linked
+    with the smallest of them, and only these are paired: at most one for every year and event year of a key."""
+    volume = cases.where("volume is not null").select("chain", "place", "year", "event", F.concat(F.lit("v"), F.col("volume").cast("string")).alias("key"))
+    named = cases.select("chain", "place", "year", "event", F.explode("names").alias("key")).withColumn("key", F.concat(F.lit("n"), F.col("key")))
+    rows = volume.union(named).where("place is not null and key is not null")
+    rows = cut(rows.select("chain", "place", "key", "year", F.substring("event", 1, 4).alias("event")))
+    alike = ["place", "key", "year", "event"]
+    heads = cut(rows.groupBy(*alike).agg(F.min("chain").alias("head")))
+    on = (F.col("r.place") == F.col("h.place")) & (F.col("r.key") == F.col("h.key")) & F.col("r.year").eqNullSafe(F.col("h.year")) & F.col("r.event").eqNullSafe(F.col("h.event"))
+    star = rows.alias("r").join(heads.alias("h"), on).select(F.col("r.chain").alias("a"), F.col("h.head").alias("b"))
+    x, y = heads.alias("x"), heads.alias("y")
+    near = (F.col("x.head") < F.col("y.head")) & ~F.coalesce(F.abs(F.col("x.year") - F.col("y.year")) > 2, F.lit(False))
+    near = near & F.coalesce(F.col("x.event") == F.col("y.event"), F.lit(True))
+    pairs = x.join(y, (F.col("x.place") == F.col("y.place")) & (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
+    return star.union(pairs).where("a <> b").distinct()
+
+
 def incidents(cases: DataFrame) -> DataFrame:
-    """(chain, kelompok, anggota): components over the pairs; groups of more than one are K01.. by smallest chain."""
-    comp = components(cases.select(F.col("chain").alias("node")), incident_pairs(cases))
+    """(chain, kelompok, anggota): components over the links; groups of more than one are K01.. by smallest chain."""
+    comp = components(cases.select(F.col("chain").alias("node")), incident_links(cases))
     size = comp.groupBy("comp").agg(F.count("*").alias("anggota"))
     label = renumber(size.where("anggota > 1"), ["comp"], "n").withColumn("kelompok", F.format_string("K%02d", "n"))
     return comp.join(size, "comp").join(label.select("comp", "kelompok"), "comp", "left").select(F.col("node").alias("chain"), F.coalesce("kelompok", F.col("node").cast("string")).alias("kelompok"), "anggota")

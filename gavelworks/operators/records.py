@@ -14,10 +14,24 @@ from ..functions.lexicon import ARTICLES, DUMMIES, FACT_ORDER, FINAL_RELEVANCE,
 from . import graph
 
 
+def _ranked(df: DataFrame, key: list, best: list) -> DataFrame:
+    """df with ``_rn`` and ``_r2``: the best row of a key has 1 and 1, and ``_many``, whether the key has more rows.
+
+    Rows are ranked within the part of the input they come from, then the best of each part among each other, so that
+    a key of any size (no number, no text) is never in one task."""
+    d = df.withColumn("_s", F.spark_partition_id())
+    part = Window.partitionBy(*key, "_s")
+    d = d.withColumn("_rn", F.row_number().over(part.orderBy(*best))).withColumn("_many", F.count("*").over(part) > 1)
+    # the best of all parts meet; the others stay where they are
+    d = d.withColumn("_s", F.when(F.col("_rn") == 1, F.lit(-1)).otherwise(F.col("_s")))
+    d = d.withColumn("_r2", F.row_number().over(part.orderBy(*best))).withColumn("_many", F.col("_many") | ((F.col("_rn") == 1) & (F.count("*").over(part) > 1)))
+    return d.drop("_s")
+
+
 def dedupe(df: DataFrame, key: list[Column], best: list[Column]) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): the best row of each key."""
-    r = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*best)))
-    return r.where("_rn = 1").drop("_rn"), r.where("_rn > 1").drop("_rn")
+    r, first = _ranked(df, key, best), (F.col("_rn") == 1) & (F.col("_r2") == 1)
+    return r.where(first).drop("_rn", "_r2", "_many"), r.where(~first).drop("_rn", "_r2", "_many")
 
 
 def dedupe_decisions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,8 +156,8 @@ def group_max_first(df: DataFrame, group: str, order: str, v: str, out: str) ->
 
 def duplicate_flags(df: DataFrame, key: list, best: list, group: str = "ganda", keep: str = "disimpan") -> DataFrame:
     """Whether another row has the same key, and whether this row is the best one."""
-    w = Window.partitionBy(*key)
-    return df.withColumn(group, F.count("*").over(w) > 1).withColumn(keep, F.row_number().over(w.orderBy(*best)) == 1)
+    r = _ranked(df, key, best)
+    return r.withColumn(group, F.col("_many")).withColumn(keep, (F.col("_rn") == 1) & (F.col("_r2") == 1)).drop("_rn", "_r2", "_many")
 
 
 def top_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -171,31 +185,51 @@ renumber = graph.renumber
 # -- statistics --------------------------------------------------------------------------------
 
 
-def quantiles(df: DataFrame, keys: list[str], v: str, shares: dict[str, float], cells: int = 1024) -> DataFrame:
-    """Exact linear quantiles by keys: values are counted in cells of equal width between each key's smallest and
-    largest one, and only the cells that hold a wanted rank are looked at value by value, so that no task holds a
-    whole group.  Null keys are a group; keys without a value are left out."""
-    spark_keys = [F.col(k) for k in keys]
-    x = df.select(*spark_keys, F.col(v).cast("double").alias("_x")).where("_x is not null")
-    span = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    every = lambda conds: reduce(lambda p, q: p & q, conds)
-    counted = x.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    c = counted.alias("c").join(span.alias("s"), every(same("c", "s"))).select("c.*", "s._n", "s._lo", "s._hi")
-    cell = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))
-    c = graph.cut(c.withColumn("_cell", F.when(F.col("_hi") > F.col("_lo"), cell).otherwise(0)))
-    w = Window.partitionBy(*keys).orderBy("_cell")
-    hist = c.groupBy(*keys, "_cell", "_n").agg(F.sum("_c").alias("_m")).withColumn("_to", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hist = hist.withColumn("_from", F.col("_to") - F.col("_m"))
-    ranks = {n: F.lit(p) * (F.col("_n") - 1) for n, p in shares.items()}  # places from 0
-    inside = lambda r: (F.floor(r) < F.col("_to")) & (F.ceil(r) >= F.col("_from"))
-    wanted = hist.where(reduce(lambda p, q: p | q, [inside(r) for r in ranks.values()])).select(*keys, "_cell", "_from")
-    near = c.alias("c").join(wanted.alias("w"), every([*same("c", "w"), F.col("c._cell") == F.col("w._cell")])).select("c.*", "w._from")
-    u = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_to", F.col("_from") + F.sum("_c").over(u)).withColumn("_at", F.col("_to") - F.col("_c"))
-    value = lambda r: F.max(F.when((F.col("_at") <= r) & (r < F.col("_to")), F.col("_x")))
-    out = near.groupBy(*keys).agg(*[c for n, r in ranks.items() for c in (value(F.floor(r)).alias(f"_{n}_lo"), value(F.ceil(r)).alias(f"_{n}_hi"), F.max(r - F.floor(r)).alias(f"_{n}_w"))])
-    return out.select(*keys, *[(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")).alias(n) for n in ranks])
+#: groups whose bounds are sent to every task; with more of them the bounds are joined by shuffle
+MOST_GROUPS = 100_000
+
+
+def near_ranks(df: DataFrame, keys: list[str], v: str, shares: dict[str, float], cells: int = 10_000) -> DataFrame:
+    """(keys, _n, _i, _v, _c): the values around each wanted rank and how often each occurs; the values below them are
+    one row with a null value.
+
+    A sketch that tells ranks to one part in ``cells`` gives two bounds around each rank, whatever the values are, so
+    what lies between them is some parts in ``cells`` of a group (and single values, however common, are one row).
+    Groups too small for that are taken whole."""
+    x = df.select(*keys, F.col(v).cast("double").alias("_x")).where("_x is not null")
+    eps = 1.0 / cells
+    # three errors of the sketch to either side
+    sides = [q for p in shares.values() for q in (max(0.0, p - 3 * eps), min(1.0, p + 3 * eps))]
+    found = F.percentile_approx("_x", F.array(*[F.lit(q) for q in sides]), F.lit(cells))
+    span = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), found.alias("_b"))
+    whole = F.col("_n") * eps < 4
+    low = [F.when(whole, F.col("_lo")).otherwise(F.col("_b")[2 * k]).alias(f"_a{k}") for k in range(len(shares))]
+    high = [F.when(whole, F.col("_hi")).otherwise(F.col("_b")[2 * k + 1]).alias(f"_z{k}") for k in range(len(shares))]
+    span = span.select(*keys, "_n", *low, *high)
+    rows = span.limit(MOST_GROUPS + 1).collect()
+    if len(rows) <= MOST_GROUPS:
+        span = F.broadcast(df.sparkSession.createDataFrame(rows, span.schema))
+    same = reduce(lambda p, q: p & q, [F.col(f"x.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.lit(True))
+    y = x.alias("x").join(span.alias("s"), same).select(*[f"x.{k}" for k in keys], "x._x", "s._n", *[f"s._{c}{k}" for k in range(len(shares)) for c in "az"])
+    each = [F.struct(F.lit(k).alias("_i"), F.when(F.col("_x") >= F.col(f"_a{k}"), F.col("_x")).alias("_v"), (F.col("_x") <= F.col(f"_z{k}")).alias("_in")) for k in range(len(shares))]
+    z = y.select(*keys, "_n", F.explode(F.array(*each)).alias("_e")).select(*keys, "_n", "_e.*").where("_in")
+    return z.groupBy(*keys, "_n", "_i", "_v").agg(F.count("*").alias("_c"))
+
+
+def quantiles(df: DataFrame, keys: list[str], v: str, shares: dict[str, float], cells: int = 10_000) -> DataFrame:
+    """Exact linear quantiles by keys; no task holds a whole group, see ``near_ranks``.  Null keys are a group; keys
+    without a value are left out."""
+    near = near_ranks(df, keys, v, shares, cells)
+    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c")).where("_v is not null")
+    aggs, out = [], []
+    for k, (name, p) in enumerate(shares.items()):
+        r = F.lit(p) * (F.col("_n") - 1)  # places from 0
+        at = lambda place: F.max(F.when((F.col("_i") == k) & (F.col("_from") <= place) & (place < F.col("_to")), F.col("_v")))  # noqa: E731, B023
+        aggs += [at(F.floor(r)).alias(f"_{k}_lo"), at(F.ceil(r)).alias(f"_{k}_hi"), F.max(r - F.floor(r)).alias(f"_{k}_w")]
+        sure = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("a rank lies outside its bounds")).cast("double"))
+        out.append((sure(f"_{k}_lo") + (sure(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_w")).alias(name))
+    return near.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
 def volume_stats(df: DataFrame, keys: list[str], v: str) -> DataFrame:

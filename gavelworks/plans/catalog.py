@@ -421,21 +421,21 @@ def validate_counts(spark, d):
 
 
 #: what the extraction reads from the texts of the records, for the SQL twin (extract_candidates checks the reading)
-_CAND = [
+CAND = [
     ("pdf/a.pdf", "12/Pid.Sus/2020/PN Pli", 2020, "6 Mei 2020", "Bersalah", "terbukti bersalah", "Solar/Biosolar (2); Pertalite (1)", "1500;2000", 3500.0, 2000.0),
     ("pdf/c.pdf", "10 K/Pid.Sus/2022", 2022, "7 Juli 2022", "Tidak bersalah", "lepas", "Bensin (jenis tidak disebut) (1)", None, None, 800.0),
 ]
-_FILES, _EXCLUDED = [("pdf/a.pdf",), ("pdf/c.pdf",), ("pdf/z.pdf",)], [("3/Pid.Sus/2021/PN.Pdg",)]
+FILES, EXCLUDED = [("pdf/a.pdf",), ("pdf/c.pdf",), ("pdf/z.pdf",)], [("3/Pid.Sus/2021/PN.Pdg",)]
 
 
-@query(validation_sql.twin(K.values(K.RECORDS, K.RECORD_NAMES), K.values(_EXCLUDED, "nomor_putusan"), K.values(_FILES, "file_pdf"), K.values(_CAND, "file_pdf, k_nomor, k_tahun, k_tanggal, k_hasil, k_dasar, k_jenis, k_liter, k_jumlah, k_maks")))
+@query(validation_sql.twin(K.values(K.RECORDS, K.RECORD_NAMES), K.values(EXCLUDED, "nomor_putusan"), K.values(FILES, "file_pdf"), K.values(CAND, "file_pdf, k_nomor, k_tahun, k_tanggal, k_hasil, k_dasar, k_jenis, k_liter, k_jumlah, k_maks")))
 def validate_issues(spark, d):
     cand = R.candidates(K.frame(spark, K.RULINGS, "file_pdf string, text string"))
-    return rules.ordered(rules.validate(_records(spark).coalesce(1), K.frame(spark, _EXCLUDED, "nomor_putusan string"), K.frame(spark, _FILES, "file_pdf string"), cand))
+    return rules.ordered(rules.validate(_records(spark).coalesce(1), K.frame(spark, EXCLUDED, "nomor_putusan string"), K.frame(spark, FILES, "file_pdf string"), cand))
 
 
 #: records and texts of which each breaks another rule
-_BROKEN = [
+BROKEN = [
     K._rec(no=1, nomor_putusan="1/Pid.Sus/2021/PN Pti", tingkat_proses="Kasasi", tanggal_putusan="5 Mei 2021", tahun_putusan=2020, tahun_kejadian="2022", nilai_kerugian_uang=1000.0, satuan_volume=None, file_pdf="pdf/1.pdf", url_putusan="https://putusan3.mahkamahagung.go.id/direktori/putusan/a1.html"),
     K._rec(no=2, nomor_putusan="2/PID/2018/PT SMG", tingkat_persidangan="PN", tanggal_putusan="31 Februari 2018", tahun_putusan=2018, tahun_kejadian="tak tahu", hasil_putusan="NA", file_pdf="pdf/2.pdf", lampiran_pdf="Tidak ada", url_putusan="https://putusan3.mahkamahagung.go.id/direktori/putusan/a2.html"),
     K._rec(no=3, nomor_putusan="3/Pid.Sus/2022/PN.Pti", tanggal_putusan="1 Juni 2022", tahun_putusan=2022, barang_bbm="pertalite dan minyak tanah", nilai_kerugian_volume=750.5, file_pdf="pdf/3.pdf", rantai_perkara="R09", url_putusan="https://putusan3.mahkamahagung.go.id/direktori/putusan/a3.html"),
@@ -443,21 +443,21 @@ _BROKEN = [
     K._rec(no=5, nomor_putusan="5/Pid.Sus/2020/PN Pti", file_pdf=None, lampiran_pdf="Ada", mata_uang="IDR", tahun_kejadian="2020-2019", url_putusan="https://putusan3.mahkamahagung.go.id/direktori/putusan/a4.html"),
     K._rec(no=6, nomor_putusan="1/pid.sus/2021/PN.Pti", relevan_bbm=None, nilai_kerugian_volume=0.0, file_pdf="pdf/5.pdf", rantai_perkara=None, url_putusan="https://putusan3.mahkamahagung.go.id/direktori/putusan/a6.htm"),
 ]
-_BROKEN_CAND = [
+BROKEN_CAND = [
     ("pdf/1.pdf", "1/Pid.Sus/2021/PN PATI", 2021, "5 Mei 2021", "Tidak bersalah", "bebas", "Solar/Biosolar (9)", "90;10", 100.0, 5.0),
     ("pdf/3.pdf", "3/Pid.Sus/2022/PN Pti", 2022, "1 Juni 2022", "Bersalah", "terbukti bersalah", "Pertalite (3)", "700;1", 701.0, 700.0),
     ("pdf/4.pdf", "77/Pid.Sus/2020/PN Pti", 2020, "1 Mei 2020", None, None, None, None, None, None),
     ("pdf/5.pdf", "8/Pid.Sus/2020/PN Pti", 2020, "1 Mei 2020", None, None, None, None, None, None),
 ]
-_BROKEN_FILES = [("pdf/1.pdf",), ("pdf/3.pdf",), ("pdf/4.pdf",), ("pdf/5.pdf",), ("pdf/9.pdf",)]
-_BROKEN_OUT = [("5/PID.SUS/2020/PN.Pti",)]
+BROKEN_FILES = [("pdf/1.pdf",), ("pdf/3.pdf",), ("pdf/4.pdf",), ("pdf/5.pdf",), ("pdf/9.pdf",)]
+BROKEN_OUT = [("5/PID.SUS/2020/PN.Pti",)]
 
 
-@query(validation_sql.twin(K.values(_BROKEN, K.RECORD_NAMES), K.values(_BROKEN_OUT, "nomor_putusan"), K.values(_BROKEN_FILES, "file_pdf"), K.values(_BROKEN_CAND, "file_pdf, k_nomor, k_tahun, k_tanggal, k_hasil, k_dasar, k_jenis, k_liter, k_jumlah, k_maks")))
+@query(validation_sql.twin(K.values(BROKEN, K.RECORD_NAMES), K.values(BROKEN_OUT, "nomor_putusan"), K.values(BROKEN_FILES, "file_pdf"), K.values(BROKEN_CAND, "file_pdf, k_nomor, k_tahun, k_tanggal, k_hasil, k_dasar, k_jenis, k_liter, k_jumlah, k_maks")))
 def validate_every_rule(spark, d):
     cand = "file_pdf string, nomor_teks string, tahun_putusan_teks int, tanggal_putusan_teks string, hasil_kandidat string, dasar_hasil_kandidat string, jenis_bbm_disebut string, volume_liter_di_amar string, volume_liter_di_amar_jumlah double, volume_liter_maks_teks double"
-    r = K.frame(spark, _BROKEN, readers.RECORD_SCHEMA).coalesce(1)
-    return rules.validate(r, K.frame(spark, _BROKEN_OUT, "nomor_putusan string"), K.frame(spark, _BROKEN_FILES, "file_pdf string"), K.frame(spark, _BROKEN_CAND, cand))
+    r = K.frame(spark, BROKEN, readers.RECORD_SCHEMA).coalesce(1)
+    return rules.validate(r, K.frame(spark, BROKEN_OUT, "nomor_putusan string"), K.frame(spark, BROKEN_FILES, "file_pdf string"), K.frame(spark, BROKEN_CAND, cand))
 
 
 @query(f"""SELECT * FROM {K.values([("R01", 2, "PN+PT", "Sumatera Utara", 100.0, "55", "K01", 2), ("R02", 1, "PN", "Sumatera Barat", None, "55", "R02", 1), ("R04", 1, "PN", "Sumatera Utara", 100.0, "55", "K01", 2), ("R05", 1, "MA", None, 100.0, "55", "R05", 1)], 'rantai_perkara, jumlah_putusan, tingkat_tercakup, provinsi, volume_liter, pasal_uu_migas, kelompok_kejadian, jumlah_rantai_sekelompok')}""")

@@ -67,9 +67,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
     elif a.command == "validate":
         r = readers.read_records(spark, a.records)
         ex = readers.read_raw(spark, a.excluded) if a.excluded else None
-        i = graph.cut(rules.validate(r, ex, None, spark.read.parquet(a.candidates) if a.candidates else None))
-        text, code = readers.validation_report(i)
-        rules.ordered(i).write.mode("overwrite").parquet(f"{a.out}/laporan_validasi")
+        i = rules.validate(r, ex, None, spark.read.parquet(a.candidates) if a.candidates else None)
+        # the rules run once, while their issues are written
+        counts, code = readers.write_validation(rules.ordered(i), f"{a.out}/laporan_validasi")
+        text, _ = readers.validation_report(spark.read.parquet(f"{a.out}/laporan_validasi"), counts)
         print(text)
         print(readers.stats_json(records.stats_row(r)))
         return code

@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.lexicon import PLACES
-from ..operators import graph, places, quotes, records
-from ..sources import listing
+from ..functions.lexicon import PLACES, RECORD
+from ..operators import graph, places, quotes, records, rules
+from ..sources import listing, readers, udtf
 from ..streaming import crawl
+from . import catalog, validation_sql
+from . import corpora as K
 from .catalog import query, t
 
 #: (number, place, province) of the default gazetteer
@@ -113,3 +115,120 @@ def crawl_frontier(spark, d):
     for _ in range(2):
         crawl.run(p, f"{at}/log", f"{at}/state")
     return crawl.status(spark, f"{at}/log").select("id", "status")
+
+
+# -- pages -------------------------------------------------------------------------------------
+
+
+def ruling_pages(spark, d):
+    """A ruling page for every row of orders, with a related ruling and sometimes a PDF."""
+    o = t(spark, d, "orders")
+    cell = lambda label, value: [F.lit(f"<tr><td>{label}</td><td>: "), value, F.lit("</td></tr>")]
+    key = F.col("o_orderkey").cast("string")
+    html = F.concat(
+        F.lit("<html><body><table>"), *cell("Nomor", F.concat(key, F.lit("/Pid.Sus/2021/PN&nbsp;Mdn"))), *cell("Tahun", F.year("o_orderdate").cast("string")), *cell("Nomor", F.lit("lain")),
+        *cell("Amar", F.concat(F.lit("<b>"), F.col("o_orderstatus"), F.lit("</b> &amp; <i>lain</i>"))), F.lit("</table>"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("<a href='/x/pdf/1.pdf'>PDF</a>")).otherwise(""),
+        F.lit("<div><h4>Putusan Terkait</h4><ul><li>Banding <a href='/direktori/putusan/c"), F.col("o_custkey"), F.lit(".html'>"), F.col("o_orderpriority"), F.lit("</a></li></ul></div></body></html>"),
+    )
+    return o.select("o_orderkey", F.concat(F.lit("https://putusan3.mahkamahagung.go.id/direktori/putusan/o"), key, F.lit(".html")).alias("url"), html.alias("html"))
+
+
+@query("""SELECT o_orderkey, 'o' || o_orderkey AS id, o_orderkey || '/Pid.Sus/2021/PN Mdn' AS nomor, year(o_orderdate)::VARCHAR AS tahun, o_orderstatus || ' & lain' AS amar,
+CASE WHEN o_orderkey % 3 = 0 THEN 'Ada' ELSE 'Tidak ada' END AS lampiran FROM orders""")
+def ruling_rows(spark, d):
+    """Fields of ruling pages by a table function in SQL."""
+    udtf.register(spark)
+    ruling_pages(spark, d).createOrReplaceTempView("gavelworks_rulings")
+    return spark.sql("SELECT o_orderkey, r.* FROM gavelworks_rulings, LATERAL ruling_fields(html, url, 'id,nomor,tahun,amar,lampiran') r")
+
+
+@query("SELECT o_orderkey, 'c' || o_custkey AS id, o_orderpriority AS label FROM orders")
+def related_rulings(spark, d):
+    udtf.register(spark)
+    ruling_pages(spark, d).createOrReplaceTempView("gavelworks_rulings")
+    return spark.sql("SELECT o_orderkey, r.id, r.label FROM gavelworks_rulings, LATERAL related_rows(html, url) r")
+
+
+@query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS urutan, 'o' || o_orderkey AS id, 'Putusan Nomor ' || o_orderkey AS judul,
+strftime(o_orderdate, '%d-%m-%Y') AS tanggal_putus FROM orders""")
+def listing_entries_of_orders(spark, d):
+    """Entries of one listing page for every customer."""
+    udtf.register(spark)
+    entry = F.concat(
+        F.lit("<li><a href='/direktori/putusan/o"), F.col("o_orderkey"), F.lit(".html'>Putusan</a><a href='/direktori/putusan/o"), F.col("o_orderkey"), F.lit(".html'>Putusan Nomor "), F.col("o_orderkey"),
+        F.lit("</a> Register : 01-01-1990 Putus : "), F.date_format("o_orderdate", "dd-MM-yyyy"), F.lit("</li>"),
+    )
+    p = t(spark, d, "orders").select("o_custkey", F.struct("o_orderkey", entry.alias("e")).alias("s")).groupBy("o_custkey").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    p.select("o_custkey", F.concat(F.lit("<ul>"), F.array_join(F.transform("s", lambda x: x["e"]), ""), F.lit("</ul>")).alias("html")).createOrReplaceTempView("gavelworks_listings")
+    return spark.sql("SELECT o_custkey, r.urutan, r.id, r.judul, r.tanggal_putus FROM gavelworks_listings, LATERAL listing_rows(html) r")
+
+
+# -- consistency rules -------------------------------------------------------------------------
+
+#: records that break every rule, one set for every eleven orders; numbers, chains, files, addresses, volumes and money
+#: come from the order's row
+_SET = [r for r in (*catalog.BROKEN, *K.RECORDS) if r[1] != "NA"]
+_M = len(_SET)
+_SET_CAND = [*catalog.BROKEN_CAND, *catalog.CAND]
+_SET_FILES = [*catalog.BROKEN_FILES, *catalog.FILES]
+_SET_OUT = [*catalog.BROKEN_OUT, *catalog.EXCLUDED]
+_CAND_NAMES = "file_pdf, k_nomor, k_tahun, k_tanggal, k_hasil, k_dasar, k_jenis, k_liter, k_jumlah, k_maks"
+_NUMBERED_SET = [(i, *r) for i, r in enumerate(_SET)]
+_GROUPS = f"(SELECT DISTINCT o_orderkey // {_M} AS g FROM orders)"
+_OWN = {
+    "no": "(o_orderkey + 2)::INT",
+    "nomor_putusan": "g || '00' || nomor_putusan",
+    "rantai_perkara": "rantai_perkara || '-' || g",
+    "file_pdf": "replace(file_pdf, 'pdf/', 'pdf/' || g || '-')",
+    "url_putusan": "replace(url_putusan, '/putusan/', '/putusan/' || g || 'x')",
+    "catatan": "replace(catatan, '77', g || '0077')",
+    "nilai_kerugian_volume": "CASE WHEN nilai_kerugian_volume > 0 THEN floor(o_totalprice / 10) ELSE nilai_kerugian_volume END",
+    "nilai_kerugian_uang": "CASE WHEN nilai_kerugian_uang > 0 THEN o_totalprice ELSE nilai_kerugian_uang END",
+}
+_SQL_RECORDS = "(SELECT " + ", ".join(f"{_OWN.get(c, c)} AS {c}" for c in RECORD) + f" FROM (SELECT *, o_orderkey // {_M} AS g FROM orders) o JOIN {K.values(_NUMBERED_SET, 'i, ' + K.RECORD_NAMES)} ON o_orderkey % {_M} = i)"
+_SQL_TWIN = validation_sql.twin(
+    _SQL_RECORDS,
+    f"(SELECT g || '00' || nomor_putusan AS nomor_putusan FROM {_GROUPS}, {K.values(_SET_OUT, 'nomor_putusan')})",
+    f"(SELECT replace(file_pdf, 'pdf/', 'pdf/' || g || '-') AS file_pdf FROM {_GROUPS}, {K.values(_SET_FILES, 'file_pdf')})",
+    f"(SELECT * REPLACE (replace(file_pdf, 'pdf/', 'pdf/' || g || '-') AS file_pdf, g || '00' || k_nomor AS k_nomor) EXCLUDE (g) FROM {_GROUPS}, {K.values(_SET_CAND, _CAND_NAMES)})",
+)
+
+
+def broken_records(spark, d):
+    """(records, excluded, files, candidates) composed from orders."""
+    o = t(spark, d, "orders").withColumn("g", F.floor(F.col("o_orderkey") / _M)).withColumn("i", (F.col("o_orderkey") % _M).cast("int"))
+    groups = o.select("g").distinct()
+    few = lambda rows, schema: F.broadcast(K.frame(spark, rows, schema))  # noqa: E731  fixed lists of at most eleven rows
+    g = F.col("g").cast("string")
+    file = F.replace("file_pdf", F.lit("pdf/"), F.concat(F.lit("pdf/"), g, F.lit("-"))).alias("file_pdf")
+    own = {
+        "no": (F.col("o_orderkey") + 2).cast("int"),
+        "nomor_putusan": F.concat(g, F.lit("00"), "nomor_putusan"),
+        "rantai_perkara": F.concat("rantai_perkara", F.lit("-"), g),
+        "file_pdf": file,
+        "url_putusan": F.replace("url_putusan", F.lit("/putusan/"), F.concat(F.lit("/putusan/"), g, F.lit("x"))),
+        "catatan": F.replace("catatan", F.lit("77"), F.concat(g, F.lit("0077"))),
+        "nilai_kerugian_volume": F.when(F.col("nilai_kerugian_volume") > 0, F.floor(F.col("o_totalprice") / 10).cast("double")).otherwise(F.col("nilai_kerugian_volume")),
+        "nilai_kerugian_uang": F.when(F.col("nilai_kerugian_uang") > 0, F.col("o_totalprice")).otherwise(F.col("nilai_kerugian_uang")),
+    }
+    rows = o.join(few(_NUMBERED_SET, f"i int, {readers.RECORD_SCHEMA}"), "i").select(*[own.get(c, F.col(c)).alias(c) for c in RECORD])
+    cand = "file_pdf string, nomor_teks string, tahun_putusan_teks int, tanggal_putusan_teks string, hasil_kandidat string, dasar_hasil_kandidat string, jenis_bbm_disebut string, volume_liter_di_amar string, volume_liter_di_amar_jumlah double, volume_liter_maks_teks double"
+    each = lambda rows, schema: groups.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1)))).join(few([(j, *r) for j, r in enumerate(rows)], f"j int, {schema}"), "j").drop("j")
+    read = each(_SET_CAND, cand).withColumn("file_pdf", file).withColumn("nomor_teks", F.concat(g, F.lit("00"), "nomor_teks")).drop("g")
+    out = each(_SET_OUT, "nomor_putusan string").select(F.concat(g, F.lit("00"), "nomor_putusan").alias("nomor_putusan"))
+    return rows, out, each(_SET_FILES, "file_pdf string").select(file), read
+
+
+@query(_SQL_TWIN)
+def validate_orders(spark, d):
+    """Every consistency rule over records composed from orders."""
+    return rules.validate(*broken_records(spark, d))
+
+
+@query(f"SELECT tingkat, count(*) AS n FROM ({_SQL_TWIN}) GROUP BY tingkat")
+def validation_totals(spark, d):
+    """Issues by severity, observed while the issue table is written."""
+    to = f"{graph.shared_folder(spark)}/gavelworks-validation/{uuid.uuid4().hex}"
+    graph.forget(spark, to)
+    counts, _ = readers.write_validation(rules.validate(*broken_records(spark, d)), to)
+    return K.frame(spark, list(counts.items()), "tingkat string, n long").where("n > 0")

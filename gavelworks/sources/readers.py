@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -14,6 +14,8 @@ from ..functions import web as W
 from ..functions.lexicon import CLEAN_VERSION, RECORD, RECORD_TYPES
 
 RECORD_SCHEMA = ", ".join(f"{c} {RECORD_TYPES.get(c, 'string')}" for c in RECORD)
+#: severities of issues, worst first
+LEVELS = ("galat", "peringatan", "info")
 _SENTINEL = "\u0001none\u0001"
 
 
@@ -179,12 +181,21 @@ def markdown(df: DataFrame) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(r) + " |" for r in rows)])
 
 
-def validation_report(issues: DataFrame) -> tuple[str, int]:
-    """(Markdown by severity, exit code 1 if there is an error)."""
+def write_validation(issues: DataFrame, path: str) -> tuple[dict[str, int], int]:
+    """Write the issue table; (issues by severity, exit code 1 if there is an error), counted while it is written."""
+    seen = Observation("validasi")
+    counts = [F.count_if(F.col("tingkat") == level).alias(level) for level in LEVELS]
+    issues.observe(seen, *counts).write.mode("overwrite").parquet(path)
+    got = {level: int(seen.get[level] or 0) for level in LEVELS}
+    return got, int(got["galat"] > 0)
+
+
+def validation_report(issues: DataFrame, counts: dict[str, int] | None = None) -> tuple[str, int]:
+    """(Markdown by severity, exit code 1 if there is an error); ``counts``: as ``write_validation`` found them."""
     out, errors = ["# Laporan validasi"], 0
-    for level in ("galat", "peringatan", "info"):
+    for level in LEVELS:
         part = issues.where(F.col("tingkat") == level).orderBy(F.col("no").asc_nulls_last(), "kolom")
-        n = part.count()
+        n = part.count() if counts is None else counts[level]
         errors += n if level == "galat" else 0
         out.append(f"\n## {level} ({n})\n\n{markdown(part)}" if n else f"\n## {level} (0)")
     return "\n".join(out), int(errors > 0)
