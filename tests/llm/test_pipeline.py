@@ -68,7 +68,7 @@ def test_every_language_is_learned_and_repeats_dont_fill_the_sample(spark):
 
     rows = [(10 * k + j, f"{'abcdefghijklmnopqrst'[k]}{'uvwxyz'[k % 6]}q " * 8, f"l{k:02d}") for k in range(20) for j in range(10)]
     df = spark.createDataFrame(rows + [(10, rows[10][1], "l01")] * 3000, "doc_id long, text string, lang string")
-    model = langid.train(spark, df, most=40, least=2)
+    model = langid.train(spark, df, most=40)
     assert model.langs == sorted({r[2] for r in rows})
     assert langid.allowance(spark, df, model, most=20) >= langid.MOST_UNSEEN
 
