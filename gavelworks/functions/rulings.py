@@ -240,11 +240,13 @@ def subsidy(c) -> Column:
 
 def candidates(docs, text: str = "text", carry: tuple = ("file_pdf",)):
     """All candidate fields of ruling texts, one row per input row."""
+    from ..operators.mentions import with_mentions
+
     join = lambda a: F.nullif(F.array_join(F.transform(a, lambda v: C.general_number(v)), ";"), F.lit(""))
     whole = lambda a: F.nullif(F.array_join(F.transform(a, lambda v: v.cast("decimal(20,0)").cast("string")), ";"), F.lit(""))
     d = docs.select(*carry, F.col(text).alias("_t")).withColumn("_v", verdict("_t")).withColumn("_d", ruling_date("_t")).withColumn("_o", outcome("_v"))
-    d = d.withColumn("_f", fuel_counts("_t")).withColumn("_fv", fuel_counts("_v")).withColumn("_m", volume_mentions("_t")).withColumn("_mv", volume_mentions("_v"))
-    d = d.withColumn("_r", money_mentions("_t")).withColumn("_e", event_years("_t", F.year("_d"))).withColumn("nomor_teks", case_number("_t"))
+    d = with_mentions(d, {"_m": ("volume", "_t"), "_mv": ("volume", "_v"), "_r": ("money", "_t"), "_rv": ("money", "_v")})
+    d = d.withColumn("_f", fuel_counts("_t")).withColumn("_fv", fuel_counts("_v")).withColumn("_e", event_years("_t", F.year("_d"))).withColumn("nomor_teks", case_number("_t"))
     lit_v = F.coalesce(values(F.col("_mv"), "jumlah", "liter"), F.array().cast("array<double>"))
     return d.select(
         *carry, "nomor_teks",
@@ -263,7 +265,7 @@ def candidates(docs, text: str = "text", carry: tuple = ("file_pdf",)):
         F.array_max(values(F.col("_r"), "kerugian_negara")).alias("rp_kerugian_negara"),
         whole(values(F.col("_r"), "hasil_lelang")).alias("rp_hasil_lelang"),
         whole(values(F.col("_r"), "harga_per_liter")).alias("rp_harga_per_liter"),
-        whole(values(money_mentions("_v"), "denda")).alias("rp_denda_di_amar"),
+        whole(values(F.col("_rv"), "denda")).alias("rp_denda_di_amar"),
         F.nullif(F.array_join(articles("_t"), ";"), F.lit("")).alias("pasal_uu_migas"),
         F.nullif(F.array_join(offences("_v"), ";"), F.lit("")).alias("modus_dari_amar"),
         origin_court("_t").alias("pengadilan_asal_teks"),

@@ -547,3 +547,4 @@ def addresses(spark, d):
 
 from . import more as _more  # noqa: E402, F401  registers further queries
 from . import texts as _texts  # noqa: E402, F401
+from . import composed as _composed  # noqa: E402, F401

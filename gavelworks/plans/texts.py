@@ -185,12 +185,12 @@ _OWN = {
     "nilai_kerugian_volume": "CASE WHEN nilai_kerugian_volume > 0 THEN floor(o_totalprice / 10) ELSE nilai_kerugian_volume END",
     "nilai_kerugian_uang": "CASE WHEN nilai_kerugian_uang > 0 THEN o_totalprice ELSE nilai_kerugian_uang END",
 }
-_SQL_RECORDS = "(SELECT " + ", ".join(f"{_OWN.get(c, c)} AS {c}" for c in RECORD) + f" FROM (SELECT *, o_orderkey // {_M} AS g FROM orders) o JOIN {K.values(_NUMBERED_SET, 'i, ' + K.RECORD_NAMES)} ON o_orderkey % {_M} = i)"
+SQL_RECORDS = "(SELECT " + ", ".join(f"{_OWN.get(c, c)} AS {c}" for c in RECORD) + f" FROM (SELECT *, o_orderkey // {_M} AS g FROM orders) o JOIN {K.values(_NUMBERED_SET, 'i, ' + K.RECORD_NAMES)} ON o_orderkey % {_M} = i)"
 _SQL_TWIN = validation_sql.twin(
-    _SQL_RECORDS,
+    SQL_RECORDS,
     f"(SELECT g || '00' || nomor_putusan AS nomor_putusan FROM {_GROUPS}, {K.values(_SET_OUT, 'nomor_putusan')})",
     f"(SELECT replace(file_pdf, 'pdf/', 'pdf/' || g || '-') AS file_pdf FROM {_GROUPS}, {K.values(_SET_FILES, 'file_pdf')})",
-    f"(SELECT * REPLACE (replace(file_pdf, 'pdf/', 'pdf/' || g || '-') AS file_pdf, g || '00' || k_nomor AS k_nomor) EXCLUDE (g) FROM {_GROUPS}, {K.values(_SET_CAND, _CAND_NAMES)})",
+    f"(SELECT * EXCLUDE (g) REPLACE (replace(file_pdf, 'pdf/', 'pdf/' || g || '-') AS file_pdf, g || '00' || k_nomor AS k_nomor) FROM {_GROUPS}, {K.values(_SET_CAND, _CAND_NAMES)})",
 )
 
 
