@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import struct
 import unicodedata
 
@@ -69,11 +70,30 @@ def matcher(pattern: str):
     return regex.compile(pattern, regex.V1)
 
 
+#: characters up to here (Latin and its extensions) are classified once, and texts of them matched by the standard library
+LATIN = 0x250
+_BEYOND = re.compile(f"[^\0-{chr(LATIN - 1)}]")
+
+
+def latin_matcher(pattern: str) -> re.Pattern:
+    """The pattern for texts of characters below ``LATIN``: its classes are spelt out, which is some four times as fast."""
+    import regex
+
+    few = "".join(map(chr, range(LATIN)))
+    letters, numbers, spaces = ("".join(map(re.escape, regex.findall(c, few))) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    # inside a negated class first, where a class can't be nested
+    for old, new in ((r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]"), (r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{spaces}]"), (r"\S", f"[^{spaces}]")):
+        pattern = pattern.replace(old, new)
+    return re.compile(pattern)
+
+
 class ByteBpe:
     """Vocabulary of ranks (bytes -> id), which hold all single bytes; a rank is its id."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.match = ranks, matcher(pattern)
+        # only the public pattern is known to be spelt with these classes
+        self.latin = latin_matcher(pattern) if r"[^\s\p{L}\p{N}]" in pattern and "[[" not in pattern else None
         self.vocab = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.vocab[i] = b
@@ -132,9 +152,12 @@ class ByteBpe:
                 self.known[piece] = got
         return got
 
+    def matcher_of(self, text: str):
+        return self.match if self.latin is None or _BEYOND.search(text) else self.latin
+
     def encode(self, text: str) -> bytes:
         known, packed, out = self.known, self.packed, []
-        for piece in self.match.findall(text):
+        for piece in self.matcher_of(text).findall(text):
             got = known.get(piece)
             if got is None:
                 got = packed(piece)
@@ -145,7 +168,7 @@ class ByteBpe:
     def boundaries(self, window: str, low: int, high: int) -> list[int]:
         """Ends of matches of a window, matched from its start, that lie in [low, high]; its start is one."""
         ends = [0] if low <= 0 <= high else []
-        for m in self.match.finditer(window):
+        for m in self.matcher_of(window).finditer(window):
             e = m.end()
             if e > high:
                 break

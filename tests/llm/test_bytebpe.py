@@ -34,6 +34,16 @@ def test_same_ids_as_the_library(library):
         assert m.decode(m.encode(t)) == t.encode()
 
 
+def test_latin_texts_are_matched_alike(library):
+    m, r = B.load(), random.Random(7)
+    few = [b for b in BITS if not B._BEYOND.search(b)] + [chr(c) for c in range(B.LATIN)]
+    assert m.latin is not None and m.matcher_of("é") is m.latin and m.matcher_of("日") is m.match
+    for _ in range(3000):
+        t = "".join(r.choices(few, k=r.randint(0, 30)))
+        assert m.latin.findall(t) == m.match.findall(t), repr(t)
+        assert ids_of(m.encode(t)) == library.encode_ordinary(t), repr(t)
+
+
 def test_every_letter_number_and_space_as_the_library(library):
     m = B.load()
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
