@@ -185,13 +185,29 @@ def event_years(text, ruling_year) -> Column:
         r"(?i)setidak-tidaknya\s+(?:pada\s+)?(?:suatu\s+)?(?:waktu\s+)?(?:dalam\s+)?tahun\s+(\d{4})",
     ]
     all_ = F.transform(F.concat(*[F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in pats]), lambda y: y.cast("int"))
-    ys = F.filter(all_, lambda y: y.between(1990, F.coalesce(col(ruling_year), F.lit(2100))))
-    freq = F.transform(F.array_sort(F.array_distinct(ys)), lambda y: F.struct(F.size(F.filter(ys, lambda z: z == y)).alias("n"), (-y).alias("k"), y.alias("y")))
-    top = F.array_max(freq)
-    main = F.transform(F.filter(freq, lambda f: f["n"] >= F.greatest(F.lit(2), F.floor(top["n"] / 3).cast("int"))), lambda f: f["y"])
-    main = F.when(F.size(main) > 0, main).otherwise(F.array(top["y"]))
-    lo, hi = F.array_min(main).cast("string"), F.array_max(main).cast("string")
-    return F.struct(F.when(F.size(ys) > 0, F.when(lo == hi, lo).otherwise(F.concat_ws("-", lo, hi))).alias("label"), F.transform(freq, lambda f: f["y"]).alias("years"))
+    found = F.filter(all_, lambda y: y.between(1990, F.coalesce(col(ruling_year), F.lit(2100))))
+    return once(found, lambda ys: once(_year_counts(ys), _year_label))
+
+
+def once(x: Column, fn) -> Column:
+    """fn(x) with x computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
+def _year_counts(ys: Column) -> Column:
+    return F.transform(F.array_sort(F.array_distinct(ys)), lambda y: F.struct(F.size(F.filter(ys, lambda z: z == y)).alias("n"), (-y).alias("k"), y.alias("y")))
+
+
+def _year_label(freq: Column) -> Column:
+    def labelled(top: Column) -> Column:
+        main = F.transform(F.filter(freq, lambda f: f["n"] >= F.greatest(F.lit(2), F.floor(top["n"] / 3).cast("int"))), lambda f: f["y"])
+        return once(F.when(F.size(main) > 0, main).otherwise(F.array(top["y"])), named)
+
+    def named(main: Column) -> Column:
+        lo, hi = F.array_min(main).cast("string"), F.array_max(main).cast("string")
+        return F.when(F.size(freq) > 0, F.when(lo == hi, lo).otherwise(F.concat_ws("-", lo, hi)))
+
+    return F.struct(once(F.array_max(freq), labelled).alias("label"), F.transform(freq, lambda f: f["y"]).alias("years"))
 
 
 # fixed values: words that end the name of a court

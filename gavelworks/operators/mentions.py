@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from ..functions.lexicon import MONEY_KINDS
+from ..shipping import ship
 
 # fixed values: the forms of numbers, volumes and amounts, as in ``rulings``, with the white space and digits of the JVM
 _S = r"[ \t\n\x0b\f\r]"
@@ -70,6 +71,7 @@ _FIND = {"volume": volumes, "money": amounts}
 
 def with_mentions(df: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
     """df with the columns of ``wanted``: name -> ("volume" or "money", column of the text)."""
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c not in wanted]
     src = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, *(c for _, c in wanted.values())])])
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 #: places a gazetteer may have: it is sent to every task
 MOST = 100_000
 MENTION = "array<struct<start: int, end: int, name: string, key: string, provinsi: string, court: string>>"
@@ -98,6 +100,7 @@ def dictionary(gaz: DataFrame, most: int = MOST) -> dict[str, str]:
 
 def find_places(df: DataFrame, text: str, gaz: DataFrame, out: str = "tempat") -> DataFrame:
     """The rows of df with ``out``: the mentions of places in ``text``, in order (``MENTION``)."""
+    ship(df.sparkSession)
     known = dictionary(gaz)
     kept = [c for c in df.columns if c != out]
     src = df.withColumn("_places_text", F.col(text).cast("string")).select(*kept, "_places_text")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
+from ..shipping import ship
 from . import graph
 
 #: letters and digits a part of a quote needs
@@ -65,6 +66,7 @@ def winnowed(text: str, gram: int, window: int) -> np.ndarray:
 
 def _grams(df: DataFrame, keep: list[str], classes: list[int]) -> DataFrame:
     """df's ``keep`` columns with (least, gram) for every kept gram of ``_bare`` in the given classes."""
+    ship(df.sparkSession)
     shape = dict(CLASSES)
 
     def run(batches):

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..shipping import ship
 from . import pages as P
 
 SCHEMA = "tahun int, halaman int, alamat string, html string, diambil double, galat string"
@@ -207,6 +208,7 @@ class ListingSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make ``spark.read.format("listing")`` known, with its filters pushed down."""
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ListingSource)
 
@@ -215,6 +217,7 @@ def pack(pages: DataFrame, store: str, listing: str, span: int = SPAN) -> DataFr
     """Write pages (tahun, halaman, alamat, html, diambil) into a store; returns (tahun, k, n) of the packs.
 
     Each pack is written by one task and holds ``span`` pages at most; of repeated pages the one fetched last stays."""
+    ship(pages.sparkSession)
     rows = pages.select("tahun", "halaman", "alamat", "html", F.col("diambil").cast("double").alias("diambil"), F.floor((F.col("halaman") - 1) / span).cast("int").alias("k"))
 
     def run(batches):

@@ -12,6 +12,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ID = re.compile(r"/direktori/putusan/([0-9a-z]+)\.html")
 _DATE = re.compile(r"(Register|Putus|Upload)\s*:?\s*(\d{1,2}-\d{1,2}-\d{4})", re.I)
@@ -124,6 +126,8 @@ def overview(html: str | None, url: str = "") -> dict:
 
 
 def _table(pages: DataFrame, fn, schema: str) -> DataFrame:
+    ship(pages.sparkSession)
+
     def run(batches):
         for pdf in batches:
             yield pdf[["url"]].assign(j=[json.dumps(fn(h, u), ensure_ascii=False) for h, u in zip(pdf["html"], pdf["url"])])

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import columns as C
 from ..functions import web as W
 from ..functions.lexicon import CLEAN_VERSION, RECORD, RECORD_TYPES
+from ..shipping import ship
 
 RECORD_SCHEMA = ", ".join(f"{c} {RECORD_TYPES.get(c, 'string')}" for c in RECORD)
 #: severities of issues, worst first
@@ -98,6 +99,7 @@ def write_raw(df: DataFrame, path: str) -> None:
 
 def pdf_texts(pdfs: DataFrame, extract=None, done: DataFrame | None = None) -> DataFrame:
     """(path, key, text, galat): texts of PDFs not done before; ``extract`` maps bytes to pages (default: pypdf, if there)."""
+    ship(pdfs.sparkSession)
     todo = pdfs if done is None else pdfs.join(done.select("key"), "key", "left_anti")
 
     def run(batches):

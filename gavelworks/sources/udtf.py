@@ -15,6 +15,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from ..shipping import ship
 from . import pages as P
 
 #: columns besides the labels of the overview table
@@ -55,6 +56,7 @@ class RelatedRows:
 
 def register(spark: SparkSession) -> None:
     """Make the three functions known to SQL."""
+    ship(spark)
     listing = StructType().add("urutan", IntegerType())
     for n in ("id", "url", "judul", "teks_entri", "tanggal_putus"):
         listing = listing.add(n, StringType())

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..shipping import ship
+
 LOG = "id string, status string, pada timestamp"
 HOURS = 24
 _EPOCH = dt.datetime(1970, 1, 1)
@@ -99,6 +101,7 @@ class Frontier(StatefulProcessor):
 
 def frontier_stream(pages: DataFrame, hours: float = HOURS, delay: str = "1 hour") -> DataFrame:
     """The log of changes of a stream of pages (id, links array, expires boolean, at timestamp and perhaps arrived)."""
+    ship(pages.sparkSession)
     m = mentions(pages).withWatermark("tiba", delay)
     return m.groupBy("id").transformWithStateInPandas(Frontier(hours), LOG, "Append", "EventTime")
 
