@@ -34,8 +34,23 @@ def _dotted(c):
     return F.translate(F.format_number(c, 0), ",", ".")
 
 
-_KEY, _YEAR, _LITRES = F.col("o_orderkey"), F.year("o_orderdate"), F.floor("o_totalprice")
-_DAY = F.concat_ws(" ", F.dayofmonth("o_orderdate"), F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month("o_orderdate")), F.year("o_orderdate"))
+def _key():
+    return F.col("o_orderkey")
+
+
+def _year():
+    return F.year("o_orderdate")
+
+
+def _litres():
+    return F.floor("o_totalprice")
+
+
+def _day():
+    months = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    return F.concat_ws(" ", F.dayofmonth("o_orderdate"), F.element_at(months, F.month("o_orderdate")), F.year("o_orderdate"))
+
+
 _SQL_DAY = f"day(o_orderdate) || ' ' || ({_list(MONTH_NAMES)})[month(o_orderdate)] || ' ' || year(o_orderdate)"
 #: running numbers of more than four digits, so that none looks like a year
 _RUN = 100_000
@@ -43,8 +58,8 @@ _SQL_NUMBER = f"CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey + {_RUN}) || '/Pid.S
 
 
 def _number():
-    tail = [F.concat(F.lit("/Pid.Sus/"), _YEAR, F.lit("/PN Mdn")), F.concat(F.lit("/PID/"), _YEAR, F.lit("/PT MDN")), F.concat(F.lit(" K/Pid.Sus/"), _YEAR)]
-    return F.concat(_KEY + _RUN, F.element_at(F.array(*tail), (_KEY % 3 + 1).cast("int")))
+    tail = [F.concat(F.lit("/Pid.Sus/"), _year(), F.lit("/PN Mdn")), F.concat(F.lit("/PID/"), _year(), F.lit("/PT MDN")), F.concat(F.lit(" K/Pid.Sus/"), _year())]
+    return F.concat(_key() + _RUN, F.element_at(F.array(*tail), (_key() % 3 + 1).cast("int")))
 
 
 #: fuel, its kind, relevance; article in the text and its code; words of the deed and their code
@@ -56,12 +71,12 @@ _VERDICT = {"F": ("Menyatakan Terdakwa terbukti secara sah dan meyakinkan bersal
 
 def ruling_texts(spark, d):
     """A ruling for every row of orders."""
-    fuel, said = _pick([f for f, _, _ in _FUEL], _KEY), F.create_map(*[F.lit(x) for k, v in _VERDICT.items() for x in (k, v[0])])[F.col("o_orderstatus")]
+    fuel, said = _pick([f for f, _, _ in _FUEL], _key()), F.create_map(*[F.lit(x) for k, v in _VERDICT.items() for x in (k, v[0])])[F.col("o_orderstatus")]
     text = F.concat(
-        F.lit("PUTUSAN\nNomor "), _number(), F.lit("\nDEMI KEADILAN\nmembaca berkas Pengadilan Negeri "), _pick(_PLACES, F.col("o_custkey")), F.lit(", bahwa pada hari Senin, tanggal 3 Februari "), _YEAR - 1,
-        F.lit(" terdakwa mengangkut "), fuel, F.lit(" dengan tangki kapasitas 9.000 liter, kerugian negara sebesar Rp"), _dotted(_LITRES * 100), F.lit(",00\nsetidak-tidaknya dalam tahun "), _YEAR - 1,
-        F.lit(" di jalan\nMengingat, Pasal "), _pick([a for a, _ in _ARTICLE], _KEY), F.lit(" Undang-Undang Migas;\nM E N G A D I L I :\n1. "), said, _pick([x for x, _ in _DEED], _KEY), F.lit(";\n2. denda sebesar Rp"),
-        _dotted(F.col("o_custkey") * 1000 + 5000), F.lit(",00;\n3. barang bukti "), _dotted(_LITRES), F.lit(" liter "), fuel, F.lit(";\nDemikian diputuskan tanggal "), _DAY, F.lit("\n"),
+        F.lit("PUTUSAN\nNomor "), _number(), F.lit("\nDEMI KEADILAN\nmembaca berkas Pengadilan Negeri "), _pick(_PLACES, F.col("o_custkey")), F.lit(", bahwa pada hari Senin, tanggal 3 Februari "), _year() - 1,
+        F.lit(" terdakwa mengangkut "), fuel, F.lit(" dengan tangki kapasitas 9.000 liter, kerugian negara sebesar Rp"), _dotted(_litres() * 100), F.lit(",00\nsetidak-tidaknya dalam tahun "), _year() - 1,
+        F.lit(" di jalan\nMengingat, Pasal "), _pick([a for a, _ in _ARTICLE], _key()), F.lit(" Undang-Undang Migas;\nM E N G A D I L I :\n1. "), said, _pick([x for x, _ in _DEED], _key()), F.lit(";\n2. denda sebesar Rp"),
+        _dotted(F.col("o_custkey") * 1000 + 5000), F.lit(",00;\n3. barang bukti "), _dotted(_litres()), F.lit(" liter "), fuel, F.lit(";\nDemikian diputuskan tanggal "), _day(), F.lit("\n"),
     )
     return t(spark, d, "orders").select("o_orderkey", text.alias("text"))
 
@@ -89,9 +104,9 @@ CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate::DATE END AS tanggal, CA
 def numbers_and_dates_read(spark, d):
     """Amounts and dates written in several ways, read back."""
     cents = F.lpad((F.round(F.col("o_totalprice") * 100) % 100).cast("int").cast("string"), 2, "0")
-    number = F.element_at(F.array(F.concat(_dotted(_LITRES), F.lit(","), cents), F.concat(_dotted(_LITRES), F.lit(",")), _LITRES.cast("string"), F.concat(_dotted(_LITRES), F.lit(" liter"))), (_KEY % 4 + 1).cast("int"))
+    number = F.element_at(F.array(F.concat(_dotted(_litres()), F.lit(","), cents), F.concat(_dotted(_litres()), F.lit(",")), _litres().cast("string"), F.concat(_dotted(_litres()), F.lit(" liter"))), (_key() % 4 + 1).cast("int"))
     short = F.element_at(F.array(*[F.lit(m) for m in "jan feb mar apr mei jun jul agt sep okt nov des".split()]), F.month("o_orderdate"))
-    day = F.element_at(F.array(_DAY, F.concat(F.lit("Selasa, "), _DAY, F.lit(" dan 1 Januari 1970")), F.concat_ws("-", F.dayofmonth("o_orderdate"), short, _YEAR), F.upper(_DAY), F.concat(F.lit("31 Februari "), _YEAR)), (_KEY % 5 + 1).cast("int"))
+    day = F.element_at(F.array(_day(), F.concat(F.lit("Selasa, "), _day(), F.lit(" dan 1 Januari 1970")), F.concat_ws("-", F.dayofmonth("o_orderdate"), short, _year()), F.upper(_day()), F.concat(F.lit("31 Februari "), _year())), (_key() % 5 + 1).cast("int"))
     x = t(spark, d, "orders").select("o_orderkey", C.parse_number(number).alias("v"), C.parse_date(day).alias("tanggal"))
     return x.withColumn("teks", C.format_date("tanggal"))
 
@@ -112,7 +127,7 @@ _CODES = ["55", "53a;53b", "54;55", None, "53c"]
 SELECT pasal, count(c.pasal) AS perkara FROM {K.values([(k,) for k in (*ARTICLES, '-')], 'pasal')} LEFT JOIN c USING (pasal) GROUP BY pasal""")
 def cases_per_article(spark, d):
     """Cases per article code of multi-valued lists."""
-    return records.per_article(t(spark, d, "orders").select(_pick(_CODES, _KEY).alias("pasal_uu_migas"))).select("pasal", "perkara")
+    return records.per_article(t(spark, d, "orders").select(_pick(_CODES, _key()).alias("pasal_uu_migas"))).select("pasal", "perkara")
 
 
 _KINDS = [("Solar/Biosolar (subsidi)", "subsidi"), ("Solar (non-subsidi/industri)", "non-subsidi"), ("Pertalite", "penugasan (JBKP)"), ("pertalite dan solar industri", "campuran"), ("Solar (status subsidi tidak disebut)", "tidak disebut"), (" NA ", "tidak disebut"), (None, "tidak disebut")]
@@ -121,7 +136,7 @@ _KINDS = [("Solar/Biosolar (subsidi)", "subsidi"), ("Solar (non-subsidi/industri
 @query(f"""SELECT o_orderkey, {_sql_pick([s for _, s in _KINDS], 'o_orderkey')} AS status, o_orderkey % 7 >= 5 AS kosong, CASE WHEN o_orderkey % 7 >= 5 THEN o_orderpriority ELSE {_sql_pick([k for k, _ in _KINDS], 'o_orderkey')} END AS isi FROM orders""")
 def subsidy_and_missing(spark, d):
     """Subsidy label, whether a value is missing, and the first one that isn't."""
-    x = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", _pick([k for k, _ in _KINDS], _KEY).alias("s"))
+    x = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", _pick([k for k, _ in _KINDS], _key()).alias("s"))
     return x.select("o_orderkey", R.subsidy("s").alias("status"), C.is_na("s").alias("kosong"), C.first_value("s", "o_orderpriority").alias("isi"))
 
 
@@ -139,9 +154,9 @@ def reviewed_records(spark, d):
     """Records that a review didn't remove, numbered anew; a row of two decisions goes once, an uncertain one stays."""
     o = t(spark, d, "orders")
     none = {c: F.lit(None).cast("string").alias(c) for c in RECORD}
-    own = {"no": _KEY.cast("int").alias("no"), "nomor_putusan": F.concat(F.lit("N"), _KEY).alias("nomor_putusan")}
+    own = {"no": _key().cast("int").alias("no"), "nomor_putusan": F.concat(F.lit("N"), _key()).alias("nomor_putusan")}
     r = o.select(*[own.get(c, none[c]) for c in RECORD])
-    v = o.where("o_orderkey % 7 = 0").select(F.explode(F.array(F.lit("rekap"), F.lit("rekap"), F.lit("lain"))).alias("dataset"), _KEY.cast("int").alias("no"), F.when(_KEY % 2 == 0, "no").otherwise("uncertain").alias("final"), F.lit("bukan BBM").alias("alasan"))
+    v = o.where("o_orderkey % 7 = 0").select(F.explode(F.array(F.lit("rekap"), F.lit("rekap"), F.lit("lain"))).alias("dataset"), _key().cast("int").alias("no"), F.when(_key() % 2 == 0, "no").otherwise("uncertain").alias("final"), F.lit("bukan BBM").alias("alasan"))
     return records.apply_review(r, K.frame(spark, [], "nomor_putusan string"), v)[0].select("no", "nomor_putusan")
 
 
@@ -153,11 +168,11 @@ _NAMES = ["Budi Santoso bin Ali", "SITI Aminah", "Andi als. Kancil", "Wijaya"]
 def text_rules(spark, d):
     """Names redacted, bullets mended, years spelled out read, outcomes of an overview told."""
     o = t(spark, d, "orders")
-    said = F.concat(F.lit("saksi "), _pick(_NAMES, _KEY), F.lit(", menerangkan Terdakwa "), _pick(_NAMES, F.col("o_custkey")), F.lit(" hadir di Pengadilan Negeri "), _YEAR)
-    line = F.when(_KEY % 2 == 0, F.concat(F.lit("   "), F.col("o_custkey"), F.lit(" unit"))).otherwise(F.concat(F.lit(" lanjutan  "), F.col("o_custkey")))
-    word = _pick(["", *X.DIGITS], _KEY % 10)
+    said = F.concat(F.lit("saksi "), _pick(_NAMES, _key()), F.lit(", menerangkan Terdakwa "), _pick(_NAMES, F.col("o_custkey")), F.lit(" hadir di Pengadilan Negeri "), _year())
+    line = F.when(_key() % 2 == 0, F.concat(F.lit("   "), F.col("o_custkey"), F.lit(" unit"))).otherwise(F.concat(F.lit(" lanjutan  "), F.col("o_custkey")))
+    word = _pick(["", *X.DIGITS], _key() % 10)
     year = F.concat(F.lit("tahun 2000 Dua  puluh"), F.when(word == "", "").otherwise(F.concat(F.lit(" "), word)), F.lit(" dan 2000 dua puluh"))
-    over = F.concat(F.lit("amar: "), F.lower(_pick([*X.OVERVIEW, "tidak ada"], _KEY)), F.lit(" saja"))
+    over = F.concat(F.lit("amar: "), F.lower(_pick([*X.OVERVIEW, "tidak ada"], _key())), F.lit(" saja"))
     return o.select("o_orderkey", C.redact_names(said).alias("nama"), C.bullet_lines(line).alias("baris"), X.spelled_year(year).alias("ejaan"), X.outcome_of_overview(over).alias("hasil"))
 
 
@@ -176,8 +191,8 @@ def quotes_missing_of_texts(spark, d):
 def frontier_of_orders(spark, d):
     """Levels of a binary tree of all orders, breadth first."""
     o = t(spark, d, "orders")
-    e = o.where("o_orderkey > 0").select(F.floor((_KEY - 1) / 2).alias("a"), _KEY.alias("b"))
-    return graph.frontier(spark, o.where("o_orderkey = 0").select(_KEY.alias("node")), e)
+    e = o.where("o_orderkey > 0").select(F.floor((_key() - 1) / 2).alias("a"), _key().alias("b"))
+    return graph.frontier(spark, o.where("o_orderkey = 0").select(_key().alias("node")), e)
 
 
 _AT = "https://putusan3.mahkamahagung.go.id"
@@ -190,8 +205,8 @@ def address_forms(spark, d):
     """Pages and years of listings, ids and one address of rulings, file names and keys of documents."""
     o = t(spark, d, "orders")
     base = F.concat(F.lit(f"{_AT}/direktori/index/k"), F.col("o_custkey"), F.lit("/page/7.html"))
-    link = F.when(_KEY % 2 == 0, F.concat(F.lit("http://x.example/direktori/putusan/A"), _KEY, F.lit(".html?q=1"))).otherwise(F.concat(F.lit("/lain/"), _KEY))
+    link = F.when(_key() % 2 == 0, F.concat(F.lit("http://x.example/direktori/putusan/A"), _key(), F.lit(".html?q=1"))).otherwise(F.concat(F.lit("/lain/"), _key()))
     return o.select(
-        "o_orderkey", W.page(base, (_KEY % 9).cast("int")).alias("halaman"), W.by_year(base, _YEAR).alias("tahun"), W.ruling_id(link).alias("id"), W.canonical(link).alias("kanonik"),
-        C.safe_name(F.concat(F.lit("  Putusan "), _KEY, F.lit("/Pid.Sus__"))).alias("nama"), C.document_key(_KEY.cast("string"), "o_orderpriority").alias("kunci"),
+        "o_orderkey", W.page(base, (_key() % 9).cast("int")).alias("halaman"), W.by_year(base, _year()).alias("tahun"), W.ruling_id(link).alias("id"), W.canonical(link).alias("kanonik"),
+        C.safe_name(F.concat(F.lit("  Putusan "), _key(), F.lit("/Pid.Sus__"))).alias("nama"), C.document_key(_key().cast("string"), "o_orderpriority").alias("kunci"),
     )
