@@ -1,44 +1,21 @@
-"""Shared plumbing of the training-data operators: work tables, table readers,
-word splitting and shipping of this package to executors."""
+"""Shared plumbing of the training-data operators: work tables, table readers and
+word splitting."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.graph import shared_folder
+from ..shipping import ship
 
 #: a word is a maximal run without ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python path once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_gavelworks_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, "gavelworks_src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for top, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(top, n)
-                    z.write(full, os.path.join("gavelworks", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._gavelworks_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set and the master is local (tests)."""
     return shared_folder(spark) + "/gavelworks"
