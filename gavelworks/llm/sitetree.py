@@ -42,8 +42,9 @@ GAMMA, LEAST, LEAST_PAGES, WEAK = 0.9, 0.2, 3, 0.5
 LEAST_IN, LEAST_PAGES_IN = 0.05, 8
 #: paths longer than this go on as a digest of the path and the rest
 LONG = 240
-#: hosts with removals (some hundred bytes each) are sent to every executor up to this counted number, else joined by shuffle
-FEW_HOSTS = 50_000
+#: what may be removed (a path of at most 304 characters and 28 bytes of numbers) is sent to every executor up to this
+#: counted number of hosts and of entries in all (under 170 MB), else joined by shuffle
+FEW_HOSTS, FEW_ENTRIES = 50_000, 500_000
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 #: fixed values: HTML element classes
@@ -276,10 +277,13 @@ def main_text(page: str | None, low: dict) -> str:
 
 
 def _extract(batches):
+    host, low = None, {}
     for rb in batches:
         got = []
-        for page, low in zip(rb.column("html"), rb.column("low")):
-            got.append(main_text(page.as_py(), {(x["path"], x["h"]): (x["importance"], x["pages"]) for x in low.as_py() or ()}))
+        for page, name, entries in zip(rb.column("html"), rb.column("host"), rb.column("low")):
+            if name.as_py() != host:  # pages of one host come together: its entries are read once
+                host, low = name.as_py(), {(x["path"], x["h"]): (x["importance"], x["pages"]) for x in entries.as_py() or ()}
+            got.append(main_text(page.as_py(), low))
         yield pa.RecordBatch.from_arrays([rb.column("page_id"), rb.column("url"), pa.array(got, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -334,12 +338,13 @@ def extract(spark: SparkSession, pages: DataFrame, work: Work | None = None) ->
     src = pages.select("page_id", "url", "html", host.alias("host"))
     nodes = src.select("host", "html").mapInArrow(_scan, "host string, nodes array<struct<path:string,kind:int,h:bigint,kids:int>>")
     low = work.save(low_importance(nodes, work), "low")
-    if low.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
-        both = src.join(F.broadcast(low), "host", "left")
+    n = low.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("entries")).first()
+    if n.hosts <= FEW_HOSTS and n.entries <= FEW_ENTRIES:
+        both = src.sortWithinPartitions("host").join(F.broadcast(low), "host", "left")  # the join keeps the order
     else:  # pages of one host are dealt over several tasks
         salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         both = src.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(16)).cast("int")).join(salted, ["host", "salt"], "left")
-    return both.select("page_id", "url", "html", "low").mapInArrow(_extract, plus(pages.select("page_id", "url").schema, "text string"))
+    return both.select("page_id", "url", "html", "host", "low").mapInArrow(_extract, plus(pages.select("page_id", "url").schema, "text string"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
