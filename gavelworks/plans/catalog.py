@@ -297,10 +297,10 @@ def keyword_year_pages(spark, d):
     return readers.search_pages(spark, t(spark, d, "nation").select(F.col("n_name").alias("kata")), [2020, 2021, 2022], 2)
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT DISTINCT l_partkey::BIGINT * 2 AS a, l_suppkey::BIGINT * 2 + 1 AS b FROM lineitem), e AS MATERIALIZED (SELECT a, b FROM d UNION ALL SELECT b, a FROM d),
+c(node, comp) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.a, min(c.comp) FROM c JOIN e ON e.b = c.node JOIN recurring.c r ON r.node = e.a WHERE c.comp < r.comp GROUP BY e.a) SELECT node, comp FROM c""")
 def chain_components(spark, d):
-    """Components of all parts (even nodes) and suppliers (odd nodes) of lineitem; recursive SQL is too slow for a twin,
-    the tests hold it against brute force."""
+    """Components of all parts (even nodes) and suppliers (odd nodes) of lineitem."""
     e = t(spark, d, "lineitem").select((F.col("l_partkey").cast("long") * 2).alias("a"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("b")).distinct()
     return graph.components(e.select(F.col("a").alias("node")).union(e.select("b")), e)
 

@@ -43,7 +43,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
         o.select(*[F.count_if(F.col("meta")[v].isNull()).alias(v) for v in pages.LABELS.values()]).show()
     elif a.command == "crawl":
         src = readers.read_pages(spark, a.pages).where(~W.blocked("html"))
-        o = graph.cut(pages.overviews(some(src)).withColumn("id", F.coalesce("id", F.regexp_extract("url", r"([0-9a-z]+)\.html$", 1))).dropDuplicates(["id"]))
+        o = pages.overviews(some(src)).withColumn("id", F.coalesce("id", F.regexp_extract("url", r"([0-9a-z]+)\.html$", 1)))
+        # of pages saved twice the one whose address comes last, the same on every run
+        o = graph.cut(records.top_by(o, ["id"], ["url"]))
         e = pages.edges(o)
         year = C.record_year(F.col("meta")["tanggal_dibacakan"], F.col("meta")["tanggal_musyawarah"], F.col("meta")["tahun"])
         chain = graph.chains(o.select("id", year.alias("year")), e)

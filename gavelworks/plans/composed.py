@@ -210,3 +210,61 @@ def address_forms(spark, d):
         "o_orderkey", W.page(base, (_key() % 9).cast("int")).alias("halaman"), W.by_year(base, _year()).alias("tahun"), W.ruling_id(link).alias("id"), W.canonical(link).alias("kanonik"),
         C.safe_name(F.concat(F.lit("  Putusan "), _key(), F.lit("/Pid.Sus__"))).alias("nama"), C.document_key(_key().cast("string"), "o_orderpriority").alias("kunci"),
     )
+
+
+@query("""WITH o AS (SELECT *, bool_or(o_orderkey % 4 = 0) OVER (PARTITION BY o_custkey) AS sib, o_orderkey % 4 AS k FROM orders)
+SELECT o_orderkey::INT AS no, CASE WHEN k = 0 THEN 'teks PDF putusan' WHEN k = 1 THEN 'kutipan verbatim (bukti_kutipan)' WHEN sib THEN 'teks PDF putusan lain dalam rantai' WHEN k = 2 THEN 'kolom isian pengode saja' ELSE 'tabulasi tim (bukan teks putusan)' END AS dasar_bukti_kata_kunci,
+CASE WHEN k = 0 THEN 'solar, minyak tanah' WHEN k = 1 THEN 'BBM, pertalite' WHEN sib THEN 'solar, minyak tanah' WHEN k = 2 THEN 'biosolar' ELSE 'BBM' END AS kata_kunci_ditemukan, k = 1 OR (k = 3 AND NOT sib) AS token_BBM_literal FROM o""")
+def evidence_of_orders(spark, d):
+    """Where the keywords of a record come from: its own text, its quotes, another text of its chain, the team's table
+    or the coder's columns."""
+    o, k = t(spark, d, "orders"), _key() % 4
+    own = {
+        "no": _key().cast("int"), "rantai_perkara": F.col("o_custkey").cast("string"), "file_pdf": F.when(k == 0, F.concat(F.lit("pdf/"), _key(), F.lit(".pdf"))),
+        "bukti_kutipan": F.when(k == 1, F.lit("BBM jenis Pertalite")).when(k == 3, F.lit("B.B.M")), "barang_bbm": F.when(k == 2, F.lit("Bio-Solar")), "sumber_daftar": F.when(k == 3, F.lit("Tabulasi tim")),
+    }
+    r = o.select(*[own.get(c, F.lit(None).cast("string")).alias(c) for c in RECORD])
+    said = o.where("o_orderkey % 4 = 0").select(own["file_pdf"].alias("file_pdf"), F.concat(F.lit("membeli solar dan minyak  tanah di "), F.col("o_orderpriority")).alias("text"))
+    return records.evidence(r, said).select("no", "dasar_bukti_kata_kunci", "kata_kunci_ditemukan", "token_BBM_literal")
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'Premium (2)' ELSE {_sql_pick([k + ' (1)' for _, k, _ in _FUEL], 'o_orderkey')} END AS jenis_bbm_disebut,
+CASE WHEN o_orderkey % 3 = 0 THEN 'Ya' ELSE {_sql_pick([r for _, _, r in _FUEL], 'o_orderkey')} END AS relevan_bbm_kandidat, CASE WHEN o_orderkey % 3 = 0 THEN 'teks PDF' ELSE 'overview' END AS dasar_relevansi FROM orders""")
+def relevance_of_pages(spark, d):
+    """Relevance of a ruling's page: told by its file where that could be read, else by the page."""
+    o = t(spark, d, "orders")
+    file = F.concat(F.lit("pdf/"), _key(), F.lit(".pdf")).alias("file_pdf")
+    over = o.select(_key().alias("id"), file, F.concat(F.lit("perkara "), _pick([f for f, _, _ in _FUEL], _key())).alias("abstrak"))
+    read = o.where("o_orderkey % 3 < 2").select(file, F.when(_key() % 3 == 0, F.lit("premium dan Premium")).alias("text"))
+    return records.crawl_relevance(over, read).select("id", "jenis_bbm_disebut", "relevan_bbm_kandidat", "dasar_relevansi")
+
+
+_PROVINCE_OF = {n: p for p, names in PLACES.items() for n in names}
+_CASES = f"""WITH r AS (SELECT o_custkey::VARCHAR AS rantai_perkara, o_orderkey AS no, o_orderkey % 3 AS lv, {_sql_pick([0, 2, 3], 'o_orderkey')} AS fakta, 'N' || o_orderkey AS nomor, o_orderdate AS t, year(o_orderdate)::INT AS tahun,
+CASE o_orderstatus WHEN 'F' THEN 'Bersalah' WHEN 'O' THEN 'Tidak bersalah' END AS hasil, CASE WHEN o_orderkey % 5 < 3 THEN floor(o_totalprice)::DOUBLE END AS vol, CASE WHEN o_orderkey % 2 = 0 THEN 'liter' ELSE 'ton' END AS satuan,
+CASE o_orderkey % 3 WHEN 0 THEN 'PN ' || upper({_sql_pick(_PLACES, 'o_custkey')}) WHEN 1 THEN 'PT BANDUNG' ELSE 'MAHKAMAH AGUNG' END AS pengadilan,
+CASE o_orderkey % 3 WHEN 0 THEN {_sql_pick([_PROVINCE_OF[n] for n in _PLACES], 'o_custkey')} WHEN 1 THEN 'Jawa Barat' END AS prov FROM orders)
+SELECT rantai_perkara, count(*) AS jumlah_putusan, concat_ws('+', CASE WHEN bool_or(lv = 0) THEN 'PN' END, CASE WHEN bool_or(lv = 1) THEN 'PT' END, CASE WHEN bool_or(lv = 2) THEN 'MA' END) AS tingkat_tercakup,
+first(nomor ORDER BY no) FILTER (lv = 0) AS nomor_putusan_pertama, first(pengadilan ORDER BY no) FILTER (lv = 0) AS pengadilan_pertama, min(tahun) AS tahun_putusan_awal, max(tahun) AS tahun_putusan_akhir,
+first(nomor ORDER BY t DESC, lv DESC, no DESC) AS nomor_putusan_terakhir, {_list(['Pertama', 'Banding', 'Kasasi'])}[first(lv ORDER BY t DESC, lv DESC, no DESC) + 1] AS tingkat_terakhir, first(hasil ORDER BY t DESC, lv DESC, no DESC) AS hasil_akhir,
+first(hasil ORDER BY no) FILTER (lv = 0 AND hasil IS NOT NULL) AS hasil_tingkat_pertama, (count(DISTINCT hasil) > 1)::INT AS hasil_berubah_antartingkat, first(vol ORDER BY fakta, no) FILTER (vol IS NOT NULL) AS volume,
+first(satuan ORDER BY fakta, no) FILTER (vol IS NOT NULL) AS satuan_volume, first(nomor ORDER BY fakta, no) FILTER (vol IS NOT NULL) AS volume_dari, first(prov ORDER BY fakta, no) FILTER (prov IS NOT NULL) AS provinsi,
+string_agg(nomor, '; ' ORDER BY t, lv, no) AS nomor_putusan_semua FROM r GROUP BY rantai_perkara"""
+
+
+@query(_CASES)
+def case_level_of_records(spark, d):
+    """One row per chain of records that are prepared from their texts: first and last court, outcomes, the fact that
+    counts, province."""
+    o, lv = t(spark, d, "orders"), _key() % 3
+    at = lambda *xs: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (lv + 1).cast("int"))
+    own = {
+        "no": _key().cast("int"), "nomor_putusan": F.concat(F.lit("N"), _key()), "rantai_perkara": F.col("o_custkey").cast("string"), "tingkat_persidangan": at("PN", "PT", "MA"), "tingkat_proses": at("Pertama", "Banding", "Kasasi"),
+        "tanggal_putusan": _day(), "tahun_putusan": _year(), "hasil_putusan": F.when(F.col("o_orderstatus") == "F", "Bersalah").when(F.col("o_orderstatus") == "O", "Tidak bersalah"),
+        "pengadilan": at(F.concat(F.lit("PN "), _pick(_PLACES, F.col("o_custkey"))), "pt bandung", "Mahkamah Agung"), "nilai_kerugian_volume": F.when(_key() % 5 < 3, _litres().cast("double")), "nilai_kerugian_uang": F.lit(None).cast("double"),
+        "satuan_volume": F.when(_key() % 2 == 0, "liter").otherwise("ton"),
+    }
+    r = o.select(*[own.get(c, F.lit(None).cast("string")).alias(c) for c in RECORD])
+    gaz = records.gazetteer(spark)
+    names = "rantai_perkara jumlah_putusan tingkat_tercakup nomor_putusan_pertama pengadilan_pertama tahun_putusan_awal tahun_putusan_akhir nomor_putusan_terakhir tingkat_terakhir hasil_akhir hasil_tingkat_pertama hasil_berubah_antartingkat volume satuan_volume volume_dari provinsi nomor_putusan_semua"
+    return records.case_level(graph.cut(records.prepare(r, gaz)), None, gaz).select(*names.split())

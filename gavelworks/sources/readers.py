@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -135,16 +136,23 @@ def lines_of_words(words: DataFrame) -> DataFrame:
 
 
 def read_jsonl_latest(spark: SparkSession, path: str, schema: str, key: str = "_key", order: str | None = None) -> DataFrame:
-    """Last record of each key of appended JSON lines: by ``order`` if given, else by the files' times and the lines in them."""
-    d = spark.read.schema(schema).json(path)
+    """Last record of each key of appended JSON lines: by ``order`` if given, else by the number of the append that
+    ``append_jsonl`` writes (lines without one are older), then by the files' times and the lines in them."""
+    d = spark.read.schema(f"{schema}, {SEQUENCE} long").json(path)
     m = "_metadata."
-    at = [order] if order else [f"{m}file_modification_time", f"{m}file_path", f"{m}file_block_start"]
+    at = [order] if order else [F.coalesce(SEQUENCE, F.lit(0)), f"{m}file_modification_time", f"{m}file_path", f"{m}file_block_start"]
     d = d.select("*", F.struct(*at, F.monotonically_increasing_id().alias("_i")).alias("_at"))
-    return d.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at")))).where("_rn = 1").drop("_rn", "_at")
+    return d.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at")))).where("_rn = 1").drop("_rn", "_at", SEQUENCE)
+
+
+#: column of appended JSON lines: the time of the append in nanoseconds, always later than the writer's last one
+SEQUENCE = "_urut"
+_LAST_APPEND = [0]
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    _LAST_APPEND[0] = max(time.time_ns(), _LAST_APPEND[0] + 1)
+    df.withColumn(SEQUENCE, F.lit(_LAST_APPEND[0])).write.mode("append").json(path)
 
 
 def search_pages(spark: SparkSession, keywords: list[str] | DataFrame, years: list[int], pages: int) -> DataFrame:

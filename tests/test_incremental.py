@@ -132,3 +132,30 @@ def test_links_join_what_pairs_join(spark):
     # one court, one volume, one year: as many links as cases, not their square
     same = spark.range(3000).select(F.col("id").cast("string").alias("chain"), F.lit("p").alias("place"), F.lit(2020).alias("year"), F.lit("2019").alias("event"), F.lit(1000.0).alias("volume"), F.array().cast("array<string>").alias("names"))
     assert graph.incident_links(same).count() == 2999
+
+
+def test_streams_into_a_keyed_table(spark, tmp_path):
+    from gavelworks.streaming import ingest
+
+    sink = ingest.keyed_sink(str(tmp_path / "t"), buckets=4)
+    one = spark.createDataFrame([("a", "2024-01-02", 1), ("a", "2024-01-01", 9), ("b", "2024-01-01", 2)], "id string, fetched_at string, v int")
+    sink(one, 0)
+    sink(spark.createDataFrame([("a", "2023-01-01", 7), ("c", "2024-01-01", 3)], one.schema), 1)
+    sink(one, 0)
+    t = KeyedTable(spark, str(tmp_path / "t"), "id", "fetched_at", buckets=4)
+    assert {r.id: r.v for r in t.read().collect()} == {"a": 1, "b": 2, "c": 3} and t.manifest()["epoch"] == 1
+    ingest.upsert_sink(str(tmp_path / "w"))(one, 0)
+    assert {r.id: r.v for r in spark.read.parquet(str(tmp_path / "w" / "v=0")).collect()} == {"a": 1, "b": 2}
+
+
+def test_appends_within_a_tick_keep_their_order(spark, tmp_path):
+    from gavelworks.sources import readers
+
+    path = str(tmp_path / "j")
+    for v in range(4):
+        readers.append_jsonl(spark.createDataFrame([("k", v)], "_key string, v int"), path)
+    for d, _, fs in os.walk(path):
+        for f in fs:
+            os.utime(os.path.join(d, f), (1, 1))
+    got = readers.read_jsonl_latest(spark, path, "_key string, v int")
+    assert got.columns == ["_key", "v"] and [r.v for r in got.collect()] == [3]
