@@ -11,8 +11,9 @@ from .lexicon import FUELS, GENERIC_FUEL, KEYWORDS, MONEY_KINDS, NOT_CORE, OFFEN
 
 HEADING = r"^\s*M\s*E\s*N\s*G\s*A\s*D\s*I\s*L\s*I\b(?!\s*S\s*E\s*N\s*D\s*I\s*R\s*I)"
 NUMBER = r"(\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+(?:,\d+)?)"
-VOLUME = rf"(?is)(?<=(\A.{{0,79}}|.{{80}})){NUMBER}(?:\s*\([^()]{{0,120}}\))?\s*(kilo\s*liter|kiloliter|k\.?l\b|liter|ltr\b|lt\b|l\b|ton\b|m3\b|m³)(?=(.{{0,40}}))"
-MONEY = r"(?is)(?<=(\A.{0,119}|.{120}))Rp\.?\s*(\d{1,3}(?:\s?\.\s?\d{3})+(?:,\d{1,2})?|\d+(?:,\d{1,2})?)(?=(.{0,60}))"
+# a look ahead at the first character comes before the dear look behind
+VOLUME = rf"(?is)(?=\d)(?<=(\A.{{0,79}}|.{{80}})){NUMBER}(?:\s*\([^()]{{0,120}}\))?\s*(kilo\s*liter|kiloliter|k\.?l\b|liter|ltr\b|lt\b|l\b|ton\b|m3\b|m³)(?=(.{{0,40}}))"
+MONEY = r"(?is)(?=Rp)(?<=(\A.{0,119}|.{120}))Rp\.?\s*(\d{1,3}(?:\s?\.\s?\d{3})+(?:,\d{1,2})?|\d+(?:,\d{1,2})?)(?=(.{0,60}))"
 
 
 def zipped(text: Column, pattern: str, **groups: int) -> Column:

@@ -268,3 +268,24 @@ def case_level_of_records(spark, d):
     gaz = records.gazetteer(spark)
     names = "rantai_perkara jumlah_putusan tingkat_tercakup nomor_putusan_pertama pengadilan_pertama tahun_putusan_awal tahun_putusan_akhir nomor_putusan_terakhir tingkat_terakhir hasil_akhir hasil_tingkat_pertama hasil_berubah_antartingkat volume satuan_volume volume_dari provinsi nomor_putusan_semua"
     return records.case_level(graph.cut(records.prepare(r, gaz)), None, gaz).select(*names.split())
+
+
+_EXTENDED = f"""WITH o AS (SELECT *, o_orderkey % 3 AS k, 100 + o_orderkey % 900 AS l, 1000 + (o_custkey * 7) % 40000 AS p FROM orders)
+SELECT o_orderkey, CASE WHEN k = 0 THEN 'Bersalah' END AS hasil_putusan, CASE WHEN k < 2 THEN 'Ya' ELSE 'Perlu dicek (sebutan BBM sedikit)' END AS relevan_bbm, ['Solar', 'Solar (subsidi)', 'Pertalite'][k + 1] AS barang_bbm,
+CASE WHEN k = 0 THEN (2 + o_orderkey % 9) * (10 + o_custkey % 50) ELSE l END::DOUBLE AS nilai_kerugian_volume, 'liter' AS satuan_volume, CASE k WHEN 1 THEN l * 1000 WHEN 2 THEN l * p END::DOUBLE AS nilai_kerugian_uang,
+CASE WHEN k = 0 THEN (year(o_orderdate) - 1)::VARCHAR END AS tahun_kejadian, CASE WHEN k = 0 THEN 'Kota ' || {_sql_pick(_PLACES, 'o_custkey')} END AS kab_kota FROM o"""
+
+
+@query(_EXTENDED)
+def extended_records(spark, d):
+    """The extended record of rulings that tell their facts in three ways: containers and a place, a state loss, a price."""
+    litres, price = 100 + _key() % 900, 1000 + (F.col("o_custkey") * 7) % 40000
+    told = F.concat(
+        F.lit("dalam bulan Maret "), _year() - 1, F.lit(" bertempat di Kota "), _pick(_PLACES, F.col("o_custkey")), F.lit(", atau setidak-tidaknya\nMENGADILI:\nTerdakwa terbukti bersalah;\n- "), 2 + _key() % 9,
+        F.lit(" jerigen masing-masing berisi "), 10 + F.col("o_custkey") % 50, F.lit(" liter solar;\nDemikian diputuskan "), _day(),
+    )
+    loss = F.concat(F.lit("kerugian negara sebesar Rp"), _dotted(litres * 1000), F.lit(",00 atas solar subsidi, solar subsidi dan solar subsidi; disita total "), litres, F.lit(" liter solar subsidi"))
+    bought = F.concat(F.lit("membeli pertalite "), litres, F.lit(" liter seharga Rp"), _dotted(price), F.lit(",00 per liter"))
+    x = t(spark, d, "orders").select("o_orderkey", F.element_at(F.array(told, loss, bought), (_key() % 3 + 1).cast("int")).alias("text"))
+    # one small file would be one task, and these expressions are dear
+    return X.ruling_record(x.repartition(spark.sparkContext.defaultParallelism)).select("o_orderkey", "hasil_putusan", "relevan_bbm", "barang_bbm", "nilai_kerugian_volume", "satuan_volume", "nilai_kerugian_uang", "tahun_kejadian", "kab_kota")
