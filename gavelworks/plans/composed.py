@@ -81,6 +81,11 @@ def ruling_texts(spark, d):
     return t(spark, d, "orders").select("o_orderkey", text.alias("text"))
 
 
+def _dealt(spark, df):
+    """Rows dealt over all cores: a small file would be one task, and expressions over texts are dear."""
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def _sql_pick(xs, at: str) -> str:
     return f"({_list(xs)})[{at} % {len(xs)} + 1]"
 
@@ -96,7 +101,7 @@ floor(o_totalprice)::BIGINT::VARCHAR AS volume_liter_di_amar, floor(o_totalprice
 @query(_CAND)
 def candidates_of_rulings(spark, d):
     """All candidate fields of a ruling's text but its length and the basis of the outcome."""
-    return R.candidates(ruling_texts(spark, d), "text", ("o_orderkey",)).drop("panjang_teks", "dasar_hasil_kandidat")
+    return R.candidates(_dealt(spark, ruling_texts(spark, d)), "text", ("o_orderkey",)).drop("panjang_teks", "dasar_hasil_kandidat")
 
 
 @query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) ELSE NULL END AS v,
@@ -287,5 +292,4 @@ def extended_records(spark, d):
     loss = F.concat(F.lit("kerugian negara sebesar Rp"), _dotted(litres * 1000), F.lit(",00 atas solar subsidi, solar subsidi dan solar subsidi; disita total "), litres, F.lit(" liter solar subsidi"))
     bought = F.concat(F.lit("membeli pertalite "), litres, F.lit(" liter seharga Rp"), _dotted(price), F.lit(",00 per liter"))
     x = t(spark, d, "orders").select("o_orderkey", F.element_at(F.array(told, loss, bought), (_key() % 3 + 1).cast("int")).alias("text"))
-    # one small file would be one task, and these expressions are dear
-    return X.ruling_record(x.repartition(spark.sparkContext.defaultParallelism)).select("o_orderkey", "hasil_putusan", "relevan_bbm", "barang_bbm", "nilai_kerugian_volume", "satuan_volume", "nilai_kerugian_uang", "tahun_kejadian", "kab_kota")
+    return X.ruling_record(_dealt(spark, x)).select("o_orderkey", "hasil_putusan", "relevan_bbm", "barang_bbm", "nilai_kerugian_volume", "satuan_volume", "nilai_kerugian_uang", "tahun_kejadian", "kab_kota")
