@@ -19,14 +19,18 @@ read and mentioned in one batch is read; repeated rows change nothing; other col
 from __future__ import annotations
 
 import datetime as dt
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..shipping import ship
 
+# the worker that asks the operator for its state reads no shipped files: the class goes with the query
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LOG = "id string, status string, pada timestamp"
 HOURS = 24
 _EPOCH = dt.datetime(1970, 1, 1)
