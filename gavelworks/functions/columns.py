@@ -170,9 +170,15 @@ def number_set(c) -> Column:
 
 def parse_date(c) -> Column:
     """First Indonesian date of a text; null if there is none or the day does not exist."""
-    t = F.coalesce(col(c), F.lit(""))
+    # the text is searched once; its parts are taken from the few characters found
+    found = F.transform(F.array(F.regexp_extract(F.coalesce(col(c), F.lit("")), DATE, 0)), _day_of)
+    return F.get(found, F.lit(0))
+
+
+def _day_of(t: Column) -> Column:
     month = literal_map(MONTHS)[F.lower(F.regexp_extract(t, DATE, 2))]
-    return F.try_to_date(F.concat_ws("-", F.regexp_extract(t, DATE, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(t, DATE, 1), 2, "0")), "yyyy-MM-dd")
+    day = F.concat_ws("-", F.regexp_extract(t, DATE, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(t, DATE, 1), 2, "0"))
+    return F.when(t != "", F.try_to_date(day, "yyyy-MM-dd"))
 
 
 def format_date(c) -> Column:
