@@ -83,6 +83,11 @@ def court_key(c) -> Column:
     return F.regexp_replace(n, "[^A-Z]", "")
 
 
+def bare(c) -> Column:
+    """Letters, numbers and underscores in lower case, nothing between them (marks go, superscripts stay)."""
+    return F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}_]+", "")
+
+
 def strip(c) -> Column:
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 

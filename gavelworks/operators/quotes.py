@@ -32,14 +32,9 @@ CLASSES = [(48, 24), (24, 12), (SHORTEST, 6)]
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def bare(c) -> Column:
-    """Letters, digits and underscores in lower case, nothing between them."""
-    return F.regexp_replace(F.lower(C.col(c)), r"(?U)\W+", "")
-
-
 def parts(c) -> Column:
     """The bare parts of a quote that are long enough, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(C.col(c), r"\.{3}|…|\|"), bare), lambda p: F.length(p) >= SHORTEST))
+    return F.array_distinct(F.filter(F.transform(F.split(C.col(c), r"\.{3}|…|\|"), C.bare), lambda p: F.length(p) >= SHORTEST))
 
 
 def winnowed(text: str, gram: int, window: int) -> np.ndarray:
@@ -87,7 +82,7 @@ def _grams(df: DataFrame, keep: list[str], classes: list[int]) -> DataFrame:
 def found(docs: DataFrame, quotes: DataFrame, doc_id: str, text: str, quote_id: str, quote: str) -> DataFrame:
     """(doc_id, quote_id) of every text that holds every part of a quote; both ids are named as given."""
     spark = docs.sparkSession
-    hay = docs.select(F.col(doc_id).alias("_doc"), bare(text).alias("_bare")).where("_bare <> ''")
+    hay = docs.select(F.col(doc_id).alias("_doc"), C.bare(text).alias("_bare")).where("_bare <> ''")
     each = graph.cut(quotes.select(F.col(quote_id).alias("_q"), F.explode(parts(quote)).alias("_bare")).distinct().withColumn("_of", F.count("*").over(Window.partitionBy("_q"))))
     n = F.length("_bare")
     least = F.lit(CLASSES[-1][0])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.rulings import once
 
 # fixed values: fields of a coded record
 FIELDS = [
@@ -22,14 +23,15 @@ ENUMS = {"hasil_putusan": ["Bersalah", "Tidak bersalah"], "relevan_bbm": ["Ya",
 
 def quotes_missing(quotes, text):
     """Quotes with a part of 12 or more word characters that the text does not hold."""
-    bare = lambda c: F.regexp_replace(F.lower(c), r"(?U)\W+", "")
-    hay = bare(C.col(text))
 
-    def absent(q):
-        parts = F.filter(F.transform(F.split(q, r"\.{3}|…|\|"), bare), lambda p: F.length(p) >= 12)
-        return F.exists(parts, lambda p: ~F.contains(hay, p))
+    def absent(hay):
+        def one(q):
+            parts = F.filter(F.transform(F.split(q, r"\.{3}|…|\|"), C.bare), lambda p: F.length(p) >= 12)
+            return F.exists(parts, lambda p: ~F.contains(hay, p))
 
-    return F.filter(C.col(quotes), absent)
+        return one
+
+    return once(C.bare(text), lambda hay: F.filter(C.col(quotes), absent(hay)))
 
 
 def code_texts(texts: DataFrame, client, prompt: str, model: str, verify: bool = False, done: DataFrame | None = None) -> DataFrame:

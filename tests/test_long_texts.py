@@ -24,3 +24,13 @@ def test_context_before_a_match_of_any_characters(spark):
     assert [(v.value, v.kind) for v in got.v] == [(9000.0, "kapasitas"), (5.0, "jumlah")]
     assert [(m.value, m.kind) for m in got.m] == [(7000.0, "lain"), (5.0, "denda")]
     assert [tuple(a) for a in got.a] == [("kapasitas ", "9.000", ", disi"), ("r, disita ", "5", " solar")]
+
+
+def test_a_changed_quote_is_missing_where_the_text_goes_on_from_its_letters(spark, tmp_path):
+    from gavelworks.plans import composed
+
+    tail = "satu kalimat yang cukup panjang"
+    rows = [(3, "a" * 18 + "zz" + tail), (6, "a" * 20 + (tail + " " * 40)[:60] + " zz " + (tail + " " * 40)[:60]), (9, "a" * 20 + "กั" * 6 + "́" * 10), (4, "abc"), (12, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    none = "kalimat ini tidak ada di mana pun"
+    assert dict(composed.quotes_missing_of_texts(spark, str(tmp_path)).collect()) == {3: f"{none}|zz{tail}", 6: f"{none}|zz{(tail + ' ' * 40)[:60]}", 9: none, 4: none}
