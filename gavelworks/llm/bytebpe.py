@@ -21,6 +21,7 @@ import heapq
 import re
 import struct
 import unicodedata
+from functools import cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Work, partitions, plus, ship, table
 
 STEP, OVERLAP, AHEAD = 1 << 16, 1 << 12, 3
-CACHE = 300_000
+CACHE = 100_000
 _LOADED: dict = {}
 
 
@@ -46,8 +47,10 @@ def _spans(points: list[int]) -> str:
     return "".join(out)
 
 
-def matcher(pattern: str):
-    """The pattern, with letters and numbers as the public BPE library knows them: a newer Unicode table has more.
+@cache
+def spelt(pattern: str) -> tuple[str, bool]:
+    """The pattern, with letters and numbers as the public BPE library knows them (a newer Unicode table has more), and
+    whether it differs.  Asked once, on the driver: the library's matchers take 100 MB.
 
     The library doesn't show its matches, so code points newer than Python's own table are put to it behind a letter
     (a digit): with a token that spans both, one token less comes out if they are in one match."""
@@ -63,11 +66,18 @@ def matcher(pattern: str):
         probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         drop[kind] = [ord(c) for c in new if len(probe.encode_ordinary(before + c)) == 1 + len(c.encode())]
     if not any(drop.values()):
-        return regex.compile(pattern)
+        return pattern, False
     sets = {k: rf"[\p{{{k}}}--[{_spans(v)}]]" if v else rf"\p{{{k}}}" for k, v in drop.items()}
     for k, s in sets.items():
         pattern = pattern.replace(rf"\p{{{k}}}", s)
-    return regex.compile(pattern, regex.V1)
+    return pattern, True
+
+
+def matcher(pattern: str, as_known: tuple[str, bool] | None = None):
+    import regex
+
+    text, differs = as_known or spelt(pattern)
+    return regex.compile(text, regex.V1) if differs else regex.compile(text)
 
 
 #: characters up to here (Latin and its extensions) are classified once, and texts of them matched by the standard library
@@ -90,13 +100,11 @@ def latin_matcher(pattern: str) -> re.Pattern:
 class ByteBpe:
     """Vocabulary of ranks (bytes -> id), which hold all single bytes; a rank is its id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.match = ranks, matcher(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, as_known: tuple[str, bool] | None = None):
+        self.ranks, self.match = ranks, matcher(pattern, as_known)
         # only the public pattern is known to be spelt with these classes
         self.latin = latin_matcher(pattern) if r"[^\s\p{L}\p{N}]" in pattern and "[[" not in pattern else None
-        self.vocab = [b""] * (max(ranks.values()) + 1)
-        for b, i in ranks.items():
-            self.vocab[i] = b
+        self.vocab = vocabulary(ranks)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -177,18 +185,36 @@ class ByteBpe:
         return ends
 
     def decode(self, ids: bytes) -> bytes:
-        vocab = self.vocab
-        return b"".join([vocab[i] for i in memoryview(ids).cast("I")])
+        return decoded(self.vocab, ids)
+
+
+def vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    out = [b""] * (max(ranks.values()) + 1)
+    for b, i in ranks.items():
+        out[i] = b
+    return out
+
 
+def decoded(vocab: list[bytes], ids: bytes) -> bytes:
+    return b"".join([vocab[i] for i in memoryview(ids).cast("I")])
 
-def load(path: str | None = None, pattern: str | None = None) -> ByteBpe:
-    """The vocabulary of this process (read once): lines of a base64 token and its rank."""
+
+def read_ranks(path: str | None = None) -> dict[bytes, int]:
+    """Lines of a base64 token and its rank."""
     import public_tokenizers
 
-    path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+
+
+def load(path: str | None = None, pattern: str | None = None, as_known: tuple[str, bool] | None = None) -> ByteBpe:
+    """The model of this process (read once); ``as_known``: the pattern as ``spelt`` gave it on the driver."""
+    import public_tokenizers
+
+    pattern = pattern or public_tokenizers.PATTERN
     if (path, pattern) not in _LOADED:
-        with open(path, "rb") as f:
-            _LOADED[path, pattern] = ByteBpe({base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}, pattern)
+        _LOADED[path, pattern] = ByteBpe(read_ranks(path), pattern, as_known)
     return _LOADED[path, pattern]
 
 
@@ -204,13 +230,16 @@ def _whole(model: ByteBpe, rb: pa.RecordBatch, extra: list):
 
 def encode_table(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None, step: int = STEP, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ids (packed), n_tokens of every row; texts of more than ``step`` characters go through chunks."""
+    import public_tokenizers
+
     assert step >= overlap > AHEAD
+    as_known = spelt(pattern or public_tokenizers.PATTERN)
     work, src = Work(spark, "bytebpe"), docs.select("doc_id", "text")
     one = src.schema["doc_id"]
     schema = plus(src.schema, "ids binary, n_tokens long", ("text",))
 
     def short(batches):
-        model = load(path, pattern)
+        model = load(path, pattern, as_known)
         for rb in batches:
             yield _whole(model, rb, [rb.column("doc_id")])
 
@@ -228,7 +257,7 @@ def encode_table(spark: SparkSession, docs: DataFrame, path: str | None = None,
                     )
 
     def meet(batches):
-        model = load(path, pattern)
+        model = load(path, pattern, as_known)
         for rb in batches:
             rows = []
             for key, k, last, w in zip(*(rb.column(c).to_pylist() for c in ("key", "k", "last", "window"))):
@@ -238,7 +267,7 @@ def encode_table(spark: SparkSession, docs: DataFrame, path: str | None = None,
             yield _batch(["key", "k", "last", "head", "tail"], [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())], rows)
 
     def pieces(batches):
-        model = load(path, pattern)
+        model = load(path, pattern, as_known)
         for rb in batches:
             rows = [(key, k, model.encode(w[a:b])) for key, k, w, a, b in zip(*(rb.column(c).to_pylist() for c in ("key", "k", "window", "since", "until")))]
             yield _batch(["key", "k", "ids"], [pa.string(), pa.int64(), pa.binary()], rows)
@@ -271,9 +300,9 @@ def decode_table(spark: SparkSession, rows: DataFrame, path: str | None = None,
     src = rows.select("doc_id", "ids", "n_tokens")
 
     def run(batches):
-        model = load(path, pattern)
+        vocab = vocabulary(read_ranks(path))  # a process of its own beside the encoding one, so no more than that
         for rb in batches:
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([None if i is None else model.decode(i) for i in rb.column("ids").to_pylist()], pa.binary())], names=[*rb.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([None if i is None else decoded(vocab, i) for i in rb.column("ids").to_pylist()], pa.binary())], names=[*rb.schema.names, "decoded"])
 
     return src.mapInArrow(run, plus(src.schema, "decoded binary"))
 

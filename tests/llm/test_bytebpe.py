@@ -96,3 +96,18 @@ def test_query(spark, library, tmp_path):
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert B.encode_table(spark, df.where("false")).collect() == []
+
+
+def test_workers_take_the_pattern_from_the_driver(monkeypatch):
+    import public_tokenizers
+
+    known = B.spelt(public_tokenizers.PATTERN)
+
+    def asked(pattern):
+        raise AssertionError("the library's matchers are not for workers")
+
+    monkeypatch.setattr(B, "spelt", asked)
+    model = B.ByteBpe(B.read_ranks(), public_tokenizers.PATTERN, known)
+    text = "Größe 12 ½ ไทย it's"
+    assert model.decode(model.encode(text)) == text.encode()
+    assert B.CACHE <= 100_000
