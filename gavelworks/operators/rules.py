@@ -19,15 +19,20 @@ def _when(cond, kolom: str, tingkat: str, *pesan):
     return F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(kolom).alias("kolom"), F.lit(tingkat).alias("tingkat"), text.alias("pesan")))
 
 
+def _read(df: DataFrame) -> DataFrame:
+    """df with what several rules read from a text, worked out once a row: _day, _ev, _hint."""
+    return df.withColumns({"_day": C.parse_date("tanggal_putusan"), "_ev": C.years_of("tahun_kejadian"), "_hint": C.level_of_number("nomor_putusan")})
+
+
 def row_rules(files=None) -> list:
-    """Rules of one row in order; ``files``: column telling whether file_pdf exists (default: yes)."""
+    """Rules of one row of ``_read`` in order; ``files``: column telling whether file_pdf exists (default: yes)."""
     col, na = F.col, C.is_na
-    level, stage, hint = col("tingkat_persidangan"), col("tingkat_proses"), C.level_of_number("nomor_putusan")
+    level, stage, hint = col("tingkat_persidangan"), col("tingkat_proses"), col("_hint")
     known = level.isin(*STAGES_OF)
     fits = F.lit(False)
     for k, v in STAGES_OF.items():
         fits = fits | ((level == k) & F.coalesce(stage.isin(*v), F.lit(False)))
-    day, year, ev = C.parse_date("tanggal_putusan"), col("tahun_putusan"), C.years_of("tahun_kejadian")
+    day, year, ev = col("_day"), col("tahun_putusan"), col("_ev")
     money, vol, unit, att = col("nilai_kerugian_uang"), col("nilai_kerugian_volume"), col("satuan_volume"), col("lampiran_pdf")
     has_year, has_ev = ~na("tahun_putusan"), ~na("tahun_kejadian")
     exists = F.lit(True) if files is None else files
@@ -84,7 +89,7 @@ def validate(df: DataFrame, excluded: DataFrame | None = None, files: DataFrame
     d = df
     if files is not None:
         d = d.join(files.select("file_pdf").distinct().withColumn("_exists", F.lit(True)), "file_pdf", "left")
-    out = _issues(d, row_rules(F.coalesce("_exists", F.lit(False)) if files is not None else None))
+    out = _issues(_read(d), row_rules(F.coalesce("_exists", F.lit(False)) if files is not None else None))
 
     # set rules: sequence, duplicates, chains, exclusion, orphan files
     # 1..n in the order of the file: within a part of it the number runs with the row, from the rows of earlier parts on
@@ -120,9 +125,11 @@ def compare_with_text(df: DataFrame, cand: DataFrame) -> DataFrame:
     """Records against the fields read from their texts; a text of another ruling stops the row."""
     k = cand.select("file_pdf", *[F.col(c).alias(f"k_{c}") for c in ("nomor_teks", "tahun_putusan_teks", "tanggal_putusan_teks", "hasil_kandidat", "dasar_hasil_kandidat", "jenis_bbm_disebut", "volume_liter_di_amar", "volume_liter_di_amar_jumlah", "volume_liter_maks_teks")])
     j = df.where("file_pdf is not null").join(k, "file_pdf")
+    # what several rules need, worked out once a row
+    j = j.withColumns({"_mine": C.case_number_core("nomor_putusan"), "_theirs": C.case_number_core("k_nomor_teks"), "_fuels": F.lower(F.coalesce(C.value("k_jenis_bbm_disebut"), F.lit(""))), "_nums": C.number_set("k_volume_liter_di_amar")})
     na, col = C.is_na, F.col
     differs = ~na("k_nomor_teks") & (C.case_number_key("k_nomor_teks") != C.case_number_key("nomor_putusan"))
-    mine, theirs = C.case_number_core("nomor_putusan"), C.case_number_core("k_nomor_teks")
+    mine, theirs = col("_mine"), col("_theirs")
     noted = F.coalesce(col("catatan"), F.lit("nan")).contains(theirs["first"])
     stop = differs & (mine != theirs)
     p = "[cek teks PDF] "
@@ -134,10 +141,10 @@ def compare_with_text(df: DataFrame, cand: DataFrame) -> DataFrame:
         _when(go & (col("k_tahun_putusan_teks") != col("tahun_putusan")), "tahun_putusan", "peringatan", p, "tanggal di teks ", col("k_tanggal_putusan_teks"), " vs tahun_putusan ", col("tahun_putusan")),
         _when(go & ~na("k_hasil_kandidat") & ~na("hasil_putusan") & (col("k_hasil_kandidat") != col("hasil_putusan")), "hasil_putusan", "peringatan", p, "pola amar menunjukkan '", col("k_hasil_kandidat"), "' (", col("k_dasar_hasil_kandidat"), ")"),
     ]
-    text = F.lower(F.coalesce(C.value("k_jenis_bbm_disebut"), F.lit("")))
+    text = col("_fuels")
     for name, pat in FUEL_CHECK.items():
         rules.append(_when(go & F.lower(col("barang_bbm")).contains(name) & ~text.rlike(pat), "barang_bbm", "peringatan", p, f"'{name}' di rekap tetapi tidak disebut di teks PDF"))
-    nums, vol = C.number_set("k_volume_liter_di_amar"), col("nilai_kerugian_volume")
+    nums, vol = col("_nums"), col("nilai_kerugian_volume")
     off = (F.size(nums) > 0) & ~F.array_contains(nums, vol) & (vol != F.coalesce(col("k_volume_liter_di_amar_jumlah"), F.lit(-1.0))) & (vol != F.coalesce(col("k_volume_liter_maks_teks"), F.lit(-1.0)))
     rules.append(_when(go & ~na(vol) & (col("satuan_volume") == "liter") & off, "nilai_kerugian_volume", "info", p, "volume ", C.general_number(vol), " liter tidak sama dengan angka liter di amar (", col("k_volume_liter_di_amar"), ")"))
     return _issues(j, rules)

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from gavelworks.functions import columns as C
 from gavelworks.functions import rulings as R
 from gavelworks.functions.lexicon import FUELS
 
 
 def plan(df) -> str:
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", 1000)
     return df._jdf.queryExecution().analyzed().toString()
 
 
@@ -34,3 +36,13 @@ def test_a_changed_quote_is_missing_where_the_text_goes_on_from_its_letters(spar
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     none = "kalimat ini tidak ada di mana pun"
     assert dict(composed.quotes_missing_of_texts(spark, str(tmp_path)).collect()) == {3: f"{none}|zz{tail}", 6: f"{none}|zz{(tail + ' ' * 40)[:60]}", 9: none, 4: none}
+
+
+def test_row_rules_read_a_date_once(spark):
+    from gavelworks.operators import rules
+    from gavelworks.plans import catalog, corpora
+    from gavelworks.sources import readers
+
+    rows = corpora.frame(spark, list(catalog.BROKEN), readers.RECORD_SCHEMA)
+    shown = plan(rules._issues(rules._read(rows), rules.row_rules()))
+    assert 0 < shown.count("nopember") <= plan(rows.select(C.parse_date("tanggal_putusan"))).count("nopember")
