@@ -38,6 +38,17 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+#: rows of a join or a group that one task sorts or hashes
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to so many tasks that each gets about ``TASK_ROWS`` of ``rows``, however many shuffle partitions
+    the session has; as it is where those are enough."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, comp) for (node) and undirected (a, b): comp is the smallest node reachable.
 
@@ -53,15 +64,18 @@ def contracted(known: DataFrame, e: DataFrame) -> DataFrame:
     Each round every node moves to the smallest of its neighbours (and on to that one's), and the edges are drawn
     again between what is left: the graph shrinks by half or more a round, and the smallest node of a component is
     never moved."""
-    e = cut(e.union(e.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    e = cut(e.where("a <> b"))
+    n = 2 * e.count()
+    e = cut(spread(e.union(e.select(F.col("b"), F.col("a"))), n, "a", "b").distinct())
     moves = []
-    while e.limit(1).count():
-        to = e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+    while n := e.count():
+        to = spread(e, n, "a").groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
         far = to.select(F.col("node").alias("to"), F.col("to").alias("far"))
         move = cut(to.join(far, "to").select("node", F.col("far").alias("to")))
         moves.append(move)
-        e = e.join(move.toDF("a", "ta"), "a").join(move.toDF("b", "tb"), "b").where("ta <> tb")
-        e = cut(e.select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
+        e = spread(e, n, "a").join(spread(move.toDF("a", "ta"), n, "a"), "a")
+        e = spread(e, n, "b").join(spread(move.toDF("b", "tb"), n, "b"), "b").where("ta <> tb")
+        e = cut(spread(e.select(F.col("ta").alias("a"), F.col("tb").alias("b")), n, "a", "b").distinct())
     lab = known.withColumn("comp", F.col("node"))
     for move in moves:
         lab = lab.join(move.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
@@ -95,23 +109,27 @@ def incident_pairs(cases: DataFrame) -> DataFrame:
     """Pairs of chains that may stem from one incident: same place, ruling years at most two apart, event years
     equal or unknown, and the same volume or a shared ship or company.
 
-    cases: (chain, place, year, event, volume, names array).  Two equi joins, on place and volume and on place and
-    name, so that a busy court costs no square of its cases; the other conditions are residuals."""
-    keep = cases.select("chain", "place", "year", "event", "volume", "names")
+    cases: (chain, place, year, event, volume, names array), one row a chain.  Two equi joins, on place and volume and on
+    place and name, so that a busy court costs no square of its cases; the other conditions are residuals.  A pair is
+    told where it is found, once: pairs of one volume by the first join with all that they share, the others by the
+    second at the first name they share.  So only cases are shuffled, never pairs."""
+    names = F.array_sort(F.array_distinct(F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda x: x.isNotNull())))
+    keep = cases.select("chain", "place", "year", F.substring("event", 1, 4).alias("event"), "volume", names.alias("names")).distinct()
 
     def joined(key: str, rows: DataFrame) -> DataFrame:
-        a = rows.select(F.col("chain").alias("a"), "place", key, F.col("year").alias("ya"), F.col("event").alias("ea"))
-        b = rows.select(F.col("chain").alias("b"), "place", key, F.col("year").alias("yb"), F.col("event").alias("eb"))
-        event = F.col("ea").isNull() | F.col("eb").isNull() | (F.substring("ea", 1, 4) == F.substring("eb", 1, 4))
+        a, b = rows.alias("x"), rows.alias("y")
+        x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+        event = F.coalesce(x("event") == y("event"), F.lit(True))
         # an unknown year is no reason against a pair
-        years = ~F.coalesce(F.abs(F.col("ya") - F.col("yb")) > 2, F.lit(False))
-        return a.join(b, ["place", key]).where((F.col("a") < F.col("b")) & years & event)
-
-    text, kind = F.lit(None).cast("string"), keep.schema["volume"].dataType
-    same = joined("volume", keep).select("a", "b", F.col("volume"), text.alias("name"))
-    named = joined("name", keep.withColumn("name", F.explode("names"))).select("a", "b", F.lit(None).cast(kind).alias("volume"), "name")
-    g = same.union(named).groupBy("a", "b").agg(F.max("volume").alias("volume"), F.array_sort(F.collect_set("name")).alias("shared"))
-    return g.select("a", "b", F.col("volume").isNotNull().alias("same_volume"), "shared", "volume")
+        years = ~F.coalesce(F.abs(x("year") - y("year")) > 2, F.lit(False))
+        shared = F.array_intersect(x("names"), y("names"))
+        on = (x("place") == y("place")) & (x(key) == y(key)) & (x("chain") < y("chain")) & years & event
+        if key == "name":
+            on = on & ~F.coalesce(x("volume") == y("volume"), F.lit(False)) & (x("name") == shared[0])
+        return a.join(b, on).select(x("chain").alias("a"), y("chain").alias("b"), F.lit(key == "volume").alias("same_volume"), shared.alias("shared"), (x("volume") if key == "volume" else F.lit(None).cast(kind)).alias("volume"))
+
+    kind = keep.schema["volume"].dataType
+    return joined("volume", keep.where("volume is not null")).union(joined("name", keep.withColumn("name", F.explode("names"))))
 
 
 def incident_links(cases: DataFrame) -> DataFrame:

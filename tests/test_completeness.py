@@ -209,3 +209,11 @@ def test_work_folders_need_a_shared_place(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         graph.shared_folder(Far)
+
+
+def test_incident_pairs_shuffle_cases_only(spark):
+    rows = [(1, "P", 2020, None, 10.0, ["KAPAL B", "KAPAL A", None]), (2, "P", 2020, None, 10.0, ["KAPAL A", "KAPAL B"]), (3, "P", 2020, None, 1.0, ["KAPAL A", "KAPAL B"]), (4, "P", 2020, None, None, None), (3, "P", 2020, None, 1.0, ["KAPAL A", "KAPAL B"])]
+    df = graph.incident_pairs(K.frame(spark, rows, "chain int, place string, year int, event string, volume double, names array<string>"))
+    both = ["KAPAL A", "KAPAL B"]
+    assert sorted(map(tuple, df.collect())) == [(1, 2, True, both, 10.0), (1, 3, False, both, None), (2, 3, False, both, None)]
+    assert "Aggregate [a#" not in df._jdf.queryExecution().optimizedPlan().toString()
