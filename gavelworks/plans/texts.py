@@ -121,8 +121,11 @@ def crawl_frontier(spark, d):
 
 
 def ruling_pages(spark, d):
-    """A ruling page for every row of orders, with a related ruling and sometimes a PDF."""
-    o = t(spark, d, "orders")
+    """A ruling page for every row of orders, with a related ruling and sometimes a PDF.
+
+    The few columns are dealt over all cores before pages are written from them: a table of some megabytes is one task or
+    two, and pages are dear to read."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority").repartition(4 * spark.sparkContext.defaultParallelism)
     cell = lambda label, value: [F.lit(f"<tr><td>{label}</td><td>: "), value, F.lit("</td></tr>")]
     key = F.col("o_orderkey").cast("string")
     html = F.concat(

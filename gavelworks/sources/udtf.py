@@ -38,7 +38,7 @@ class RulingFields:
         return AnalyzeResult(schema)
 
     def eval(self, html: str, url: str, names: str) -> Iterator[tuple]:
-        got = P.overview(html, url or "") if html is not None else {"meta": {}}
+        got = P.overview(html, url or "", related_too=False) if html is not None else {"meta": {}}
         yield tuple(got.get(n) if n in OTHERS else got["meta"].get(n) for n in self.names)
 
 
@@ -50,7 +50,7 @@ class ListingRows:
 
 class RelatedRows:
     def eval(self, html: str, url: str) -> Iterator[tuple]:
-        for e in P.overview(html, url or "")["terkait"]:
+        for e in P.overview(html, url or "", fields=False)["terkait"]:
             yield e["id"], e["label"]
 
 

@@ -37,3 +37,11 @@ def test_related_and_listing_rows(pages):
     got = pages.sql(f'SELECT * FROM listing_rows("{page}")').collect()
     assert [(r.urutan, r.id, r.judul, r.tanggal_putus) for r in got] == [(1, "c1", "A", "05-06-2021"), (2, "c2", "B", None)]
     assert pages.sql("SELECT * FROM listing_rows(CAST(NULL AS STRING))").collect() == []
+
+
+def test_ruling_pages_are_dealt_over_all_cores(spark, tmp_path):
+    from gavelworks.plans import catalog, texts  # noqa: F401  the catalogue comes first
+
+    spark.sql("SELECT id AS o_orderkey, id AS o_custkey, DATE'2021-01-01' AS o_orderdate, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority FROM range(0, 400, 1, 1)").write.parquet(str(tmp_path / "orders.parquet"))
+    assert texts.ruling_pages(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert texts.related_rulings(spark, str(tmp_path)).count() == 400
