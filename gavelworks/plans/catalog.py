@@ -301,8 +301,12 @@ def keyword_year_pages(spark, d):
 c(node, comp) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.a, min(c.comp) FROM c JOIN e ON e.b = c.node JOIN recurring.c r ON r.node = e.a WHERE c.comp < r.comp GROUP BY e.a) SELECT node, comp FROM c""")
 def chain_components(spark, d):
     """Components of all parts (even nodes) and suppliers (odd nodes) of lineitem."""
-    e = t(spark, d, "lineitem").select((F.col("l_partkey").cast("long") * 2).alias("a"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("b")).distinct()
-    return graph.components(e.select(F.col("a").alias("node")).union(e.select("b")), e)
+    line = t(spark, d, "lineitem")
+    e = line.select((F.col("l_partkey").cast("long") * 2).alias("a"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("b"))
+    e = graph.cut(graph.spread(e, line.count(), "a", "b").distinct())
+    # all ends of the edges are nodes; those without the other end are nodes of their own
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    return graph.contracted(nodes, e.where("a is not null and b is not null"))
 
 
 _E = [(i, (i * 7 + 3) % 40) for i in range(40)] + [(i, i // 2) for i in range(40, 80)]
