@@ -28,9 +28,9 @@ def test_groups_violations_and_components(spark, tmp_path):
 def test_large_steps_are_dealt_by_their_rows(spark, monkeypatch):
     from gavelworks.operators import graph
 
-    df = spark.range(1000).selectExpr("id as a", "id + 1 as b")
+    df = spark.range(60).selectExpr("id as a", "id + 1 as b")
     assert graph.spread(df, 4_000_000, "a") is df
     assert graph.spread(df, 9_000_001, "a").rdd.getNumPartitions() == 10
-    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    monkeypatch.setattr(graph, "TASK_ROWS", 25)
     got = graph.components(df.selectExpr("a as node"), df)
-    assert {r.comp for r in got.collect()} == {0} and got.count() == 1000
+    assert {r.comp for r in got.collect()} == {0} and got.count() == 60
