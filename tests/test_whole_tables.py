@@ -34,3 +34,10 @@ def test_large_steps_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK_ROWS", 25)
     got = graph.components(df.selectExpr("a as node"), df)
     assert {r.comp for r in got.collect()} == {0} and got.count() == 60
+
+
+def test_batches_to_python_are_small(spark):
+    from gavelworks import shipping
+
+    shipping.ship(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
