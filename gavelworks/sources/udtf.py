@@ -3,7 +3,8 @@
 ``ruling_fields`` gives one row a page with the labels that are asked for as columns; ``listing_rows`` one row an
 entry of a listing; ``related_rows`` one row a related ruling.  A null page gives a row of nulls from the first and no
 rows from the others.  The columns of ``ruling_fields`` are worked out when the query is planned (``analyze``), so an
-unknown label is an error of the query, not of a task.
+unknown label is an error of the query, not of a task.  Rows go to Python and back pickled: with Arrow each call of
+``eval`` makes a table of its own, which takes longer than reading the page.
 """
 
 from __future__ import annotations
@@ -60,6 +61,6 @@ def register(spark: SparkSession) -> None:
     listing = StructType().add("urutan", IntegerType())
     for n in ("id", "url", "judul", "teks_entri", "tanggal_putus"):
         listing = listing.add(n, StringType())
-    spark.udtf.register("ruling_fields", udtf(RulingFields, useArrow=True))
-    spark.udtf.register("listing_rows", udtf(ListingRows, returnType=listing, useArrow=True))
-    spark.udtf.register("related_rows", udtf(RelatedRows, returnType="id string, label string", useArrow=True))
+    spark.udtf.register("ruling_fields", udtf(RulingFields, useArrow=False))
+    spark.udtf.register("listing_rows", udtf(ListingRows, returnType=listing, useArrow=False))
+    spark.udtf.register("related_rows", udtf(RelatedRows, returnType="id string, label string", useArrow=False))

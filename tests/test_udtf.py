@@ -45,3 +45,32 @@ def test_ruling_pages_are_dealt_over_all_cores(spark, tmp_path):
     spark.sql("SELECT id AS o_orderkey, id AS o_custkey, DATE'2021-01-01' AS o_orderdate, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority FROM range(0, 400, 1, 1)").write.parquet(str(tmp_path / "orders.parquet"))
     assert texts.ruling_pages(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert texts.related_rulings(spark, str(tmp_path)).count() == 400
+
+
+def test_rows_are_no_arrow_table_each(pages):
+    x = pages.sql("SELECT i, r.* FROM udtf_pages, LATERAL ruling_fields(html, url, 'nomor') r")
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
+def test_plain_pages_need_no_parser_and_give_its_tree(monkeypatch):
+    import random
+
+    from gavelworks.sources import pages as P
+
+    def shape(n):
+        return n.tag, n.attrs, [k if isinstance(k, str) else shape(k) for k in n.kids]
+
+    plain = ["<td>", "</td>", "<tr>", "</tr>", "<TD CLASS='x y'>", "<b>", "</b>", "<br>", '<a href="/direktori/putusan/a1.html" title=\'\'>', "</a>", "</A\n>", "<i x='1'>", "&amp;", "&nbsp", " teks ", ">", "é", "<li\tA='1' a='2'>"]
+    odd = ["<br/>", "<a href='/x?a=1&amp;b'>", "<a title='p > q'>", "<a href=x>", "<", "a < b", "<!-- c -->", "<!DOCTYPE html>", "<p", "</p x='1'>", "</ p>", "<script>", "</script>", "<a b='1'c='2'>", "<textarea>", "</>", "<1>", "<pé>", "<p\x0bx='1'>", "</td/>"]
+    rng, both = random.Random(3), [0, 0]
+    for k in range(4000):
+        html = "".join(rng.choice(plain if k % 2 or rng.random() < 0.8 else odd) for _ in range(rng.randrange(12)))
+        nodes, want = P._plain(html), P._parsed(html)
+        both[nodes is None] += 1
+        assert nodes is not None or k % 2 == 0, html
+        assert shape(P.tree(html)) == shape(want), html
+        assert [shape(n) for n in P._nodes(html)] == [shape(n) for n in want.walk()], html
+    assert min(both) > 400
+    monkeypatch.setattr(P, "_parsed", None)
+    assert P.overview(PAGE, "https://x/direktori/putusan/aa.html")["meta"] == {"nomor": "1/Pid/2020", "amar": "LAIN"}
