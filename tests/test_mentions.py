@@ -45,3 +45,31 @@ def test_a_hundred_thousand_texts(spark):
     x = M.with_mentions(df, {"m": ("volume", "t"), "n": ("money", "t")})
     got = x.select(F.sum(F.element_at("m", 1)["value"] - F.col("id")).alias("a"), F.count_if(F.element_at("n", 1)["kind"] == "denda").alias("b")).first()
     assert (got.a, got.b) == (n, n)
+
+
+def test_sizes_are_volumes_without_context_and_need_a_unit_behind_a_run_of_digits():
+    import random
+    import re
+
+    bits = ["1", "23", "4567", "890", ".", ",", ",", " ", "\n", "(dua liter)", "(", " liter", "kl", "k.l", " L", "l", " ton", "m3", "m³", "kilo liter", "lt", ";", " dan ", " kapasitas ", "é"]
+    rng = random.Random(7)
+    for _ in range(20000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        assert [m.span() for m in M._volumes(t)] == [m.span() for m in M._VOLUME.finditer(t)], t
+        assert M.sizes(t) == [v[:3] for v in M.volumes(t)], t
+    assert re.match(r"\[0-9\]", M._END.pattern)  # found by its first character, not tried at each place
+
+
+def test_patterns_are_tried_only_where_their_words_are(spark):
+    from pyspark.sql import functions as F
+
+    from gavelworks.functions import rulings as R
+    from gavelworks.functions.lexicon import FUELS, GENERIC_FUEL, OFFENCES
+
+    assert R.needed(r"bio\s*-?\s*solar") == ["solar"] and R.needed(r"\bgas\s+(?:3|tiga)\s*kg|ab?c{2}d|[x]yz") == ["gas", "a", "yz"] and R.needed("(a|b)|lelang") == []
+    pats = [p for ps in FUELS.values() for p in ps] + GENERIC_FUEL + [p for p, _ in OFFENCES]
+    texts = ["bio - solar, solar industri; hsd", "pertalit pertalite", "minyak  tanah dan minyak mentah, kondensat", "gas 12 kg, tabung gas, elpiji", "tanpa izin usaha niaga bbm bersubsidi", "niaga solar tanpa izin", "", "solaria gasolin", None]
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = x.select(*[F.coalesce(R.hits(F.col("t"), p), F.lit(-1)) for p in pats], *[R.matched(F.col("t"), p) for p in pats]).collect()
+    want = x.select(*[F.coalesce(F.regexp_count("t", F.lit(p)), F.lit(-1)) for p in pats], *[F.col("t").rlike(p) for p in pats]).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
